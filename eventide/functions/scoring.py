@@ -5,6 +5,8 @@ Every function takes the needed columns from the feature frame by name.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,8 @@ def tenths(x: Column) -> Column:
     frac = s - low
     up = ((frac > 0.5) | ((frac == 0.5) & (err > 0))
           | ((frac == 0.5) & (err == 0) & (low % 2 != 0)))
-    n = (low + up.cast("int")).cast("bigint")
-    sign = F.when((n < 0), "-").otherwise("")
-    return F.concat(sign, F.floor(F.abs(n) / 10).cast("string"), F.lit("."),
-                    (F.abs(n) % 10).cast("string"))
+    n = low + up.cast("int")
+    return (n.cast("decimal(18,0)") * F.lit(Decimal("0.1"))).cast("string")
 
 
 # --- crowding and dilution --------------------------------------------------------------------
@@ -116,8 +116,9 @@ def vol_reason() -> Column:
     ratio = c("move_ratio")
     tail = F.concat(percent(c("implied_move")), F.lit(" vs "), percent(c("expected_move")),
                     F.lit(" typical ("), tenths(ratio), F.lit("x)"))
-    return (F.when(ratio > fv.IMPLIED_RICH_RATIO, F.concat(F.lit("straddle prices "), tail))
-            .when(ratio < 0.8, F.concat(F.lit("straddle prices only "), tail)))
+    rich = ratio > fv.IMPLIED_RICH_RATIO
+    return F.when(rich | (ratio < 0.8), F.concat(
+        F.when(rich, "straddle prices ").otherwise("straddle prices only "), tail))
 
 
 def loa_score() -> Column:

@@ -89,7 +89,7 @@ def stable_id(*parts: Column) -> Column:
 
 def area_pattern(words) -> str:
     """Keywords anchored at a word start; those of four characters or fewer also at a word end."""
-    return r"\b(?:" + "|".join(
+    return r"(?U)\b(?:" + "|".join(
         re.escape(w) + (r"\b" if len(w) <= 4 else "") for w in words) + ")"
 
 

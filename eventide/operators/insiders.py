@@ -27,9 +27,10 @@ def _distinct_in_window(tx: DataFrame, window: int, out: str) -> DataFrame:
     """
     days = tx.select("ticker", "accession", "filed_date").distinct()
     again = F.lead("filed_date").over(W.partitionBy("ticker", "accession").orderBy("filed_date"))
-    leaves = F.least(F.date_add("filed_date", window), again)
+    days = days.select("ticker", "filed_date", F.least(F.date_add("filed_date", window), again)
+                       .alias("leaves"))
     steps = F.array(F.struct(F.col("filed_date").alias("filed_date"), F.lit(1).alias(out)),
-                    F.struct(leaves.alias("filed_date"), F.lit(-1).alias(out)))
+                    F.struct(F.col("leaves").alias("filed_date"), F.lit(-1).alias(out)))
     return (days.select("ticker", F.inline(steps)).groupBy("ticker", "filed_date")
             .agg(F.sum(out).alias(out)))
 

@@ -7,11 +7,14 @@ trading day, is small by construction and is broadcast.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
+from eventide.storage import stash
 
 
 def windowed_bars(bars: DataFrame, start, end, tickers: DataFrame | None,
@@ -27,18 +30,34 @@ def windowed_bars(bars: DataFrame, start, end, tickers: DataFrame | None,
             .unionByName(b.where(F.col("ticker") == benchmark)))
 
 
+@dataclass(frozen=True)
+class Panel:
+    """Usable prices with trading-day positions.
+
+    `rows` is (ticker, day, close, volume, pos), `calendar` is (day, pos) and `benchmark` is
+    (pos, day, close) of the benchmark alone.
+    """
+
+    rows: DataFrame
+    calendar: DataFrame
+    benchmark: DataFrame
+
+
 def price_panel(bars: DataFrame, start, end, tickers: DataFrame | None = None,
-                benchmark: str = "BENCH") -> DataFrame:
+                benchmark: str = "BENCH") -> Panel:
     """Panel of tickers with enough closes, plus `pos`, the trading-day position.
 
     The position counts the distinct days of all usable tickers; a missing cell is an absent
-    row and is never filled.
+    row and is never filled. The calendar is written to shared storage, so the bars are not read
+    again for it; the benchmark filter reaches the scan, as the ticker partitions the window.
     """
-    per_ticker = W.partitionBy("ticker")
     usable = (windowed_bars(bars, start, end, tickers, benchmark)
-              .withColumn("n_closes", F.count("close").over(per_ticker))
+              .withColumn("n_closes", F.count("close").over(W.partitionBy("ticker")))
               .where(F.col("n_closes") >= fv.MIN_CLOSES).drop("n_closes"))
-    return usable.join(F.broadcast(calendar(usable)), "day")
+    cal = stash(usable.select("day").distinct().withColumn(
+        "pos", F.row_number().over(W.orderBy("day")) - 1))
+    rows = usable.join(F.broadcast(cal), "day")
+    return Panel(rows, cal, rows.where(F.col("ticker") == benchmark).select("pos", "day", "close"))
 
 
 def missing_tickers(bars: DataFrame, tickers: DataFrame, start, end,
@@ -50,12 +69,6 @@ def missing_tickers(bars: DataFrame, tickers: DataFrame, start, end,
     return wanted.join(usable, "ticker", "left_anti")
 
 
-def calendar(panel: DataFrame) -> DataFrame:
-    """(day, pos). One row per trading day: a single ordered pass over a few thousand rows."""
-    return (panel.select("day").distinct()
-            .withColumn("pos", F.row_number().over(W.orderBy("day")) - 1))
-
-
 def positions(days: DataFrame, cal: DataFrame, side: str) -> DataFrame:
     """Position of the first trading day on or after, or last on or before, each distinct day."""
     both = (days.select(F.col("day")).distinct().withColumn("pos", F.lit(None).cast("int"))
@@ -74,8 +87,8 @@ def _at(offset: int, key: str | None = "ticker"):
     return base.orderBy("pos").rangeBetween(offset, offset)
 
 
-def with_exits(panel: DataFrame, exits: dict[str, int], benchmark: str,
-               realised: bool = False) -> DataFrame:
+def with_exits(panel: Panel, exits: dict[str, int], realised: bool = False,
+               keep: list[str] | None = None) -> DataFrame:
     """Per panel row: own and benchmark price now and at each exit offset.
 
     With `realised`, also the volatility of the up to 63 returns ending at the row and the
@@ -87,22 +100,20 @@ def with_exits(panel: DataFrame, exits: dict[str, int], benchmark: str,
     if realised:
         cells += [F.log(p0 / F.max("close").over(_at(-1))).alias("r"),
                   (p0 / F.max("close").over(_at(-20)) - 1).alias("ret_20d")]
-    p = panel.select("ticker", "day", "pos", p0.alias("p0"), *cells)
+    p = panel.rows.select("ticker", "day", "pos", p0.alias("p0"), *cells, *(keep or []))
     if realised:
         trail = W.partitionBy("ticker").orderBy("pos").rangeBetween(-62, 0)
         enough = F.col("pos") >= 21
         p = (p.withColumn("rvol_60d", F.when(
                 enough, F.stddev_samp("r").over(trail) * F.sqrt(F.lit(float(fv.TRADING_DAYS)))))
              .withColumn("ret_20d", F.when(enough, F.col("ret_20d"))).drop("r"))
-    b = (panel.where(F.col("ticker") == benchmark)
-         .select("pos", p0.alias("b0"), *[F.max("close").over(_at(k, None)).alias(f"b_{name}")
-                                          for name, k in exits.items()]))
+    b = panel.benchmark.select("pos", p0.alias("b0"), *[
+        F.max("close").over(_at(k, None)).alias(f"b_{name}") for name, k in exits.items()])
     return p.join(F.broadcast(b), "pos").where("p0 > 0 and b0 > 0")
 
 
-def event_returns(events: DataFrame, panel: DataFrame, horizons=fv.READOUT_HORIZONS,
-                  entry_offset: int = fv.READOUT_ENTRY_OFFSET,
-                  benchmark: str = "BENCH") -> DataFrame:
+def event_returns(events: DataFrame, panel: Panel, horizons=fv.READOUT_HORIZONS,
+                  entry_offset: int = fv.READOUT_ENTRY_OFFSET) -> DataFrame:
     """Benchmark-adjusted returns of each event from entry to every horizon.
 
     Entry is `entry_offset` positions before the first trading day on or after the event and
@@ -112,8 +123,8 @@ def event_returns(events: DataFrame, panel: DataFrame, horizons=fv.READOUT_HORIZ
     keep = [x for x in events.columns if x not in ("rvol_60d", "ret_20d", "entry_price")]
     exits = {f"{h}d": entry_offset + h for h in horizons}
     p0, b0 = F.col("p0"), F.col("b0")
-    priced = with_exits(panel, exits, benchmark, realised=True)
-    at = positions(events.select(F.col("event_date").alias("day")), calendar(panel), "after")
+    priced = with_exits(panel, exits, realised=True)
+    at = positions(events.select(F.col("event_date").alias("day")), panel.calendar, "after")
     placed = (events.select(*keep).join(F.broadcast(at.withColumnRenamed("day", "event_date")),
                                         "event_date")
               .withColumn("pos", F.col("pos") - entry_offset))
@@ -125,19 +136,18 @@ def event_returns(events: DataFrame, panel: DataFrame, horizons=fv.READOUT_HORIZ
                     "rvol_60d", "ret_20d", *abn))
 
 
-def realised_moves(events: DataFrame, panel: DataFrame, benchmark: str = "BENCH") -> DataFrame:
+def realised_moves(events: DataFrame, panel: Panel) -> DataFrame:
     """Moves of passed events from the last close before them: 1 and 5 sessions, and to date."""
     exits = {"1d": 1, "5d": 5}
     p0, b0 = F.col("p0"), F.col("b0")
     last = F.max_by(F.struct("pos", "day", "close"), "pos").over(W.partitionBy("ticker"))
-    tail = panel.select("ticker", "pos", last.alias("last"))
-    priced = with_exits(panel, exits, benchmark)
-    b_last = F.broadcast(panel.where(F.col("ticker") == benchmark)
-                         .select(F.col("pos").alias("last_pos"), F.col("close").alias("b_last")))
-    priced = (priced.join(tail, ["ticker", "pos"])
-              .withColumn("last_pos", F.col("last.pos")).join(b_last, "last_pos", "left"))
+    tail = Panel(panel.rows.withColumn("last", last), panel.calendar, panel.benchmark)
+    b_last = F.broadcast(panel.benchmark.select(F.col("pos").alias("last_pos"),
+                                                F.col("close").alias("b_last")))
+    priced = (with_exits(tail, exits, keep=["last"]).withColumn("last_pos", F.col("last.pos"))
+              .join(b_last, "last_pos", "left"))
     eve = events.withColumn("eve", F.date_sub("catalyst_date", 1))
-    at = positions(eve.select(F.col("eve").alias("day")), calendar(panel), "before")
+    at = positions(eve.select(F.col("eve").alias("day")), panel.calendar, "before")
     placed = eve.join(F.broadcast(at.withColumnRenamed("day", "eve")), "eve")
     later = F.col("last_pos") > F.col("pos")
 

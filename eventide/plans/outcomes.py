@@ -25,8 +25,7 @@ def outcomes(catalysts: DataFrame, bars: DataFrame, today, lookback: int = 45,
              benchmark: str = "BENCH") -> DataFrame:
     past = passed_catalysts(catalysts, today, lookback)
     start = F.date_sub(F.lit(today).cast("date"), lookback + 30)
-    return realised_moves(past, price_panel(bars, start, F.lit(today), past, benchmark),
-                          benchmark)
+    return realised_moves(past, price_panel(bars, start, F.lit(today), past, benchmark))
 
 
 def recent(outcome_rows: DataFrame, catalysts: DataFrame, verdict_log: DataFrame, today,

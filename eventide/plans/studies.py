@@ -56,7 +56,7 @@ def filing_returns(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> DataFr
     """Returns of periodic-filing events, entered on the first session on or after the filing."""
     events = periodic_filing_dates(m.filings, start, end)
     panel = price_panel(m.bars, start, end, events.select("ticker"), m.benchmark)
-    return event_returns(events, panel, horizons, 0, m.benchmark)
+    return event_returns(events, panel, horizons, 0)
 
 
 def with_runway(events: DataFrame, m: Market) -> DataFrame:
@@ -163,7 +163,7 @@ def readout_study(readouts: DataFrame, bars: DataFrame, start, end,
     """
     panel = price_panel(bars, start, end, readouts.select("ticker"), benchmark)
     slim = readouts.select("ticker", "event_date", "anchor", "nct_id")
-    e = event_returns(slim, panel, horizons, fv.READOUT_ENTRY_OFFSET, benchmark)
+    e = event_returns(slim, panel, horizons, fv.READOUT_ENTRY_OFFSET)
     meta = readouts.select("nct_id", "indication", "simplified_stage", "allocation", "masking",
                            "enrollment")
     e = e.join(meta, "nct_id", "left").withColumn(

@@ -244,10 +244,17 @@ VIEWS = {
 }
 
 
+_registered: dict = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver tables as views."""
+    """Register the driver tables as views, once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if _registered.get("key") == key and spark.catalog.tableExists(BASE[-1]):
+        return
     for name in BASE:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    _registered["key"] = key
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -257,4 +264,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tables(spark, sf_dir)
+    return spark.table(name)
