@@ -271,7 +271,7 @@ FRAGMENTS = {
           CASE WHEN setup = 'DILUTION_SHORT' AND eightk_90d >= 6 AND microcap THEN
                  'low runway + busy + microcap tested -39.8% @126d' END,
           CASE WHEN illiquid THEN 'thin: under $1M/day traded' END
-        ], x -> x IS NOT NULL) AS reason_list FROM scored""",
+        ], lambda x: x IS NOT NULL) AS reason_list FROM scored""",
     "ev": f"""
         SELECT DISTINCT ticker, filed AS event_date FROM filing_index
         WHERE form IN ('10-Q', '10-K') AND filed BETWEEN {A} AND {Z}""",

@@ -436,7 +436,7 @@ def feature_join(s, d):
         "drug_id", "enrollment", "allocation", "cash_usd", "runway_months", "cash_asof", "last",
         "market_cap", "implied_move", "implied_expiry", "sentiment", "sentiment_thin",
         "news_articles", "eightk_90d", "shares_short", "days_to_cover", "short_asof",
-        "dilution_label", "offerings_24m", "guide_lo", "guide_hi", "insider_tilt", "n_buyers"))
+        "dilution_label", "offerings_24m", "guide_lo", "guide_hi", "insider_tilt", "n_buyers"), 4)
 
 
 FEATURES = ("drug_id", "ticker", "catalyst_date_lo", "catalyst_date_hi", "date_precision",

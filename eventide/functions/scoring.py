@@ -254,8 +254,9 @@ def reason_list() -> Column:
 
 def headline_reason(reasons: Column) -> Column:
     """The first reason that holds the highest-ranked key, else the first reason."""
-    ranked = [F.try_element_at(F.filter(reasons, lambda r, k=key: F.lower(r).contains(k)),
-                               F.lit(1)) for key in fv.REASON_RANK]
+    def holding(key):
+        return F.filter(reasons, lambda r: F.lower(r).contains(key))
+    ranked = [F.try_element_at(holding(key), F.lit(1)) for key in fv.REASON_RANK]
     return F.coalesce(*ranked, F.try_element_at(reasons, F.lit(1)))
 
 

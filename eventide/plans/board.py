@@ -13,6 +13,7 @@ from eventide.functions.dates import narrow
 from eventide.functions.priors import lookup
 from eventide.functions.scoring import headline_reason, scored, squeeze_metrics
 from eventide.functions.text import therapeutic_area
+from eventide.storage import stash
 
 # Columns each per-ticker table adds to the feature frame, as {output: input}, with the date that
 # picks the newest row of the logs.
@@ -94,11 +95,28 @@ def joined(t: Tables, horizon: int | None = None, today=None) -> DataFrame:
             c = c.where(F.col("catalyst_date_lo") <= last)
     implied = t.implied.select("ticker", F.col("catalyst_date").alias("catalyst_date_lo"),
                                "atm_iv", "implied_move", F.col("expiry").alias("implied_expiry"))
-    return (c.join(t.trials.select("nct_id", *TRIAL), "nct_id", "left")
-            .join(implied, ["ticker", "catalyst_date_lo"], "left")
+    designed = c.join(t.trials.select("nct_id", *TRIAL), "nct_id", "left")
+    return (with_prior(designed).join(implied, ["ticker", "catalyst_date_lo"], "left")
             .join(ticker_profile(t), "ticker", "left"))
 
 
+def with_prior(rows: DataFrame) -> DataFrame:
+    """Area, approval prior and trial design: all that needs only the event and its trial.
+
+    Computed before the ticker joins, in a stage of its own.
+    """
+    c = F.col
+    return rows.withColumns({
+        "ta": therapeutic_area(c("indication")),
+        "design_bucket": priors.design_bucket(c("allocation"), c("masking")),
+    }).withColumns({
+        "loa": priors.approval_prior(c("simplified_stage"), c("indication"),
+                                     c("designations"), c("ta")),
+        "design_multiplier": priors.design_multiplier(c("design_bucket"), c("enrollment"),
+                                                      c("simplified_stage")),
+        "design_note": priors.design_note(c("design_bucket"), c("enrollment"))})
+
+
 def features(t: Tables, today, horizon: int = 180) -> DataFrame:
     """One row per upcoming catalyst with every derived feature."""
     c = F.col
@@ -118,8 +136,6 @@ def features(t: Tables, today, horizon: int = 180) -> DataFrame:
     d = d.where((c("catalyst_date_hi") >= run_day) & (c("days_to_catalyst") <= horizon))
     d = d.withColumns({
         "date_confidence": lookup(c("date_precision"), fv.PRECISION_WEIGHT, 0.0),
-        "ta": therapeutic_area(c("indication")),
-        "design_bucket": priors.design_bucket(c("allocation"), c("masking")),
         "expected_move": priors.typical_move(c("simplified_stage"), c("market_cap")),
         "baseline_move": c("rvol_60d") * F.sqrt(
             F.greatest(c("days_to_catalyst"), F.lit(1)) / 252.0),
@@ -134,18 +150,18 @@ def features(t: Tables, today, horizon: int = 180) -> DataFrame:
     material = (F.when(c("baseline_move") == 0, F.lit(float("inf")))
                 .otherwise(c("expected_move") / c("baseline_move")))
     return (d.withColumns({
-        "design_multiplier": priors.design_multiplier(c("design_bucket"), c("enrollment"),
-                                                      c("simplified_stage")),
-        "design_note": priors.design_note(c("design_bucket"), c("enrollment")),
-        "loa": priors.approval_prior(c("simplified_stage"), c("indication"),
-                                     c("designations"), c("ta")),
         "move_ratio": c("implied_move") / c("expected_move"),
         "materiality": F.when(c("market_cap").isNotNull(), material),
     }).select("*", "_squeeze.*").drop("_squeeze"))
 
 
 def board(t: Tables, today, horizon: int = 180) -> DataFrame:
-    return scored(features(t, today, horizon))
+    """Scored rows, written to shared storage once.
+
+    Views, tallies, snapshots and exports all read them; their filters then meet stored values
+    instead of being rewritten through the whole scoring expression.
+    """
+    return stash(scored(features(t, today, horizon)))
 
 
 # --- views ------------------------------------------------------------------------------------
