@@ -36,6 +36,25 @@ def check(name: str, final: str, *parts: str) -> None:
     ORACLE[name] = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + final
 
 
+def on_grid(sql: str) -> str:
+    """Replace round(x, n) by the floor form the queries use, the same in both engines."""
+    out, at = "", 0
+    for m in re.finditer(r"(?<![\w])round\(", sql):
+        if m.start() < at:
+            continue
+        depth, i, comma = 1, m.end(), None
+        while depth:
+            ch = sql[i]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                comma = i
+            i += 1
+        x, n = on_grid(sql[m.end():comma]), int(sql[comma + 1:i - 1])
+        out += sql[at:m.start()] + f"(floor(({x}) * 1e{n} + 0.5E0) / 1e{n})"
+        at = i
+    return out + sql[at:]
+
+
 def ntrim(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 

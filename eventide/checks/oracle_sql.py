@@ -8,8 +8,8 @@ from eventide import fixed_values as fv
 from eventide import proxies as px
 from eventide.checks.oracle import (A, COUNT, COVER, BURST, DAY, DESIGN, DESIGN_NOTE, LOW, ORACLE,
                                     PIT_EV, PIT_RET, RET, RUNWAY, SIZE, STAGE_KEY, WORD, Z, area,
-                                    check, clean, cut, design_mult, inter, move, net, ntrim, prior,
-                                    q, ready, squeeze, summary_sql)
+                                    check, clean, cut, design_mult, inter, move, net, ntrim,
+                                    on_grid, prior, q, ready, squeeze, summary_sql)
 from eventide.checks.queries import CORPUS_LEXICON
 
 BOARD = ("joined_rows", "windowed", "feat", "cascade", "amplified", "scored")
@@ -627,5 +627,5 @@ for _name, _sql in ORACLE.items():
         ORACLE[_name] = "WITH " + _sql.lstrip()[1:]
 # `asof` is a keyword of the checking engine.
 for _name, _sql in ORACLE.items():
-    ORACLE[_name] = re.sub(r'(?<![\w"])asof(?![\w"])', '"asof"', _sql)
+    ORACLE[_name] = on_grid(re.sub(r'(?<![\w"])asof(?![\w"])', '"asof"', _sql))
 _ = (A, Z, LOW, ntrim)

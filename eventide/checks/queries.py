@@ -17,6 +17,7 @@ from eventide.plans import board as bd
 from eventide.plans import calendar as cal
 from eventide.plans import current, outcomes, studies
 from eventide.sources import readers as rd
+from eventide.storage import spread
 
 QUERIES: dict = {}
 KINDS = {k: (k,) for k in ("cash", "investments", "burn", "shares")}
@@ -34,9 +35,11 @@ def query(fn):
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    """Doubles rounded for comparison between engines that add in different orders."""
+    """Doubles on a grid, for comparison between engines that add in different orders."""
+    unit = float(10 ** digits)
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, DoubleType)
+        (F.floor(F.col(f.name) * unit + 0.5) / unit).alias(f.name)
+        if isinstance(f.dataType, DoubleType)
         else F.col(f.name) for f in df.schema.fields])
 
 
@@ -238,7 +241,7 @@ def therapeutic_areas(s, d):
     """Areas of catalyst indications and of whole documents."""
     a = V(s, d, "catalysts").select(F.concat(F.lit("c"), F.col("drug_id").cast("string")).alias("id"),
                                     text.therapeutic_area(F.col("indication")).alias("area"))
-    b = B(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
+    b = spread(B(s, d, "documents")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
                                     text.therapeutic_area(F.col("text")).alias("area"))
     return a.unionByName(b)
 
@@ -253,7 +256,7 @@ def stable_ids(s, d):
 @query
 def page_texts(s, d):
     t = text.html_text(F.col("html"))
-    return B(s, d, "pages").select("page_id", t.alias("body"))
+    return spread(B(s, d, "pages")).select("page_id", t.alias("body"))
 
 
 @query
@@ -281,14 +284,14 @@ def _headlines(s, d):
 @query
 def headline_hits(s, d):
     """Lexicon hits of every document, with a lexicon of frequent corpus words."""
-    return B(s, d, "documents").select(
+    return spread(B(s, d, "documents")).select(
         "doc_id", sentiment.lexicon_hits(F.col("text"), CORPUS_LEXICON).alias("h")).select(
         "doc_id", "h.pos", "h.neg")
 
 
 @query
 def headline_hits_default_lexicon(s, d):
-    return B(s, d, "documents").select(
+    return spread(B(s, d, "documents")).select(
         "doc_id", sentiment.lexicon_hits(F.col("text")).alias("h")).select(
         "doc_id", "h.pos", "h.neg")
 
@@ -335,7 +338,7 @@ def sentiment_table(s, d):
 
 @query
 def fuzzy_dates(s, d):
-    return V(s, d, "raw_date").select("id", dates.fuzzy_date(F.col("raw")).alias("r")).select(
+    return spread(V(s, d, "raw_date")).select("id", dates.fuzzy_date(F.col("raw")).alias("r")).select(
         "id", "r.lo", "r.hi", "r.precision")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
-from eventide.functions.text import squeeze, strip
+from eventide.functions.text import let, squeeze, strip
 
 _MONTH = "|".join(fv.MONTH_NAMES + fv.MONTH_ABBR)
 _MONTH_DAY_YEAR = rf"\b({_MONTH})\b\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+((?:19|20)\d{{2}})"
@@ -55,7 +55,11 @@ def fuzzy_date(raw: Column) -> Column:
     literal = strip(F.coalesce(raw.cast("string"), F.lit("")))
     text = F.replace(F.replace(F.lower(literal), F.lit("--"), F.lit(" ")),
                      F.lit("-"), F.lit(" "))
+    return let(F.struct(literal.alias("literal"), text.alias("text")),
+               lambda x: _fuzzy(x["literal"], x["text"]))
 
+
+def _fuzzy(literal: Column, text: Column) -> Column:
     def day(source, pattern, y, m, d, month_name=False):
         part = [F.regexp_extract(source, pattern, g) for g in (y, m, d)]
         month = _month_no(part[1]) if month_name else part[1]
@@ -110,7 +114,10 @@ def fuzzy_date(raw: Column) -> Column:
 
 def guided_period(phrase: Column) -> Column:
     """Range of a guided period: ordinal halves and quarters first, then any fuzzy date."""
-    t = F.lower(strip(squeeze(F.coalesce(phrase, F.lit("")))))
+    return let(F.lower(strip(squeeze(F.coalesce(phrase, F.lit(""))))), _guided)
+
+
+def _guided(t: Column) -> Column:
     year = F.regexp_extract(t, r"(19|20)\d{2}", 0)
     ordinal = r"(first|second|third|fourth)\s+(half|quarter)"
     n = (F.when(F.regexp_extract(t, ordinal, 1) == "first", 1)

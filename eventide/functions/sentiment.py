@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
-from eventide.functions.text import clean_text
+from eventide.functions.text import clean_text, let
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,10 @@ def _negated_count(text: Column, pattern: str, term: str, lex: Lexicon) -> Colum
 
 def lexicon_hits(text: Column, lex: Lexicon = Lexicon()) -> Column:
     """struct(pos, neg): positive and negative hit counts of a text."""
-    t = F.lower(clean_text(text))
+    return let(F.lower(clean_text(text)), lambda t: _hits(t, lex))
+
+
+def _hits(t: Column, lex: Lexicon) -> Column:
     always_negative = ([_phrase_count(t, p) for p in lex.negative_phrases]
                        + [_word_count(t, w) for w in lex.negative_words])
     positive = ([_phrase_count(t, p) for p in lex.positive_phrases]

@@ -16,6 +16,14 @@ def _any_of(words) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once per row and use it many times in `body`.
+
+    Inside conditionals a repeated expression is otherwise evaluated at each mention.
+    """
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def strip(c: Column, chars: str = r"\s") -> Column:
     """Trim the given character class from both ends."""
     return F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
@@ -94,16 +102,17 @@ def area_pattern(words) -> str:
 
 
 def therapeutic_area(indication: Column) -> Column:
-    t = F.lower(clean_text(indication))
-    rare = F.lit(False)
-    for m in fv.RARE_MARKERS:
-        rare = rare | t.contains(m)
-    for p in fv.RARE_PATTERNS:
-        rare = rare | t.rlike(p)
-    out = F.when(t == "", "other").when(rare, "rare")
-    for area, words in fv.TA_KEYWORDS:
-        out = out.when(t.rlike(area_pattern(words)), area)
-    return out.otherwise("other")
+    def area(t):
+        rare = F.lit(False)
+        for m in fv.RARE_MARKERS:
+            rare = rare | t.contains(m)
+        for p in fv.RARE_PATTERNS:
+            rare = rare | t.rlike(p)
+        out = F.when(t == "", "other").when(rare, "rare")
+        for name, words in fv.TA_KEYWORDS:
+            out = out.when(t.rlike(area_pattern(words)), name)
+        return out.otherwise("other")
+    return let(F.lower(clean_text(indication)), area)
 
 
 # --- headline relevance -----------------------------------------------------------------------
@@ -168,12 +177,13 @@ def tidy_indication(c: Column) -> Column:
     s = F.regexp_replace(s, "(?i)" + fv.INDICATION_TRAILING_COHORT, "")
     s = _edge(before(s, fv.INDICATION_CUT), fv.INDICATION_EDGE)
     words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
-    s = F.when(F.size(words) > fv.INDICATION_WORDS,
-               F.array_join(F.slice(words, 1, fv.INDICATION_WORDS), " ")).otherwise(s)
+    s = let(F.struct(s.alias("text"), words.alias("words")), lambda x: F.when(
+        F.size(x["words"]) > fv.INDICATION_WORDS,
+        F.array_join(F.slice(x["words"], 1, fv.INDICATION_WORDS), " ")).otherwise(x["text"]))
     s = _edge(F.regexp_replace(_edge(s, " ,;-"), "(?i)" + fv.INDICATION_DANGLING, ""), " ,;-")
-    usable = ((F.length(s) >= 4) & s.rlike("[A-Za-z]{4}")
-              & ~s.rlike("(?i)" + fv.INDICATION_REJECT))
-    return F.when(usable, s)
+    return let(s, lambda x: F.when(
+        (F.length(x) >= 4) & x.rlike("[A-Za-z]{4}")
+        & ~x.rlike("(?i)" + fv.INDICATION_REJECT), x))
 
 
 def _acceptable_drug(c: Column) -> Column:

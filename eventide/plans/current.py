@@ -17,6 +17,7 @@ from eventide.operators.insiders import current_insiders
 from eventide.operators.panel import price_statistics
 from eventide.plans.studies import with_market_cap
 from eventide.sources.readers import filing_hits
+from eventide.storage import spread
 
 
 def prices(bars: DataFrame, financials: DataFrame, splits: DataFrame | None, today) -> DataFrame:
@@ -54,7 +55,7 @@ def sentiment_scores(headlines: DataFrame, today, lex: Lexicon = Lexicon(),
 
     The most positive and negative headline are the first with the extreme net count.
     """
-    h = (headlines.select("ticker", "title", "published", "source", F.col("pos").alias("at"),
+    h = (spread(headlines).select("ticker", "title", "published", "source", F.col("pos").alias("at"),
                           lexicon_hits(F.col("title"), lex).alias("_h"))
          .select("ticker", "title", "published", "source", "at", "_h.pos", "_h.neg"))
     day = F.lit(today).cast("date")

@@ -32,3 +32,16 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores.
+
+    A scan is split by file and row group, so an input of a few row groups keeps most cores idle
+    while its texts are matched. Once the input has a split for every core it is returned as is,
+    and nothing is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if size < cores * (128 << 20) else df
