@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
-from eventide.storage import stash
+from eventide.storage import small_side, stash
 
 CELL = ["cut", "bucket", "horizon"]
 _MASK = 0xFFFFFFFF
@@ -83,7 +83,7 @@ def replicate_means(clusters: DataFrame, cells: DataFrame, n_boot: int, seed: in
                          F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c"))).alias("k"))
              .select(*CELL, "b", (_mix((F.col("h") + F.col("k") * _STRIDE).bitwiseAND(_MASK))
                                   % F.col("c")).alias("idx")))
-    return (draws.join(_numbered(clusters), [*CELL, "idx"])
+    return (draws.join(small_side(_numbered(clusters), clusters), [*CELL, "idx"])
             .groupBy(*CELL, "b")
             .agg((F.sum("total") / F.sum("n")).alias("m")))
 
