@@ -37,9 +37,10 @@ def check(name: str, final: str, *parts: str) -> None:
 
 
 def on_grid(sql: str) -> str:
-    """Replace round(x, n) by the floor form the queries use, the same in both engines."""
+    """Replace round(x, n) by the floor form the queries use, the same in both engines, and
+    round_even(x, n) by printing, which rounds the exact binary value."""
     out, at = "", 0
-    for m in re.finditer(r"(?<![\w])round\(", sql):
+    for m in re.finditer(r"(?<![\w])round(?:_even)?\(", sql):
         if m.start() < at:
             continue
         depth, i, comma = 1, m.end(), None
@@ -50,7 +51,9 @@ def on_grid(sql: str) -> str:
                 comma = i
             i += 1
         x, n = on_grid(sql[m.end():comma]), int(sql[comma + 1:i - 1])
-        out += sql[at:m.start()] + f"(floor(({x}) * 1e{n} + 0.5E0) / 1e{n})"
+        grid = f"(floor(({x}) * 1e{n} + 0.5E0) / 1e{n})"
+        exact = f"CAST(printf('%.{n}f', CAST({x} AS DOUBLE)) AS DOUBLE)"
+        out += sql[at:m.start()] + (exact if "even" in m.group() else grid)
         at = i
     return out + sql[at:]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
-from eventide.functions.text import clean_number, clean_text, therapeutic_area
+from eventide.functions.text import clean_number, clean_text, nearest, therapeutic_area
 
 
 def lookup(key: Column, table: dict, default) -> Column:
@@ -63,7 +63,7 @@ def design_multiplier(bucket: Column, enrollment: Column, stage: Column) -> Colu
     n = clean_number(enrollment)
     size = F.when(n < fv.SMALL_ENROLLMENT, 0.85).when(n >= 300, 1.05).otherwise(1.0)
     mult = lookup(bucket, fv.DESIGN_MULTIPLIER, 1.0) * size
-    return F.bround(_damp(mult, base_rate(stage)), 3)
+    return nearest(_damp(mult, base_rate(stage)), 3)
 
 
 def design_note(bucket: Column, enrollment: Column) -> Column:

@@ -5,14 +5,12 @@ Every function takes the needed columns from the feature frame by name.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
 from eventide.functions.priors import lookup
-from eventide.functions.text import clean_number, clean_text, flag
+from eventide.functions.text import clean_number, clean_text, flag, nearest
 
 c = F.col
 
@@ -29,21 +27,8 @@ def percent(x: Column) -> Column:
 
 
 def tenths(x: Column) -> Column:
-    """One decimal as text, rounded on the exact binary value.
-
-    x*10 is split into 8x + 2x, both exact, so the rounding error of their sum is known and
-    decides the cases that look like a tie.
-    """
-    a, b = x * 8, x * 2
-    s = a + b
-    shifted = s - a
-    err = (a - (s - shifted)) + (b - shifted)
-    low = F.floor(s)
-    frac = s - low
-    up = ((frac > 0.5) | ((frac == 0.5) & (err > 0))
-          | ((frac == 0.5) & (err == 0) & (low % 2 != 0)))
-    n = low + up.cast("int")
-    return (n.cast("decimal(18,0)") * F.lit(Decimal("0.1"))).cast("string")
+    """One decimal as text."""
+    return nearest(x, 1).cast("decimal(18,1)").cast("string")
 
 
 # --- crowding and dilution --------------------------------------------------------------------
@@ -276,9 +261,9 @@ def scored(features: DataFrame) -> DataFrame:
                 "evidence": lookup(c("setup"), fv.EVIDENCE, "untested"),
                 "evidence_note": lookup(c("setup"), fv.EVIDENCE_NOTE, ""),
                 "reason_list": reason_list(),
-                "runway_score": F.bround(c("runway_raw"), 2),
-                "runup_score": F.bround(c("runup_raw"), 2),
-                "loa_score": F.bround(c("loa_raw"), 2),
+                "runway_score": nearest(c("runway_raw"), 2),
+                "runup_score": nearest(c("runup_raw"), 2),
+                "loa_score": nearest(c("loa_raw"), 2),
             })
             .withColumn("reasons", F.when(F.size("reason_list") > 0,
                                           F.array_join("reason_list", " | "))

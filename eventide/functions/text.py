@@ -24,6 +24,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
+def nearest(x: Column, digits: int = 0) -> Column:
+    """Round to `digits` decimals, halves to even, judged on the exact binary value.
+
+    x * 10^digits is taken as product plus rounding error: with x split into two halves of 26
+    bits, both partial products are exact. The error decides what only looks like a tie.
+    """
+    scale = float(10 ** digits)
+
+    def rounded(v):
+        x, p, hi = v["x"], v["p"], v["hi"]
+        err = (hi * scale - p) + (x - hi) * scale
+        low = F.floor(p)
+        frac = p - low
+        up = ((frac > 0.5) | ((frac == 0.5) & (err > 0))
+              | ((frac == 0.5) & (err == 0) & (low % 2 != 0)))
+        return (low + up.cast("int")) / scale
+    parts = let(x, lambda v: F.struct(v.alias("x"), (v * scale).alias("p"), (
+        v * 134217729.0 - (v * 134217729.0 - v)).alias("hi")))
+    return let(parts, rounded)
+
+
 def strip(c: Column, chars: str = r"\s") -> Column:
     """Trim the given character class from both ends."""
     return F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventide import fixed_values as fv
 from eventide.functions.dates import day_key
 from eventide.functions.priors import lookup
+from eventide.functions.text import nearest
 
 KEYS = {"verdict_log": "drug_id", "sentiment": "ticker"}
 
@@ -19,7 +20,7 @@ def verdict_signature() -> Column:
 
 
 def sentiment_signature() -> Column:
-    return F.struct(F.bround("sentiment", 2).alias("score"), "scored_articles", "eightk_90d",
+    return F.struct(nearest(F.col("sentiment"), 2).alias("score"), "scored_articles", "eightk_90d",
                     F.col("thin").cast("boolean").alias("thin"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
+from eventide.functions.text import nearest
 from eventide.operators.asof import attach, in_order, timeline
 
 KINDS = {"cash": fv.CASH_TAGS, "investments": fv.INVESTMENT_TAGS, "burn": fv.BURN_TAGS,
@@ -108,7 +109,7 @@ def financials_asof(probes: DataFrame, facts: DataFrame, probe_day: str = "asof"
     state = stream.select(
         "ticker", "day", total.alias("cash_usd"), F.col("cash.end").alias("cash_period_end"),
         F.col("cash.filed").alias("cash_filed"), burn.alias("quarterly_burn_usd"),
-        F.when(burn > 0, F.bround(total / (burn / 3.0), 2)).alias("runway_months"),
+        F.when(burn > 0, nearest(total / (burn / 3.0), 2)).alias("runway_months"),
         shares.alias("shares_outstanding"))
     return attach(probes, state, "ticker", probe_day)
 
@@ -157,5 +158,5 @@ def current_financials(facts: DataFrame, kinds: dict = KINDS) -> DataFrame:
         F.col("cash.end_date").alias("cash_asof"),
         F.col("burn").alias("quarterly_burn_usd"),
         F.when((F.col("burn") > 0) & (total != 0),
-               F.bround(total / (F.col("burn") / 3.0), 1)).alias("runway_months"),
+               nearest(total / (F.col("burn") / 3.0), 1)).alias("runway_months"),
         F.when(F.col("shares.val") != 0, F.col("shares.val")).alias("shares_outstanding")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
 from eventide.functions.scoring import dilution_readiness
+from eventide.functions.text import nearest
 from eventide.operators.asof import attach, in_order, timeline, trailing
 
 
@@ -38,7 +39,7 @@ def cadence_asof(probes: DataFrame, filings: DataFrame, probe_day: str = "asof",
                      count(90).alias("eightk_90d"), count(365).alias("eightk_365d"),
                      F.datediff("day", last).alias("days_since_8k"))
              .where("kind = 1").drop("kind")
-             .withColumn("burst", F.when(rate >= 0.75, F.bround(F.col("eightk_90d") / rate, 3))))
+             .withColumn("burst", F.when(rate >= 0.75, nearest(F.col("eightk_90d") / rate, 3))))
     return attach(probes, state, "ticker", probe_day)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide.functions.scoring import whole
+from eventide.functions.text import nearest
 from eventide.operators.asof import attach, in_order, timeline, trailing
 
 WINDOW_DAYS = 90
@@ -129,9 +130,9 @@ def current_insiders(filings: DataFrame, tx: DataFrame, today, days: int = WINDO
     return (seen.join(agg, "ticker", "left").join(owners, "ticker", "left").fillna(zero)
             .select("ticker", F.lit(days).alias("window_days"), "form4_filings", "shares_bought",
                     "shares_sold", "buy_usd", "sell_usd", net.alias("net_usd"),
-                    F.when(gross != 0, F.bround(net / gross, 3)).otherwise(0.0)
+                    F.when(gross != 0, nearest(net / gross, 3)).otherwise(0.0)
                     .alias("insider_tilt"),
                     "senior_net_usd", "n_buyers", "n_sellers",
                     (F.col("n_buyers") >= 3).alias("cluster_buy"),
-                    F.bround("biggest.delta", 4).alias("biggest_delta_own"),
+                    nearest(F.col("biggest.delta"), 4).alias("biggest_delta_own"),
                     F.col("biggest.text").alias("biggest_move_desc")))

@@ -10,7 +10,7 @@ from eventide import fixed_values as fv
 from eventide.functions.dates import guided_period
 from eventide.functions.sentiment import Lexicon, lexicon_hits
 from eventide.functions.text import (company_tokens, first_match, headline_key, html_text,
-                                     names_company, squeeze)
+                                     names_company, nearest, squeeze)
 from eventide.operators.facts import KINDS, current_financials
 from eventide.operators.filings import cadence_asof, financing_asof, with_readiness
 from eventide.operators.insiders import current_insiders
@@ -69,7 +69,7 @@ def sentiment_scores(headlines: DataFrame, today, lex: Lexicon = Lexicon(),
     return h.groupBy("ticker").agg(
         F.count("*").cast("int").alias("articles"), total.cast("int").alias("scored_articles"),
         F.sum("pos").cast("int").alias("pos_hits"), F.sum("neg").cast("int").alias("neg_hits"),
-        F.when(den != 0, F.bround(num / den, 3)).otherwise(0.0).alias("sentiment"),
+        F.when(den != 0, nearest(num / den, 3)).otherwise(0.0).alias("sentiment"),
         (total < 4).alias("thin"),
         F.substring(F.max_by("title", F.when(net > 0, early)), 1, 220).alias("top_positive"),
         F.substring(F.min_by("title", F.when(net < 0, late)), 1, 220).alias("top_negative"))
