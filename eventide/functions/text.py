@@ -220,7 +220,7 @@ def drug_near(text: Column, anchor: Column) -> Column:
     window = F.substring(text, start + 1, anchor + fv.DRUG_AFTER - start)
     found = []
     for p in fv.DRUG_PATTERNS:
-        hits = F.transform(F.regexp_extract_all(window, F.lit(p), F.lit(1)), strip)
+        hits = F.transform(F.regexp_extract_all(window, F.lit(p), F.lit(1)), lambda h: strip(h))
         found.append(F.try_element_at(F.filter(hits, _acceptable_drug), F.lit(1)))
     return F.coalesce(*found)
 

@@ -11,6 +11,7 @@ from eventide.operators.tables import overwrite, reconcile, replace_slice, upser
 from eventide.plans import current, logs, outcomes
 from eventide.plans.board import Tables, board
 from eventide.schemas import KEYS, TABLES
+from eventide.storage import stash
 
 
 @dataclass
@@ -71,7 +72,8 @@ def refresh(store: Store, landed: Landed, today, horizon: int = 180, lookback: i
     """
     day = F.lit(today).cast("date")
     schema = TABLES["catalysts"]
-    fresh = reconcile(landed.calendar, schema).select(*schema.fieldNames())
+    # Read by six later steps, so the extraction behind it runs once.
+    fresh = stash(reconcile(landed.calendar, schema).select(*schema.fieldNames()))
     store.write("catalysts", replace_slice(store.read("catalysts"), fresh, today, lookback,
                                            KEYS["catalysts"]))
     wanted = fresh.where("ticker is not null").select("ticker").distinct()

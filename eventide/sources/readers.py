@@ -45,9 +45,10 @@ OWNERSHIP_XML = (
     f"nonDerivativeTransaction {TRANSACTION}, "
     f"nonDerivativeTable STRUCT<nonDerivativeTransaction: {TRANSACTION}>")
 RSS_XML = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, pubDate: STRING, link: STRING>>>"
-NEWS_ITEM = ("title STRING, pubDate STRING, providerPublishTime STRING, "
-             "canonicalUrl STRUCT<url: STRING>")
-NEWS_JSON = f"ticker STRING, content STRUCT<{NEWS_ITEM.replace(' S', ': S')}>, {NEWS_ITEM}"
+NEWS_JSON = (
+    "ticker STRING, content STRUCT<title: STRING, pubDate: STRING, providerPublishTime: STRING, "
+    "canonicalUrl: STRUCT<url: STRING>>, title STRING, pubDate STRING, "
+    "providerPublishTime STRING, canonicalUrl STRUCT<url: STRING>")
 CALENDAR_JSON = ", ".join(
     f"{n} " + {"statuses": "ARRAY<STRUCT<abbreviation: STRING>>"}.get(n, "STRING")
     for n in fv.CALENDAR_FREE_FIELDS)

@@ -10,7 +10,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     s = (SparkSession.builder.master("local[4]").appName("tests")
-         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2")
+         # Tiny inputs: compiling plans would take most of the time.
+         .config("spark.sql.codegen.wholeStage", "false")
+         .config("spark.sql.codegen.factoryMode", "NO_CODEGEN").config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
          .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
          .getOrCreate())
