@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import decontaminate, language_id, mixture, token_blocks
+from eventide.llm import decontaminate, jaccard_join, language_id, mixture, token_blocks
 from eventide.storage import shared_dir
 
 QUERIES: dict = {}
@@ -66,3 +66,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"),
                                 table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
