@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from eventide.storage import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
-GROUP_ROWS = 50_000
+GROUP_ROWS = 10_000
 _KEY_BITS = 60
 
 
