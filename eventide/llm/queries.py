@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import (chat_preferences, decontaminate, jaccard_join, language_id, mixture, quality,
-                          repeats, token_blocks)
+from eventide.llm import (chat_preferences, decontaminate, jaccard_join, language_id, license_scan,
+                          mixture, quality, repeats, search, token_blocks)
+from eventide.llm.oracle_sql import ORACLE
 from eventide.storage import shared_dir
 
 QUERIES: dict = {}
-ORACLE: dict = {}
 
 
 def query(fn):
@@ -98,32 +98,16 @@ def op8_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
                       ranges("rejected_loss").alias("rejected_loss"))
 
 
-ORACLE["op8_chat_preferences"] = """
-WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'),
-                          coalesce(text, '')) AS k FROM conversations),
-a AS (SELECT conv_id, k, text, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS back
-      FROM t WHERE role = 'assistant'),
-c AS (SELECT l.conv_id, l.k AS at, p.text AS older, l.text AS newest
-      FROM a l LEFT JOIN a p ON p.conv_id IS NOT DISTINCT FROM l.conv_id AND p.back = 2
-      WHERE l.back = 1),
--- Equal last replies are common too, and the turns after them when the older one ends there.
-n AS (SELECT c.*, CASE WHEN older = newest THEN at ELSE at - 1 END AS common FROM c),
-r AS (SELECT t.conv_id, t.k, t.role, '<|' || t.role || '|>' || chr(10) AS head, t.text,
-             '<|' || t.role || '|>' || chr(10) || t.text || chr(10) AS body, n.common, n.at, n.older
-      FROM t JOIN n ON n.conv_id IS NOT DISTINCT FROM t.conv_id),
-o AS (SELECT *, coalesce(sum(length(body)) FILTER (WHERE k > common) OVER (
-             PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-             AS before FROM r)
-SELECT conv_id, CAST(any_value(common) AS INTEGER) AS prompt_turns,
-       coalesce(string_agg(body, '' ORDER BY k) FILTER (WHERE k <= common), '') AS prompt,
-       coalesce(string_agg(body, '' ORDER BY k) FILTER (WHERE k > common), '') AS chosen_completion,
-       CASE WHEN any_value(older) IS NULL OR any_value(common) = any_value(at) THEN ''
-            ELSE '<|assistant|>' || chr(10) || any_value(older) || chr(10) END AS rejected_completion,
-       coalesce(string_agg(CAST(before + length(head) AS VARCHAR) || '-'
-                || CAST(before + length(body) - 1 AS VARCHAR), ',' ORDER BY k)
-                FILTER (WHERE k > common AND role = 'assistant'), '') AS chosen_loss,
-       CASE WHEN any_value(older) IS NULL OR any_value(common) = any_value(at) THEN ''
-            ELSE '14-' || CAST(14 + length(any_value(older)) AS VARCHAR) END AS rejected_loss
-FROM o GROUP BY conv_id
-"""
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.matches(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.try_element_at("found", F.lit(1))["license"].alias("license"),
+                        F.try_element_at("found", F.lit(1))["dice"].alias("dice"),
+                        F.size("found").cast("long").alias("n_licenses"),
+                        F.array_join(F.array_sort(F.transform("found", lambda x: x["license"])), ",")
+                        .alias("licenses"))
+
+
+@query
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top(table(spark, sf_dir, "documents"), F.pmod("doc_id", F.lit(20)) == 0)
