@@ -88,6 +88,12 @@ def changes(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def runs(a: np.ndarray) -> list[tuple[int, int]]:
+    """First and past-the-last position of each run of equal values."""
+    start = changes(a).tolist()
+    return list(zip(start, [*start[1:], len(a)], strict=True)) if start else []
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
@@ -109,9 +115,8 @@ def postings(docs: DataFrame, text_col: str, n: int, fragments: int) -> DataFram
             part = (((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             h, owner, size, part = h[order], owner[order], size[order], part[order]
-            edges = changes(part)
             out: list = [[], [], [], [], []]
-            for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
+            for a, z in runs(part):
                 own = owner[a:z]
                 start = changes(own)
                 for c, v in zip(out, (int(part[a]), _pack(own[start]),
@@ -162,9 +167,8 @@ def shared_hashes(parts: DataFrame, buckets: int) -> DataFrame:
             to = (own.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             own, size, h, freq, to = own[order], size[order], h[order], freq[order], to[order]
-            edges = changes(to).tolist()
             cols: list = [[], [], [], [], []]
-            for a, z in zip(edges, [*edges[1:], len(to)], strict=True):
+            for a, z in runs(to):
                 for c, v in zip(cols, (int(to[a]), _pack(own[a:z]), _pack(size[a:z]), _pack(h[a:z]),
                                        _pack(freq[a:z].astype(np.int32))), strict=True):
                     c.append(v)
@@ -196,9 +200,8 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
             own, size, h, freq = (np.concatenate(x) for x in zip(*rows, strict=True))
             order = np.lexsort((h, freq, own))
             own, size, h = own[order], size[order], h[order]
-            start = changes(own)
             out: list = [[], [], [], []]
-            for a, z in zip(start.tolist(), [*start[1:].tolist(), len(own)], strict=True):
+            for a, z in runs(own):
                 needed = -(-percent * int(size[a]) // 100)
                 if z - a >= needed:
                     for c, v in zip(out, (int(own[a]), int(size[a]), np.sort(h[a:z]).tobytes(),

@@ -121,18 +121,18 @@ class Automata:
         tables, self.roots, base = [], [], 0
         for v in parsed.values():
             step = suffix_automaton(self.column[v].tolist())
-            table = np.full((len(step), self.width), -1, np.int64)
+            # The state past the last follows a character that no match can start with.
+            table = np.full((len(step) + 1, self.width), -1, np.int64)
             for state, out in enumerate(step):
                 if out:
                     table[state, list(out)] = list(out.values())
-            table[0, table[0] < 0] = 0
-            table = np.where(table < 0, table[0] * 2 + 1, table * 2) + 2 * base
-            # A phrase that cannot start at all is a phrase of one character.
-            table[0, 1] = 2 * base + 1
-            table[:, 2] = 2 * (base + np.arange(len(step)))
+            start = np.where(table[0] < 0, len(step), table[0])
+            table = np.where(table < 0, start * 2 + 1, table * 2) + 2 * base
+            table[0] = 2 * (start + base)
+            table[:, 2] = 2 * (base + np.arange(len(table)))
             tables.append(table.astype(np.int32))
             self.roots.append(base)
-            base += len(step)
+            base += len(table)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.bits = np.log2([max(2, len(v)) for v in parsed.values()])
 

@@ -161,18 +161,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     the copy at which its source reaches the target holds only the words taken. With several rows
     for an id, all of them come in every whole copy and none in the part copy."""
     plan = (schedule(docs, id_col, source_col, text_col, **options).where("taken > 0")
-            .select("__id", F.col("__size").alias("__words"), "taken"))
+            .select("__id", F.col("__size").alias("__words"), F.col("taken").alias("__taken")))
     names = docs.columns
     cut = F.udf(words_up_to, T.StringType(), useArrow=True)
-    own = word_count(F.col(text_col))
-    out = (docs.withColumn("__id", F.col(id_col)).alias("d")
-           .join(plan.alias("p"), F.expr("d.__id <=> p.__id"))
-           .withColumn("__whole", F.col("taken") == F.col("__words")))
-    out = out.where(F.col("__whole") | (own == F.col("__words")))
+    out = (docs.withColumn("__own", F.col(id_col)).join(plan, F.expr("__own <=> __id"))
+           .withColumn("__whole", F.col("__taken") == F.col("__words")))
+    out = out.where(F.col("__whole") | (word_count(F.col(text_col)) == F.col("__words")))
     return out.select(*[
-        F.when(F.col("__whole"), F.col(f"d.`{c}`"))
-        .otherwise(cut(F.col(f"d.`{c}`"), F.col("taken"))).alias(c) if c == text_col
-        else F.col(f"d.`{c}`") for c in names])
+        F.when(F.col("__whole"), F.col(c)).otherwise(cut(F.col(c), F.col("__taken"))).alias(c)
+        if c == text_col else F.col(f"`{c}`") for c in names])
 
 
 def words_up_to(text, n):

@@ -37,6 +37,7 @@ SHARD_TERMS = 8_000_000
 BLOCK = 64
 QUERY_BLOCK = 256
 FRAGMENT = 2_000_000
+NO_ID = -(1 << 63)  # stands for a null id inside a shard
 
 
 def term_sets(s: Spans):
@@ -194,7 +195,7 @@ class Shard:
         for r, t in enumerate(common.tolist()):
             a, z = start[t], start[t] + self.size[t]
             self.rows[r, self.docs[a:z]] = self.impact[a:z]
-        self.block_max = self.rows.reshape(len(common), -1, BLOCK).max(axis=2)
+        self.block_max = self.rows.reshape(len(common), wide // BLOCK, BLOCK).max(axis=2)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
         at = np.searchsorted(self.terms, terms)
@@ -281,7 +282,7 @@ def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
             c += [np.frombuffer(x, np.int32) for x in b.column("counts").to_pylist()]
         if not ids:
             return
-        place = Shard(np.array([-1 if i is None else i for i in ids]), np.array(n), t, c, mean)
+        place = Shard(np.array([NO_ID if i is None else i for i in ids]), np.array(n), t, c, mean)
         del t, c
         for b in right:
             for parts in b.column("parts").to_pylist():
@@ -296,7 +297,7 @@ def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
                 out: list = [[], [], []]
                 for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(owner)], strict=True):
                     for d, s in place.search(terms_[a:z], weight[a:z], k):
-                        for col, v in zip(out, (int(owner[a]), d, s), strict=True):
+                        for col, v in zip(out, (int(owner[a]), None if d == NO_ID else d, s), strict=True):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
