@@ -29,7 +29,7 @@ def pick(expr: str, table: dict, default: str = "NULL", number: bool = False) ->
 
 def check(name: str, final: str, *parts: str) -> None:
     """Compose views and fragments (by name, in order) in front of the final select."""
-    text = "\n".join(FRAGMENTS[p] for p in parts if p in FRAGMENTS) + final
+    text = "\n".join([*(FRAGMENTS[p] for p in parts if p in FRAGMENTS), final])
     views = [v for v in px.VIEWS if re.search(rf"\b{v}\b", text)]
     ctes = [f"{v} AS ({px.VIEWS[v]})" for v in views if v not in parts]
     ctes += [f"{p} AS ({FRAGMENTS[p]})" for p in parts]
@@ -132,8 +132,11 @@ def squeeze(short, cover, out, prior_):
     return pct, build, risk, label
 
 
+SI_PUB = """
+        SELECT *, settlement_date + CASE isodow(settlement_date) WHEN 6 THEN 13 WHEN 7 THEN 12
+               ELSE 14 END AS published_date FROM short_interest"""
 FRAGMENTS = {
-    "joined_rows": """
+    "joined_rows": f"""
         SELECT c.drug_id, c.ticker, c.company_name, c.drug_name, c.nct_id, c.indication, c.stage,
                c.simplified_stage, c.catalyst_date_raw, c.catalyst_date_lo AS lo0,
                c.catalyst_date_hi AS hi0, c.date_precision AS prec0, c.designations,
@@ -150,13 +153,14 @@ FRAGMENTS = {
         FROM catalysts c LEFT JOIN trials t USING (nct_id)
         LEFT JOIN financials f ON c.ticker = f.ticker LEFT JOIN prices p ON c.ticker = p.ticker
         LEFT JOIN implied i ON c.ticker = i.ticker AND c.catalyst_date_lo = i.catalyst_date
-        LEFT JOIN (SELECT * FROM sentiment QUALIFY row_number() OVER
+        LEFT JOIN (SELECT * FROM sentiment WHERE snapshot_date <= {DAY} QUALIFY row_number() OVER
              (PARTITION BY ticker ORDER BY snapshot_date DESC) = 1) s ON c.ticker = s.ticker
-        LEFT JOIN (SELECT * FROM short_interest QUALIFY row_number() OVER
+        LEFT JOIN (SELECT * FROM ({SI_PUB}) WHERE published_date <= {DAY} QUALIFY row_number() OVER
              (PARTITION BY ticker ORDER BY settlement_date DESC) = 1) si ON c.ticker = si.ticker
         LEFT JOIN financing fz ON c.ticker = fz.ticker
         LEFT JOIN guidance g ON c.ticker = g.ticker
-        LEFT JOIN insider ins ON c.ticker = ins.ticker""",
+        LEFT JOIN insider ins ON c.ticker = ins.ticker AND ins.snapshot_date <= {DAY}
+        WHERE c.catalyst_date_hi >= {DAY}""",
     "windowed": f"""
         SELECT * FROM (SELECT *,
           CASE WHEN narrowed THEN glo ELSE lo0 END AS catalyst_date_lo,
@@ -304,9 +308,7 @@ FRAGMENTS = {
         SELECT day, CAST(row_number() OVER (ORDER BY day) - 1 AS INT) AS pos
         FROM (SELECT DISTINCT day FROM usable)""",
     "panel": "SELECT u.ticker, u.day, c.pos, u.close FROM usable u JOIN cal c USING (day)",
-    "si_pub": """
-        SELECT *, settlement_date + CASE isodow(settlement_date) WHEN 6 THEN 13 WHEN 7 THEN 12
-               ELSE 14 END AS published_date FROM short_interest""",
+    "si_pub": SI_PUB,
     "ret": """
         SELECT e.ticker, e.event_date, p.day AS entry_date, p.close AS entry_price,
           CASE WHEN b1.close > 0 THEN (p1.close / p.close - 1) - (b1.close / b.close - 1) END AS abn_21d,
@@ -331,19 +333,21 @@ def _pit(ask: str) -> dict:
     """Point-in-time financials by inequality join, for a probe fragment."""
     return {
         f"vis_{ask}": f"""
-            SELECT a.asof, f.* FROM {ask} a JOIN xbrl_fact f
-            ON f.ticker = a.ticker AND f.filed <= a.asof""",
+            SELECT a.asof, f.*, string_split(tag, '_')[1] AS kind, contains(tag, '_') AS tagno
+            FROM {ask} a JOIN xbrl_fact f ON f.ticker = a.ticker AND f.filed <= a.asof
+            WHERE unit = CASE WHEN starts_with(tag, 'shares') THEN 'shares' ELSE 'USD' END""",
         f"lat_{ask}": f"""
-            SELECT * FROM vis_{ask} WHERE tag <> 'burn' QUALIFY row_number() OVER (
-              PARTITION BY ticker, asof, tag ORDER BY end_date DESC, filed DESC, pos, val DESC) = 1""",
+            SELECT * FROM vis_{ask} WHERE kind <> 'burn' QUALIFY row_number() OVER (
+              PARTITION BY ticker, asof, kind
+              ORDER BY end_date DESC, filed DESC, tagno, pos, val DESC) = 1""",
         f"brn_{ask}": f"""
             SELECT ticker, asof, count(*) AS k4, coalesce(max(CASE WHEN k = 1 THEN val END), 0)
               + coalesce(max(CASE WHEN k = 2 THEN val END), 0)
               + coalesce(max(CASE WHEN k = 3 THEN val END), 0)
               + coalesce(max(CASE WHEN k = 4 THEN val END), 0) AS total
             FROM (SELECT *, row_number() OVER (PARTITION BY ticker, asof
-                    ORDER BY end_date DESC, pos, val DESC) AS k
-                  FROM vis_{ask} WHERE tag = 'burn' AND end_date - start_date BETWEEN 60 AND 100)
+                    ORDER BY end_date DESC, tagno, pos, val DESC) AS k
+                  FROM vis_{ask} WHERE kind = 'burn' AND end_date - start_date BETWEEN 60 AND 100)
             WHERE k <= 4 GROUP BY ALL""",
         f"fin_{ask}": f"""
             SELECT c.ticker, c.asof, c.val + coalesce(i.val, 0) AS cash_usd,
@@ -353,9 +357,9 @@ def _pit(ask: str) -> dict:
               CASE WHEN b.total / k4 < 0 THEN round_even((c.val + coalesce(i.val, 0))
                 / (-(b.total / k4) / 3.0E0), 2) END AS runway_months,
               nullif(s.val, 0) AS shares_outstanding
-            FROM (SELECT * FROM lat_{ask} WHERE tag = 'cash') c
-            LEFT JOIN (SELECT * FROM lat_{ask} WHERE tag = 'investments') i USING (ticker, asof)
-            LEFT JOIN (SELECT * FROM lat_{ask} WHERE tag = 'shares') s USING (ticker, asof)
+            FROM (SELECT * FROM lat_{ask} WHERE kind = 'cash') c
+            LEFT JOIN (SELECT * FROM lat_{ask} WHERE kind = 'investments') i USING (ticker, asof)
+            LEFT JOIN (SELECT * FROM lat_{ask} WHERE kind = 'shares') s USING (ticker, asof)
             LEFT JOIN brn_{ask} b USING (ticker, asof)""",
     }
 

@@ -332,11 +332,12 @@ PAIRS = f"""(SELECT DISTINCT c.ticker, catalyst_date_lo AS catalyst_date FROM ca
     WHERE catalyst_date_lo - {DAY} BETWEEN 0 AND 45)"""
 check("implied_candidates", f"SELECT ticker, catalyst_date FROM {PAIRS}")
 check("implied_moves", f""", m AS (SELECT *, CASE WHEN bid <> 0 AND ask <> 0 THEN (bid + ask) / 2
-      ELSE coalesce(last, 0) END AS mid FROM option_quote),
-    near AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY ticker, expiry, side
-      ORDER BY abs(strike - spot), pos) = 1),
+      ELSE coalesce(last, 0) END AS mid FROM option_quote WHERE asof <= {DAY}),
+    newest AS (SELECT ticker, expiry, max(asof) AS asof FROM m GROUP BY ALL),
+    near AS (SELECT m.* FROM m JOIN newest USING (ticker, expiry, asof) QUALIFY row_number() OVER (
+      PARTITION BY ticker, expiry, side ORDER BY abs(strike - spot), pos) = 1),
     first AS (SELECT p.ticker, p.catalyst_date, min(expiry) AS expiry FROM {PAIRS} p
-      JOIN option_quote o ON o.ticker = p.ticker AND o.expiry >= p.catalyst_date GROUP BY ALL)
+      JOIN m o ON o.ticker = p.ticker AND o.expiry >= p.catalyst_date GROUP BY ALL)
     SELECT f.ticker, f.catalyst_date, f.expiry,
       round(coalesce((c.iv + p.iv) / 2, c.iv, p.iv), 8) AS atm_iv,
       round((c.mid + p.mid) / c.spot, 8) AS implied_move,
@@ -410,18 +411,25 @@ check("price_statistics", f"""
       round(avg(usd) FILTER (k <= 20), 6) AS adv_usd,
       round(max(close) FILTER (k = 1) / max(close) FILTER (k <= 252), 6) AS pct_of_52w_high
     FROM {STATS} GROUP BY ticker HAVING count(*) >= 25""")
-FRESH = """(SELECT * FROM xbrl_fact QUALIFY row_number() OVER (PARTITION BY ticker, tag
+USED = """(SELECT *, string_split(tag, '_')[1] AS kind FROM xbrl_fact
+    WHERE unit = CASE WHEN starts_with(tag, 'shares') THEN 'shares' ELSE 'USD' END)"""
+OF_TAG = f"""(SELECT u.* FROM {USED} u JOIN (SELECT ticker, kind, tag FROM {USED} GROUP BY ticker, kind, tag
+      QUALIFY row_number() OVER (PARTITION BY ticker, kind ORDER BY max(end_date) DESC, tag) = 1)
+    USING (ticker, kind, tag))"""
+FRESH = f"""(SELECT * FROM {OF_TAG} QUALIFY row_number() OVER (PARTITION BY ticker, kind
     ORDER BY end_date DESC, pos, val DESC) = 1)"""
+YEAR = STATS.replace("FROM price_bar", f"FROM (SELECT * FROM price_bar WHERE day <= {DAY} "
+                     f"AND day > {DAY} - INTERVAL 12 MONTH)")
 check("price_table", f"""
     SELECT p.ticker, round(p.last, 3) AS last, round(nullif(f.val, 0) * coalesce((SELECT product(ratio)
       FROM split_event e WHERE e.ticker = p.ticker AND e.day > {DAY}), 1) * p.last, 3) AS market_cap
-    FROM (SELECT ticker, max(close) FILTER (k = 1) AS last FROM {STATS} GROUP BY ticker
+    FROM (SELECT ticker, max(close) FILTER (k = 1) AS last FROM {YEAR} GROUP BY ticker
           HAVING count(*) >= 25) p
-    LEFT JOIN {FRESH} f ON f.ticker = p.ticker AND f.tag = 'shares'""")
+    LEFT JOIN {FRESH} f ON f.ticker = p.ticker AND f.kind = 'shares'""")
 check("realised_outcomes", f""", past AS (SELECT drug_id, ticker, catalyst_date_lo AS catalyst_date
       FROM catalysts WHERE catalyst_date_hi < {DAY} AND catalyst_date_lo >= {DAY} - 400
       AND date_precision IN ('day', 'month_part')),
-    u AS (SELECT * FROM price_bar WHERE day >= {DAY} - 440 AND day < {DAY} + 120
+    u AS (SELECT * FROM price_bar WHERE day >= {DAY} - 440 AND day <= {DAY}
       AND (ticker = 'BENCH' OR ticker IN (SELECT ticker FROM past))
       QUALIFY count(*) OVER (PARTITION BY ticker) >= 30),
     c AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos FROM (SELECT DISTINCT day FROM u)),
@@ -493,28 +501,24 @@ check("log_evidence_repaired", """
 
 # --- current tables -----------------------------------------------------------------------------------
 
-check("freshest_tags", """, f AS (SELECT *, tag AS kind, concat(tag, pos % 2) AS tag2 FROM xbrl_fact),
-    best AS (SELECT ticker, kind, tag2, max(end_date) AS newest, count(*) AS n FROM f
-      GROUP BY ticker, kind, tag2
-      QUALIFY row_number() OVER (PARTITION BY ticker, kind ORDER BY max(end_date) DESC, tag2) = 1)
-    SELECT ticker, kind, tag2 AS tag, n, newest FROM best""")
+check("freshest_tags", f"""SELECT ticker, kind, tag, count(*) AS n, max(end_date) AS newest FROM {OF_TAG}
+    GROUP BY ALL""")
 check("current_financials", f""", f AS {FRESH}, b AS (SELECT ticker, sum(val) / count(*) AS v FROM (
       SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY end_date DESC, pos, val DESC) AS k
-      FROM xbrl_fact WHERE tag = 'burn' AND end_date - start_date BETWEEN 60 AND 100)
+      FROM {OF_TAG} WHERE kind = 'burn' AND end_date - start_date BETWEEN 60 AND 100)
       WHERE k <= 4 GROUP BY ticker),
     w AS (SELECT t.ticker, coalesce(c.val, 0) + coalesce(i.val, 0) AS total, c.end_date AS cash_asof,
       CASE WHEN b.v < 0 THEN -b.v WHEN b.v IS NOT NULL THEN 0.0E0 END AS burn, s.val AS shares
-      FROM (SELECT DISTINCT ticker FROM xbrl_fact) t
-      LEFT JOIN f c ON c.ticker = t.ticker AND c.tag = 'cash'
-      LEFT JOIN f i ON i.ticker = t.ticker AND i.tag = 'investments'
-      LEFT JOIN f s ON s.ticker = t.ticker AND s.tag = 'shares' LEFT JOIN b ON b.ticker = t.ticker)
+      FROM (SELECT DISTINCT ticker FROM f) t
+      LEFT JOIN f c ON c.ticker = t.ticker AND c.kind = 'cash'
+      LEFT JOIN f i ON i.ticker = t.ticker AND i.kind = 'investments'
+      LEFT JOIN f s ON s.ticker = t.ticker AND s.kind = 'shares' LEFT JOIN b ON b.ticker = t.ticker)
     SELECT ticker, round(nullif(total, 0), 8) AS cash_usd, cash_asof,
       round(burn, 8) AS quarterly_burn_usd,
       CASE WHEN burn > 0 AND total <> 0 THEN round_even(total / (burn / 3.0E0), 1) END AS runway_months,
       nullif(shares, 0) AS shares_outstanding FROM w""")
-FORM4 = f"""filed AS (SELECT concat('T', o_custkey % 10) AS ticker, CAST(o_orderdate AS DATE) AS filed,
-      o_orderkey AS accession FROM orders WHERE CAST(o_orderdate AS DATE) >= {DAY} - 90
-      QUALIFY row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderdate DESC, o_orderkey) <= 60),
+FORM4 = f"""filed AS (SELECT ticker, filed, accession FROM filing_index
+      WHERE filed BETWEEN {DAY} - 90 AND {DAY}),
     tx AS (SELECT l_orderkey AS accession, CASE l_returnflag WHEN 'R' THEN 'P' ELSE 'S' END AS code,
       l_quantity AS shares, CASE WHEN l_linenumber <> 5 THEN l_tax + 1.0E0 END AS price,
       CASE WHEN l_linenumber <> 6 THEN concat('Owner ', l_partkey % 5) ELSE '' END AS owner,
@@ -523,7 +527,8 @@ FORM4 = f"""filed AS (SELECT concat('T', o_custkey % 10) AS ticker, CAST(o_order
     t AS (SELECT *, CASE code WHEN 'P' THEN held - shares ELSE held + shares END AS before FROM tx),
     tt AS (SELECT *, CASE WHEN shares <> 0 AND before > 0 THEN CASE code WHEN 'P' THEN shares / before
       ELSE -(shares / before) END END AS delta FROM t)"""
-check("newest_ownership_filings", f", {FORM4} SELECT ticker, accession FROM filed")
+check("newest_ownership_filings", f""", {FORM4} SELECT ticker, accession FROM filed
+    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filed DESC, accession) <= 3""")
 check("ownership_changes", f", {FORM4} SELECT accession, tx_pos, code, round(delta, 8) AS delta_own FROM tt")
 check("insider_table", f""", {FORM4}, j AS (SELECT f.ticker, f.filed, tt.*, coalesce(shares * price, 0) AS usd,
       coalesce(nullif(owner, ''), CAST(f.accession AS VARCHAR)) AS who FROM filed f JOIN tt USING (accession)),
@@ -534,21 +539,22 @@ check("insider_table", f""", {FORM4}, j AS (SELECT f.ticker, f.filed, tt.*, coal
       coalesce(sum(usd) FILTER (code = 'P' AND senior), 0) - coalesce(sum(usd) FILTER (code = 'S' AND senior), 0) AS sen,
       CAST(count(DISTINCT who) FILTER (code = 'P') AS INT) AS nb,
       CAST(count(DISTINCT who) FILTER (code = 'S') AS INT) AS ns FROM j GROUP BY ticker)
-    SELECT n.ticker, 90 AS window_days, n.n AS form4_filings, coalesce(pb, 0) AS shares_bought,
+    SELECT a.ticker, 90 AS window_days, coalesce(n.n, 0) AS form4_filings, coalesce(pb, 0) AS shares_bought,
       coalesce(sb, 0) AS shares_sold, round(coalesce(b, 0), 4) AS buy_usd,
       round(coalesce(s, 0), 4) AS sell_usd, round(coalesce(b - s, 0), 4) AS net_usd,
       CASE WHEN b + s <> 0 THEN round_even((b - s) / (b + s), 3) ELSE 0 END AS insider_tilt,
       round(coalesce(sen, 0), 4) AS senior_net_usd, coalesce(nb, 0) AS n_buyers,
       coalesce(ns, 0) AS n_sellers, coalesce(nb, 0) >= 3 AS cluster_buy,
       round_even(big.delta, 4) AS biggest_delta_own,
-      concat(CASE WHEN big.owner = '' THEN 'insider' ELSE big.owner END, ' (',
+      CASE WHEN big.ticker IS NOT NULL THEN concat(CASE WHEN big.owner = '' THEN 'insider' ELSE big.owner END, ' (',
         CASE WHEN big.senior THEN 'CEO' ELSE 'director' END, ') ',
-        CASE WHEN big.delta > 0 THEN '+' ELSE '' END, printf('%.0f%% of holding', big.delta * 100))
+        CASE WHEN big.delta > 0 THEN '+' ELSE '' END, printf('%.0f%% of holding', big.delta * 100)) END
         AS biggest_move_desc
-    FROM (SELECT ticker, CAST(count(*) AS INT) AS n FROM filed GROUP BY ticker) n
+    FROM (SELECT concat(unnest(['T', 'Q']), s_suppkey) AS ticker FROM supplier) a
+    LEFT JOIN (SELECT ticker, CAST(count(*) AS INT) AS n FROM filed GROUP BY ticker) n USING (ticker)
     LEFT JOIN g USING (ticker) LEFT JOIN big USING (ticker)""")
-check("latest_short_interest", """SELECT * FROM short_interest
-    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY settlement_date DESC) = 1""")
+check("latest_short_interest", f"""SELECT * FROM si_pub WHERE published_date <= {DAY}
+    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY settlement_date DESC) = 1""", "si_pub")
 check("financing_table", f""", ask_now AS (SELECT DISTINCT ticker, {DAY} AS asof FROM filing_index),
     post AS (SELECT a.ticker, a.asof, max(filed) FILTER (form = 'S-3') AS last_shelf_date,
       CAST(count(*) FILTER (form = 'S-3') AS INT) AS shelf_count,

@@ -20,7 +20,8 @@ from eventide.sources import readers as rd
 from eventide.storage import spread
 
 QUERIES: dict = {}
-KINDS = {k: (k,) for k in ("cash", "investments", "burn", "shares")}
+KINDS = {k: ((k, f"{k}_b"), "shares" if k == "shares" else "USD")
+         for k in ("cash", "investments", "burn", "shares")}
 # Frequent words of the driver documents stand in for the default lexicon, which no driver
 # document contains.
 CORPUS_LEXICON = sentiment.Lexicon(
@@ -63,7 +64,8 @@ def published(si: DataFrame) -> DataFrame:
 
 
 def board_tables(s, d) -> bd.Tables:
-    return bd.Tables(**{n: V(s, d, n) for n in bd.Tables.__dataclass_fields__})
+    t = {n: V(s, d, n) for n in bd.Tables.__dataclass_fields__}
+    return bd.Tables(**t | {"short_interest": published(t["short_interest"])})
 
 
 # --- sources ------------------------------------------------------------------------------------
@@ -435,7 +437,7 @@ def study_buckets(s, d):
 
 @query
 def feature_join(s, d):
-    return rounded(bd.joined(board_tables(s, d)).select(
+    return rounded(bd.joined(board_tables(s, d), today=px.RUN_DATE).select(
         "drug_id", "enrollment", "allocation", "cash_usd", "runway_months", "cash_asof", "last",
         "market_cap", "implied_move", "implied_expiry", "sentiment", "sentiment_thin",
         "news_articles", "eightk_90d", "shares_short", "days_to_cover", "short_asof",
@@ -516,7 +518,7 @@ def implied_candidates(s, d):
 @query
 def implied_moves(s, d):
     pairs = current.implied_pairs(V(s, d, "catalysts"), V(s, d, "prices"), px.RUN_DATE)
-    return rounded(current.implied_moves(pairs, V(s, d, "option_quote")))
+    return rounded(current.implied_moves(pairs, V(s, d, "option_quote"), px.RUN_DATE))
 
 
 # --- as-of joins --------------------------------------------------------------------------------
@@ -714,9 +716,7 @@ def log_evidence_repaired(s, d):
 @query
 def freshest_tags(s, d):
     """Rows of the freshest of several competing tags per ticker."""
-    f = V(s, d, "xbrl_fact").withColumn("tag", F.concat("tag", (F.col("pos") % 2).cast("string")))
-    kinds = {k: (f"{k}0", f"{k}1") for k in KINDS}
-    return facts.freshest_tag(f, kinds).groupBy("ticker", "kind", "tag").agg(
+    return facts.freshest_tag(V(s, d, "xbrl_fact"), KINDS).groupBy("ticker", "kind", "tag").agg(
         F.count("*").alias("n"), F.max("end_date").alias("newest"))
 
 
@@ -739,23 +739,23 @@ def _form4(s, d):
         F.when(F.col("l_linenumber") <= 2, "CEO").otherwise("").alias("title"),
         (F.col("l_quantity") * F.col("l_linenumber") * 0.75).alias("held_after"),
         (F.col("l_partkey") * 100 + F.col("l_quantity")).cast("bigint").alias("tx_pos"))
-    filed = B(s, d, "orders").select(
-        F.concat(F.lit("T"), (F.col("o_custkey") % 10).cast("string")).alias("ticker"),
-        F.lit("4").alias("form"), F.to_date("o_orderdate").alias("filed"),
-        F.col("o_orderkey").alias("accession"), F.col("o_orderkey").alias("pos"))
+    filed = V(s, d, "filing_index").select("ticker", F.lit("4").alias("form"), "filed", "accession",
+                                           F.col("accession").alias("pos"))
     return filed, tx
 
 
 @query
 def newest_ownership_filings(s, d):
     filed, _ = _form4(s, d)
-    return insiders.newest_filings(filed, px.RUN_DATE).select("ticker", "accession")
+    return insiders.newest_filings(filed, px.RUN_DATE, max_filings=3).select("ticker", "accession")
 
 
 @query
 def insider_table(s, d):
     filed, tx = _form4(s, d)
-    return rounded(insiders.current_insiders(filed, tx, px.RUN_DATE), 4)
+    asked = B(s, d, "supplier").select(F.explode(F.array(
+        *[F.concat(F.lit(c), F.col("s_suppkey").cast("string")) for c in "TQ"])).alias("ticker"))
+    return rounded(insiders.current_insiders(asked, filed, tx, px.RUN_DATE), 4)
 
 
 @query
@@ -767,7 +767,7 @@ def ownership_changes(s, d):
 
 @query
 def latest_short_interest(s, d):
-    return current.latest_short_interest(V(s, d, "short_interest"))
+    return current.latest_short_interest(published(V(s, d, "short_interest")), today=px.RUN_DATE)
 
 
 @query

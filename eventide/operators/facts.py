@@ -5,6 +5,9 @@ A fact row is (ticker, tag, unit, start_date, end_date, filed, val, form, pos).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +16,9 @@ from eventide import fixed_values as fv
 from eventide.functions.text import nearest
 from eventide.operators.asof import attach, in_order, timeline
 
-KINDS = {"cash": fv.CASH_TAGS, "investments": fv.INVESTMENT_TAGS, "burn": fv.BURN_TAGS,
-         "shares": fv.SHARE_TAGS}
+# A kind is (tags in order of preference, unit).
+KINDS = {"cash": (fv.CASH_TAGS, "USD"), "investments": (fv.INVESTMENT_TAGS, "USD"),
+         "burn": (fv.BURN_TAGS, "USD"), "shares": (fv.SHARE_TAGS, "shares")}
 
 
 def periodic_filing_dates(filings: DataFrame, start=None, end=None) -> DataFrame:
@@ -33,7 +37,15 @@ def is_quarter_span() -> Column:
 
 
 def _is(kind: str, kinds: dict) -> Column:
-    return F.col("tag").isin(*kinds[kind])
+    tags, unit = kinds[kind]
+    return F.col("tag").isin(*tags) & (F.col("unit") == unit)
+
+
+def _tag_order(kinds: dict) -> Column:
+    """Place of the fact's tag in its kind; of two facts alike else, the earlier tag wins."""
+    order = [x for tags, _ in kinds.values() for i, t in enumerate(tags)
+             for x in (F.lit(t), F.lit(i))]
+    return F.element_at(F.create_map(*order), F.col("tag"))
 
 
 def _daily_facts(facts: DataFrame, kinds: dict) -> DataFrame:
@@ -42,23 +54,23 @@ def _daily_facts(facts: DataFrame, kinds: dict) -> DataFrame:
     Both reductions combine before the shuffle (aggregation and window group limit), so a
     ticker-day with very many facts stays small.
     """
-    known = facts.where(F.col("filed").isNotNull() & F.col("val").isNotNull())
+    known = facts.where(F.col("filed").isNotNull() & F.col("val").isNotNull() & reduce(
+        or_, (_is(k, kinds) for k in kinds)))
+    rank = F.struct(-_tag_order(kinds), -F.col("pos"))
 
     def latest(kind):
         return F.max_by(
             F.struct(F.col("end_date").alias("end"), F.col("filed"),
-                     (-F.col("pos")).alias("rank"), F.col("val")),
-            F.when(_is(kind, kinds), F.struct("end_date", -F.col("pos"), "val"))).alias(kind)
-    balances = (known.where(F.col("tag").isin(*[t for k in ("cash", "investments", "shares")
-                                                for t in kinds[k]]))
-                .groupBy("ticker", "filed")
+                     rank.alias("rank"), F.col("val")),
+            F.when(_is(kind, kinds), F.struct("end_date", rank, "val"))).alias(kind)
+    balances = (known.where(~_is("burn", kinds)).groupBy("ticker", "filed")
                 .agg(latest("cash"), latest("investments"), latest("shares")))
     order = (W.partitionBy("ticker", "filed")
-             .orderBy(F.col("end_date").desc(), F.col("pos"), F.col("val").desc()))
+             .orderBy(F.col("end_date").desc(), rank.desc(), F.col("val").desc()))
     burns = (known.where(_is("burn", kinds) & is_quarter_span())
              .withColumn("k", F.row_number().over(order)).where("k <= 4")
              .select("ticker", "filed", F.struct(
-                 F.col("end_date").alias("end"), (-F.col("pos")).alias("rank"),
+                 F.col("end_date").alias("end"), rank.alias("rank"),
                  F.col("val")).alias("burn")))
     return balances.unionByName(burns, allowMissingColumns=True)
 
@@ -115,20 +127,17 @@ def financials_asof(probes: DataFrame, facts: DataFrame, probe_day: str = "asof"
 
 
 def freshest_tag(facts: DataFrame, kinds: dict = KINDS) -> DataFrame:
-    """Keep, per ticker and kind, the rows of the tag with the newest period; never merge tags.
+    """Keep, per ticker and kind, the rows of the tag with the newest period in the kind's unit;
+    never merge tags or units.
 
     The first tag of a kind wins a tie. The choice is one small row per ticker and kind.
     """
-    pairs = [x for kind, tags in kinds.items() for t in tags for x in (F.lit(t), F.lit(kind))]
-    order = [x for tags in kinds.values() for i, t in enumerate(tags)
-             for x in (F.lit(t), F.lit(i))]
-    tagged = (facts.withColumn("kind", F.try_element_at(F.create_map(*pairs), F.col("tag")))
-              .where("kind is not null"))
+    kind = F.coalesce(*[F.when(_is(k, kinds), k) for k in kinds])
+    tagged = facts.withColumn("kind", kind).where("kind is not null")
     dated = tagged.where("end_date is not null and val is not null")
     per_tag = dated.groupBy("ticker", "kind", "tag").agg(F.max("end_date").alias("newest"))
     chosen = per_tag.groupBy("ticker", "kind").agg(F.max_by(
-        "tag", F.struct("newest", -F.element_at(F.create_map(*order), F.col("tag"))))
-        .alias("tag"))
+        "tag", F.struct("newest", -_tag_order(kinds))).alias("tag"))
     return dated.join(chosen, ["ticker", "kind", "tag"])
 
 

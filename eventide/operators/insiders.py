@@ -71,23 +71,27 @@ def insiders_asof(probes: DataFrame, tx: DataFrame, probe_day: str = "asof",
 
 
 def newest_filings(filings: DataFrame, today, days: int = WINDOW_DAYS,
-                   max_filings: int = 60) -> DataFrame:
-    """The newest ownership filings (form 4) per ticker inside the window."""
+                   max_filings: int | None = None) -> DataFrame:
+    """The ownership filings (form 4) per ticker inside the window, or the newest of them."""
     order = (W.partitionBy("ticker")
              .orderBy(F.col("filed").desc(), F.col("pos"), F.col("accession")))
-    recent = F.col("filed") >= F.date_sub(F.lit(today).cast("date"), days)
-    return (filings.where((F.col("form") == "4") & recent)
-            .withColumn("k", F.row_number().over(order))
+    day = F.lit(today).cast("date")
+    recent = F.col("filed").between(F.date_sub(day, days), day)
+    owned = filings.where((F.col("form") == "4") & recent)
+    if max_filings is None:
+        return owned
+    return (owned.withColumn("k", F.row_number().over(order))
             .where(F.col("k") <= max_filings).drop("k"))
 
 
-def current_insiders(filings: DataFrame, tx: DataFrame, today, days: int = WINDOW_DAYS,
-                     max_filings: int = 60) -> DataFrame:
-    """One row per ticker: activity over its newest filings of the trailing window.
+def current_insiders(tickers: DataFrame, filings: DataFrame, tx: DataFrame, today,
+                     days: int = WINDOW_DAYS, max_filings: int | None = None) -> DataFrame:
+    """One row per asked ticker: activity over its filings of the trailing window, zeros if none.
 
     `tx` rows carry accession, code, shares, price, owner, role, title and held_after.
     """
-    chosen = newest_filings(filings, today, days, max_filings)
+    asked = tickers.where("ticker is not null").select("ticker").distinct()
+    chosen = newest_filings(filings.join(asked, "ticker", "left_semi"), today, days, max_filings)
     ranked = chosen.select("ticker", "accession", F.col("filed").alias("tx_filed"),
                            F.col("pos").alias("filing_pos"))
     t = ranked.join(tx.drop("ticker"), "accession")
@@ -125,9 +129,9 @@ def current_insiders(filings: DataFrame, tx: DataFrame, today, days: int = WINDO
                                      F.count_if("s").cast("int").alias("n_sellers")))
     seen = chosen.groupBy("ticker").agg(F.count("*").cast("int").alias("form4_filings"))
     zero = {"shares_bought": 0.0, "shares_sold": 0.0, "buy_usd": 0.0, "sell_usd": 0.0,
-            "senior_net_usd": 0.0, "n_buyers": 0, "n_sellers": 0}
+            "senior_net_usd": 0.0, "n_buyers": 0, "n_sellers": 0, "form4_filings": 0}
     net, gross = F.col("buy_usd") - F.col("sell_usd"), F.col("buy_usd") + F.col("sell_usd")
-    return (seen.join(agg, "ticker", "left").join(owners, "ticker", "left").fillna(zero)
+    return (asked.join(seen, "ticker", "left").join(agg, "ticker", "left").join(owners, "ticker", "left").fillna(zero)
             .select("ticker", F.lit(days).alias("window_days"), "form4_filings", "shares_bought",
                     "shares_sold", "buy_usd", "sell_usd", net.alias("net_usd"),
                     F.when(gross != 0, nearest(net / gross, 3)).otherwise(0.0)

@@ -169,8 +169,15 @@ def realised_moves(events: DataFrame, panel: Panel) -> DataFrame:
                     F.when(later, (p_last / p0 - 1) - bench("b_last")).alias("abn_todate")))
 
 
-def price_statistics(bars: DataFrame) -> DataFrame:
-    """Latest price statistics per ticker; needs 25 closes."""
+def price_statistics(bars: DataFrame, today=None) -> DataFrame:
+    """Latest price statistics per ticker; needs 25 closes.
+
+    With a run date only the year that ends with it is read, so a ticker that no longer trades has
+    no current prices and later closes are not seen.
+    """
+    if today is not None:
+        day = F.lit(today).cast("date")
+        bars = bars.where((F.col("day") <= day) & (F.col("day") > F.add_months(day, -12)))
     by = W.partitionBy("ticker")
     newest = by.orderBy(F.col("day").desc())
     ranked = (bars.where(F.col("close").isNotNull())

@@ -61,8 +61,9 @@ class Tables:
     insider: DataFrame
 
 
-def ticker_profile(t: Tables) -> DataFrame:
-    """One wide row per ticker from seven per-ticker tables, newest row of the logs.
+def ticker_profile(t: Tables, today=None) -> DataFrame:
+    """One wide row per ticker from seven per-ticker tables, newest row of the logs by the run date
+    (short interest: of those published by then).
 
     The tables are stacked and reduced by ticker in one aggregation, instead of one window or
     join each: a single shuffle, combined on the map side, so a long log of one ticker is cheap.
@@ -71,7 +72,11 @@ def ticker_profile(t: Tables) -> DataFrame:
     for name, (order, columns) in PROFILE.items():
         packed = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
         day = F.col(order).cast("date") if order else F.lit("1970-01-01").cast("date")
-        parts.append(getattr(t, name).select("ticker", packed.alias(name), day.alias("_day")))
+        rows = getattr(t, name)
+        if order and today is not None:
+            known = "published_date" if "published_date" in rows.columns else order
+            rows = rows.where(F.col(known).cast("date") <= F.lit(today).cast("date"))
+        parts.append(rows.select("ticker", packed.alias(name), day.alias("_day")))
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p, allowMissingColumns=True)
@@ -97,7 +102,7 @@ def joined(t: Tables, horizon: int | None = None, today=None) -> DataFrame:
                                "atm_iv", "implied_move", F.col("expiry").alias("implied_expiry"))
     designed = c.join(t.trials.select("nct_id", *TRIAL), "nct_id", "left")
     return (with_prior(designed).join(implied, ["ticker", "catalyst_date_lo"], "left")
-            .join(ticker_profile(t), "ticker", "left"))
+            .join(ticker_profile(t, today), "ticker", "left"))
 
 
 def with_prior(rows: DataFrame) -> DataFrame:

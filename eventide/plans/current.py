@@ -3,7 +3,7 @@ guidance and implied moves."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
@@ -22,7 +22,7 @@ from eventide.storage import spread
 
 def prices(bars: DataFrame, financials: DataFrame, splits: DataFrame | None, today) -> DataFrame:
     """Price statistics with market cap from filed shares restated by later splits."""
-    p = (price_statistics(bars).withColumn("asof", F.lit(today).cast("date"))
+    p = (price_statistics(bars, today).withColumn("asof", F.lit(today).cast("date"))
          .join(financials.select("ticker", "shares_outstanding"), "ticker", "left"))
     return with_market_cap(p, splits, "last", "asof").drop("asof", "shares_outstanding")
 
@@ -71,15 +71,15 @@ def sentiment_scores(headlines: DataFrame, today, lex: Lexicon = Lexicon(),
         F.sum("pos").cast("int").alias("pos_hits"), F.sum("neg").cast("int").alias("neg_hits"),
         F.when(den != 0, nearest(num / den, 3)).otherwise(0.0).alias("sentiment"),
         (total < 4).alias("thin"),
-        F.substring(F.max_by("title", F.when(net > 0, early)), 1, 220).alias("top_positive"),
-        F.substring(F.min_by("title", F.when(net < 0, late)), 1, 220).alias("top_negative"))
+        F.max_by("title", F.when(net > 0, early)).alias("top_positive"),
+        F.min_by("title", F.when(net < 0, late)).alias("top_negative"))
 
 
 def sentiment(headlines: DataFrame, companies: DataFrame, filings: DataFrame, today,
               days: int = 21, lex: Lexicon = Lexicon()) -> DataFrame:
     """One row per company: deduplicated, on-topic, scored headlines and filing cadence."""
-    recent = headlines.where(
-        F.col("published") >= F.date_sub(F.lit(today).cast("date"), days))
+    day = F.lit(today).cast("date")
+    recent = headlines.where(F.col("published").between(F.date_sub(day, days), day))
     scores = sentiment_scores(relevant_headlines(unique_headlines(recent), companies), today,
                               lex, days)
     asked = companies.select("ticker").distinct().withColumn(
@@ -90,13 +90,18 @@ def sentiment(headlines: DataFrame, companies: DataFrame, filings: DataFrame, to
     return cadence_asof(rows, filings, "snapshot_date", distinct_days=False).drop("burst")
 
 
-def insiders(filings: DataFrame, tx: DataFrame, today, days: int = 90) -> DataFrame:
-    return current_insiders(filings, tx, today, days).withColumn(
+def insiders(tickers: DataFrame, filings: DataFrame, tx: DataFrame, today,
+             days: int = 90) -> DataFrame:
+    """A row per asked ticker, so that a quiet one replaces its older row."""
+    return current_insiders(tickers, filings, tx, today, days).withColumn(
         "snapshot_date", F.lit(today).cast("date"))
 
 
-def latest_short_interest(readings: DataFrame, history: bool = False) -> DataFrame:
-    """The reading with the newest settlement per ticker, or all of them."""
+def latest_short_interest(readings: DataFrame, history: bool = False, today=None) -> DataFrame:
+    """The reading with the newest settlement per ticker, or all of them; with a run date, of
+    those published by then."""
+    if today is not None:
+        readings = readings.where(F.col("published_date") <= F.lit(today).cast("date"))
     if history:
         return readings
     row = F.struct(*[c for c in readings.columns if c != "ticker"])
@@ -150,11 +155,13 @@ def implied_pairs(catalysts: DataFrame, price_rows: DataFrame, today,
             .select("ticker", F.col("catalyst_date_lo").alias("catalyst_date")).distinct())
 
 
-def implied_moves(pairs: DataFrame, quotes: DataFrame) -> DataFrame:
+def implied_moves(pairs: DataFrame, quotes: DataFrame, today) -> DataFrame:
     """Straddle-implied move of the first expiry on or after each date.
 
-    Call and put are each the strike nearest to spot, the first quoted on a tie. A chain is
-    reduced to those two rows per expiry before it meets the dates.
+    Of each expiry only the newest quote day up to today counts, so both legs are of one day. Call
+    and put are each the strike nearest to spot, the first quoted on a tie. A chain is reduced to
+    those two rows per expiry and quote day before it meets the dates, and dates find their expiry
+    on one timeline per ticker.
     """
     mid = F.when((F.coalesce("bid", F.lit(0.0)) != 0) & (F.coalesce("ask", F.lit(0.0)) != 0),
                  (F.col("bid") + F.col("ask")) / 2).otherwise(F.coalesce("last", F.lit(0.0)))
@@ -163,10 +170,19 @@ def implied_moves(pairs: DataFrame, quotes: DataFrame) -> DataFrame:
     def side(s):
         return F.min_by(F.struct(mid.alias("mid"), "iv", "spot"),
                         F.when(F.col("side") == s, gap)).alias(s)
-    atm = quotes.groupBy("ticker", "expiry").agg(side("C"), side("P"))
-    first = (pairs.join(quotes.select("ticker", "expiry").distinct(), "ticker")
-             .where("expiry >= catalyst_date")
-             .groupBy("ticker", "catalyst_date").agg(F.min("expiry").alias("expiry")))
+    known = quotes.where(F.col("asof") <= F.lit(today).cast("date"))
+    daily = known.groupBy("ticker", "expiry", "asof").agg(side("C"), side("P"))
+    atm = daily.groupBy("ticker", "expiry").agg(
+        F.max_by(F.struct("C", "P"), "asof").alias("q")).select("ticker", "expiry", "q.*")
+    ahead = (Window.partitionBy("ticker").orderBy(F.col("day"), F.col("asked").desc())
+             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    line = (pairs.select("ticker", F.col("catalyst_date").alias("day"), F.lit(True).alias("asked"),
+                         F.lit(None).cast("date").alias("expiry"))
+            .unionByName(atm.select("ticker", F.col("expiry").alias("day"),
+                                    F.lit(False).alias("asked"), "expiry")))
+    first = (line.withColumn("expiry", F.first("expiry", ignorenulls=True).over(ahead))
+             .where("asked and expiry is not null")
+             .select("ticker", F.col("day").alias("catalyst_date"), "expiry").distinct())
     straddle = F.col("C.mid") + F.col("P.mid")
     iv = F.when(F.col("C.iv").isNotNull() & F.col("P.iv").isNotNull(),
                 (F.col("C.iv") + F.col("P.iv")) / 2).otherwise(F.coalesce("C.iv", "P.iv"))

@@ -24,8 +24,9 @@ def passed_catalysts(catalysts: DataFrame, today, lookback: int = 45) -> DataFra
 def outcomes(catalysts: DataFrame, bars: DataFrame, today, lookback: int = 45,
              benchmark: str = "BENCH") -> DataFrame:
     past = passed_catalysts(catalysts, today, lookback)
-    start = F.date_sub(F.lit(today).cast("date"), lookback + 30)
-    return realised_moves(past, price_panel(bars, start, F.lit(today), past, benchmark))
+    day = F.lit(today).cast("date")
+    seen = bars.where(F.col("day") <= day)
+    return realised_moves(past, price_panel(seen, F.date_sub(day, lookback + 30), day, past, benchmark))
 
 
 def recent(outcome_rows: DataFrame, catalysts: DataFrame, verdict_log: DataFrame, today,

@@ -91,10 +91,11 @@ def refresh(store: Store, landed: Landed, today, horizon: int = 180, lookback: i
     mood = reconcile(mood, TABLES["sentiment"]).select(*TABLES["sentiment"].fieldNames())
     store.write("sentiment", logs.append(store.read("sentiment"), mood, "sentiment"))
     pairs = current.implied_pairs(fresh, store.read("prices"), today, implied_horizon)
-    store.upsert("implied", current.implied_moves(pairs, landed.quotes))
-    store.upsert("short_interest", current.latest_short_interest(of_wanted(landed.short_interest)))
+    store.upsert("implied", current.implied_moves(pairs, landed.quotes, today))
+    store.upsert("short_interest", current.latest_short_interest(of_wanted(landed.short_interest),
+                                                                 today=today))
     store.write("financing", current.financing(wanted, landed.filings, fins, today))
-    store.upsert("insider", of_wanted(current.insiders(landed.filings, landed.insider_tx, today)))
+    store.upsert("insider", current.insiders(wanted, landed.filings, landed.insider_tx, today))
     store.write("guidance", current.guidance(landed.docs, today))
 
     scored = board(store.tables(), today, horizon)

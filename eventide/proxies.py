@@ -43,16 +43,20 @@ VIEWS = {
         FROM orders""",
     "xbrl_fact": """
         SELECT concat('T', CAST(l_suppkey AS STRING)) AS ticker,
-               CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'shares'
+               concat(CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'shares'
                     WHEN l_returnflag = 'R' THEN 'cash'
-                    WHEN l_returnflag = 'A' THEN 'burn' ELSE 'investments' END AS tag,
+                    WHEN l_returnflag = 'A' THEN 'burn' ELSE 'investments' END,
+                    CASE WHEN l_orderkey % 3 = 0 THEN '_b' ELSE '' END) AS tag,
+               CASE WHEN l_linenumber = 5 THEN 'EUR'
+                    WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'shares' ELSE 'USD' END AS unit,
                date_add(CAST(l_shipdate AS DATE), CAST(-(60 + l_quantity) AS INT)) AS start_date,
                CAST(l_shipdate AS DATE) AS end_date,
                date_add(CAST(l_shipdate AS DATE), CAST(35 + 5 * l_linenumber AS INT)) AS filed,
                CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN l_quantity * 10000
                     WHEN l_returnflag = 'R' THEN 5 * l_extendedprice
                     WHEN l_returnflag = 'A' THEN -l_extendedprice ELSE l_extendedprice END AS val,
-               l_orderkey * 8 + l_linenumber AS pos
+               CASE WHEN l_orderkey % 3 = 0 THEN l_linenumber
+                    ELSE l_orderkey * 8 + l_linenumber END AS pos
         FROM lineitem""",
     "insider_tx": """
         SELECT concat('T', CAST(l_suppkey AS STRING)) AS ticker,
@@ -235,6 +239,7 @@ VIEWS = {
         SELECT concat('T', CAST(l_suppkey AS STRING)) AS ticker,
                (l_partkey % 40) + 20.0E0 AS strike, 40.0E0 AS spot,
                date_add(CAST(date_trunc('week', l_shipdate) AS DATE), 4) AS expiry,
+               date_add(DATE '2000-06-30', CAST(l_orderkey % 9 AS INT) - 6) AS asof,
                CASE l_returnflag WHEN 'R' THEN 'C' ELSE 'P' END AS side,
                CASE WHEN l_linenumber = 3 THEN 0.0E0 ELSE l_quantity / 10 END AS bid,
                l_quantity / 8 AS ask, l_quantity / 9 AS last,

@@ -9,7 +9,7 @@ from eventide.operators import tables as tb
 from eventide.schemas import TABLES
 
 D = dt.date
-KINDS = {k: (k,) for k in ("cash", "investments", "burn", "shares")}
+KINDS = {k: ((k,), "USD") for k in ("cash", "investments", "burn", "shares")}
 
 
 def day(n):
@@ -44,6 +44,17 @@ def test_point_in_time_fixture(spark):
     assert sorted(r.event_date for r in ev) == [D(2023, 8, 5), D(2023, 11, 5)]
 
 
+def test_facts_of_another_unit_and_tag_order(spark):
+    kinds = KINDS | {"cash": (("A", "B"), "USD")}
+    end, filed = D(2023, 6, 30), D(2023, 8, 1)
+    rows = [("X", "A", "USD", None, end, filed, 100.0, "10-Q", 5), ("X", "B", "USD", None, end, filed, 55.0, "10-Q", 0),
+            ("X", "A", "EUR", None, D(2023, 9, 30), D(2023, 11, 1), 9.0, "10-Q", 0)]
+    f = spark.createDataFrame(rows, FACT)
+    p = spark.createDataFrame([("X", D(2024, 1, 1))], "ticker string, asof date")
+    assert facts.financials_asof(p, f, "asof", kinds).first().cash_usd == 100.0
+    assert facts.current_financials(f, kinds).first().cash_usd == 100.0
+
+
 def test_financials_against_brute_force_with_a_hot_ticker(spark):
     rnd = random.Random(5)
     rows = []
@@ -192,7 +203,8 @@ def test_sponsor_matching_against_brute_force(spark):
 
 
 def test_freshest_tag_never_merges(spark):
-    kinds = {"cash": ("A", "B"), "investments": ("I",), "burn": ("N",), "shares": ("S",)}
+    kinds = {k: (t, "USD") for k, t in {"cash": ("A", "B"), "investments": ("I",), "burn": ("N",),
+                                        "shares": ("S",)}.items()}
     rows = [("X", "A", "USD", None, D(2023, 9, 30), D(2023, 11, 1), 1.0, "10-Q", 0),
             ("X", "B", "USD", None, D(2026, 6, 30), D(2026, 8, 1), 2.0, "10-Q", 0),
             ("Y", "A", "USD", None, D(2026, 6, 30), D(2026, 8, 1), 10.0, "10-Q", 0),

@@ -135,7 +135,10 @@ def test_insider_documents_and_table(spark):
                                  ("ACME", "4", D(2026, 1, 1), "old", 1),
                                  ("BETA", "4", D(2026, 9, 2), "none", 0)],
                                 "ticker string, form string, filed date, accession string, pos bigint")
-    got = {x.ticker: x for x in current.insiders(idx, tx, TODAY).collect()}
+    late = spark.createDataFrame([("ACME", "4", D(2026, 9, 23), "acc1", 2)], idx.schema)
+    asked = spark.createDataFrame([("ACME",), ("BETA",), ("QUIET",), (None,)], "ticker string")
+    got = {x.ticker: x for x in current.insiders(asked, idx.unionByName(late), tx, TODAY).collect()}
+    assert set(got) == {"ACME", "BETA", "QUIET"} and got["QUIET"].form4_filings == 0
     a = got["ACME"]
     assert (a.form4_filings, a.buy_usd, a.senior_net_usd, a.n_buyers, a.insider_tilt) == (
         1, 16000.0, 16000.0, 1, 1.0)
@@ -309,13 +312,15 @@ def test_log_round_trip_keeps_labels(spark, tmp_path):
 
 
 def test_implied_move(spark):
-    q = [("A", D(2026, 12, 18), "C", 10.0, 1.0, 2.0, 9.0, 0.5, 0), ("A", D(2026, 12, 18), "C", 12.0, 1.0, 2.0, 9.0, 0.9, 1),
-         ("A", D(2026, 12, 18), "P", 12.0, 0.0, 2.0, 3.0, None, 2), ("A", D(2026, 10, 16), "C", 11.0, 9.0, 9.0, 9.0, 0.1, 3)]
-    quotes = spark.createDataFrame([(t, 11.0, e, s, k, b, a, last, iv, p) for t, e, s, k, b, a, last, iv, p in q],
-                                   "ticker string, spot double, expiry date, side string, strike double, "
+    now, old, later = D(2026, 9, 20), D(2026, 9, 18), D(2026, 9, 30)
+    q = [("A", D(2026, 12, 18), "C", 10.0, 1.0, 2.0, 9.0, 0.5, 0, now), ("A", D(2026, 12, 18), "C", 12.0, 1.0, 2.0, 9.0, 0.9, 1, now),
+         ("A", D(2026, 12, 18), "P", 12.0, 0.0, 2.0, 3.0, None, 2, now), ("A", D(2026, 10, 16), "C", 11.0, 9.0, 9.0, 9.0, 0.1, 3, now),
+         ("A", D(2026, 12, 18), "P", 11.0, 8.0, 8.0, 8.0, .8, 4, old), ("A", D(2026, 12, 18), "C", 11.0, 8.0, 8.0, 8.0, .8, 5, later)]
+    quotes = spark.createDataFrame([(d, t, 11.0, e, s, k, b, a, last, iv, p) for t, e, s, k, b, a, last, iv, p, d in q],
+                                   "asof date, ticker string, spot double, expiry date, side string, strike double, "
                                    "bid double, ask double, last double, iv double, pos bigint")
     pairs = spark.createDataFrame([("A", D(2026, 11, 1)), ("A", D(2027, 1, 1))], "ticker string, catalyst_date date")
-    r = current.implied_moves(pairs, quotes).collect()
+    r = current.implied_moves(pairs, quotes, D(2026, 9, 22)).collect()
     assert len(r) == 1 and r[0].expiry == D(2026, 12, 18) and r[0].atm_iv == 0.5
     assert abs(r[0].implied_move - 4.5 / 11) < 1e-12
 
@@ -342,7 +347,7 @@ def test_refresh_end_to_end(spark, tmp_path):
     heads = rd.rss_headlines(spark.createDataFrame(
         [("ACME", RSS.replace("Drug X approved", "Acme wins approval"))], "ticker string, xml string"))
     si = rd.short_interest(spark.createDataFrame([("acme", "2026-08-31", "1000", "800", "10", "6.0", "")], rd.SHORT_INTEREST_CSV))
-    quotes = spark.createDataFrame([], "ticker string, spot double, expiry date, side string, strike double, bid double, ask double, last double, iv double, pos bigint")
+    quotes = spark.createDataFrame([], "asof date, ticker string, spot double, expiry date, side string, strike double, bid double, ask double, last double, iv double, pos bigint")
     landed = refresh.Landed(
         calendar=calendar, trials=rd.trial_designs(raw), facts=facts, bars=bars,
         splits=spark.createDataFrame([], "ticker string, day date, ratio double"), headlines=heads,
