@@ -4,8 +4,8 @@ A byte goes if it is covered by a string of `L` bytes that also starts anywhere
 text or another.
 
 1. Anchors. Of the `K`-byte strings in each run of `L` bytes the one of least hash (leftmost on ties)
-   is an anchor, so equal runs have equal anchors at equal places. An anchor's context holds every
-   run of `L` bytes around it. Map tasks send anchors, packed, by range of their hash; a text is sent
+   is their anchor, so equal runs have equal anchors at equal places. An anchor's context holds
+   the runs of `L` bytes that have it. Map tasks send anchors, packed, by range of their hash; a text is sent
    once per task however often it is there.
 2. Equal contexts of equal anchors cover each other as they stand. Anchors that occur once go no
    further. Only anchors with different contexts need their bytes compared.
@@ -39,10 +39,12 @@ from eventide.storage import stash
 L = 200
 K = 32
 CHUNK = 1 << 18
-# Anchors of one range, contexts of an anchor in one bucket, bytes of a bucket.
-RANGE = 1_000_000
-HOT = 4_000
-BUCKET = 2 << 20
+# Anchors that a task holds before it sends them, bytes of text whose anchors make one range, contexts
+# of an anchor in one bucket, bytes of a bucket.
+RANGE = 400_000
+RANGE_BYTES = 20 << 20
+HOT = 3_000
+BUCKET = 1 << 20
 _POSITION_BITS = np.uint64(28)
 
 
@@ -74,10 +76,13 @@ def anchors(data: np.ndarray, offs: np.ndarray, size: int = L, k: int = K):
         key = np.minimum(key[:len(key) - (w - span)], key[w - span:])
     rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[:len(key)]
     starts = np.flatnonzero(np.arange(len(key)) + size <= offs[rows + 1])
-    at = np.unique((key[starts] & np.uint64((1 << 28) - 1)).astype(np.int64))
-    row = np.searchsorted(offs, at, side="right") - 1
-    lo = np.maximum(offs[row], at - (size - k))
-    hi = np.minimum(offs[row + 1], at + size)
+    if not len(starts):
+        return empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+    of = (key[starts] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    at, lo = of[first], starts[first]
+    hi = starts[np.append(first[1:], len(of)) - 1] + size
+    row = rows[lo]
     around = range_hashes(sums, lo, hi) ^ mix((at - lo).astype(np.uint64))
     return row, at - offs[row], h[at], around, at - lo, hi - lo
 
@@ -420,7 +425,7 @@ def compared(contexts: DataFrame, size: int = L, k: int = K, hot: int = HOT) ->
 
 def covered(texts: DataFrame, total: int, hot: int = HOT) -> DataFrame:
     """label, cut (ordered disjoint byte ranges to remove)."""
-    ranges = max(1, -(-total // (60 * RANGE)))
+    ranges = max(1, -(-total // RANGE_BYTES))
     places = stash(repeated(postings(texts, ranges)))
     whole = places.where("same > 1").select("label", F.col("first").alias("a"),
                                             (F.col("first") + F.col("size")).alias("z"))
