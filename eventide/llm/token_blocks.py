@@ -63,14 +63,18 @@ for _b in (0x80, 0x81, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x9
     _SOLID[_b] = False
 
 
+_LETTER = byte_class([(0x41, 0x5A), (0x61, 0x7A)])
+_STOP = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"])
+
+
 class Encoder:
-    """Ids of many texts through a tokenizers file whose pre-tokenizer never joins a character to
-    white space behind it: texts are cut before white space that follows a solid character, each
-    different piece is encoded once, and pieces seen lately are kept in a table of bounded size."""
+    """Ids of many texts through a tokenizers file whose pre-tokenizer joins no character to white
+    space behind it and no letter to a stop behind it: texts are cut there, each different piece is
+    encoded once, and pieces seen lately are kept in a table of bounded size."""
 
-    SLOTS = 1 << 19
+    SLOTS = 1 << 21
 
-    def __init__(self, path: str, pool_ids: int = 1 << 22):
+    def __init__(self, path: str, pool_ids: int = 1 << 24):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.pool_ids = pool_ids
@@ -109,7 +113,7 @@ class Encoder:
         if self.used > self.pool_ids:
             self.clear()
         cut = np.zeros(n, bool)
-        cut[1:] = _SPACE[data[1:]] & _SOLID[data[:-1]]
+        cut[1:] = (_SPACE[data[1:]] & _SOLID[data[:-1]]) | (_STOP[data[1:]] & _LETTER[data[:-1]])
         cut[offs[:-1][offs[:-1] < offs[1:]]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
@@ -117,7 +121,7 @@ class Encoder:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(P, n), out=sums[1:])
         h = mix((sums[end] - sums[start]) * powers(P_INV, n + 1)[start] + (end - start).astype(np.uint64))
         h |= np.uint64(1)
-        slot = (h >> np.uint64(45)).astype(np.int64)
+        slot = (h >> np.uint64(43)).astype(np.int64)
         piece = self.at[slot]
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
@@ -206,9 +210,9 @@ def documents(files: DataFrame, ids: bool = True) -> DataFrame:
     """Per stored document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32
     (of the ids as little-endian 32-bit integers), and the ids unless `ids` is false."""
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("__n"))
-    # One row per shard.
+    # One row of two numbers per shard, and as many shards as the write had partitions.
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("shard", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    shards = F.broadcast(shards.select("shard", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead")))
 
     def run(batches):
         for b in batches:
