@@ -155,8 +155,8 @@ check("headline_hits_default_lexicon", "SELECT doc_id, CAST("
                    for w in fv.NEGATIVE_WORDS)
       + " AS INT) AS neg FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 HEAD = "(SELECT * REPLACE (concat('src', pos % 20) AS ticker) FROM headline)"
-UNIQUE = r"""(SELECT * FROM (SELECT *, substr(regexp_replace(lower(title), '[^\p{L}\p{N}_]+', '', 'g'),
-    1, 80) AS key FROM """ + HEAD + """) WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY
+UNIQUE = r"""(SELECT * FROM (SELECT *, regexp_replace(lower(title), '[^\p{L}\p{N}_]+', '', 'g')
+    AS key FROM """ + HEAD + """) WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY
     ticker, key ORDER BY CASE source WHEN 'rss' THEN 0 ELSE 1 END, pos) = 1)"""
 check("distinct_headlines", f"SELECT ticker, pos, source FROM {UNIQUE}")
 TOPIC = f"""EXISTS (SELECT 1 FROM documents d WHERE d.source = h.ticker AND true)
@@ -164,7 +164,7 @@ TOPIC = f"""EXISTS (SELECT 1 FROM documents d WHERE d.source = h.ticker AND true
       min(doc_id) % 2 FROM documents d WHERE d.source = h.ticker) = 0 THEN 'ouen' ELSE 'nterti' END,
       '|whst)($|{WORD})'))"""
 check("on_topic_headlines", f"SELECT ticker, pos FROM {HEAD} h WHERE {TOPIC}")
-check("recent_headlines", f"SELECT ticker, pos FROM {HEAD} WHERE published >= DATE '2024-01-20'")
+check("recent_headlines", f"SELECT ticker, pos FROM {HEAD} WHERE published BETWEEN DATE '2024-01-20' AND DATE '2024-01-26'")
 
 
 def _mood(source: str) -> str:
@@ -173,8 +173,8 @@ def _mood(source: str) -> str:
       CAST(sum(neg) AS INT) AS neg_hits, CAST(CASE WHEN sum((pos + neg) * w) <> 0 THEN
         round_even(sum((pos - neg) * w) / sum((pos + neg) * w), 3) ELSE 0 END AS DOUBLE) AS sentiment,
       sum(pos + neg) < 4 AS thin,
-      substr((list(title ORDER BY pos - neg DESC, s, ord) FILTER (pos > neg))[1], 1, 220) AS top_positive,
-      substr((list(title ORDER BY pos - neg, s, ord) FILTER (pos < neg))[1], 1, 220) AS top_negative
+      (list(title ORDER BY pos - neg DESC, s, ord) FILTER (pos > neg))[1] AS top_positive,
+      (list(title ORDER BY pos - neg, s, ord) FILTER (pos < neg))[1] AS top_negative
     FROM (SELECT ticker, title, pos, neg, ord, CASE source WHEN 'rss' THEN 0 ELSE 1 END AS s,
             power(0.5E0, greatest(0, DATE '2024-01-25' - published) / 7.0E0) AS w
           FROM ({_hits('title', f'(SELECT * EXCLUDE (pos), pos AS ord FROM {source})')}))
@@ -182,7 +182,7 @@ def _mood(source: str) -> str:
 
 
 check("headline_sentiment", _mood(UNIQUE))
-RECENT = UNIQUE.replace("FROM " + HEAD, f"FROM (SELECT * FROM {HEAD} WHERE published >= DATE '2024-01-04')")
+RECENT = UNIQUE.replace("FROM " + HEAD, f"FROM (SELECT * FROM {HEAD} WHERE published BETWEEN DATE '2024-01-04' AND DATE '2024-01-25')")
 check("sentiment_table", f""", mood AS ({_mood(f'(SELECT h.* FROM {RECENT} h WHERE {TOPIC})')}),
     f AS (SELECT concat('src', substr(ticker, 2)) AS ticker, filed + 8500 AS filed FROM filing_index
           WHERE starts_with(form, '8-K'))

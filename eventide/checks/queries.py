@@ -316,7 +316,7 @@ def on_topic_headlines(s, d):
 
 @query
 def recent_headlines(s, d):
-    return rd.since(_headlines(s, d), "published", "2024-01-30", 10).select("ticker", "pos")
+    return rd.since(_headlines(s, d), "published", "2024-01-26", 6).select("ticker", "pos")
 
 
 @query

@@ -156,10 +156,10 @@ def names_company(title: Column, tokens: Column) -> Column:
     return F.rlike(F.lower(clean_text(title)), token_pattern(tokens))
 
 
-def headline_key(title: Column) -> Column:
-    """Duplicate key of a headline: its first 80 word characters, lower case."""
-    return F.substring(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\W+", ""),
-                       1, 80)
+def headline_key(title: Column, length: int | None = None) -> Column:
+    """Duplicate key of a headline: its word characters, lower case, or the first of them."""
+    key = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\W+", "")
+    return key if length is None else F.substring(key, 1, length)
 
 
 # --- filing text ------------------------------------------------------------------------------
@@ -174,7 +174,8 @@ def html_text(raw: Column) -> Column:
     """Readable text of an HTML document: no script/style blocks, no tags, entities decoded."""
     t = F.regexp_replace(raw, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    return squeeze(_unescape(t))
+    # Only texts with an entity cross to Python.
+    return squeeze(F.coalesce(_unescape(F.when(t.contains("&"), t)), t))
 
 
 def first_match(text: Column, pattern: str, group: int) -> Column:

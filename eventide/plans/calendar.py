@@ -12,7 +12,7 @@ from eventide.functions.text import (drug_near, first_match, html_text, indicati
                                      simple_stage, stable_id)
 from eventide.operators.tables import reconcile
 from eventide.schemas import TABLES
-from eventide.sources.readers import candidate_readouts, filing_hits, one_per_filing_day
+from eventide.sources.readers import candidate_readouts, filing_hits
 
 
 def readout_rows(readouts: DataFrame) -> DataFrame:
@@ -46,9 +46,14 @@ def decision_details(hits: DataFrame, text: str = "text") -> DataFrame:
 
 def decision_rows(docs: DataFrame, today, months_back: int = 12) -> DataFrame:
     """Decision dates announced in event filings of the trailing year."""
-    hits = one_per_filing_day(filing_hits(docs, fv.DECISION_PHRASES, today, months_back))
-    hits = hits.where("ticker is not null").withColumn("text", html_text(F.col("html")))
-    return (decision_details(hits).drop("text", "html").withColumns({
+    hits = filing_hits(docs, fv.DECISION_PHRASES, today, months_back).where("ticker is not null")
+    found = decision_details(hits.withColumn("text", html_text(F.col("html")))).drop("text", "html")
+    # All hits are read; of those that state one date the earliest filing stays.
+    rest = F.struct("filed", "doc_id", *[c for c in found.columns if c not in (
+        "ticker", "catalyst_date_lo", "filed", "doc_id")])
+    found = (found.groupBy("ticker", "catalyst_date_lo").agg(F.min(rest).alias("r"))
+             .select("ticker", "catalyst_date_lo", "r.*"))
+    return (found.withColumns({
         "catalyst_date_hi": F.col("catalyst_date_lo"),
         "drug_name": F.coalesce("drug_name", F.lit(fv.NO_DRUG_NAME)),
         "date_precision": F.lit("day"),

@@ -32,11 +32,13 @@ def financials(facts: DataFrame, kinds: dict = KINDS) -> DataFrame:
 
 
 def unique_headlines(headlines: DataFrame) -> DataFrame:
-    """One headline per ticker and duplicate key: first source, then first position."""
+    """One headline per ticker and duplicate key: first source, then first position, then date,
+    link and title, so the choice does not depend on the order of the input."""
     keyed = headlines.withColumn("key", headline_key(F.col("title"))).where("key != ''")
     rest = F.struct("title", "published", "link", "source", "pos")
     return (keyed.groupBy("ticker", "key")
-            .agg(F.min_by(rest, F.struct(F.when(F.col("source") == "rss", 0).otherwise(1), "pos"))
+            .agg(F.min_by(rest, F.struct(F.when(F.col("source") == "rss", 0).otherwise(1), "pos",
+                                         "published", "link", "title"))
                  .alias("h")).select("ticker", "h.*"))
 
 
@@ -62,8 +64,10 @@ def sentiment_scores(headlines: DataFrame, today, lex: Lexicon = Lexicon(),
     age = F.greatest(F.lit(0), F.coalesce(F.datediff(day, "published"), F.lit(days)))
     weight = F.pow(F.lit(0.5), age / 7.0)
     net, hits = F.col("pos") - F.col("neg"), F.col("pos") + F.col("neg")
-    early = F.struct(net, -F.when(F.col("source") == "rss", 0).otherwise(1), -F.col("at"))
-    late = F.struct(net, F.when(F.col("source") == "rss", 0).otherwise(1), F.col("at"))
+    early = F.struct(net, -F.when(F.col("source") == "rss", 0).otherwise(1), -F.col("at"),
+                     F.col("title"))
+    late = F.struct(net, F.when(F.col("source") == "rss", 0).otherwise(1), F.col("at"),
+                    F.col("title"))
     num, den = F.sum(net * weight), F.sum(hits * weight)
     total = F.sum(hits)
     return h.groupBy("ticker").agg(
@@ -127,8 +131,7 @@ def guidance_statements(hits: DataFrame, text: str = "text") -> DataFrame:
             .where("_r.lo is not null")
             .select(F.upper("ticker").alias("ticker"), "doc_id", "filed",
                     F.col("_r.lo").alias("period_lo"), F.col("_r.hi").alias("period_hi"),
-                    F.substring(squeeze(F.col("_p")), 1, fv.GUIDANCE_PHRASE_CHARS)
-                    .alias("phrase")))
+                    squeeze(F.col("_p")).alias("phrase")))
 
 
 def newest_statement(statements: DataFrame) -> DataFrame:

@@ -83,8 +83,7 @@ def trial_designs(raw: DataFrame) -> DataFrame:
         _path("statusModule", "primaryCompletionDateStruct", "date").alias("primary_completion"),
         _path("designModule", "studyType").alias("study_type"),
         _path("sponsorCollaboratorsModule", "leadSponsor", "name").alias("lead_sponsor"))
-    return (rows.where(F.upper("nct_id").startswith("NCT"))
-            .dropDuplicates(["nct_id"]))
+    return one_per(rows.where(F.upper("nct_id").startswith("NCT")), ["nct_id"])
 
 
 def _industry_readouts(raw: DataFrame, start: Column, end: Column, phases) -> DataFrame:
@@ -100,8 +99,8 @@ def _industry_readouts(raw: DataFrame, start: Column, end: Column, phases) -> Da
                 _path("identificationModule", "briefTitle").alias("drug_name"),
                 F.array_join(ph, ",").alias("stage"), date.alias("primary_completion"),
                 _path("sponsorCollaboratorsModule", "leadSponsor", "name").alias("lead_sponsor"),
-                F.array_join(F.slice(F.coalesce(_path("conditionsModule", "conditions"),
-                                                F.array()), 1, 3), "; ").alias("indication"),
+                F.array_join(F.coalesce(_path("conditionsModule", "conditions"), F.array()), "; ")
+                .alias("indication"),
                 _path("designModule", "enrollmentInfo", "count").try_cast("int")
                 .alias("enrollment"),
                 _path("designModule", "designInfo", "allocation").alias("allocation"),
@@ -129,7 +128,7 @@ def historical_readouts(raw: DataFrame, registry: DataFrame, start, end,
                           "simplified_stage": simple_stage(F.col("stage")),
                           "anchor": F.lit("ctgov")})
             .drop("_d", "stage", "primary_completion"))
-    return match_sponsors(rows, registry).where("ticker is not null").dropDuplicates(["nct_id"])
+    return one_per(match_sponsors(rows, registry).where("ticker is not null"), ["nct_id"])
 
 
 # --- registry, facts, filing index --------------------------------------------------------------
@@ -357,8 +356,9 @@ def news_headlines(raw: DataFrame) -> DataFrame:
 
 
 def since(rows: DataFrame, day: str, today, days: int) -> DataFrame:
-    """Rows dated within the trailing days; undated rows are dropped."""
-    return rows.where(F.col(day) >= F.date_sub(F.lit(today).cast("date"), days))
+    """Rows dated within the trailing days and not after today; undated rows are dropped."""
+    end = F.lit(today).cast("date")
+    return rows.where(F.col(day).between(F.date_sub(end, days), end))
 
 
 # --- curated calendar ---------------------------------------------------------------------------
@@ -390,7 +390,7 @@ def curated_calendar(raw: DataFrame, include_paid: bool = False) -> DataFrame:
                              "drug_id": F.col("drug_id").try_cast("bigint")})
     placeholder = (F.col("stage").isNull() & F.col("next_catalyst").isNull()
                    & F.col("fda_status").isNull())
-    return rows.where(~placeholder).dropDuplicates(["drug_id", "catalyst_date_raw"])
+    return one_per(rows.where(~placeholder), ["drug_id", "catalyst_date_raw"])
 
 
 # --- filing text --------------------------------------------------------------------------------
@@ -414,6 +414,12 @@ def filing_hits(docs: DataFrame, phrases, today, months_back: int, form: str = "
                     "filed", "cik", "doc_id", text))
 
 
+def one_per(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the least by its other columns in order: the same in every run."""
+    rest = F.struct(*[c for c in rows.columns if c not in keys])
+    return rows.groupBy(*keys).agg(F.min(rest).alias("r")).select(*keys, "r.*").select(rows.columns)
+
+
 def one_per_filing_day(hits: DataFrame) -> DataFrame:
     """One hit per (ticker, filed), the smallest document id."""
     rest = F.struct(*[c for c in hits.columns if c not in ("ticker", "filed")])

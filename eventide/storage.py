@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,26 +34,12 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_LIMIT = 64 << 20
-
-
-def planned_size(df: DataFrame) -> int:
-    """The planner's size of a frame in bytes; true for a stored table, an estimate otherwise."""
-    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-
-
-def small_side(df: DataFrame, stored: DataFrame) -> DataFrame:
-    """Join side derived row for row from a stored table: broadcast when that table is small, else
-    a sort-merge join. Either way the other side, which may grow by exploding, is never built."""
-    return F.broadcast(df) if planned_size(stored) < BROADCAST_LIMIT else df.hint("merge")
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small input over all cores.
 
     A scan is split by file and row group, so an input of a few row groups keeps most cores idle
-    while its texts are matched. Once the input has a split for every core it is returned as is,
-    and nothing is shuffled.
+    while its texts are matched. With a split for every core the input is returned as it is, and
+    nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if planned_size(df) < cores * (128 << 20) else df
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

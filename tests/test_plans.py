@@ -91,7 +91,7 @@ def test_trial_readers(spark, tmp_path):
     reg = registry(spark, tmp_path)
     c = rd.candidate_readouts(raw.dropDuplicates(), reg, TODAY, 180).collect()
     assert sorted((r.nct_id, r.ticker, r.indication) for r in c) == [
-        ("NCT1", "ACME", "NSCLC; b; c"), ("X9", "ACME", "NSCLC; b; c")]
+        ("NCT1", "ACME", "NSCLC; b; c; d"), ("X9", "ACME", "NSCLC; b; c; d")]
     h = rd.historical_readouts(raw, reg, "2024-01-01", "2024-12-31").collect()
     assert [(r.nct_id, r.ticker, r.event_date, r.simplified_stage, r.anchor) for r in h] == [
         ("NCT4", "BETA", D(2024, 2, 3), "phase2/3", "ctgov")]
