@@ -627,6 +627,32 @@ check("readout_study", summary_sql(
 check("grouped_medians", """SELECT l_returnflag, round(median(l_extendedprice / 1e5), 8) AS price,
     round(median(l_discount), 8) AS rate FROM lineitem GROUP BY l_returnflag""")
 
+# --- filings read for dates, stored versions, logs and extracts -----------------------------------------
+
+_FILED = """, o AS (SELECT concat('T', o_custkey % (SELECT count(*) FROM supplier)) AS ticker, o_custkey AS c,
+      o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS filed, year(o_orderdate) + 1 AS y FROM orders
+    WHERE o_custkey % 5 <> 0 AND o_orderkey % 7 <> 0)"""
+check("guidance_table", f"""{_FILED}, k AS (SELECT *, CASE c % 4 WHEN 0 THEN 1 WHEN 1 THEN 7
+      WHEN 2 THEN 7 ELSE 10 END AS m, CASE c % 4 WHEN 1 THEN 6 ELSE 3 END AS span,
+      CASE c % 4 WHEN 0 THEN 'first quarter' WHEN 1 THEN 'second half' WHEN 2 THEN 'third quarter'
+        ELSE 'fourth quarter' END AS words
+    FROM o WHERE doc_id % 4 = 0 AND filed BETWEEN {DAY} - 270 AND {DAY}
+    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filed DESC, doc_id DESC) = 1)
+    SELECT ticker, filed, make_date(y, m, 1) AS period_lo,
+      CAST(make_date(y, m, 1) + to_months(span) - INTERVAL 1 DAY AS DATE) AS period_hi,
+      concat('data expected in the ', words, ' of ', y) AS phrase FROM k""")
+check("decision_dates", f"""{_FILED}, k AS (SELECT *, make_date(y, 3, 1 + c % 28) AS day FROM o
+    WHERE doc_id % 4 = 1 AND filed BETWEEN {DAY} - 360 AND {DAY})
+    SELECT ticker, day AS catalyst_date_lo, CAST(day AS VARCHAR) AS catalyst_date_raw, filed, doc_id FROM k
+    QUALIFY row_number() OVER (PARTITION BY ticker, day ORDER BY filed, doc_id) = 1""")
+check("stored_versions", """
+    SELECT ticker, cash_usd, cash_asof FROM financials WHERE cash_asof > DATE '2000-04-05'""")
+check("log_round_trip", """SELECT drug_id, snapshot_date, verdict, setup, conviction,
+    nullif(evidence, '') AS evidence, catalyst_date FROM verdict_log""")
+check("study_events_csv", """
+    SELECT ticker, count(*) AS n, min(event_date) AS first_event FROM cadence_ev GROUP BY ticker""",
+      *RET, *PIT_RET, *EVENTS["cadence"][0])
+
 # A fragment that starts with a comma continues the view list; without one it opens the list.
 for _name, _sql in ORACLE.items():
     if _sql.lstrip().startswith(","):

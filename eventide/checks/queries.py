@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -15,9 +17,10 @@ from eventide.operators import panel as pn
 from eventide.operators import tables as tb
 from eventide.plans import board as bd
 from eventide.plans import calendar as cal
-from eventide.plans import current, outcomes, studies
+from eventide.plans import current, logs, outcomes, studies
+from eventide.schemas import TABLES
 from eventide.sources import readers as rd
-from eventide.storage import spread
+from eventide.storage import shared_dir, spread
 
 QUERIES: dict = {}
 KINDS = {k: ((k, f"{k}_b"), "shares" if k == "shares" else "USD")
@@ -909,3 +912,50 @@ def grouped_medians(s, d):
                                   ["l_returnflag"], "v")
     return rounded(price.withColumnRenamed("median", "price").join(
         rate.withColumnRenamed("median", "rate"), "l_returnflag"))
+
+
+# --- filings read for dates, stored versions, logs and extracts ------------------------------------
+
+@query
+def guidance_table(s, d):
+    return current.guidance(V(s, d, "event_filing"), px.RUN_DATE).select(
+        "ticker", "filed", "period_lo", "period_hi", "phrase")
+
+
+@query
+def decision_dates(s, d):
+    return cal.decision_rows(V(s, d, "event_filing"), px.RUN_DATE).select(
+        "ticker", "catalyst_date_lo", "catalyst_date_raw", "filed", "doc_id")
+
+
+def _folder(s, name: str) -> str:
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def stored_versions(s, d):
+    """The financials table after two replacements, the second made from the first."""
+    path = _folder(s, "table")
+    tb.overwrite(V(s, d, "financials"), path)
+    tb.overwrite(tb.read_current(s, path).where("cash_asof > DATE '2000-04-05'"), path)
+    return tb.read_current(s, path).select("ticker", "cash_usd", "cash_asof")
+
+
+@query
+def log_round_trip(s, d):
+    """The verdict log dumped as CSV and seeded twice into an empty table."""
+    path, schema = _folder(s, "log"), TABLES["verdict_log"]
+    logs.dump(tb.reconcile(V(s, d, "verdict_log"), schema).select(*schema.fieldNames()),
+              "verdict_log", path)
+    once = logs.seed(s.createDataFrame([], schema), s, "verdict_log", path)
+    return logs.seed(once, s, "verdict_log", path).select(
+        "drug_id", "snapshot_date", "verdict", "setup", "conviction", "evidence", "catalyst_date")
+
+
+@query
+def study_events_csv(s, d):
+    """Cadence study events written as CSV and read back."""
+    path = _folder(s, "events")
+    studies.cadence_study(market(s, d), px.STUDY_START, px.STUDY_END).write_events(path)
+    return s.read.option("header", True).csv(path).groupBy("ticker").agg(
+        F.count("*").alias("n"), F.min(F.col("event_date").cast("date")).alias("first_event"))

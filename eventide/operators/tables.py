@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,19 +47,37 @@ def reconcile(rows: DataFrame, schema: StructType) -> DataFrame:
     return rows.select(*want, *extra)
 
 
+VERSION = "seq long, folder string"
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """Number and folder of the newest complete version of a table."""
+    try:
+        rows = spark.read.schema(VERSION).parquet(f"{path}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    newest = rows.agg(F.max(F.struct("seq", "folder")).alias("v")).first()["v"]
+    return None if newest is None else (newest["seq"], newest["folder"])
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame | None:
+    version = current_version(spark, path)
+    return None if version is None else spark.read.parquet(f"{path}/{version[1]}")
+
+
 def overwrite(rows: DataFrame, path: str) -> None:
     """Replace a Parquet table that may be among the inputs of `rows`.
 
-    The new version is written next to the old one, then swapped in through the file system of
-    the path, so the inputs stay readable until the write has finished.
+    The new version goes to a folder of its own; one row that names it is appended last, and readers
+    follow the newest such row. A run that breaks off leaves the old version in force, and nothing is
+    deleted or renamed, so runs that collide cannot lose a table. Older folders stay until they are
+    cleared by whoever owns the store.
     """
-    spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    staged = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".staged")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows.write.mode("overwrite").parquet(staged.toString())
-    fs.delete(target, True)
-    if not fs.rename(staged, target):
-        raise OSError(f"could not move {staged.toString()} to {path}")
-    spark.catalog.refreshByPath(path)
+    spark, path = rows.sparkSession, path.rstrip("/")
+    version = current_version(spark, path)
+    folder = f"data-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{folder}")
+    (spark.createDataFrame([(version[0] + 1 if version else 1, folder)], VERSION).coalesce(1)
+     .write.mode("append").parquet(f"{path}/versions"))

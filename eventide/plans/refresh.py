@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.operators.tables import overwrite, reconcile, replace_slice, upsert
+from eventide.operators.tables import overwrite, read_current, reconcile, replace_slice, upsert
 from eventide.plans import current, logs, outcomes
 from eventide.plans.board import Tables, board
 from eventide.schemas import KEYS, TABLES
@@ -41,15 +41,11 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def exists(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return path.getFileSystem(conf).exists(path)
-
     def read(self, name: str) -> DataFrame:
-        if self.exists(name):
-            return reconcile(self.spark.read.parquet(self.path(name)), TABLES[name])
-        return self.spark.createDataFrame([], TABLES[name])
+        found = read_current(self.spark, self.path(name))
+        if found is None:
+            return self.spark.createDataFrame([], TABLES[name])
+        return reconcile(found, TABLES[name])
 
     def write(self, name: str, rows: DataFrame) -> None:
         schema = TABLES[name]
@@ -65,12 +61,17 @@ class Store:
 
 
 def refresh(store: Store, landed: Landed, today, horizon: int = 180, lookback: int = 45,
-            implied_horizon: int = 45) -> None:
+            implied_horizon: int = 45, seeds: dict[str, str] | None = None,
+            dumps: dict[str, str] | None = None) -> None:
     """Rebuild the calendar slice and every current table, score, log changes, measure outcomes.
 
-    A failure in a later step leaves the earlier tables in place.
+    `seeds` names committed logs that are loaded first, so a run on an empty store keeps the
+    history; `dumps` names the folders the logs are written to at the end. A failure in a later step
+    leaves the earlier tables in place.
     """
     day = F.lit(today).cast("date")
+    for name, path in (seeds or {}).items():
+        store.write(name, logs.seed(store.read(name), store.spark, name, path))
     schema = TABLES["catalysts"]
     # Read by six later steps, so the extraction behind it runs once.
     fresh = stash(reconcile(landed.calendar, schema).select(*schema.fieldNames()))
@@ -104,3 +105,5 @@ def refresh(store: Store, landed: Landed, today, horizon: int = 180, lookback: i
     store.upsert("outcomes", outcomes.outcomes(
         store.read("catalysts"), landed.bars, today, lookback, landed.benchmark)
         .withColumn("computed_at", day.cast("timestamp")))
+    for name, path in (dumps or {}).items():
+        logs.dump(store.read(name), name, path)

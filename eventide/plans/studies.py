@@ -20,7 +20,7 @@ from eventide.operators.facts import KINDS, financials_asof, periodic_filing_dat
 from eventide.operators.filings import cadence_asof, financing_asof, with_readiness
 from eventide.operators.inference import summarize
 from eventide.operators.insiders import insiders_asof
-from eventide.operators.panel import event_returns, price_panel
+from eventide.operators.panel import event_returns, missing_tickers, price_panel
 
 
 @dataclass
@@ -51,6 +51,21 @@ class Study:
         out = summarize(self.events, self.cuts, self.horizons, n_boot, seed, self.categories)
         return out.select(F.lit(self.name).alias("study"), "*")
 
+    def write_events(self, path: str) -> None:
+        """The labelled events as CSV with a header, in order of date and ticker."""
+        (self.events.orderBy("event_date", "ticker").write.mode("overwrite")
+         .option("header", True).csv(path))
+
+    def coverage(self, bars: DataFrame, asked: DataFrame, start, end) -> DataFrame:
+        """Observations and tickers of the study, and asked tickers without a usable history."""
+        rows = self.events.select(F.lit(1).alias("o"), F.col("ticker").alias("t"),
+                                  F.lit(None).cast("int").alias("m"))
+        gone = missing_tickers(bars, asked, start, end).select(
+            F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(1))
+        return rows.unionAll(gone).agg(F.count("o").alias("observations"),
+                                       F.count_distinct("t").alias("tickers"),
+                                       F.count("m").alias("missing_tickers"))
+
 
 def filing_returns(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> DataFrame:
     """Returns of periodic-filing events, entered on the first session on or after the filing."""

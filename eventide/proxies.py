@@ -235,6 +235,22 @@ VIEWS = {
                date_add(DATE '2024-01-01', CAST(doc_id % 30 AS INT)) AS published,
                CASE doc_id % 2 WHEN 0 THEN 'rss' ELSE 'news' END AS source, doc_id AS pos
         FROM documents""",
+    "event_filing": f"""
+        SELECT concat('C', CAST(o_custkey AS STRING)) AS cik, o_orderkey AS doc_id,
+               CASE WHEN o_orderkey % 7 = 0 THEN '10-Q' ELSE '8-K' END AS form,
+               CAST(o_orderdate AS DATE) AS filed,
+               concat('Company ', CAST(o_custkey AS STRING), CASE WHEN o_custkey % 5 = 0 THEN ''
+                      ELSE concat('  (T', CAST(o_custkey % {SUPPLIERS} AS STRING), ')  (CIK 1)') END)
+                   AS display_name,
+               concat('<p>News &amp; updates.</p> <p>', CASE o_orderkey % 4
+                 WHEN 0 THEN concat('Topline data expected in the ', CASE o_custkey % 4
+                     WHEN 0 THEN 'first quarter' WHEN 1 THEN 'second half'
+                     WHEN 2 THEN 'third quarter' ELSE 'fourth quarter' END, ' of ',
+                     CAST(year(o_orderdate) + 1 AS STRING), '.')
+                 WHEN 1 THEN concat('The PDUFA date is March ', CAST(1 + o_custkey % 28 AS STRING), ', ',
+                     CAST(year(o_orderdate) + 1 AS STRING), ' for this.')
+                 WHEN 2 THEN 'Data expected in due course.' ELSE 'Nothing new.' END, '</p>') AS html
+        FROM orders""",
     "option_quote": """
         SELECT concat('T', CAST(l_suppkey AS STRING)) AS ticker,
                (l_partkey % 40) + 20.0E0 AS strike, 40.0E0 AS spot,

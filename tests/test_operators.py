@@ -257,9 +257,13 @@ def test_upsert_slice_reconcile(spark, tmp_path):
     assert {"senior_net_usd", "cluster_buy", "n_buyers"} <= set(once.columns)
     assert tb.reconcile(once, TABLES["insider"]).schema == once.schema
     path = str(tmp_path / "t")
-    old.write.parquet(path)
-    tb.overwrite(spark.read.parquet(path).where("k = 1"), path)
-    assert [r.k for r in spark.read.parquet(path).collect()] == [1]
+    assert tb.read_current(spark, path) is None
+    tb.overwrite(old, path)
+    tb.overwrite(tb.read_current(spark, path).where("k = 1"), path)
+    assert [r.k for r in tb.read_current(spark, path).collect()] == [1]
+    # A run that breaks off after its data is written leaves the table as it was.
+    old.write.parquet(f"{path}/data-unfinished")
+    assert [r.k for r in tb.read_current(spark, path).collect()] == [1]
 
 
 def test_change_only_log(spark):
