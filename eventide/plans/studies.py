@@ -21,6 +21,7 @@ from eventide.operators.filings import cadence_asof, financing_asof, with_readin
 from eventide.operators.inference import summarize
 from eventide.operators.insiders import insiders_asof
 from eventide.operators.panel import event_returns, missing_tickers, price_panel
+from eventide.storage import stash
 
 
 @dataclass
@@ -68,15 +69,20 @@ class Study:
 
 
 def filing_returns(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> DataFrame:
-    """Returns of periodic-filing events, entered on the first session on or after the filing."""
+    """Returns of periodic-filing events, entered on the first session on or after the filing.
+
+    The events are stored: every feature attached later reads them twice, as probe days and as rows,
+    and would else repeat the bars and windows below them each time.
+    """
     events = periodic_filing_dates(m.filings, start, end)
     panel = price_panel(m.bars, start, end, events.select("ticker"), m.benchmark)
-    return event_returns(events, panel, horizons, 0)
+    return stash(event_returns(events, panel, horizons, 0))
 
 
 def with_runway(events: DataFrame, m: Market) -> DataFrame:
-    """Runway, cash and shares as known on the entry date."""
-    return financials_asof(events, m.facts, "entry_date", m.kinds or KINDS)
+    """Runway, cash and shares as known on the entry date; stored, as the next feature reads them
+    twice too."""
+    return stash(financials_asof(events, m.facts, "entry_date", m.kinds or KINDS))
 
 
 def with_market_cap(events: DataFrame, splits: DataFrame | None,
