@@ -17,15 +17,21 @@ from pyspark.sql import DataFrame
 import eventide
 
 CHUNK = 1 << 19
+BATCH_BYTES = 8 << 20
+_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 P = 0x9E3779B97F4A7C15 | 1
 P_INV = pow(P, -1, 1 << 64)
 _powers = {P: np.ones(1, np.uint64), P_INV: np.ones(1, np.uint64)}
 
 
 def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """`mapInArrow` whose workers find this package where the driver has it."""
+    """`mapInArrow` whose workers find this package where the driver has it, in batches of a few MB
+    however long the texts are (the session's setting, if it is smaller)."""
+    session = df.sparkSession
+    if int(session.conf.get(_BYTES_KEY).rstrip("bB")) > BATCH_BYTES:
+        session.conf.set(_BYTES_KEY, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(eventide.__file__)))
-    paths = df.sparkSession.sparkContext.environment
+    paths = session.sparkContext.environment
     if root not in paths.get("PYTHONPATH", "").split(os.pathsep):
         paths["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths.get("PYTHONPATH", "")]))
     return df.mapInArrow(fn, schema)

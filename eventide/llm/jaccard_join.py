@@ -10,9 +10,11 @@ sequence, if it has fewer words). Documents with equal sets form one class and a
    of the rarest `shared - needed + 1` hashes (prefix), which gives candidate pairs.
 3. Candidates are counted by fragment: each class is cut into segments along the order of hashes,
    pairs meet segment by segment, and the partial overlaps are summed per pair.
-4. Classes already in one component are not compared again. In each group of classes with a common
-   prefix hash the first member is compared with the others, then the next two, four and so on with
-   those still apart, so a family of near copies costs about one comparison a member.
+4. In each group of classes with a common prefix hash the most central member is compared with the
+   others first. Only members still in different components are compared further: pair by pair in
+   small groups; in large ones, block by block within tasks that count overlaps by ranges of hashes
+   and tell only which components meet. So a family of near copies costs about one comparison a
+   member, and no group's pairs are written out.
 
 Words are runs of other than white space, A-Z in lower case. Two documents link when
 100 * common >= percent * union.
@@ -36,8 +38,11 @@ from eventide.storage import stash
 SHINGLE = 5
 PERCENT = 80
 # Hashes of one vertical fragment, and those a map task holds before it sends them.
-FRAGMENT = 2_000_000
+FRAGMENT = 1_000_000
 SEGMENTS = 4
+# Up to how many members a group is compared pair by pair; sizes of blocks in larger ones.
+SMALL = 48
+ASKING, ASKED, COLUMNS = 128, 512, 4096
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -194,23 +199,26 @@ def shared_hashes(parts: DataFrame, buckets: int) -> DataFrame:
 
 
 def candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """label, n, shared (hashes in order), prefix (rarest hashes): classes that can have a link."""
+    """label, n, central, shared (hashes in order), prefix (rarest hashes): classes that can have a
+    link. `central` is the mean number of classes that have a hash of the set: in a family of near
+    copies it is greatest for the text the others were made from."""
     def run(batches):
         def close(rows):
             own, size, h, freq = (np.concatenate(x) for x in zip(*rows, strict=True))
             order = np.lexsort((h, freq, own))
-            own, size, h = own[order], size[order], h[order]
-            out: list = [[], [], [], []]
+            own, size, h, freq = own[order], size[order], h[order], freq[order]
+            out: list = [[], [], [], [], []]
             for a, z in runs(own):
                 needed = -(-percent * int(size[a]) // 100)
                 if z - a >= needed:
-                    for c, v in zip(out, (int(own[a]), int(size[a]), np.sort(h[a:z]).tobytes(),
-                                          h[a:z - needed + 1].view(np.int64)), strict=True):
+                    for c, v in zip(out, (int(own[a]), int(size[a]), float(freq[a:z].sum() / size[a]),
+                                          np.sort(h[a:z]).tobytes(), h[a:z - needed + 1].view(np.int64)), strict=True):
                         c.append(v)
             return pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                 pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))],
-                names=["label", "n", "shared", "prefix"])
+                 pa.array(out[2], pa.float64()), pa.array(out[3], pa.binary()),
+                 pa.array(out[4], pa.list_(pa.int64()))],
+                names=["label", "n", "central", "shared", "prefix"])
 
         now, held = None, []
         for b in batches:
@@ -225,7 +233,7 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
             yield close(held)
 
     dealt = shared.repartition("bucket").sortWithinPartitions("bucket")
-    return map_batches(dealt, run, "label long, n long, shared binary, prefix array<long>")
+    return map_batches(dealt, run, "label long, n long, central double, shared binary, prefix array<long>")
 
 
 def segments(sets: DataFrame, parts: int) -> DataFrame:
@@ -264,47 +272,115 @@ def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("n").alias("common"))
 
 
+def verified(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb and more) that are links."""
+    return overlaps(pairs.select("a", "b"), cut).join(pairs, ["a", "b"]).where(
+        F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
+
+
+def _sizes_fit(percent: int):
+    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+
+
+def block_overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Common hashes of each set of one list with each of the other, counted by ranges of hashes."""
+    total = np.zeros((len(one), len(two)), np.int64)
+    h, at = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    row = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in [*one, *two]])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for lo in range(0, len(h), COLUMNS):
+        a, z = np.searchsorted(at, (lo, lo + COLUMNS))
+        grid = np.zeros((len(one) + len(two), min(COLUMNS, len(h) - lo)), np.float32)
+        grid[row[a:z], at[a:z] - lo] = 1
+        total += (grid[:len(one)] @ grid[len(one):].T).astype(np.int64)
+    return total
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: roots that links join in large groups, compared in blocks of bounded size.
+
+    Members of a group's largest component need no comparison with each other. The others are cut
+    into blocks of `ASKING`, all members into blocks of `ASKED`, and each pair of blocks is a task's
+    matter: it counts overlaps in memory and tells only which roots belong together.
+    """
+    main = (rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main")))
+    out = rows.join(main, "h").withColumn("outside", F.col("root") != F.col("main"))
+    by_h = Window.partitionBy("h").orderBy("outside", "rank")
+    out = out.withColumn("k", F.row_number().over(by_h) - 1).withColumn(
+        "first", F.min(F.when(F.col("outside"), F.col("k"))).over(Window.partitionBy("h")))
+    out = out.join(sets.select("label", "shared"), "label").withColumns({
+        "i": F.floor((F.col("k") - F.col("first")) / ASKING), "j": F.floor(F.col("k") / ASKED),
+        "last_i": F.floor((F.col("members") - 1 - F.col("first")) / ASKING),
+        "last_j": F.floor((F.col("members") - 1) / ASKED)})
+    keep = ["h", "root", "n", "shared"]
+    asking = out.where("outside").select(*keep, "i", F.explode(F.sequence(
+        F.lit(0).cast("long"), "last_j")).alias("j"), F.lit(0).alias("side"))
+    asked = out.select(*keep, F.explode(F.sequence(F.lit(0).cast("long"), "last_i")).alias("i"), "j",
+                       F.lit(1).alias("side"))
+
+    def run(batches):
+        def close(rows):
+            sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
+            if not all(sides):
+                return
+            n, root = ([np.array([r[k] for r in side]) for side in sides] for k in (2, 1))
+            common = block_overlaps(*[[np.frombuffer(r[3], np.uint64) for r in side] for side in sides])
+            union = n[0][:, None] + n[1][None, :] - common
+            x, y = np.nonzero((common * 100 >= union * percent) & (root[0][:, None] != root[1][None, :]))
+            told = set(zip(root[0][x].tolist(), root[1][y].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in told], pa.int64()) for k in (0, 1)],
+                                             names=["a", "b"])
+        now, held = None, []
+        for b in batches:
+            for h, i, j, *r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (h, i, j) != now and held:
+                    yield from close(held)
+                    held = []
+                now = (h, i, j)
+                held.append(r)
+        if held:
+            yield from close(held)
+    columns = ["h", "i", "j", "side", "root", "n", "shared"]
+    dealt = (asking.select(columns).unionAll(asked.select(columns)).repartition("h", "i", "j")
+             .sortWithinPartitions("h", "i", "j"))
+    return map_batches(dealt, run, "a long, b long")
+
+
 def linked_classes(docs: DataFrame, text_col: str, total: int, n: int, percent: int) -> DataFrame:
     """node, root: classes with a link, and the least class of their component."""
     fragments = max(1, -(-total // FRAGMENT))
     sets = stash(candidates(shared_hashes(postings(docs, text_col, n, fragments), fragments), percent))
     cut = stash(segments(sets, SEGMENTS))
-    in_group = Window.partitionBy("h").orderBy("n", "label")
-    groups = (sets.select(F.explode("prefix").alias("h"), "label", "n")
-              .withColumn("rank", F.row_number().over(in_group) - 1))
+    in_group = Window.partitionBy("h").orderBy(F.col("central").desc(), "label")
+    groups = (sets.select(F.explode("prefix").alias("h"), "label", "n", "central")
+              .withColumn("rank", F.row_number().over(in_group) - 1).drop("central"))
     sizes = groups.groupBy("h").agg(F.count(F.lit(1)).alias("members"))
-    groups = stash(groups.join(sizes.where("members > 1"), "h").drop("members"))
-    spark = docs.sparkSession
-    links, roots = None, spark.createDataFrame([], "node long, root long")
-    first, hubs = 0, 1
-    while True:
-        rows = (groups.join(roots.withColumnRenamed("node", "label"), "label", "left")
-                .withColumn("root", F.coalesce("root", "label")))
-        apart = (rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                       F.max("rank").alias("top"))
-                 .where((F.col("lo") < F.col("hi")) & (F.col("top") > first)).select("h"))
-        rows = rows.join(apart, "h")
-        hub = rows.where(F.col("rank").between(first, first + hubs - 1)).select(
-            "h", F.col("label").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"),
-            F.col("rank").alias("ka"))
-        other = rows.where(F.col("rank") > first).select(
-            "h", F.col("label").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"),
-            F.col("rank").alias("kb"))
-        # Ranks follow size, so the hub is the smaller of a pair.
-        pairs = stash(hub.join(other, "h").where(
-            (F.col("ka") < F.col("kb")) & (F.col("ra") != F.col("rb"))
-            & (F.col("na") * 100 >= F.col("nb") * percent)).select("a", "b", "na", "nb").distinct())
-        if not pairs.isEmpty():
-            common = overlaps(pairs.select("a", "b"), cut).join(pairs, ["a", "b"])
-            found = stash(common.where(
-                F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
-                .select("a", "b"))
-            if not found.isEmpty():
-                links = found if links is None else links.unionAll(found)
-                roots = stash(components(links))
-        first, hubs = first + hubs, hubs * 2
-        if groups.where(F.col("rank") > first).isEmpty():
-            return roots
+    groups = stash(groups.join(sizes.where("members > 1"), "h"))
+
+    def member(df, c):
+        return df.select("h", F.col("label").alias(c), F.col("n").alias(f"n{c}"), *[
+            F.col(x).alias(f"{x}_{c}") for x in ("root", "rank") if x in df.columns])
+    hub = member(groups.where("rank = 0"), "a").join(member(groups.where("rank > 0"), "b"), "h")
+    pairs = stash(hub.where(_sizes_fit(percent)).select("a", "b", "na", "nb").distinct())
+    roots = stash(components(verified(pairs, cut, percent).select("a", "b")))
+
+    rows = (groups.join(roots.withColumnRenamed("node", "label"), "label", "left")
+            .withColumn("root", F.coalesce("root", "label")))
+    apart = (rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where("lo < hi").select("h"))
+    rows = stash(rows.where("members > 2").join(apart, "h"))
+    small = rows.where((F.col("members") <= SMALL) & (F.col("rank") > 0))
+    pairs = stash(member(small, "a").join(member(small, "b"), "h").where(
+        (F.col("rank_a") < F.col("rank_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(percent))
+        .select("a", "b", "na", "nb", "root_a", "root_b").distinct())
+    found = verified(pairs, cut, percent).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    large = block_links(rows.where(F.col("members") > SMALL), sets, percent)
+    joined = components(found.unionAll(large))
+    known = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")),
+                       "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stash(known.unionAll(joined.join(roots, "node", "left_anti")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE,

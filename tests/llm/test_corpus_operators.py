@@ -168,9 +168,14 @@ def near_copies():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("fragment", [2_000_000, 700])
-def test_jaccard_brute_force(frame, monkeypatch, fragment):
+@pytest.mark.parametrize("fragment,small", [(1_000_000, 48), (700, 3)])
+def test_jaccard_brute_force(frame, monkeypatch, fragment, small):
     monkeypatch.setattr(jaccard_join, "FRAGMENT", fragment)
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    if small < 48:
+        monkeypatch.setattr(jaccard_join, "ASKING", 2)
+        monkeypatch.setattr(jaccard_join, "ASKED", 3)
+        monkeypatch.setattr(jaccard_join, "COLUMNS", 5)
     docs = near_copies()
     sets, want = brute_classes(docs)
     out = jaccard_join.classes(frame(docs)).collect()
