@@ -52,6 +52,28 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, doc_id, rank, score FROM r WHERE rank <= 10
 """
 
+ORACLE["op4_source_mix"] = f"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_SOLID})) AS size FROM documents),
+b AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source NULLS LAST) AS r
+      FROM s GROUP BY source),
+w AS (SELECT *, 1.0E0 + (r - 1) % 3 AS w, 3.0E0 * ss AS cap, CAST(sum(ss) OVER () AS DOUBLE) AS total FROM b),
+o AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING
+             AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW
+             AND UNBOUNDED FOLLOWING) AS level FROM w),
+c AS (SELECT *, cap < level * w AS capped FROM o),
+t AS (SELECT *, CASE WHEN capped THEN cap ELSE least(cap, w * ((total
+             - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())
+             / sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())) END AS target FROM c),
+e AS (SELECT s.*, t.ss, t.target, unnest(generate_series(0, greatest(1, least(3, CAST(ceil(target / ss)
+             AS INT))) - 1)) AS e FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CAST('0x' || md5('mix|' || e || '|' || doc_id)[1:15] AS BIGINT) AS k FROM e),
+p AS (SELECT *, e * ss + coalesce(sum(size) OVER (PARTITION BY source, e ORDER BY k, doc_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k)
+SELECT doc_id, size, ss AS source_size, target,
+       CAST(sum(greatest(0, least(size, floor(target) - start))) AS BIGINT) AS taken
+FROM p GROUP BY doc_id, size, ss, target
+"""
+
 ORACLE["op7_decontamination"] = f"""
 WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
 iw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS g
