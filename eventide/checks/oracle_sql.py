@@ -11,6 +11,7 @@ from eventide.checks.oracle import (A, COUNT, COVER, BURST, DAY, DESIGN, DESIGN_
                                     check, clean, cut, design_mult, inter, move, net, ntrim,
                                     on_grid, prior, q, ready, squeeze, summary_sql)
 from eventide.checks.queries import CORPUS_LEXICON
+from eventide.functions.sentiment import Lexicon
 
 BOARD = ("joined_rows", "windowed", "feat", "cascade", "amplified", "scored")
 WHY = BOARD + ("reasoned",)
@@ -112,7 +113,6 @@ check("tidy_indications", """
             string_split(indication, ' ') AS w FROM catalysts)""")
 
 LEX = CORPUS_LEXICON
-NEG_END = LEX.negators.replace(r"\b", "").strip()
 
 
 def _count(word: str) -> str:
@@ -121,39 +121,32 @@ def _count(word: str) -> str:
     return f"(len({marked}) - len(replace({marked}, '⟦', '')))"
 
 
-def _flips(mark: str, term: str) -> str:
+def _flips(mark: str, term: str, lex) -> str:
     """Hits whose 32 characters before hold a negator."""
     parts = f"string_split({mark}, '⟦')"
     before = f"right(array_to_string({parts}[1:i], {q(term)}), 32)"
-    neg = f"(^|{WORD}){NEG_END}($|{WORD})"
+    ends = lex.negators.replace(r"\b", "").strip()
+    neg = f"(^|{WORD}){ends}($|{WORD})"
     return (f"len(list_filter(range(1, len({parts})), lambda i: "
             f"regexp_matches({before}, {q(neg)})))")
 
 
-def _hits(text: str, source: str) -> str:
-    neg = ([f"((len(t) - len(replace(t, {q(p)}, ''))) // {len(p)})" for p in LEX.negative_phrases]
-           + [_count(w) for w in LEX.negative_words])
-    pos = ([f"((len(t) - len(replace(t, {q(p)}, ''))) // {len(p)})" for p in LEX.positive_phrases]
-           + [_count(w) for w in LEX.positive_words])
-    flips = ([_flips(f"replace(t, {q(p)}, '⟦')", p) for p in LEX.positive_phrases]
-             + [_flips(f"regexp_replace(t, '(^|{WORD}){w}', '\\1⟦', 'g')", w)
-                for w in LEX.positive_words])
+def _hits(text: str, source: str, lex=LEX) -> str:
+    neg = ([f"((len(t) - len(replace(t, {q(p)}, ''))) // {len(p)})" for p in lex.negative_phrases]
+           + [_count(w) for w in lex.negative_words])
+    pos = ([f"((len(t) - len(replace(t, {q(p)}, ''))) // {len(p)})" for p in lex.positive_phrases]
+           + [_count(w) for w in lex.positive_words])
+    flips = ([_flips(f"replace(t, {q(p)}, '⟦')", p, lex) for p in lex.positive_phrases]
+             + [_flips(f"regexp_replace(t, '(^|{WORD}){w}', '\\1⟦', 'g')", w, lex)
+                for w in lex.positive_words])
     return (f"SELECT * EXCLUDE (t, a, f, p0), CAST(p0 - f AS INT) AS pos, CAST(a + f AS INT) AS neg "
             f"FROM (SELECT *, {' + '.join(neg)} AS a, {' + '.join(pos)} AS p0, "
             f"{' + '.join(flips)} AS f FROM (SELECT *, lower({clean(text)}) AS t FROM {source}))")
 
 
 check("headline_hits", f"SELECT doc_id, pos, neg FROM ({_hits('text', 'documents')})")
-check("headline_hits_default_lexicon", "SELECT doc_id, CAST("
-      + " + ".join(f"(len(t) - len(replace(t, {q(p)}, ''))) // {len(p)}"
-                   for p in fv.POSITIVE_PHRASES) + " + "
-      + " + ".join(f"len(regexp_extract_all(concat(' ', t), '{WORD}{w}'))"
-                   for w in fv.POSITIVE_WORDS) + " AS INT) AS pos, CAST("
-      + " + ".join(f"(len(t) - len(replace(t, {q(p)}, ''))) // {len(p)}"
-                   for p in fv.NEGATIVE_PHRASES) + " + "
-      + " + ".join(f"len(regexp_extract_all(concat(' ', t), '{WORD}{w}'))"
-                   for w in fv.NEGATIVE_WORDS)
-      + " AS INT) AS neg FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+check("headline_hits_default_lexicon", f"SELECT doc_id, pos, neg FROM "
+      f"({_hits('title', 'worded_headline', Lexicon())})")
 HEAD = "(SELECT * REPLACE (concat('src', pos % 20) AS ticker) FROM headline)"
 UNIQUE = r"""(SELECT * FROM (SELECT *, regexp_replace(lower(title), '[^\p{L}\p{N}_]+', '', 'g')
     AS key FROM """ + HEAD + """) WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY

@@ -296,8 +296,8 @@ def headline_hits(s, d):
 
 @query
 def headline_hits_default_lexicon(s, d):
-    return spread(B(s, d, "documents")).select(
-        "doc_id", sentiment.lexicon_hits(F.col("text")).alias("h")).select(
+    return spread(V(s, d, "worded_headline")).select(
+        "doc_id", sentiment.lexicon_hits(F.col("title")).alias("h")).select(
         "doc_id", "h.pos", "h.neg")
 
 

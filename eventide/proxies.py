@@ -251,6 +251,16 @@ VIEWS = {
                      CAST(year(o_orderdate) + 1 AS STRING), ' for this.')
                  WHEN 2 THEN 'Data expected in due course.' ELSE 'Nothing new.' END, '</p>') AS html
         FROM orders""",
+    "worded_headline": """
+        SELECT doc_id, concat(CASE doc_id % 8
+            WHEN 0 THEN 'Trial met the primary endpoint and shares surge. '
+            WHEN 1 THEN 'Drug did not win approval; a complete response letter raises concern. '
+            WHEN 2 THEN 'Study failed to show positive results, without success; shares plunge. '
+            WHEN 3 THEN 'Fast track granted: strong and promising data, approval never certain. '
+            WHEN 4 THEN 'No approval, no approval, approved elsewhere. '
+            WHEN 5 THEN 'Unable to beat a weak market, the rally stops. '
+            ELSE '' END, text) AS title
+        FROM documents""",
     "option_quote": """
         SELECT concat('T', CAST(l_suppkey AS STRING)) AS ticker,
                (l_partkey % 40) + 20.0E0 AS strike, 40.0E0 AS spot,
