@@ -64,7 +64,14 @@ def current_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
 
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
     version = current_version(spark, path)
-    return None if version is None else spark.read.parquet(f"{path}/{version[1]}")
+    if version is None:
+        return None
+    return spark.read.parquet(*[f"{path}/{f}" for f in version[1].split(",")])
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a table: a new folder joins those of the version in force, none is rewritten."""
+    _commit(rows, path, keep=True)
 
 
 def overwrite(rows: DataFrame, path: str) -> None:
@@ -75,9 +82,14 @@ def overwrite(rows: DataFrame, path: str) -> None:
     deleted or renamed, so runs that collide cannot lose a table. Older folders stay until they are
     cleared by whoever owns the store.
     """
+    _commit(rows, path, keep=False)
+
+
+def _commit(rows: DataFrame, path: str, keep: bool) -> None:
     spark, path = rows.sparkSession, path.rstrip("/")
     version = current_version(spark, path)
     folder = f"data-{uuid.uuid4().hex}"
     rows.write.parquet(f"{path}/{folder}")
-    (spark.createDataFrame([(version[0] + 1 if version else 1, folder)], VERSION).coalesce(1)
+    folders = [version[1], folder] if version and keep else [folder]
+    (spark.createDataFrame([(version[0] + 1 if version else 1, ",".join(folders))], VERSION).coalesce(1)
      .write.mode("append").parquet(f"{path}/versions"))

@@ -18,10 +18,14 @@ def seed(table: DataFrame, spark: SparkSession, name: str, path: str) -> DataFra
     return upsert(table, last_per_key(log, key, F.struct(*log.columns)), key)
 
 
+def delta(log: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """The new rows whose signature changed."""
+    return cl.changed_rows(new, log, cl.KEYS[name], cl.SIGNATURES[name]())
+
+
 def append(log: DataFrame, new: DataFrame, name: str) -> DataFrame:
     """The log after appending only the rows whose signature changed."""
-    delta = cl.changed_rows(new, log, cl.KEYS[name], cl.SIGNATURES[name]())
-    return upsert(log, delta, schemas.KEYS[name])
+    return upsert(log, delta(log, new, name), schemas.KEYS[name])
 
 
 def compact(log: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.operators.tables import overwrite, read_current, reconcile, replace_slice, upsert
+from eventide.operators.tables import append, overwrite, read_current, reconcile, replace_slice, upsert
 from eventide.plans import current, logs, outcomes
 from eventide.plans.board import Tables, board
 from eventide.schemas import KEYS, TABLES
@@ -56,6 +56,15 @@ class Store:
         new = reconcile(rows, schema).select(*schema.fieldNames())
         self.write(name, upsert(self.read(name), new, KEYS[name]))
 
+    def log(self, name: str, rows: DataFrame) -> None:
+        """Append the changed rows; only a rerun of a day that is logged rewrites the log."""
+        schema, old = TABLES[name], self.read(name)
+        changed = stash(reconcile(logs.delta(old, rows, name), schema).select(*schema.fieldNames()))
+        if changed.join(old.select(*KEYS[name]), KEYS[name], "left_semi").isEmpty():
+            append(changed, self.path(name))
+        else:
+            self.write(name, upsert(old, changed, KEYS[name]))
+
     def tables(self) -> Tables:
         return Tables(**{n: self.read(n) for n in Tables.__dataclass_fields__})
 
@@ -90,7 +99,7 @@ def refresh(store: Store, landed: Landed, today, horizon: int = 180, lookback: i
         F.min("company_name").alias("company_name"))
     mood = current.sentiment(landed.headlines, names, landed.filings, today)
     mood = reconcile(mood, TABLES["sentiment"]).select(*TABLES["sentiment"].fieldNames())
-    store.write("sentiment", logs.append(store.read("sentiment"), mood, "sentiment"))
+    store.log("sentiment", mood)
     pairs = current.implied_pairs(fresh, store.read("prices"), today, implied_horizon)
     store.upsert("implied", current.implied_moves(pairs, landed.quotes, today))
     store.upsert("short_interest", current.latest_short_interest(of_wanted(landed.short_interest),
@@ -101,7 +110,7 @@ def refresh(store: Store, landed: Landed, today, horizon: int = 180, lookback: i
 
     scored = board(store.tables(), today, horizon)
     snap = outcomes.snapshot(scored, today)
-    store.write("verdict_log", logs.append(store.read("verdict_log"), snap, "verdict_log"))
+    store.log("verdict_log", snap)
     store.upsert("outcomes", outcomes.outcomes(
         store.read("catalysts"), landed.bars, today, lookback, landed.benchmark)
         .withColumn("computed_at", day.cast("timestamp")))

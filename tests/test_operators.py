@@ -261,6 +261,9 @@ def test_upsert_slice_reconcile(spark, tmp_path):
     tb.overwrite(old, path)
     tb.overwrite(tb.read_current(spark, path).where("k = 1"), path)
     assert [r.k for r in tb.read_current(spark, path).collect()] == [1]
+    tb.append(old.where("k = 2"), path)
+    assert sorted(r.k for r in tb.read_current(spark, path).collect()) == [1, 2]
+    tb.overwrite(tb.read_current(spark, path).where("k = 1"), path)
     # A run that breaks off after its data is written leaves the table as it was.
     old.write.parquet(f"{path}/data-unfinished")
     assert [r.k for r in tb.read_current(spark, path).collect()] == [1]
