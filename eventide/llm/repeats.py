@@ -45,6 +45,7 @@ RANGE = 400_000
 RANGE_BYTES = 20 << 20
 HOT = 3_000
 BUCKET = 1 << 20
+PAIRS = 1 << 14
 _POSITION_BITS = np.uint64(28)
 
 
@@ -236,6 +237,9 @@ def suffix_array(code: np.ndarray, ends: np.ndarray, region: np.ndarray) -> np.n
 
 def common_prefix(code: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of the suffixes a and b, pair by pair."""
+    if len(a) > PAIRS:
+        return np.concatenate([common_prefix(code, left, a[lo:lo + PAIRS], b[lo:lo + PAIRS])
+                               for lo in range(0, len(a), PAIRS)])
     out = np.zeros(len(a), np.int64)
     most = np.minimum(left[a], left[b])
     act = np.flatnonzero(most > 0)
