@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 import eventide
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 BATCH_BYTES = 8 << 20
 _BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 P = 0x9E3779B97F4A7C15 | 1
@@ -40,7 +40,7 @@ def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     if len(_powers[base]) < n:
-        table = np.full(max(n, CHUNK * 2), base, np.uint64)
+        table = np.full(max(n, CHUNK + 1024), base, np.uint64)
         table[0] = 1
         _powers[base] = np.cumprod(table)
     return _powers[base][:n]

@@ -38,7 +38,7 @@ from eventide.storage import stash
 SHINGLE = 5
 PERCENT = 80
 # Hashes of one vertical fragment, and those a map task holds before it sends them.
-FRAGMENT = 1_000_000
+FRAGMENT = 400_000
 SEGMENTS = 4
 # Up to how many members a group is compared pair by pair; sizes of blocks in larger ones.
 SMALL = 48

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from eventide.llm.batches import map_batches
 
 SAMPLE_DOCS = 96
-SAMPLE_CHARS = 80_000
+SAMPLE_CHARS = 32_000
 FULL_SHARE = 8
 PIECE = 256
 CHARS = 1 << 17
@@ -62,14 +62,8 @@ class Model:
     texts: dict[str, str]
 
     def automata(self) -> Automata:
-        key = tuple(sorted(self.texts.items()))
-        if key not in _built:
-            _built.clear()
-            _built[key] = Automata(self.texts)
-        return _built[key]
-
-
-_built: dict = {}
+        """Built by each task, and gone with it: a worker serves other operators afterwards."""
+        return Automata(self.texts)
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -122,15 +116,17 @@ class Automata:
         for v in parsed.values():
             step = suffix_automaton(self.column[v].tolist())
             # The state past the last follows a character that no match can start with.
-            table = np.full((len(step) + 1, self.width), -1, np.int64)
+            table = np.full((len(step) + 1, self.width), -1, np.int32)
             for state, out in enumerate(step):
                 if out:
                     table[state, list(out)] = list(out.values())
-            start = np.where(table[0] < 0, len(step), table[0])
-            table = np.where(table < 0, start * 2 + 1, table * 2) + 2 * base
+            start = np.where(table[0] < 0, len(step), table[0]).astype(np.int32)
+            del step
+            table = np.where(table < 0, start * 2 + 1, table * 2)
+            table += 2 * base
             table[0] = 2 * (start + base)
             table[:, 2] = 2 * (base + np.arange(len(table)))
-            tables.append(table.astype(np.int32))
+            tables.append(table)
             self.roots.append(base)
             base += len(table)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
@@ -191,15 +187,17 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred",
-            score: str = "score") -> DataFrame:
-    """The documents with two more columns, which replace columns of the same names."""
-    kept = [c for c in docs.columns if c not in (lang, score)]
+            score: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """The documents, or the columns `keep` of them, with two more columns, which replace columns of
+    the same names."""
+    kept = [c for c in keep or docs.columns if c not in (lang, score)]
+    text = kept.index(text_col) if text_col in kept else len(kept)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         automata = known.value.automata()
         for b in batches:
-            texts = b.column("__text").to_pylist()
+            texts = b.column(text).to_pylist()
             lo = 0
             while lo < len(texts):
                 hi, n = lo, 0
@@ -208,14 +206,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "
                     hi += 1
                 names, scores = automata.predict([t or "" for t in texts[lo:hi]])
                 part = b.slice(lo, hi - lo)
-                cols = [c for c, f in zip(part.columns, part.schema, strict=True)
-                        if f.name != "__text"]
                 yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                    [*part.columns[:len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     names=[*kept, lang, score])
                 lo = hi
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept],
+                       *[F.col(f"`{text_col}`").alias("__text")] * (text == len(kept)))
     fields = [docs.schema[c] for c in kept]
     return map_batches(rows, run, T.StructType(
         [*fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))

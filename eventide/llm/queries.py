@@ -60,7 +60,7 @@ def language_model(docs: DataFrame) -> language_id.Model:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     slim = docs.select("doc_id", (id_class(4) == 2).alias("held_out"), "text")
-    return language_id.predict(slim, language_model(docs)).drop("text")
+    return language_id.predict(slim, language_model(docs), keep=["doc_id", "held_out"])
 
 
 @query

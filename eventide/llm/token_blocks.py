@@ -72,9 +72,9 @@ class Encoder:
     space behind it and no letter to a stop behind it: texts are cut there, each different piece is
     encoded once, and pieces seen lately are kept in a table of bounded size."""
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 19
 
-    def __init__(self, path: str, pool_ids: int = 1 << 24):
+    def __init__(self, path: str, pool_ids: int = 1 << 21):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.pool_ids = pool_ids
@@ -121,7 +121,7 @@ class Encoder:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(P, n), out=sums[1:])
         h = mix((sums[end] - sums[start]) * powers(P_INV, n + 1)[start] + (end - start).astype(np.uint64))
         h |= np.uint64(1)
-        slot = (h >> np.uint64(43)).astype(np.int64)
+        slot = (h >> np.uint64(45)).astype(np.int64)
         piece = self.at[slot]
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):

@@ -168,7 +168,7 @@ def near_copies():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("fragment,small", [(1_000_000, 48), (700, 3)])
+@pytest.mark.parametrize("fragment,small", [(400_000, 48), (700, 3)])
 def test_jaccard_brute_force(frame, monkeypatch, fragment, small):
     monkeypatch.setattr(jaccard_join, "FRAGMENT", fragment)
     monkeypatch.setattr(jaccard_join, "SMALL", small)
