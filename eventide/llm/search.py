@@ -32,11 +32,11 @@ from eventide.storage import stash
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD = 24_000
-SHARD_TERMS = 8_000_000
+SHARD = 14_000
+SHARD_TERMS = 4_000_000
 BLOCK = 64
 QUERY_BLOCK = 256
-FRAGMENT = 2_000_000
+FRAGMENT = 1_000_000
 NO_ID = -(1 << 63)  # stands for a null id inside a shard
 
 
@@ -72,9 +72,11 @@ def vectors(docs: DataFrame, is_query: Column, id_col: str, text_col: str) -> Da
 
 
 def _parted(part: np.ndarray, *cols: np.ndarray):
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     part, cols = part[order], [c[order] for c in cols]
-    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(part)], strict=True):
         yield int(part[a]), [c[a:z].tobytes() for c in cols]
 
@@ -112,6 +114,8 @@ def query_terms(vecs: DataFrame, fragments: int) -> DataFrame:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h.append(np.frombuffer(t or b"", np.uint64))
                 owner.append(np.full(len(h[-1]), k, np.int64))
+            if not h:
+                continue
             h, owner = np.concatenate(h), np.concatenate(owner)
             part = (((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int32)
             rows = [(p, *c) for p, c in _parted(part, h, owner)]
@@ -257,7 +261,8 @@ class Shard:
 def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
         text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """query_id, doc_id, rank, score: the k best documents of each query."""
-    vecs = stash(vectors(docs, is_query, id_col, text_col))
+    # The term vectors are larger than they are dear, so each use makes them anew.
+    vecs = vectors(docs, is_query, id_col, text_col)
     total, words, terms, asked = vecs.agg(
         F.count(F.lit(1)), F.sum("n"), F.sum(F.octet_length("terms") / 8), F.sum(F.col("query").cast("int"))).first()
     mean = max(1.0, (words or 0) / max(1, total))
@@ -267,9 +272,9 @@ def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
     # Queries are numbered by a hash that tells rows with the same id and another text apart.
     queries = vecs.where("query").withColumn("k", F.xxhash64("id", "terms"))
     block_of = stash(weighted(frequencies(vecs, fragments), query_terms(queries, fragments), total, blocks))
-    one = F.struct("owners", "terms", "weights")
-    per_block = block_of.groupBy("block").agg(F.collect_list(one).alias("parts"))
-    asks = per_block.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "parts")
+    per_block = stash(block_of.groupBy("block").applyInArrow(_compact, _BLOCK))
+    asks = per_block.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
+                            "owners", "sizes", "places", "terms", "weights")
     index = vecs.select(F.pmod(F.xxhash64("id", "terms"), F.lit(shards)).cast("int").alias("shard"),
                         "id", "n", "terms", "counts")
 
@@ -285,19 +290,16 @@ def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
         place = Shard(np.array([NO_ID if i is None else i for i in ids]), np.array(n), t, c, mean)
         del t, c
         for b in right:
-            for parts in b.column("parts").to_pylist():
-                owner = np.concatenate([np.frombuffer(p["owners"], np.int64) for p in parts])
-                terms_ = np.concatenate([np.frombuffer(p["terms"], np.uint64) for p in parts])
-                weight = np.concatenate([np.frombuffer(p["weights"], np.float64) for p in parts])
-                order = np.lexsort((terms_, owner))
-                owner, terms_, weight = owner[order], terms_[order], weight[order]
-                new = np.append(True, (owner[1:] != owner[:-1]) | (terms_[1:] != terms_[:-1]))
-                owner, terms_, weight = owner[new], terms_[new], weight[new]
-                edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            for r in b.to_pylist():
+                terms_, weight = np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["weights"], np.float64)
+                places = np.frombuffer(r["places"], np.int32)
+                ends = np.cumsum(np.frombuffer(r["sizes"], np.int32)).tolist()
                 out: list = [[], [], []]
-                for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(owner)], strict=True):
-                    for d, s in place.search(terms_[a:z], weight[a:z], k):
-                        for col, v in zip(out, (int(owner[a]), None if d == NO_ID else d, s), strict=True):
+                for owner, a, z in zip(np.frombuffer(r["owners"], np.int64).tolist(), [0, *ends], ends,
+                                       strict=False):
+                    own = places[a:z]
+                    for d, s in place.search(terms_[own], weight[own], k):
+                        for col, v in zip(out, (owner, None if d == NO_ID else d, s), strict=True):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
@@ -312,6 +314,24 @@ def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
     return best.join(names, "k").select("query_id", "doc_id", "rank", "score")
 
 
+_BLOCK = "block int, owners binary, sizes binary, places binary, terms binary, weights binary"
+
+
+def _compact(table: pa.Table) -> pa.Table:
+    """A block of queries with each different term once: per query the places of its terms."""
+    cols = [np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in
+            (("owners", np.int64), ("terms", np.uint64), ("weights", np.float64))]
+    order = np.lexsort((cols[1], cols[0]))
+    owner, term, weight = (c[order] for c in cols)
+    new = np.append(True, (owner[1:] != owner[:-1]) | (term[1:] != term[:-1]))
+    owner, term, weight = owner[new], term[new], weight[new]
+    terms, first, places = np.unique(term, return_index=True, return_inverse=True)
+    owners, sizes = np.unique(owner, return_counts=True)
+    return pa.table({"block": table.column("block").slice(0, 1), **{n: pa.array([v.tobytes()], pa.binary()) for n, v in (
+        ("owners", owners), ("sizes", sizes.astype(np.int32)), ("places", places.astype(np.int32)),
+        ("terms", terms), ("weights", weight[first]))}})
+
+
 def _table(batches) -> pa.Table:
     schema = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
     return pa.Table.from_batches(list(batches), schema)
