@@ -53,6 +53,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     letter = is_letter()[raw]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
+    keep &= raw != 0  # the separator is of no text
     return np.where(letter, raw, 0)[keep], row[keep]
 
 

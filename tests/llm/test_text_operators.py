@@ -109,6 +109,20 @@ def test_language_prediction(frame, odd, nothing):
     assert [tuple(r) for r in none] == [("und", 0.0)]
 
 
+def test_language_rejects_after_a_letter(frame):
+    model = language_id.Model({"en": "the cat sat on the mat", "de": "der hund sass auf der matte"})
+    assert model.automata().phrases(["abc", "123", "", "abc.", "abc"])[1].tolist() == [3, 0, 0, 4, 3]
+    texts = ["the cat", None, "the cat", "", "the cat", "123", "the cat", "1cat", "the cat."]
+    out = [(r["lang_pred"], r["score"]) for r in language_id.predict(
+        frame(list(enumerate(texts))).coalesce(1), model).orderBy("doc_id").collect()]
+    assert [out[k] for k in (1, 3, 5)] == [("und", 0.0)] * 3
+    assert {out[k] for k in (0, 2, 4, 6)} == {out[0]} and out[0][0] == "en"
+    alone = language_id.predict(frame([(7, "1cat")]), model).collect()[0]
+    assert out[7] == (alone["lang_pred"], alone["score"])
+    left = language_id.known_language(frame(list(enumerate(texts))).coalesce(1), model)
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 2, 4, 6, 7, 8]
+
+
 # Quality
 
 def test_non_decreasing():
