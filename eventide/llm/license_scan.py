@@ -7,7 +7,8 @@ template is a candidate whose size is outside t / (2 - t) to (2 - t) / t times t
 so most passages are left out by their size alone; of the others only bigrams that some template has
 are counted.
 
-The templates are a fixed or given list whose size is checked: up to `TEMPLATE_WORDS` words are
+The templates are a fixed list, of notices and of whole licence texts (folder `licences`), or a given
+one; its size is checked: up to `TEMPLATE_WORDS` words are
 broadcast, more are refused.
 
 Defined cases: a null or empty text has no passage and no licence; passages of one word have no
@@ -18,6 +19,8 @@ judged.
 
 from __future__ import annotations
 
+from importlib import resources
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,7 @@ from eventide.llm.batches import ALNUM, LOWER, P, Spans, chunks, map_batches, mi
 THRESHOLD = 0.8
 TEMPLATE_WORDS = 1_000_000
 
-# Notices and short licence texts, as their publishers word them.
+# Notices and passages of licences, as their publishers word them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this "
@@ -71,9 +74,41 @@ TEMPLATES = [
      "a copy of the MPL was not distributed with this file, You can obtain one at "
      "https://mozilla.org/MPL/2.0/."),
     ("all-rights-reserved", "All rights reserved."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, "
+     "are permitted provided that the following conditions are met: 1. Redistributions of source code "
+     "must retain the above copyright notice, this list of conditions and the following disclaimer. "
+     "2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+     "conditions and the following disclaimer in the documentation and/or other materials provided "
+     "with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+     "contributors may be used to endorse or promote products derived from this software without "
+     "specific prior written permission."),
 ]
 
 
+def _notice(thing: str, licence: str, version: str) -> str:
+    """The notice of three paragraphs that the GNU licences ask for at the head of a file."""
+    return (f"This {thing} is free software: you can redistribute it and/or modify it under the terms of "
+            f"the {licence} as published by the Free Software Foundation, either version {version} of "
+            f"the License, or (at your option) any later version. This {thing} is distributed in the hope "
+            "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+            f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {licence} for more details. "
+            f"You should have received a copy of the {licence} along with this {thing}. If not, see "
+            "<https://www.gnu.org/licenses/>.")
+
+
+TEMPLATES += [(f"{short}-{version if '.' in version else version + '.0'}-or-later", _notice(thing, licence, version))
+              for short, licence, versions in (
+                  ("GPL", "GNU General Public License", ("2", "3")),
+                  ("LGPL", "GNU Lesser General Public License", ("2.1", "3")),
+                  ("AGPL", "GNU Affero General Public License", ("3",)))
+              for thing in (("program", "library") if short == "LGPL" else ("program",))
+              for version in versions]
+# Whole texts, a file for each licence.
+TEMPLATES += [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(
+    resources.files("eventide.llm").joinpath("licences").iterdir(), key=lambda f: f.name)
+    if f.name.endswith(".txt")]
+
+
 def _bigrams(s: Spans, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct bigrams within passages: (passage, hash), ordered."""
     inside = np.flatnonzero(passage[:-1] == passage[1:])

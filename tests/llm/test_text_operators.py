@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -70,6 +71,28 @@ def test_license_odd(odd, nothing):
     assert license_scan.matches(odd, []).count() == 11
 
 
+def test_license_whole_texts_and_look_alikes(frame):
+    whole = {}
+    for n, t in license_scan.TEMPLATES:
+        whole[n] = max(t, whole.get(n, ""), key=len)
+    names = sorted(whole)
+    # Wrapped anew as a comment. The GPL holds the notice of GPL-3.0-or-later, so it is kept whole.
+    texts = ["\n\n".join(
+        "\n".join(textwrap.wrap(part, 60, initial_indent=" * ", subsequent_indent=" * "))
+        for part in re.split(r"\n\s*\n", whole[n])) for n in names]
+    parts = [k for k, n in enumerate(names) if len(whole[n].split()) > 30]
+    assert {"BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "GPL-2.0-or-later",
+            "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-or-later", "AGPL-3.0", "AGPL-3.0-or-later",
+            "CC-BY-4.0", "CC-BY-SA-4.0"} <= {names[k] for k in parts}
+    out = {r["doc_id"]: r["found"][0]["license"] if r["found"] else None for r in license_scan.matches(
+        frame([(k, texts[k]) for k in parts])).collect()}
+    assert out == {k: names[k] for k in parts}
+    clauses = re.sub(r"\n(?=[123]\. )", "\n\n", whole["BSD-2-Clause"])
+    one = " ".join(whole["BSD-3-Clause"].split())
+    assert [r["found"][0]["license"] for r in license_scan.matches(
+        frame([(1, "Copyright 2020 Some Owner\n\n" + clauses), (2, one)])).orderBy("doc_id").collect()] == ["BSD-2-Clause", "BSD-3-Clause"]
+
+
 # Language
 
 def test_suffix_automaton_cuts_longest_matches():
