@@ -8,9 +8,10 @@ language of the least value wins.
 Text is lower-cased and every run of characters that are no letters becomes one blank. Documents are
 parsed in pieces of `PIECE` characters, so that many pieces go through the automata in one numpy step.
 
-The training text of a language is a bounded sample: its `SAMPLE_DOCS` documents of least hash, cut
-at `SAMPLE_CHARS` characters. With more than `FULL_SHARE` languages the characters are shared out,
-so the automata of a worker stay within a fixed size at any number of languages.
+The training text of a language is a bounded sample: `SAMPLE_CHARS` characters of its `SAMPLE_DOCS`
+documents of least hash, shared over all of them: short ones are taken whole, of each longer one
+`WINDOWS` windows spread over it. Each language has the same sample however many there are, so the
+automata of a worker grow with the languages, by some megabytes each.
 
 Defined cases: text that is null or has no letter is `und` with score 0, as is every text where no
 language was learned; languages whose sample has no letter are not learned; ties go to the language
@@ -20,6 +21,7 @@ first by code point; repeated rows and ids are judged one by one.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.llm.batches import map_batches
+from eventide.llm.batches import P, map_batches
 
 SAMPLE_DOCS = 96
-SAMPLE_CHARS = 32_000
-FULL_SHARE = 8
+SAMPLE_CHARS = 80_000
+WINDOWS = 4
 PIECE = 256
 CHARS = 1 << 17
 UNKNOWN = "und"
@@ -98,10 +100,11 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Automata:
-    """The automata of all languages in one table.
+    """The automata of all languages: their transitions in one table, at the place of the state plus the
+    character, with the state they are of; two slots of 8 bytes for each.
 
-    An entry is 2 * next state, plus 1 where a phrase ends before the character. Column 0 is the
-    blank, 1 any character no training text has, 2 padding, which changes nothing.
+    Column 0 is the blank, 1 any character no training text has. Where a state has no transition
+    for a character a phrase ends before it, and `start` tells where the next one begins.
     """
 
     def __init__(self, texts: dict[str, str]):
@@ -109,50 +112,92 @@ class Automata:
         parsed = {k: v for k, v in parsed.items() if v.any()}
         self.names = list(parsed)
         seen = np.unique(np.concatenate([*parsed.values(), np.zeros(1, np.uint32)]))[1:]
-        self.column = np.ones(0x110000, np.uint16)
+        self.column = np.ones(0x110000, np.int32)
         self.column[0] = 0
-        self.column[seen] = np.arange(3, len(seen) + 3)
-        self.width = len(seen) + 3
-        tables, self.roots, base = [], [], 0
-        for v in parsed.values():
+        self.column[seen] = np.arange(2, len(seen) + 2)
+        self.width = len(seen) + 2
+        states, cols, nexts, base = [], [], [], 0
+        self.start = np.zeros((len(parsed), self.width), np.int32)
+        for lang, v in enumerate(parsed.values()):
             step = suffix_automaton(self.column[v].tolist())
+            n = np.fromiter(map(len, step), np.int64, len(step))
+            size = int(n.sum())
+            col = np.fromiter(chain.from_iterable(step), np.int64, size)
+            to = np.fromiter(chain.from_iterable(d.values() for d in step), np.int64, size) + base
             # The state past the last follows a character that no match can start with.
-            table = np.full((len(step) + 1, self.width), -1, np.int32)
-            for state, out in enumerate(step):
-                if out:
-                    table[state, list(out)] = list(out.values())
-            start = np.where(table[0] < 0, len(step), table[0]).astype(np.int32)
+            self.start[lang] = len(step) + base
+            self.start[lang, col[:n[0]]] = to[:n[0]]
+            states.append(np.repeat(np.arange(len(step)), n) + base)
+            cols.append(col)
+            nexts.append(to)
+            base += len(step) + 1
             del step
-            table = np.where(table < 0, start * 2 + 1, table * 2)
-            table += 2 * base
-            table[0] = 2 * (start + base)
-            table[:, 2] = 2 * (base + np.arange(len(table)))
-            tables.append(table)
-            self.roots.append(base)
-            base += len(table)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self._store(base, *[np.concatenate([*x, np.zeros(0, np.int64)]) for x in (states, cols, nexts)])
         self.bits = np.log2([max(2, len(v)) for v in parsed.values()])
 
+    def _store(self, n_states: int, state: np.ndarray, col: np.ndarray, to: np.ndarray) -> None:
+        """Give each state a place so that no two transitions share a slot, states of many first."""
+        rng = np.random.default_rng(0)
+        room = 2 * len(state) + 1
+        self.place = np.zeros(n_states, np.int32)
+        self.owner = np.full(room + self.width, -1, np.int32)
+        self.next = np.zeros(room + self.width, np.int32)
+        degree = np.bincount(state, minlength=n_states)[state]
+        high = int(degree.max(initial=0)) + 1
+        while high > 1:
+            low = max(1, high // 2)
+            pick = np.flatnonzero((degree >= low) & (degree < high))
+            rounds = 0
+            while len(pick):
+                s, c = state[pick], col[pick]
+                ids = np.unique(s)
+                rounds += 1
+                if rounds % 64 == 0:  # wide alphabets in a small table may find no place
+                    room += self.width * len(ids)
+                    more = room + self.width - len(self.owner)
+                    self.owner = np.concatenate([self.owner, np.full(more, -1, np.int32)])
+                    self.next = np.concatenate([self.next, np.zeros(more, np.int32)])
+                self.place[ids] = rng.integers(0, room, len(ids))
+                slot = self.place[s] + c
+                bad = np.zeros(n_states, bool)
+                bad[s[self.owner[slot] >= 0]] = True
+                use = ~bad[s]
+                self.owner[slot[use]] = s[use]
+                bad[s[self.owner[slot] != s]] = True
+                undo = use & bad[s] & (self.owner[slot] == s)
+                self.owner[slot[undo]] = -1
+                done = ~bad[s]
+                self.next[slot[done]] = to[pick[done]]
+                pick = pick[~done]
+            high = low
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by language and text, and characters by text."""
         raw, row = code_points(texts)
         size = np.bincount(row, minlength=len(texts)).astype(np.int64)
-        codes = self.column[raw]
         n_pieces = -(-size // PIECE)
+        piece_row = np.repeat(np.arange(len(texts)), n_pieces)
         first = np.cumsum(n_pieces) - n_pieces
         at = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
-        grid = np.full((PIECE, int(n_pieces.sum())), 2, np.int64)
-        grid[at % PIECE, np.repeat(first, size) + at // PIECE] = codes
-        width, table = self.width, self.table
-        state = np.repeat(np.array(self.roots, np.int64)[:, None], grid.shape[1], axis=1)
-        ends = np.ones(state.shape, np.int64)
-        for line in grid:
-            state *= width
-            state += line
-            found = table[state]
-            ends += found & 1
-            np.right_shift(found, 1, out=state)
-        piece_row = np.repeat(np.arange(len(texts)), n_pieces)
+        # Long pieces first, so those that still run are the left columns.
+        length = np.minimum(size[piece_row] - (np.arange(len(piece_row)) - first[piece_row]) * PIECE, PIECE)
+        order = np.argsort(-length, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        grid = np.zeros((PIECE, len(order)), np.int64)
+        grid[at % PIECE, place[np.repeat(first, size) + at // PIECE]] = self.column[raw]
+        running = len(order) - np.searchsorted(np.sort(length), np.arange(PIECE), side="right")
+        ends = np.ones((len(self.names), len(order)), np.int64)
+        state = self.start[:, grid[0]]
+        for line, n in zip(grid[1:], running[1:].tolist(), strict=True):
+            if not n:
+                break
+            state, line = state[:, :n], line[:n]
+            slot = self.place[state] + line
+            miss = self.owner[slot] != state
+            ends[:, :n] += miss
+            state = np.where(miss, self.start[:, line], self.next[slot])
+        piece_row = piece_row[order]
         return np.array([np.bincount(piece_row, weights=e, minlength=len(texts))
                          for e in ends]).reshape(len(self.names), len(texts)), size
 
@@ -179,12 +224,23 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
                            order.alias("__order")).where("__lang is not null and __text is not null")
     # The limit is pushed below the shuffle, so a language sends at most this many rows per task.
     rows = (slim.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= sample_docs)
-            .select("__lang", F.substring("__text", 1, sample_chars).alias("__text"), "__n"))
+            .select("__lang", "__text", "__n", F.length("__text").cast("long").alias("__len")))
+    # The level up to which all texts are taken, so that they come to the characters asked for.
+    one = Window.partitionBy("__lang")
+    rising = one.orderBy("__len", "__n")
+    level = (sample_chars - F.sum("__len").over(rising.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__len")
+             ) / (F.count(F.lit(1)).over(one) - F.row_number().over(rising) + 1)
+    rows = (rows.withColumn("__level", level)
+            .withColumn("__take", F.greatest(F.lit(1), F.max("__level").over(one).cast("int"))))
+    part = F.greatest(F.lit(1), F.expr(f"__take div {WINDOWS}")).cast("int")
+    parts = [F.substring(F.col("__text"), (F.lit(1) + F.floor((F.col("__len") - part) * k / (WINDOWS - 1))).cast("int"),
+                         part) for k in range(WINDOWS)]
+    rows = rows.select("__lang", "__n", F.when(F.col("__len") <= F.col("__take"), F.col("__text"))
+                       .otherwise(F.concat_ws("\n", *parts)).alias("__text"))
     texts: dict[str, list] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["__lang"], r["__n"])):
         texts.setdefault(r["__lang"], []).append(r["__text"])
-    each = sample_chars if len(texts) <= FULL_SHARE else max(1000, sample_chars * FULL_SHARE // len(texts))
-    return Model({k: "\n".join(v)[:each] for k, v in texts.items()})
+    return Model({k: "\n".join(v) for k, v in texts.items()})
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred",

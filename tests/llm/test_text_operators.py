@@ -146,6 +146,18 @@ def test_language_rejects_after_a_letter(frame):
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 2, 4, 6, 7, 8]
 
 
+def test_language_sample_is_of_all_documents(frame):
+    # Each document has a letter of its own; the first, long one changes along the text.
+    long = "".join(chr(0x4E00 + k // 10) for k in range(20_000))
+    short = ["".join(chr(0x3B1 + k) * 20) for k in range(20)]
+    docs = frame([(0, long, "aa")] + [(k + 1, t, "aa") for k, t in enumerate(short)]
+                 + [(100 + k, "abc " * 3000, f"l{k:03}") for k in range(12)])
+    texts = language_id.train(docs, order=F.col("doc_id"), sample_chars=2000).texts
+    assert all(t in texts["aa"] for t in short)
+    assert long[0] in texts["aa"] and long[-1] in texts["aa"] and long[len(long) // 3] in texts["aa"]
+    assert {1900 < len(t) <= 2000 + 30 for t in texts.values()} == {True} and len(texts) == 13
+
+
 # Quality
 
 def test_non_decreasing():
