@@ -434,8 +434,8 @@ def covered(texts: DataFrame, total: int, hot: int = HOT) -> DataFrame:
     whole = places.where("same > 1").select("label", F.col("first").alias("a"),
                                             (F.col("first") + F.col("size")).alias("z"))
     open_ = places.where("others > 1 and lead = 1")
-    one = texts.groupBy("label").agg(F.min("i").alias("i"))
-    single = texts.join(one.where(F.col("i").isNotNull()), ["label", "i"], "left_semi")
+    one = texts.groupBy(F.col("label").alias("of")).agg(F.min("i").alias("least"))
+    single = texts.join(one, (F.col("label") == F.col("of")) & F.col("i").eqNullSafe(F.col("least")), "left_semi")
     contexts = stash(context_bytes(open_, single).dropDuplicates(["h", "around"]))
     found = whole.unionAll(compared(contexts, hot=hot))
     return found.groupBy("label").agg(F.collect_list(F.struct("a", "z")).alias("cut"))

@@ -289,3 +289,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(
         map(tuple, kept.select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
     assert kept.count() == spark.read.parquet(str(tmp_path / "3")).count()
+
+
+def test_repeats_of_a_null_id(frame):
+    rng = random.Random(11)
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared = noise(260)
+    out = {r["doc_id"]: r["n_removed"] for r in repeats.removed(frame(
+        [(None, noise(300) + shared + noise(300)), (5, noise(250) + shared + noise(350)), (6, noise(500))])).collect()}
+    assert out[6] == 0 and out[None] >= 260 and out[5] >= 260
