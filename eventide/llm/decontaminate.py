@@ -142,26 +142,31 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """Per document: id, n_words, n_hit, items (ids, sorted), spans (word ranges), in one scan.
 
     A benchmark of more than `set_limit` windows is cut by hash into sets of about that size; the
-    documents are then scanned once per set and the ranges of a document united. Only in that case
-    do rows that share an id and a text become one row.
+    documents are then scanned once per set and the ranges of a document united, by id and text; each
+    row is reported, as with one set.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    scans = [_scan(rows if parts == 1 else rows.distinct(), known, False)
-             for parts, known in _parts(benchmark, item_col, item_text, n, set_limit)]
-    if len(scans) == 1:
-        out = scans[0]
+    sets = list(_parts(benchmark, item_col, item_text, n, set_limit))
+    if len(sets) == 1:
+        out = _scan(rows, sets[0][1], False)
     else:
-        united = scans[0]
-        for s in scans[1:]:
-            united = united.unionAll(s)
+        # Equal rows have equal hits: one of them is scanned, and each gets a row of its own again.
+        rows = rows.groupBy("__id", "__text").agg(F.count(F.lit(1)).alias("__copies"))
+        rows = rows.withColumn("__key", F.sha2(F.coalesce(F.col("__text"), F.lit("")), 256))
+        rows = rows.withColumn("__null", F.col("__text").isNull())
+        united = None
+        for _, known in sets:
+            one = _scan(rows, known, False)
+            united = one if united is None else united.unionAll(one)
         cover = F.array_distinct(F.flatten(F.transform(
             F.flatten(F.collect_list("__spans")),
             lambda s: F.sequence(s["first"], s["last"] - 1))))
-        out = (united.groupBy("__id").agg(
+        out = (united.groupBy("__id", "__key", "__null", "__copies").agg(
             F.max("__n_words").alias("__n_words"),
             F.size(cover).cast("long").alias("__n_hit"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"),
-            F.array_sort(F.flatten(F.collect_list("__spans"))).alias("__spans")))
+            F.array_sort(F.flatten(F.collect_list("__spans"))).alias("__spans"))
+            .withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))))
     return out.select(F.col("__id").alias(id_col), F.col("__n_words").alias("n_words"),
                       F.col("__n_hit").alias("n_hit"), F.col("__items").alias("items"),
                       F.col("__spans").alias("spans"))
@@ -173,31 +178,39 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The documents, all columns kept, without hit documents (`remove="documents"`) or without
     the bytes from the first to the last hit word of each span (`remove="spans"`).
 
-    With several window sets the scans follow one another. Whole documents come out alike in any
-    order; spans are then judged on what the earlier scans left.
+    With several window sets the scans follow one another; the spans of all are found in the uncut
+    text and cut at the end.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
     names, out = docs.columns, docs
     cut = F.udf(cut_spans, T.StringType(), useArrow=True)
+    if remove == "spans":
+        empty = F.expr("cast(array() as array<struct<first:int,last:int>>)")
+        out = out.withColumn("__all", empty).withColumn("__words", empty)
     for _, known in _parts(benchmark, item_col, item_text, n, set_limit):
         out = _scan(out.withColumn("__text", F.col(text_col)), known, True)
         if remove == "documents":
             out = out.where("__n_hit = 0").select(*names)
         else:
-            out = out.select(*[cut("__text", "__cuts").alias(c) if c == text_col
-                               else F.col(f"`{c}`") for c in names])
+            out = out.select(*[F.col(f"`{c}`") for c in names], F.concat("__all", "__cuts").alias("__all"),
+                             F.concat("__words", "__spans").alias("__words"))
+    if remove == "spans":
+        out = out.select(*[cut(text_col, "__all", "__words").alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
     return out
 
 
-def cut_spans(text, cuts):
-    """The text without the given byte ranges; null stays null."""
+def cut_spans(text, cuts, words):
+    """The text without the given byte ranges, and what lies between those whose word ranges touch;
+    null stays null."""
     if text is None or not cuts:
         return text
+    first = {w["first"]: c["first"] for w, c in zip(words, cuts, strict=True)}
+    last = {w["last"]: c["last"] for w, c in zip(words, cuts, strict=True)}
     raw, at, kept = text.encode(), 0, []
-    for c in cuts:
-        kept.append(raw[at:c["first"]])
-        at = c["last"]
+    for i, j in merged([(w["first"], w["last"]) for w in words]):
+        kept.append(raw[at:first[i]])
+        at = last[j]
     return b"".join([*kept, raw[at:]]).decode()
 
 

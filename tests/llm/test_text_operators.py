@@ -316,3 +316,17 @@ def test_token_files(spark, odd, nothing, tmp_path):
     assert set(found) == {4, 9} and found[4] == t.encode("one two").ids + [0]
     token_blocks.write(nothing, str(tmp_path / "e"), tokenizer_path())
     assert token_blocks.documents(token_blocks.read(spark, str(tmp_path / "e"))).count() == 0
+
+
+def test_decontamination_is_alike_with_several_sets(frame, spark):
+    item = " ".join(f"w{k}" for k in range(24))
+    bench = spark.createDataFrame([("a", item)], "item_id string, text string")
+    docs = frame([(1, f"x {item} y"), (1, f"x {item} y"), (1, "clean"), (None, item), (None, "other words"), (3, None)])
+    def table(limit):
+        return sorted((str(tuple(r)) for r in decontaminate.hits(docs, bench, set_limit=limit).select(
+            "doc_id", "n_words", "n_hit", "items").collect()))
+    def cut(limit):
+        return sorted(str(r["text"]) for r in decontaminate.clean(
+            docs, bench, remove="spans", set_limit=limit).collect())
+    assert table(4) == table(1000) and len(table(4)) == 6
+    assert cut(4) == cut(1000)
