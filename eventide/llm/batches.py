@@ -26,9 +26,9 @@ _powers = {P: np.ones(1, np.uint64), P_INV: np.ones(1, np.uint64)}
 
 def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """`mapInArrow` whose workers find this package where the driver has it, in batches of a few MB
-    however long the texts are (the session's setting, if it is smaller)."""
+    however long the texts are. That limit is set in the session for good, unless a smaller one holds."""
     session = df.sparkSession
-    if int(session.conf.get(_BYTES_KEY).rstrip("bB")) > BATCH_BYTES:
+    if size_of(session.conf.get(_BYTES_KEY)) > BATCH_BYTES:
         session.conf.set(_BYTES_KEY, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(eventide.__file__)))
     paths = session.sparkContext.environment
@@ -37,6 +37,13 @@ def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def size_of(setting: str) -> int:
+    """Bytes of a size such as 8388608, 64m or 1gb."""
+    digits = setting.strip().lower().rstrip("b")
+    unit = digits[-1:] if digits[-1:] in "kmgt" else ""
+    return int(digits.rstrip("kmgt")) << (10 * (" kmgt".index(unit) if unit else 0))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     if len(_powers[base]) < n:

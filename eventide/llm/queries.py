@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import (chat_preferences, decontaminate, jaccard_join, language_id, license_scan,
-                          mixture, quality, repeats, search, token_blocks)
+from eventide.llm import (chat_preferences, decontaminate, infill, jaccard_join, language_id,
+                          license_scan, mixture, quality, repeats, search, token_blocks)
 from eventide.llm.oracle_sql import ORACLE
 from eventide.storage import shared_dir
 
@@ -111,3 +111,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(table(spark, sf_dir, "documents"), F.pmod("doc_id", F.lit(20)) == 0)
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return infill.restored(cut).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("restored_sha256"))
