@@ -155,3 +155,34 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(text) AS restored_sha256
 FROM s
 """
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """Centroids c0 .. c<rounds> and assignments a0 .. a<rounds>, each made from the one before."""
+    sql = ""
+    for r in range(rounds + 1):
+        if r:
+            sql += f"""
+m{r} AS (SELECT cluster, i, sum(v) AS s, count(*) AS n FROM a{r - 1} JOIN x USING (vec_id) GROUP BY ALL),
+c{r} AS (SELECT c.cluster, c.i, CASE WHEN n IS NULL THEN c.v ELSE (s - (s % n + n) % n) // n END AS v
+         FROM c{r - 1} c LEFT JOIN m{r} USING (cluster, i)),"""
+        sql += f"""
+a{r} AS (SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+           SELECT vec_id, cluster, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{r} c USING (i) GROUP BY ALL)
+         GROUP BY vec_id),"""
+    return sql
+
+
+ORACLE["op13_centroid_clusters"] = f"""
+WITH k AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64
+           AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS (SELECT vec_id, i, CAST(floor(64 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS v
+      FROM (SELECT vec_id, e, unnest(generate_series(1, 64)) AS i FROM k)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM k),
+c0 AS (SELECT cluster, i, v FROM f JOIN x USING (vec_id) WHERE cluster < 16),{_centroid_rounds(3)}
+h AS (SELECT cluster, sha256(string_agg(v, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN h USING (cluster)
+"""

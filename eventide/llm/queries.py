@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import (chat_preferences, decontaminate, infill, jaccard_join, language_id,
-                          license_scan, mixture, quality, repeats, search, token_blocks)
+from eventide.llm import (centroids, chat_preferences, decontaminate, infill, jaccard_join, language_id,
+                          license_scan, mixture, neighbours, quality, repeats, search, token_blocks)
 from eventide.llm.oracle_sql import ORACLE
 from eventide.storage import shared_dir
 
@@ -120,3 +120,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("restored_sha256"))
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.assigned(centroids.clustered(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.top(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0)
