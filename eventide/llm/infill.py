@@ -129,7 +129,7 @@ def transformed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = tuple(s.encode() for s in sentinels)
     kept = [c for c in docs.columns if c not in (*MADE, text_col, _KEY, _TEXT)]
     number = F.coalesce(_name(id_col).cast("string"), F.lit(""))
-    asked = docs.select(*[_name(c) for c in kept],
+    asked = docs.select(*[_name(c).alias(f"k{i}") for i, c in enumerate(kept)],
                         F.sha2(F.concat(F.lit(f"{seed}:"), number).cast("binary"), 256).alias(_KEY),
                         _name(text_col).alias(_TEXT))
 
@@ -142,10 +142,9 @@ def transformed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     for i, (name, _, kind) in enumerate(_MADE)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-2], *[x.cast(kind) for x, (*_, kind) in zip(made, _MADE, strict=True)]],
-                names=[*kept, *MADE])
-    schema = T.StructType([f for f in docs.schema.fields if f.name in kept]
-                          + [T.StructField(n, t) for n, t, _ in _MADE])
-    return map_batches(asked, run, schema)
+                names=schema.names)
+    schema = T.StructType([*asked.schema.fields[:-2], *[T.StructField(n, t) for n, t, _ in _MADE]])
+    return map_batches(asked, run, schema).toDF(*kept, *MADE)
 
 
 def restored(outputs: DataFrame, text_col: str = "text",
@@ -154,16 +153,16 @@ def restored(outputs: DataFrame, text_col: str = "text",
     marks = tuple(s.encode() for s in sentinels)
     kept = [c for c in outputs.columns if c != text_col]
     at = {c: kept.index(c) for c in ("output", "form")}
+    asked = outputs.select(*[_name(c).alias(f"k{i}") for i, c in enumerate(kept)])
 
     def run(batches):
         for b in batches:
             texts = [joined(o.as_py(), f.as_py(), marks) for o, f in
                      zip(_strings(b.column(at["output"])), b.column(at["form"]), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary()).cast(pa.string())],
-                                             names=[*kept, text_col])
-    schema = T.StructType([f for f in outputs.schema.fields if f.name != text_col]
-                          + [T.StructField(text_col, T.StringType())])
-    return map_batches(outputs.select(*[_name(c) for c in kept]), run, schema)
+                                             names=schema.names)
+    schema = T.StructType([*asked.schema.fields, T.StructField("text", T.StringType())])
+    return map_batches(asked, run, schema).toDF(*kept, text_col)
 
 
 def _name(column: str) -> Column:

@@ -161,7 +161,8 @@ def built(x: np.ndarray, links: int = LINKS, ef: int = EF_BUILD) -> Graph:
     top = order[level[order].argmax()]
     order = np.concatenate([[top], order[order != top]])
     nodes = [np.flatnonzero(level >= k).astype(np.int32) for k in range(level.max(initial=0) + 1)]
-    nodes[-1] = np.concatenate([[top], nodes[-1][nodes[-1] != top]]).astype(np.int32)
+    if len(nodes) > 1:  # where a search starts; on the lowest level it may start anywhere
+        nodes[-1] = np.concatenate([[top], nodes[-1][nodes[-1] != top]]).astype(np.int32)
     graph = Graph(x, nodes, [np.full((len(on), links * (1 if k else 2)), -1, np.int32)
                              for k, on in enumerate(nodes)])
     done = 1
