@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ _MASK = 0xFFFFFFFF
 _MULTIPLIER = 73244475
 _STRIDE = 2654435761
 _BIN = 10_000
+#: Clusters of a packed row, and that a drawing task holds at most.
+_PACK, _HOLD = 1 << 17, 1 << 22
+#: Draws of a block of replicates, blocks of a cell, draws at a time.
+_WORK, _PARTS, _PIECE = 1 << 22, 40, 1 << 16
 
 
 def long_returns(events: DataFrame, cuts: dict[str, str | None], horizons) -> DataFrame:
@@ -38,54 +44,113 @@ def cluster_totals(rows: DataFrame) -> DataFrame:
 
 
 def _numbered(clusters: DataFrame) -> DataFrame:
-    """Dense cluster number per cell, in order of (hash prefix, ticker).
+    """Dense cluster number per cell, in order of (hash prefix, ticker), and the cell's size `c`.
 
     Numbered inside 256 hash slices first and offset by the sizes of the slices before, so no
-    task holds all clusters of a cell.
+    task holds all clusters of a cell. The join is merged along the order the numbering has left.
     """
     live = (clusters.where("n > 0")
             .withColumn("slice", F.substring(F.md5(F.col("ticker").cast("binary")), 1, 2)))
     within = W.partitionBy(*CELL, "slice").orderBy("ticker")
     before = W.partitionBy(*CELL).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     sizes = live.groupBy(*CELL, "slice").agg(F.count("*").alias("m"))
-    offsets = sizes.select(*CELL, "slice",
+    offsets = sizes.select(*CELL, "slice", F.sum("m").over(W.partitionBy(*CELL)).alias("c"),
                            F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"))
     return (live.withColumn("i", F.row_number().over(within) - 1)
-            .join(offsets, [*CELL, "slice"])
+            .join(offsets.hint("merge"), [*CELL, "slice"])
             .select(*CELL, (F.col("offset") + F.col("i")).cast("bigint").alias("idx"),
-                    "total", "n"))
+                    "total", "n", "c"))
 
 
-def _mix(x: Column) -> Column:
-    """Integer mixing on 32 bits, within a signed 64-bit product."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Integer mixing on 32 bits, held in unsigned 64-bit values."""
     for _ in range(2):
-        x = (F.shiftright(x, 16).bitwiseXOR(x) * _MULTIPLIER).bitwiseAND(_MASK)
-    return F.shiftright(x, 16).bitwiseXOR(x)
+        x = (((x >> np.uint64(16)) ^ x) * np.uint64(_MULTIPLIER)) & np.uint64(_MASK)
+    return (x >> np.uint64(16)) ^ x
 
 
-def replicate_means(clusters: DataFrame, cells: DataFrame, n_boot: int, seed: int) -> DataFrame:
+def drawn_sums(h: int, c: int, reps: np.ndarray, lo: int, values: np.ndarray) -> np.ndarray:
+    """Per replicate the sums of the columns of `values` over its draws.
+
+    A replicate draws c of c clusters; `values` has those numbered from `lo` on, and draws of others add
+    nothing. Work goes in pieces of `_PIECE` draws.
+    """
+    out = np.zeros((len(reps), values.shape[1]))
+    starts = _mixed(np.uint64(h) ^ _mixed(reps.astype(np.uint64)))
+    whole = len(values) == c
+    rows = max(1, _PIECE // c)
+    for r in range(0, len(reps), rows):
+        for k in range(0, c, _PIECE):
+            steps = np.arange(k + 1, min(c, k + _PIECE) + 1, dtype=np.uint64) * np.uint64(_STRIDE)
+            x = (starts[r:r + rows, None] + steps) & np.uint64(_MASK)
+            at = (_mixed(x) % np.uint64(c)).astype(np.int64)
+            if whole:
+                out[r:r + rows] += values[at].sum(axis=1)
+            else:
+                mine = (at >= lo) & (at < lo + len(values))
+                row, col = np.nonzero(mine)
+                np.add.at(out, r + row, values[at[row, col] - lo])
+    return out
+
+
+def replicate_means(clusters: DataFrame, n_boot: int, seed: int) -> DataFrame:
     """Mean of every bootstrap replicate per cell: clusters drawn with replacement.
 
-    Draws are a pure function of (seed, cell, replicate, draw), so a lost task redoes the same
-    draws. Replicates are spread over all partitions; a draw meets its cluster by equi-join, and
-    clusters enter as (sum, count), so nothing larger than a cluster row moves.
+    The (sum, count) of a cell's clusters are packed into arrays by number, once for each block of
+    replicates. A task draws and adds up in these arrays, so no draw is ever a row. Draws are a pure
+    function of (seed, cell, replicate, draw); a lost task redoes the same draws. Blocks of replicates
+    follow the work of a cell, so the draws of a large cell spread over tasks, and a task holds at most
+    `_HOLD` clusters at a time.
     """
-    spark = clusters.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     label = F.concat_ws("|", F.lit(str(seed)), *[F.col(x) for x in CELL])
     cell_hash = F.conv(F.substring(F.md5(label.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    reps = (cells.where("n_clusters > 0")
-            .select(*CELL, F.col("n_clusters").alias("c"), cell_hash.alias("h"),
-                    F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"))
-            .repartition(width, *CELL, "b")
-            .withColumn("h", _mix(F.col("h").bitwiseXOR(_mix(F.col("b").cast("bigint"))))))
-    draws = (reps.select(*CELL, "b", "h", "c",
-                         F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c"))).alias("k"))
-             .select(*CELL, "b", (_mix((F.col("h") + F.col("k") * _STRIDE).bitwiseAND(_MASK))
-                                  % F.col("c")).alias("idx")))
-    return (draws.join(_numbered(clusters), [*CELL, "idx"])
-            .groupBy(*CELL, "b")
-            .agg((F.sum("total") / F.sum("n")).alias("m")))
+    numbered = _numbered(clusters).withColumns(
+        {"block": F.floor(F.col("idx") / _PACK), "h": cell_hash})
+
+    def pack(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("idx").to_numpy(), kind="stable")
+        total, n = (table.column(x).to_numpy()[order].astype(np.float64) for x in ("total", "n"))
+        c = table.column("c")[0].as_py()
+        parts = max(1, min(_PARTS, n_boot, -(-c * n_boot // _WORK)))
+        cut = [n_boot * i // parts for i in range(parts + 1)]
+        one = table.slice(0, 1).select([*CELL, "c", "h", "block"])
+        rows = pa.concat_tables([one] * parts)
+        packed = pa.array([np.column_stack([total, n]).tobytes()] * parts, pa.large_binary())
+        return (rows.append_column("first", pa.array(cut[:-1], pa.int32()))
+                .append_column("last", pa.array(cut[1:], pa.int32()))
+                .append_column("packed", packed.cast(pa.binary())))
+
+    def draw(batches):
+        now, held, sums = None, [], None
+
+        def add():
+            values = np.concatenate([v for _, v in held])
+            return sums + drawn_sums(now[4], now[3], reps, held[0][0] * _PACK, values)
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = tuple(row[x] for x in (*CELL, "c", "h", "first", "last"))
+                if key != now:
+                    if held:
+                        yield _means(now, reps, add())
+                    now, held, reps = key, [], np.arange(row["first"] + 1, row["last"] + 1)
+                    sums = np.zeros((len(reps), 2))
+                elif sum(len(v) for _, v in held) >= _HOLD:
+                    sums, held = add(), []
+                held.append((row["block"], np.frombuffer(row["packed"]).reshape(-1, 2)))
+        if held:
+            yield _means(now, reps, add())
+    kinds = ", ".join(f"{x} string" for x in CELL)
+    packs = numbered.groupBy(*CELL, "block").applyInArrow(
+        pack, f"{kinds}, c bigint, h bigint, block bigint, first int, last int, packed binary")
+    keys = [*CELL, "first"]
+    return (packs.repartition(*keys).sortWithinPartitions(*keys, "block")
+            .mapInArrow(draw, f"{kinds}, b bigint, m double"))
+
+
+def _means(key: tuple, reps: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [*[pa.array([v] * len(reps), pa.string()) for v in key[:len(CELL)]],
+         pa.array(reps.astype(np.int64)), pa.array(sums[:, 0] / sums[:, 1])], names=[*CELL, "b", "m"])
 
 
 def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -105,6 +170,7 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
               .withColumn("_start", F.col("_end") - F.col("_m"))
               .where("(_lo >= _start and _lo < _end) or (_hi >= _start and _hi < _end)")
               .select(*keys, "_bin", "_start", "_lo", "_hi"))
+    middle = stash(middle)  # two bins a group: its size, not a guess, decides the join
     inside = (known.join(middle, [*keys, "_bin"])
               .groupBy(*keys, "_bin", "_start", "_lo", "_hi", value)
               .agg(F.count("*").alias("_k")))
@@ -134,7 +200,7 @@ def summarize(events: DataFrame, cuts: dict[str, str | None], horizons,
         F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("n_clusters"),
         (F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"),
         (F.sum("hits") / F.nullif(F.sum("n"), F.lit(0))).alias("hit_rate"))
-    means = replicate_means(clusters, cells, n_boot, seed)
+    means = replicate_means(clusters, n_boot, seed)
     centred = F.col("m") - F.avg("m").over(W.partitionBy(*CELL))
     ends = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     boot = (means.withColumn("dev", F.abs(centred)).join(cells.select(*CELL, "mean"), CELL)
