@@ -20,7 +20,7 @@ from eventide.plans import calendar as cal
 from eventide.plans import current, logs, outcomes, studies
 from eventide.schemas import TABLES
 from eventide.sources import readers as rd
-from eventide.storage import shared_dir, spread
+from eventide.storage import shared_dir
 
 QUERIES: dict = {}
 KINDS = {k: ((k, f"{k}_b"), "shares" if k == "shares" else "USD")
@@ -55,6 +55,15 @@ def B(s: SparkSession, d: str, name: str) -> DataFrame:
     return px.base(s, d, name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of a few files over all cores; a table of many files stays as it is scanned.
+
+    Told by the number of files alone, so nothing runs while the plan is built.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def market(s, d) -> studies.Market:
     return studies.Market(
         bars=V(s, d, "price_bar"), filings=V(s, d, "filing_index"), facts=V(s, d, "xbrl_fact"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
 from eventide.storage import stash
+from eventide.workers import find_package
 
 CELL = ["cut", "bucket", "horizon"]
 _MASK = 0xFFFFFFFF
@@ -139,6 +140,7 @@ def replicate_means(clusters: DataFrame, n_boot: int, seed: int) -> DataFrame:
                 held.append((row["block"], np.frombuffer(row["packed"]).reshape(-1, 2)))
         if held:
             yield _means(now, reps, add())
+    find_package(clusters.sparkSession)
     kinds = ", ".join(f"{x} string" for x in CELL)
     packs = numbered.groupBy(*CELL, "block").applyInArrow(
         pack, f"{kinds}, c bigint, h bigint, block bigint, first int, last int, packed binary")

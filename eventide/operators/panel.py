@@ -48,14 +48,14 @@ def price_panel(bars: DataFrame, start, end, tickers: DataFrame | None = None,
     """Panel of tickers with enough closes, plus `pos`, the trading-day position.
 
     The position counts the distinct days of all usable tickers; a missing cell is an absent
-    row and is never filled. The calendar is written to shared storage, so the bars are not read
-    again for it; the benchmark filter reaches the scan, as the ticker partitions the window.
+    row and is never filled. The usable bars are written to shared storage once: rows, calendar and
+    benchmark all come from there, so the bars and what they derive from are not read again.
     """
-    usable = (windowed_bars(bars, start, end, tickers, benchmark)
-              .withColumn("n_closes", F.count("close").over(W.partitionBy("ticker")))
-              .where(F.col("n_closes") >= fv.MIN_CLOSES).drop("n_closes"))
-    cal = stash(usable.select("day").distinct().withColumn(
-        "pos", F.row_number().over(W.orderBy("day")) - 1))
+    usable = stash(windowed_bars(bars, start, end, tickers, benchmark)
+                   .withColumn("n_closes", F.count("close").over(W.partitionBy("ticker")))
+                   .where(F.col("n_closes") >= fv.MIN_CLOSES).drop("n_closes"))
+    cal = usable.select("day").distinct().withColumn(
+        "pos", F.row_number().over(W.orderBy("day")) - 1)
     rows = usable.join(F.broadcast(cal), "day")
     return Panel(rows, cal, rows.where(F.col("ticker") == benchmark).select("pos", "day", "close"))
 

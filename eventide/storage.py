@@ -32,14 +32,3 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small input over all cores.
-
-    A scan is split by file and row group, so an input of a few row groups keeps most cores idle
-    while its texts are matched. With a split for every core the input is returned as it is, and
-    nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
