@@ -3,30 +3,70 @@
 All of these share one shape that stays safe under skew. Facts are first reduced to one row per
 key and day with partial aggregation, and probes to their distinct key-days, so a key never
 brings more rows to one window task than there are days in the calendar, however many rows it
-holds. One window pass over the union gives the state of every probe day, and an equi-join on
-(key, day), which adaptive execution can split, carries it back to all probe rows.
+holds. What is known on a day is a `Feature`: its daily facts and the running states over them.
+`with_features` puts the facts of any number of features and the probe days on one timeline per
+key, shuffles it once, and takes all states in passes over that one partition. An equi-join on
+(key, day), which adaptive execution can split, carries them back to all probe rows; probes that are
+few per key and day ride on the timeline themselves and need no way back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def day_number(c: Column) -> Column:
-    return F.datediff(c, F.lit("1970-01-01").cast("date"))
+@dataclass(frozen=True)
+class Feature:
+    """Facts by day and what they amount to.
+
+    `daily` has the key, `day` and value columns (null in the rows of other features); `state` adds the
+    `columns` to a stream that holds them, by windows over the key. `otherwise` stands in for columns of
+    probes without a key or day.
+    """
+
+    daily: DataFrame
+    state: Callable[[DataFrame], DataFrame]
+    columns: tuple[str, ...]
+    otherwise: dict | None = None
 
 
-def timeline(probes: DataFrame, daily: DataFrame, key: str, probe_day: str,
-             day: str) -> DataFrame:
-    """Daily facts (kind 0) and distinct probe days (kind 1) as one stream per key."""
-    asked = (probes.select(key, F.col(probe_day).alias("day"))
-             .where(F.col(key).isNotNull() & F.col("day").isNotNull()).distinct()
-             .withColumn("kind", F.lit(1)))
-    facts = (daily.where(F.col(key).isNotNull() & F.col(day).isNotNull())
-             .withColumnRenamed(day, "day").withColumn("kind", F.lit(0)))
-    return facts.unionByName(asked, allowMissingColumns=True)
+def with_features(probes: DataFrame, features: list[Feature], key: str, probe_day: str,
+                  carry: bool = False) -> DataFrame:
+    """Probe rows with the columns of all features as of their day.
+
+    With `carry` the rows themselves are on the timeline. They must then be few per key and day (such
+    as one per event date), with key and day never null.
+    """
+    if carry:
+        asked = probes.select(F.col(key), F.col(probe_day).alias("day"), F.lit(1).alias("kind"),
+                              F.struct(*[F.col(c) for c in probes.columns]).alias("_event"))
+    else:
+        asked = (probes.select(key, F.col(probe_day).alias("day"))
+                 .where(F.col(key).isNotNull() & F.col("day").isNotNull()).distinct()
+                 .withColumn("kind", F.lit(1)))
+    facts = [f.daily.where(F.col(key).isNotNull() & F.col("day").isNotNull())
+             .withColumn("kind", F.lit(0)) for f in features]
+    stream = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [asked, *facts])
+    for f in features:
+        stream = f.state(stream)
+    state = stream.where("kind = 1")
+    made = [c for f in features for c in f.columns]
+    if carry:
+        return state.select("_event.*", *made)
+    out = (probes.join(state.select(key, F.col("day").alias(probe_day), *made), [key, probe_day],
+                       "left"))
+    fill = {c: v for f in features for c, v in (f.otherwise or {}).items()}
+    return out.fillna(fill) if fill else out
+
+
+def day_number(c: Column) -> Column:
+    return F.datediff(c, F.lit("1970-01-01").cast("date"))
 
 
 def in_order(key: str, strict: bool = False) -> W:
@@ -36,25 +76,28 @@ def in_order(key: str, strict: bool = False) -> W:
             .rowsBetween(W.unboundedPreceding, W.currentRow))
 
 
-def attach(probes: DataFrame, state: DataFrame, key: str, probe_day: str) -> DataFrame:
-    """Equi-join probe-day state back to every probe row."""
-    return (probes.join(state.withColumnRenamed("day", probe_day), [key, probe_day], "left"))
-
-
-def asof_join(probes: DataFrame, facts: DataFrame, key: str, probe_day: str, fact_day: str,
-              values: list[str], strict: bool = False,
-              tie: Column | None = None) -> DataFrame:
-    """Latest fact on or before (strictly before when `strict`) each probe day.
+def latest_feature(facts: DataFrame, key: str, fact_day: str, values: list[str],
+                   strict: bool = False, tie: Column | None = None, name: str = "_latest") -> Feature:
+    """Values of the latest fact on or before (strictly before when `strict`) each day.
 
     `tie` picks among facts of one key and day: the greatest value wins.
     """
     packed = F.struct(*[F.col(v) for v in values])
     rank = tie if tie is not None else packed
-    daily = facts.groupBy(key, fact_day).agg(F.max_by(packed, rank).alias("fact"))
-    state = (timeline(probes, daily, key, probe_day, fact_day)
-             .withColumn("fact", F.last("fact", ignorenulls=True).over(in_order(key, strict)))
-             .where("kind = 1").select(key, "day", *[F.col(f"fact.{v}").alias(v) for v in values]))
-    return attach(probes, state, key, probe_day)
+    daily = facts.groupBy(key, F.col(fact_day).alias("day")).agg(F.max_by(packed, rank).alias(name))
+
+    def state(stream):
+        known = F.last(name, ignorenulls=True).over(in_order(key, strict))
+        return stream.withColumn(name, known).withColumns({v: F.col(f"{name}.{v}") for v in values})
+    return Feature(daily, state, tuple(values))
+
+
+def asof_join(probes: DataFrame, facts: DataFrame, key: str, probe_day: str, fact_day: str,
+              values: list[str], strict: bool = False,
+              tie: Column | None = None) -> DataFrame:
+    """Latest fact on or before (strictly before when `strict`) each probe day."""
+    return with_features(probes, [latest_feature(facts, key, fact_day, values, strict, tie)],
+                         key, probe_day)
 
 
 def trailing(key: str, first: int, last: int = 0) -> W:
@@ -62,14 +105,21 @@ def trailing(key: str, first: int, last: int = 0) -> W:
     return W.partitionBy(key).orderBy(day_number(F.col("day"))).rangeBetween(first, last)
 
 
+def product_feature(factors: DataFrame, key: str, factor_day: str, factor: str,
+                    out: str) -> Feature:
+    """Product of all factors dated strictly after each day, 1 when there are none."""
+    daily = (factors.groupBy(key, F.col(factor_day).alias("day"))
+             .agg(F.product(factor).alias("_factor")))
+    later = (W.partitionBy(key).orderBy(F.col("day").desc(), F.col("kind").desc())
+             .rowsBetween(W.unboundedPreceding, W.currentRow))
+
+    def state(stream):
+        return stream.withColumn(out, F.coalesce(F.product("_factor").over(later), F.lit(1.0)))
+    return Feature(daily, state, (out,), {out: 1.0})
+
+
 def range_product(probes: DataFrame, factors: DataFrame, key: str, probe_day: str,
                   factor_day: str, factor: str, out: str) -> DataFrame:
     """Product of all factors dated strictly after each probe day, 1 when there are none."""
-    daily = factors.groupBy(key, factor_day).agg(F.product(factor).alias("f"))
-    later = (W.partitionBy(key).orderBy(F.col("day").desc(), F.col("kind").desc())
-             .rowsBetween(W.unboundedPreceding, W.currentRow))
-    state = (timeline(probes, daily, key, probe_day, factor_day)
-             .withColumn(out, F.coalesce(F.product("f").over(later), F.lit(1.0)))
-             .where("kind = 1").select(key, "day", out))
-    return (attach(probes, state, key, probe_day)
-            .withColumn(out, F.coalesce(F.col(out), F.lit(1.0))))
+    return with_features(probes, [product_feature(factors, key, factor_day, factor, out)],
+                         key, probe_day)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
 from eventide.functions.text import nearest
-from eventide.operators.asof import attach, in_order, timeline
+from eventide.operators.asof import Feature, in_order, with_features
 
 # A kind is (tags in order of preference, unit).
 KINDS = {"cash": (fv.CASH_TAGS, "USD"), "investments": (fv.INVESTMENT_TAGS, "USD"),
@@ -102,28 +102,36 @@ def _burn_rate(tops: list[Column]) -> Column:
     return F.when(avg < 0, -avg).when(avg.isNotNull(), 0.0)
 
 
-def financials_asof(probes: DataFrame, facts: DataFrame, probe_day: str = "asof",
-                    kinds: dict = KINDS) -> DataFrame:
-    """Cash, burn, runway and shares exactly as filed by each probe day.
+def financials_feature(facts: DataFrame, kinds: dict = KINDS) -> Feature:
+    """Cash, burn, runway and shares exactly as filed by each day.
 
     Among facts filed by then the greatest (period end, filing date) wins, so a restatement
-    counts only from its own filing on. Adds NULLs where no cash fact was visible.
+    counts only from its own filing on. NULLs where no cash fact was visible.
     """
     def newest(kind):
         return F.max(kind).over(in_order("ticker"))
-    stream = timeline(probes, _daily_facts(facts, kinds), "ticker", probe_day, "filed")
-    stream = stream.withColumns({k: newest(k) for k in ("cash", "investments", "shares")})
-    stream = _running_top(stream, "burn", 4, "ticker").where("kind = 1")
-    total = F.col("cash.val") + F.coalesce(F.col("investments.val"), F.lit(0.0))
-    burn = F.when(F.col("cash").isNotNull(),
-                  _burn_rate([F.col(f"top{k}") for k in range(1, 5)]))
-    shares = F.when(F.col("cash").isNotNull() & (F.col("shares.val") != 0), F.col("shares.val"))
-    state = stream.select(
-        "ticker", "day", total.alias("cash_usd"), F.col("cash.end").alias("cash_period_end"),
-        F.col("cash.filed").alias("cash_filed"), burn.alias("quarterly_burn_usd"),
-        F.when(burn > 0, nearest(total / (burn / 3.0), 2)).alias("runway_months"),
-        shares.alias("shares_outstanding"))
-    return attach(probes, state, "ticker", probe_day)
+
+    def state(stream):
+        stream = stream.withColumns({k: newest(k) for k in ("cash", "investments", "shares")})
+        stream = _running_top(stream, "burn", 4, "ticker")
+        total = F.col("cash.val") + F.coalesce(F.col("investments.val"), F.lit(0.0))
+        burn = F.when(F.col("cash").isNotNull(),
+                      _burn_rate([F.col(f"top{k}") for k in range(1, 5)]))
+        shares = F.when(F.col("cash").isNotNull() & (F.col("shares.val") != 0), F.col("shares.val"))
+        return stream.withColumns({
+            "cash_usd": total, "cash_period_end": F.col("cash.end"),
+            "cash_filed": F.col("cash.filed"), "quarterly_burn_usd": burn,
+            "runway_months": F.when(burn > 0, nearest(total / (burn / 3.0), 2)),
+            "shares_outstanding": shares})
+    return Feature(_daily_facts(facts, kinds).withColumnRenamed("filed", "day"), state, (
+        "cash_usd", "cash_period_end", "cash_filed", "quarterly_burn_usd", "runway_months",
+        "shares_outstanding"))
+
+
+def financials_asof(probes: DataFrame, facts: DataFrame, probe_day: str = "asof",
+                    kinds: dict = KINDS) -> DataFrame:
+    """Probe rows with the financials filed by their day."""
+    return with_features(probes, [financials_feature(facts, kinds)], "ticker", probe_day)
 
 
 def freshest_tag(facts: DataFrame, kinds: dict = KINDS) -> DataFrame:

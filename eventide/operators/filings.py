@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventide import fixed_values as fv
 from eventide.functions.scoring import dilution_readiness
 from eventide.functions.text import nearest
-from eventide.operators.asof import attach, in_order, timeline, trailing
+from eventide.operators.asof import Feature, in_order, trailing, with_features
 
 
 def has_prefix(form: Column, prefixes) -> Column:
@@ -18,8 +18,7 @@ def has_prefix(form: Column, prefixes) -> Column:
     return out
 
 
-def cadence_asof(probes: DataFrame, filings: DataFrame, probe_day: str = "asof",
-                 distinct_days: bool = True) -> DataFrame:
+def cadence_feature(filings: DataFrame, distinct_days: bool = True) -> Feature:
     """8-K counts of the trailing 30, 90 and 365 days, days since the last, and burst.
 
     Burst is the 90-day count against the trailing-year quarterly rate; it needs a rate of 0.75.
@@ -27,50 +26,63 @@ def cadence_asof(probes: DataFrame, filings: DataFrame, probe_day: str = "asof",
     """
     one = F.lit(1) if distinct_days else F.count("*")
     daily = (filings.where(F.col("form").startswith("8-K") & F.col("filed").isNotNull())
-             .groupBy("ticker", "filed").agg((F.max(one) if distinct_days else one).alias("n"))
-             .withColumn("seen", F.col("filed")))
-
-    def count(days):
-        return F.coalesce(F.sum("n").over(trailing("ticker", -days)), F.lit(0)).cast("int")
-    last = F.last("seen", ignorenulls=True).over(in_order("ticker"))
-    rate = F.col("eightk_365d") / 4.0
-    state = (timeline(probes, daily, "ticker", probe_day, "filed")
-             .select("ticker", "day", "kind", count(30).alias("eightk_30d"),
-                     count(90).alias("eightk_90d"), count(365).alias("eightk_365d"),
-                     F.datediff("day", last).alias("days_since_8k"))
-             .where("kind = 1").drop("kind")
-             .withColumn("burst", F.when(rate >= 0.75, nearest(F.col("eightk_90d") / rate, 3))))
-    return attach(probes, state, "ticker", probe_day)
+             .groupBy("ticker", F.col("filed").alias("day"))
+             .agg((F.max(one) if distinct_days else one).alias("_eightk"))
+             .withColumn("_eightk_day", F.col("day")))
 
+    def state(stream):
+        def count(days):
+            return F.coalesce(F.sum("_eightk").over(trailing("ticker", -days)),
+                              F.lit(0)).cast("int")
+        last = F.last("_eightk_day", ignorenulls=True).over(in_order("ticker"))
+        rate = F.col("eightk_365d") / 4.0
+        return (stream.withColumns({
+            "eightk_30d": count(30), "eightk_90d": count(90), "eightk_365d": count(365),
+            "days_since_8k": F.datediff("day", last)})
+            .withColumn("burst", F.when(rate >= 0.75, nearest(F.col("eightk_90d") / rate, 3))))
+    return Feature(daily, state, ("eightk_30d", "eightk_90d", "eightk_365d", "days_since_8k", "burst"))
 
-def financing_asof(probes: DataFrame, filings: DataFrame, probe_day: str = "asof") -> DataFrame:
-    """Shelf and offering posture on each probe day. Form families are prefix tests."""
+
+def cadence_asof(probes: DataFrame, filings: DataFrame, probe_day: str = "asof",
+                 distinct_days: bool = True) -> DataFrame:
+    """Probe rows with the filing cadence as of their day."""
+    return with_features(probes, [cadence_feature(filings, distinct_days)], "ticker", probe_day)
+
+
+def financing_feature(filings: DataFrame) -> Feature:
+    """Shelf and offering posture on each day. Form families are prefix tests."""
     shelf = has_prefix(F.col("form"), fv.SHELF_FORMS)
     offering = has_prefix(F.col("form"), fv.OFFERING_FORMS)
     daily = (filings.where((shelf | offering) & F.col("filed").isNotNull())
-             .groupBy("ticker", "filed")
-             .agg(F.count_if(shelf).alias("shelves"), F.count_if(offering).alias("offers")))
-    upto = in_order("ticker")
-
-    def last_day(n):
-        return F.max(F.when(F.col(n) > 0, F.col("day"))).over(upto)
-
-    def count(n, frame):
-        return F.coalesce(F.sum(n).over(frame), F.lit(0)).cast("int")
-    age = F.datediff("day", "last_shelf_date")
-    state = (timeline(probes, daily, "ticker", probe_day, "filed")
-             .select("ticker", "day", "kind",
-                     last_day("shelves").alias("last_shelf_date"),
-                     count("shelves", upto).alias("shelf_count"),
-                     last_day("offers").alias("last_offering_date"),
-                     count("offers", trailing("ticker", -730)).alias("offerings_24m"),
-                     count("offers", upto).alias("offerings_total"))
-             .where("kind = 1").drop("kind")
-             .withColumns({
-                 "shelf_age_days": age,
-                 "shelf_live": F.coalesce(age <= fv.SHELF_LIFE_DAYS, F.lit(False)),
-                 "days_since_offering": F.datediff("day", "last_offering_date")}))
-    return attach(probes, state, "ticker", probe_day)
+             .groupBy("ticker", F.col("filed").alias("day"))
+             .agg(F.count_if(shelf).alias("_shelves"), F.count_if(offering).alias("_offers")))
+
+    def state(stream):
+        upto = in_order("ticker")
+
+        def last_day(n):
+            return F.max(F.when(F.col(n) > 0, F.col("day"))).over(upto)
+
+        def count(n, frame):
+            return F.coalesce(F.sum(n).over(frame), F.lit(0)).cast("int")
+        age = F.datediff("day", "last_shelf_date")
+        return (stream.withColumns({
+            "last_shelf_date": last_day("_shelves"), "shelf_count": count("_shelves", upto),
+            "last_offering_date": last_day("_offers"),
+            "offerings_24m": count("_offers", trailing("ticker", -730)),
+            "offerings_total": count("_offers", upto)})
+            .withColumns({
+                "shelf_age_days": age,
+                "shelf_live": F.coalesce(age <= fv.SHELF_LIFE_DAYS, F.lit(False)),
+                "days_since_offering": F.datediff("day", "last_offering_date")}))
+    return Feature(daily, state, (
+        "last_shelf_date", "shelf_count", "last_offering_date", "offerings_24m", "offerings_total",
+        "shelf_age_days", "shelf_live", "days_since_offering"))
+
+
+def financing_asof(probes: DataFrame, filings: DataFrame, probe_day: str = "asof") -> DataFrame:
+    """Probe rows with the financing posture on their day."""
+    return with_features(probes, [financing_feature(filings)], "ticker", probe_day)
 
 
 def with_readiness(posture: DataFrame, runway: str = "runway_months") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.scoring import whole
 from eventide.functions.text import nearest
-from eventide.operators.asof import attach, in_order, timeline, trailing
+from eventide.operators.asof import Feature, in_order, trailing, with_features
 
 WINDOW_DAYS = 90
 
@@ -36,9 +36,8 @@ def _distinct_in_window(tx: DataFrame, window: int, out: str) -> DataFrame:
             .agg(F.sum(out).alias(out)))
 
 
-def insiders_asof(probes: DataFrame, tx: DataFrame, probe_day: str = "asof",
-                  window: int = WINDOW_DAYS) -> DataFrame:
-    """Buys, sells, net, distinct filings and buying filings of days (asof-window, asof].
+def insiders_feature(tx: DataFrame, window: int = WINDOW_DAYS) -> Feature:
+    """Buys, sells, net, distinct filings and buying filings of days (day-window, day].
 
     `tx` holds one row per open-market transaction (ticker, filed_date, accession, code, usd).
     """
@@ -47,27 +46,34 @@ def insiders_asof(probes: DataFrame, tx: DataFrame, probe_day: str = "asof",
     def usd(side):
         return F.coalesce(F.sum(F.when(side, F.col("usd"))), F.lit(0.0))
     daily = (tx.groupBy("ticker", "filed_date").agg(
-        usd(buy).alias("buy"), usd(sell).alias("sell"), F.count("*").alias("rows"))
-        .unionByName(_distinct_in_window(tx, window, "filings"), allowMissingColumns=True)
-        .unionByName(_distinct_in_window(tx.where(buy), window, "buyers"),
+        usd(buy).alias("_buy"), usd(sell).alias("_sell"), F.count("*").alias("_rows"))
+        .unionByName(_distinct_in_window(tx, window, "_filings"), allowMissingColumns=True)
+        .unionByName(_distinct_in_window(tx.where(buy), window, "_buyers"),
                      allowMissingColumns=True))
-    daily = daily.groupBy("ticker", "filed_date").agg(
-        *[F.sum(x).alias(x) for x in ("buy", "sell", "rows", "filings", "buyers")])
-    recent, upto = trailing("ticker", 1 - window), in_order("ticker")
-
-    def total(name, frame, kind):
-        return F.coalesce(F.sum(name).over(frame), F.lit(0)).cast(kind)
-    state = (timeline(probes, daily, "ticker", probe_day, "filed_date")
-             .select("ticker", "day", "kind",
-                     total("buy", recent, "double").alias("insider_buy_usd"),
-                     total("sell", recent, "double").alias("insider_sell_usd"),
-                     total("filings", upto, "int").alias("insider_filings"),
-                     total("buyers", upto, "int").alias("insider_buyers"),
-                     (total("rows", recent, "bigint") > 0).alias("any_insider_activity"))
-             .where("kind = 1").drop("kind")
-             .withColumn("insider_net_usd",
-                         F.col("insider_buy_usd") - F.col("insider_sell_usd")))
-    return attach(probes, state, "ticker", probe_day)
+    daily = daily.groupBy("ticker", F.col("filed_date").alias("day")).agg(
+        *[F.sum(x).alias(x) for x in ("_buy", "_sell", "_rows", "_filings", "_buyers")])
+
+    def state(stream):
+        recent, upto = trailing("ticker", 1 - window), in_order("ticker")
+
+        def total(name, frame, kind):
+            return F.coalesce(F.sum(name).over(frame), F.lit(0)).cast(kind)
+        return (stream.withColumns({
+            "insider_buy_usd": total("_buy", recent, "double"),
+            "insider_sell_usd": total("_sell", recent, "double"),
+            "insider_filings": total("_filings", upto, "int"),
+            "insider_buyers": total("_buyers", upto, "int"),
+            "any_insider_activity": total("_rows", recent, "bigint") > 0})
+            .withColumn("insider_net_usd", F.col("insider_buy_usd") - F.col("insider_sell_usd")))
+    return Feature(daily, state, (
+        "insider_buy_usd", "insider_sell_usd", "insider_filings", "insider_buyers",
+        "any_insider_activity", "insider_net_usd"))
+
+
+def insiders_asof(probes: DataFrame, tx: DataFrame, probe_day: str = "asof",
+                  window: int = WINDOW_DAYS) -> DataFrame:
+    """Probe rows with the insider activity of the days (probe-window, probe]."""
+    return with_features(probes, [insiders_feature(tx, window)], "ticker", probe_day)
 
 
 def newest_filings(filings: DataFrame, today, days: int = WINDOW_DAYS,

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from eventide import fixed_values as fv
 from eventide.functions import buckets as bk
 from eventide.functions.priors import approval_prior, design_bucket
-from eventide.operators.asof import asof_join, range_product
-from eventide.operators.facts import KINDS, financials_asof, periodic_filing_dates
-from eventide.operators.filings import cadence_asof, financing_asof, with_readiness
+from eventide.operators.asof import (Feature, latest_feature, product_feature, range_product,
+                                     with_features)
+from eventide.operators.facts import KINDS, financials_feature, periodic_filing_dates
+from eventide.operators.filings import cadence_feature, financing_feature, with_readiness
 from eventide.operators.inference import summarize
-from eventide.operators.insiders import insiders_asof
+from eventide.operators.insiders import insiders_feature
 from eventide.operators.panel import event_returns, missing_tickers, price_panel
-from eventide.storage import stash
 
 
 @dataclass
@@ -69,31 +69,36 @@ class Study:
 
 
 def filing_returns(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> DataFrame:
-    """Returns of periodic-filing events, entered on the first session on or after the filing.
-
-    The events are stored: every feature attached later reads them twice, as probe days and as rows,
-    and would else repeat the bars and windows below them each time.
-    """
+    """Returns of periodic-filing events, entered on the first session on or after the filing."""
     events = periodic_filing_dates(m.filings, start, end)
     panel = price_panel(m.bars, start, end, events.select("ticker"), m.benchmark)
-    return stash(event_returns(events, panel, horizons, 0))
+    return event_returns(events, panel, horizons, 0)
+
+
+def known_at_entry(m: Market, start, end, horizons, *more: Feature) -> DataFrame:
+    """Filing returns with runway, cash, shares and `more` as known on the entry date.
+
+    A ticker has one event per filing date, so the events ride on its timeline: facts of all features
+    meet them in one shuffle and nothing is joined back.
+    """
+    features = [financials_feature(m.facts, m.kinds or KINDS), *more]
+    return with_features(filing_returns(m, start, end, horizons), features, "ticker", "entry_date",
+                         carry=True)
 
 
-def with_runway(events: DataFrame, m: Market) -> DataFrame:
-    """Runway, cash and shares as known on the entry date; stored, as the next feature reads them
-    twice too."""
-    return stash(financials_asof(events, m.facts, "entry_date", m.kinds or KINDS))
+def restated_cap(price: str = "entry_price") -> Column:
+    """Shares restated by all later splits, times the back-adjusted price."""
+    return F.col("shares_outstanding") * F.col("split_factor") * F.col(price)
 
 
 def with_market_cap(events: DataFrame, splits: DataFrame | None,
                     price: str = "entry_price", day: str = "entry_date") -> DataFrame:
-    """Shares restated by all later splits, times the back-adjusted price."""
+    """Events with shares and a price, and their market value on a day."""
     if splits is None:
         events = events.withColumn("split_factor", F.lit(1.0))
     else:
         events = range_product(events, splits, "ticker", day, "day", "ratio", "split_factor")
-    return (events.withColumn("market_cap", F.col("shares_outstanding") * F.col("split_factor")
-                              * F.col(price)).drop("split_factor"))
+    return events.withColumn("market_cap", restated_cap(price)).drop("split_factor")
 
 
 def _low() -> Column:
@@ -101,8 +106,12 @@ def _low() -> Column:
 
 
 def runway_study(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> Study:
-    e = with_runway(filing_returns(m, start, end, horizons), m).where("cash_usd is not null")
-    e = with_market_cap(e, m.splits)
+    splits = [] if m.splits is None else [
+        product_feature(m.splits, "ticker", "day", "ratio", "split_factor")]
+    e = known_at_entry(m, start, end, horizons, *splits).where("cash_usd is not null")
+    if not splits:
+        e = e.withColumn("split_factor", F.lit(1.0))
+    e = e.withColumn("market_cap", restated_cap()).drop("split_factor")
     distressed = F.coalesce(_low() & (F.col("market_cap") < 300e6), F.lit(False))
     e = e.withColumns({
         "runway_bucket": bk.runway_bucket(F.col("runway_months")),
@@ -113,8 +122,7 @@ def runway_study(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> Study:
 
 
 def cadence_study(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> Study:
-    e = with_runway(filing_returns(m, start, end, horizons), m)
-    e = cadence_asof(e, m.filings, "entry_date")
+    e = known_at_entry(m, start, end, horizons, cadence_feature(m.filings))
     e = e.withColumns({
         "burst_bucket": bk.burst_bucket(F.col("burst")),
         "count_bucket": bk.count_bucket(F.col("eightk_90d")),
@@ -124,17 +132,21 @@ def cadence_study(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> Study:
                                 "by_interaction": "interaction"}, horizons)
 
 
+def short_interest_feature(short_interest: DataFrame) -> Feature:
+    """The reading last published on or before each day; the earlier settlement wins a tie."""
+    return latest_feature(short_interest, "ticker", "published_date",
+                          ["days_to_cover", "shares_short"], name="_reading",
+                          tie=-F.datediff("settlement_date", F.lit("1970-01-01").cast("date")))
+
+
 def short_interest_asof(events: DataFrame, short_interest: DataFrame,
                         day: str = "entry_date") -> DataFrame:
-    """The reading last published on or before each day; the earlier settlement wins a tie."""
-    return asof_join(events, short_interest, "ticker", day, "published_date",
-                     ["days_to_cover", "shares_short"],
-                     tie=-F.datediff("settlement_date", F.lit("1970-01-01").cast("date")))
+    """Events with the short-interest reading known on a day."""
+    return with_features(events, [short_interest_feature(short_interest)], "ticker", day)
 
 
 def squeeze_study(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> Study:
-    e = with_runway(filing_returns(m, start, end, horizons), m)
-    e = short_interest_asof(e, m.short_interest)
+    e = known_at_entry(m, start, end, horizons, short_interest_feature(m.short_interest))
     e = e.withColumns({
         "dtc_bucket": bk.cover_bucket(F.col("days_to_cover")),
         "interaction": bk.interaction(_low(), F.col("days_to_cover") >= 5,
@@ -145,8 +157,7 @@ def squeeze_study(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> Study:
 
 
 def financing_study(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> Study:
-    e = with_runway(filing_returns(m, start, end, horizons), m)
-    e = with_readiness(financing_asof(e, m.filings, "entry_date"))
+    e = with_readiness(known_at_entry(m, start, end, horizons, financing_feature(m.filings)))
     recent = F.coalesce(F.col("days_since_offering") <= 120, F.lit(False))
     e = e.withColumns({
         "recent_deal": F.when(recent, "priced <120d ago").otherwise("no recent deal"),
@@ -159,11 +170,10 @@ def financing_study(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> Study
 
 
 def insider_study(m: Market, start, end, horizons=fv.FACTOR_HORIZONS) -> Study:
-    e = with_runway(filing_returns(m, start, end, horizons), m)
     tx = m.insider_tx.where(F.col("code").isin("P", "S"))
     filers = periodic_filing_dates(m.filings, start, end).select("ticker").distinct()
     tx = tx.join(filers, "ticker", "left_semi")
-    e = insiders_asof(e, tx, "entry_date")
+    e = known_at_entry(m, start, end, horizons, insiders_feature(tx))
     e = e.withColumns({
         "net_bucket": bk.net_flow_bucket(F.col("insider_net_usd")),
         "cluster": F.when(F.col("insider_buyers") >= 3, "cluster buy (3+ filings)")
