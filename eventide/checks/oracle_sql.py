@@ -496,7 +496,7 @@ check("log_evidence_repaired", """
 
 check("freshest_tags", f"""SELECT ticker, kind, tag, count(*) AS n, max(end_date) AS newest FROM {OF_TAG}
     GROUP BY ALL""")
-check("current_financials", f""", f AS {FRESH}, b AS (SELECT ticker, sum(val) / count(*) AS v FROM (
+CURRENT_FACTS = f""", f AS {FRESH}, b AS (SELECT ticker, sum(val) / count(*) AS v FROM (
       SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY end_date DESC, pos, val DESC) AS k
       FROM {OF_TAG} WHERE kind = 'burn' AND end_date - start_date BETWEEN 60 AND 100)
       WHERE k <= 4 GROUP BY ticker),
@@ -509,7 +509,10 @@ check("current_financials", f""", f AS {FRESH}, b AS (SELECT ticker, sum(val) /
     SELECT ticker, round(nullif(total, 0), 8) AS cash_usd, cash_asof,
       round(burn, 8) AS quarterly_burn_usd,
       CASE WHEN burn > 0 AND total <> 0 THEN round_even(total / (burn / 3.0E0), 1) END AS runway_months,
-      nullif(shares, 0) AS shares_outstanding FROM w""")
+      nullif(shares, 0) AS shares_outstanding FROM w"""
+check("current_financials", CURRENT_FACTS)
+check("financials_on_a_date", CURRENT_FACTS.replace(
+    "FROM xbrl_fact", f"FROM (SELECT * FROM xbrl_fact WHERE filed <= {Z})"))
 FORM4 = f"""filed AS (SELECT ticker, filed, accession FROM filing_index
       WHERE filed BETWEEN {DAY} - 90 AND {DAY}),
     tx AS (SELECT l_orderkey AS accession, CASE l_returnflag WHEN 'R' THEN 'P' ELSE 'S' END AS code,
@@ -638,6 +641,16 @@ check("decision_dates", f"""{_FILED}, k AS (SELECT *, make_date(y, 3, 1 + c % 28
     WHERE doc_id % 4 = 1 AND filed BETWEEN {DAY} - 360 AND {DAY})
     SELECT ticker, day AS catalyst_date_lo, CAST(day AS VARCHAR) AS catalyst_date_raw, filed, doc_id FROM k
     QUALIFY row_number() OVER (PARTITION BY ticker, day ORDER BY filed, doc_id) = 1""")
+check("filed_decisions", f""", o AS (SELECT concat('T', o_custkey % (SELECT count(*) FROM supplier)) AS ticker,
+      o_custkey AS k, o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS filed, year(o_orderdate) AS y FROM orders),
+    m AS (SELECT ticker, filed, doc_id, make_date(y + 1, 3, 1 + k % 28) AS catalyst_date_lo,
+        concat('Zelo', k % 50) AS drug_name,
+        ['plaque psoriasis', 'heart failure', 'celiac disease'][1 + k % 3] AS indication FROM o WHERE k % 4 <> 0
+      UNION ALL SELECT ticker, filed, doc_id, make_date(y + 2, 6, 1 + k % 29), concat('Bervo', k % 40),
+        CASE k % 2 WHEN 0 THEN 'severe asthma' ELSE 'sickle cell disease' END FROM o)
+    SELECT ticker, catalyst_date_lo, filed, doc_id, drug_name, indication FROM m
+    WHERE filed BETWEEN {DAY} - 360 AND {DAY}
+    QUALIFY row_number() OVER (PARTITION BY ticker, catalyst_date_lo ORDER BY filed, doc_id) = 1""")
 check("stored_versions", """
     SELECT ticker, cash_usd, cash_asof FROM financials WHERE cash_asof > DATE '2000-04-05'""")
 check("log_round_trip", """SELECT drug_id, snapshot_date, verdict, setup, conviction,

@@ -937,6 +937,19 @@ def decision_dates(s, d):
         "ticker", "catalyst_date_lo", "catalyst_date_raw", "filed", "doc_id")
 
 
+@query
+def filed_decisions(s, d):
+    """All decision dates of filings that state two, with the drug and indication near each."""
+    return cal.decision_rows(V(s, d, "two_date_filing"), px.RUN_DATE).select(
+        "ticker", "catalyst_date_lo", "filed", "doc_id", "drug_name", "indication")
+
+
+@query
+def financials_on_a_date(s, d):
+    """Current financials on a run date before which only part of the facts was filed."""
+    return rounded(current.financials(V(s, d, "xbrl_fact"), KINDS, today=px.STUDY_END))
+
+
 def _folder(s, name: str) -> str:
     return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
 

@@ -226,32 +226,33 @@ def drug_near(text: Column, anchor: Column) -> Column:
     return F.coalesce(*found)
 
 
-def indication_near(text: Column, anchor: Column) -> Column:
-    """The usable indication whose mention starts closest to the anchor.
+def all_matches(text: Column, pattern: str, group: int) -> Column:
+    """array<struct<at, found>>: zero-based offset and a group of every match, in order.
 
     Offsets come from the segments between matches: each match starts after all earlier
     segments and matches.
     """
-    pattern = "(?i)" + fv.INDICATION_PATTERN
-    gaps = F.split(text, pattern, -1)
-    hits = F.arrays_zip(
+    parts = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("phrase"),
-        gaps.alias("gap"))
-    empty = F.array().cast("array<struct<dist:int,at:int,phrase:string>>")
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("found"),
+        F.split(text, pattern, -1).alias("gap"))
+    empty = F.array().cast("array<struct<at:int,found:string>>")
     walked = F.aggregate(
-        hits,
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
+        parts, F.struct(F.lit(0).alias("at"), empty.alias("out")),
         lambda acc, h: F.struct(
             (acc["at"] + F.length(h["gap"])
              + F.coalesce(F.length(h["whole"]), F.lit(0))).alias("at"),
-            F.when(h["phrase"].isNull(), acc["found"]).otherwise(F.array_append(
-                acc["found"],
-                F.struct(F.abs(acc["at"] + F.length(h["gap"]) - anchor).alias("dist"),
-                         (acc["at"] + F.length(h["gap"])).alias("at"),
-                         h["phrase"].alias("phrase")))).alias("found")))
-    near = F.filter(walked["found"], lambda m: m["dist"] <= fv.INDICATION_REACH)
-    tidy = F.transform(near, lambda m: F.struct(
-        m["dist"].alias("dist"), m["at"].alias("at"),
-        tidy_indication(m["phrase"]).alias("phrase")))
+            F.when(h["found"].isNull(), acc["out"]).otherwise(F.array_append(
+                acc["out"], F.struct((acc["at"] + F.length(h["gap"])).alias("at"),
+                                     h["found"].alias("found")))).alias("out")))
+    return walked["out"]
+
+
+def indication_near(text: Column, anchor: Column) -> Column:
+    """The usable indication whose mention starts closest to the anchor."""
+    mentions = all_matches(text, "(?i)" + fv.INDICATION_PATTERN, 1)
+    tidy = F.transform(
+        F.filter(mentions, lambda m: F.abs(m["at"] - anchor) <= fv.INDICATION_REACH),
+        lambda m: F.struct(F.abs(m["at"] - anchor).alias("dist"), m["at"].alias("at"),
+                           tidy_indication(m["found"]).alias("phrase")))
     return F.array_min(F.filter(tidy, lambda m: m["phrase"].isNotNull()))["phrase"]

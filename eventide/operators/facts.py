@@ -52,19 +52,18 @@ def _daily_facts(facts: DataFrame, kinds: dict) -> DataFrame:
     """Per ticker and filing day: the latest-period fact of each kind and the four latest burns.
 
     Both reductions combine before the shuffle (aggregation and window group limit), so a
-    ticker-day with very many facts stays small.
+    ticker-day with very many facts stays small. A row holds one kind.
     """
     known = facts.where(F.col("filed").isNotNull() & F.col("val").isNotNull() & reduce(
         or_, (_is(k, kinds) for k in kinds)))
     rank = F.struct(-_tag_order(kinds), -F.col("pos"))
-
-    def latest(kind):
-        return F.max_by(
-            F.struct(F.col("end_date").alias("end"), F.col("filed"),
-                     rank.alias("rank"), F.col("val")),
-            F.when(_is(kind, kinds), F.struct("end_date", rank, "val"))).alias(kind)
-    balances = (known.where(~_is("burn", kinds)).groupBy("ticker", "filed")
-                .agg(latest("cash"), latest("investments"), latest("shares")))
+    kind = F.coalesce(*[F.when(_is(k, kinds), F.lit(k)) for k in ("cash", "investments", "shares")])
+    top = (known.withColumn("kind", kind).where("kind is not null")
+           .groupBy("ticker", "filed", "kind")
+           .agg(F.max(F.struct("end_date", rank.alias("rank"), "val")).alias("top")))
+    balances = top.select("ticker", "filed", *[F.when(F.col("kind") == k, F.struct(
+        F.col("top.end_date").alias("end"), F.col("filed"), F.col("top.rank").alias("rank"),
+        F.col("top.val").alias("val"))).alias(k) for k in ("cash", "investments", "shares")])
     order = (W.partitionBy("ticker", "filed")
              .orderBy(F.col("end_date").desc(), rank.desc(), F.col("val").desc()))
     burns = (known.where(_is("burn", kinds) & is_quarter_span())
@@ -149,11 +148,15 @@ def freshest_tag(facts: DataFrame, kinds: dict = KINDS) -> DataFrame:
     return dated.join(chosen, ["ticker", "kind", "tag"])
 
 
-def current_financials(facts: DataFrame, kinds: dict = KINDS) -> DataFrame:
+def current_financials(facts: DataFrame, kinds: dict = KINDS, today=None) -> DataFrame:
     """Latest cash, burn, runway and share count per ticker from the freshest tag of each kind.
 
-    Missing cash counts as zero here. Runway needs a positive burn and cash.
+    With a run date, facts filed later, or without a filing date, are not seen: neither the values nor
+    the choice of tags knows them. Missing cash counts as zero here. Runway needs a positive burn and
+    cash.
     """
+    if today is not None:
+        facts = facts.where(F.col("filed") <= F.lit(today).cast("date"))
     fresh = freshest_tag(facts, kinds)
 
     def latest(kind):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
 from eventide.functions.dates import fuzzy_date
-from eventide.functions.text import (drug_near, first_match, html_text, indication_near,
+from eventide.functions.text import (all_matches, drug_near, html_text, indication_near,
                                      simple_stage, stable_id)
 from eventide.operators.tables import reconcile
 from eventide.schemas import TABLES
@@ -29,30 +29,35 @@ def readout_rows(readouts: DataFrame) -> DataFrame:
                 "company_name": F.col("lead_sponsor"), "note": F.lit("clinicaltrials")}))
 
 
-def decision_details(hits: DataFrame, text: str = "text") -> DataFrame:
-    """Decision date, drug and indication of each filing text that states a target date."""
-    pattern = "(?i)" + fv.DECISION_DATE
-    t = F.col(text)
-    found = first_match(t, pattern, 1)
-    rows = (hits.withColumn("_found", found).where("_found is not null")
-            .withColumn("_anchor", F.regexp_instr(t, F.lit(pattern)) - 1)
+def decision_details(hits: DataFrame, text: str = "text", first_only: bool = False) -> DataFrame:
+    """Decision dates that filing texts state, each with the drug and indication near it.
+
+    A text gives a row for each stated date that is a date, at its offset `_at`; with `first_only` it
+    gives one at most, for the first statement, and none if that is no date.
+    """
+    stated = all_matches(F.col(text), "(?i)" + fv.DECISION_DATE, 1)
+    if first_only:
+        stated = F.slice(stated, 1, 1)
+    rows = (hits.withColumn("_m", F.explode(stated))
             .withColumn("catalyst_date_lo",
-                        fuzzy_date(F.replace(F.col("_found"), F.lit(","), F.lit("")))["lo"])
-            .where("catalyst_date_lo is not null"))
-    return (rows.withColumns({"drug_name": drug_near(t, F.col("_anchor")),
-                              "indication": indication_near(t, F.col("_anchor"))})
-            .drop("_found", "_anchor"))
+                        fuzzy_date(F.replace(F.col("_m.found"), F.lit(","), F.lit("")))["lo"])
+            .where("catalyst_date_lo is not null").withColumn("_at", F.col("_m.at")))
+    return (rows.withColumns({"drug_name": drug_near(F.col(text), F.col("_at")),
+                              "indication": indication_near(F.col(text), F.col("_at"))})
+            .drop("_m"))
 
 
-def decision_rows(docs: DataFrame, today, months_back: int = 12) -> DataFrame:
+def decision_rows(docs: DataFrame, today, months_back: int = 12,
+                  first_only: bool = False) -> DataFrame:
     """Decision dates announced in event filings of the trailing year."""
     hits = filing_hits(docs, fv.DECISION_PHRASES, today, months_back).where("ticker is not null")
-    found = decision_details(hits.withColumn("text", html_text(F.col("html")))).drop("text", "html")
-    # All hits are read; of those that state one date the earliest filing stays.
-    rest = F.struct("filed", "doc_id", *[c for c in found.columns if c not in (
-        "ticker", "catalyst_date_lo", "filed", "doc_id")])
+    read = hits.withColumn("text", html_text(F.col("html")))
+    found = decision_details(read, first_only=first_only).drop("text", "html")
+    # All hits are read; of those that state one date the first mention in the earliest filing stays.
+    rest = F.struct("filed", "doc_id", "_at", *[c for c in found.columns if c not in (
+        "ticker", "catalyst_date_lo", "filed", "doc_id", "_at")])
     found = (found.groupBy("ticker", "catalyst_date_lo").agg(F.min(rest).alias("r"))
-             .select("ticker", "catalyst_date_lo", "r.*"))
+             .select("ticker", "catalyst_date_lo", "r.*").drop("_at"))
     return (found.withColumns({
         "catalyst_date_hi": F.col("catalyst_date_lo"),
         "drug_name": F.coalesce("drug_name", F.lit(fv.NO_DRUG_NAME)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from eventide import fixed_values as fv
 from eventide.functions.dates import guided_period
 from eventide.functions.sentiment import Lexicon, lexicon_hits
-from eventide.functions.text import (company_tokens, first_match, headline_key, html_text,
+from eventide.functions.text import (all_matches, company_tokens, headline_key, html_text,
                                      names_company, nearest, squeeze)
 from eventide.operators.facts import KINDS, current_financials
 from eventide.operators.filings import cadence_asof, financing_asof, with_readiness
@@ -26,8 +26,9 @@ def prices(bars: DataFrame, financials: DataFrame, splits: DataFrame | None, tod
     return with_market_cap(p, splits, "last", "asof").drop("asof", "shares_outstanding")
 
 
-def financials(facts: DataFrame, kinds: dict = KINDS) -> DataFrame:
-    return current_financials(facts, kinds)
+def financials(facts: DataFrame, kinds: dict = KINDS, today=None) -> DataFrame:
+    """Current facts of each ticker as filed by the run date."""
+    return current_financials(facts, kinds, today)
 
 
 def unique_headlines(headlines: DataFrame) -> DataFrame:
@@ -121,23 +122,29 @@ def financing(tickers: DataFrame, filings: DataFrame, financial_rows: DataFrame,
     return with_readiness(posture).drop("asof", "shelf_age_days", "runway_months")
 
 
-def guidance_statements(hits: DataFrame, text: str = "text") -> DataFrame:
-    """First guided readout period of each filing text, with its phrase."""
+def guidance_statements(hits: DataFrame, text: str = "text", first_only: bool = False) -> DataFrame:
+    """Guided readout periods of each filing text, with phrase and place.
+
+    With `first_only` just the first statement of a text, and none if it names no period.
+    """
     pattern = "(?i)" + fv.GUIDANCE
-    phrase = first_match(F.col(text), pattern, 0)
-    period = guided_period(F.regexp_extract(F.col(text), pattern, 1))
-    return (hits.withColumn("_p", phrase).where("_p is not null").withColumn("_r", period)
-            .where("_r.lo is not null")
+    stated = F.arrays_zip(all_matches(F.col(text), pattern, 0).alias("whole"),
+                          all_matches(F.col(text), pattern, 1).alias("period"))
+    if first_only:
+        stated = F.slice(stated, 1, 1)
+    return (hits.withColumn("_m", F.explode(stated))
+            .withColumn("_r", guided_period(F.col("_m.period.found"))).where("_r.lo is not null")
             .select(F.upper("ticker").alias("ticker"), "doc_id", "filed",
                     F.col("_r.lo").alias("period_lo"), F.col("_r.hi").alias("period_hi"),
-                    squeeze(F.col("_p")).alias("phrase")))
+                    squeeze(F.col("_m.whole.found")).alias("phrase"),
+                    F.col("_m.whole.at").alias("place")))
 
 
 def newest_statement(statements: DataFrame) -> DataFrame:
-    """The most recent statement per company."""
+    """The most recent statement per company; the first one of a filing that makes several."""
     row = F.struct("filed", "period_lo", "period_hi", "phrase")
-    return (statements.groupBy("ticker")
-            .agg(F.max_by(row, F.struct("filed", "doc_id")).alias("r")).select("ticker", "r.*"))
+    order = F.struct("filed", "doc_id", *([-F.col("place")] if "place" in statements.columns else []))
+    return statements.groupBy("ticker").agg(F.max_by(row, order).alias("r")).select("ticker", "r.*")
 
 
 def guidance(docs: DataFrame, today, months_back: int = 9) -> DataFrame:

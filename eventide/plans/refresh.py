@@ -92,7 +92,7 @@ def refresh(store: Store, landed: Landed, today, horizon: int = 180, lookback: i
 
     def of_wanted(rows):
         return rows.join(wanted, "ticker", "left_semi")
-    store.upsert("financials", current.financials(of_wanted(landed.facts)))
+    store.upsert("financials", current.financials(of_wanted(landed.facts), today=today))
     fins = store.read("financials")
     store.upsert("prices", current.prices(of_wanted(landed.bars), fins, landed.splits, today))
     names = fresh.where("ticker is not null").groupBy("ticker").agg(

@@ -251,6 +251,21 @@ VIEWS = {
                      CAST(year(o_orderdate) + 1 AS STRING), ' for this.')
                  WHEN 2 THEN 'Data expected in due course.' ELSE 'Nothing new.' END, '</p>') AS html
         FROM orders""",
+    "two_date_filing": f"""
+        SELECT cik, doc_id, form, filed, display_name, concat(
+            '<p>The agency accepted the NDA for Zelo', CAST(k % 50 AS STRING), ' for the treatment of ',
+            CASE k % 3 WHEN 0 THEN 'plaque psoriasis' WHEN 1 THEN 'heart failure' ELSE 'celiac disease' END,
+            '. The PDUFA date is March ', CASE WHEN k % 4 = 0 THEN '45' ELSE CAST(1 + k % 28 AS STRING) END, ', ',
+            CAST(year(filed) + 1 AS STRING), '.</p><p>', repeat('Business went on as before &amp; well. ', 50),
+            '</p><p>Work goes on. We filed the BLA for Bervo', CAST(k % 40 AS STRING), ' for patients with ',
+            CASE k % 2 WHEN 0 THEN 'severe asthma' ELSE 'sickle cell disease' END,
+            '. Its target action date is June ', CAST(1 + k % 29 AS STRING), ', ',
+            CAST(year(filed) + 2 AS STRING), '.</p>') AS html
+        FROM (SELECT concat('C', CAST(o_custkey AS STRING)) AS cik, o_orderkey AS doc_id, '8-K' AS form,
+                     CAST(o_orderdate AS DATE) AS filed, o_custkey AS k,
+                     concat('Company ', CAST(o_custkey AS STRING), '  (T',
+                            CAST(o_custkey % {SUPPLIERS} AS STRING), ')  (CIK 1)') AS display_name
+              FROM orders)""",
     "worded_headline": """
         SELECT doc_id, concat(CASE doc_id % 8
             WHEN 0 THEN 'Trial met the primary endpoint and shares surge. '

@@ -190,6 +190,36 @@ def test_decision_details(spark):
     assert r.indication == "gout attacks" and r.drug_name == "ABC-12"
 
 
+def test_every_stated_date_counts(spark):
+    first = "The PDUFA date is March 45, 2026 for the NDA for Alphex for the treatment of gout attacks. "
+    rest = ("q " * 900).join([
+        first, "Its action date is June 7, 2026 for the NDA for Bervo for the treatment of severe asthma. ",
+        "The PDUFA goal date is July 9, 2026; not more. "])
+    t = spark.createDataFrame([(1, rest), (2, "no date here"), (3, None), (4, "")], "id int, text string")
+    got = sorted((r.catalyst_date_lo, r.drug_name, r.indication, rest[r._at:r._at + 5])
+                 for r in cal.decision_details(t).collect())
+    assert got == [(D(2026, 6, 7), "Bervo", "severe asthma", "actio"), (D(2026, 7, 9), None, None, "PDUFA")]
+    assert cal.decision_details(t, first_only=True).count() == 0
+    said = ("Topline data expected in the third quarter of 2026. " + "Data expected in mid-2027.")
+    g = spark.createDataFrame([("t", "d", D(2026, 1, 5), said)], "ticker string, doc_id string, filed date, text string")
+    rows = current.guidance_statements(g).collect()
+    assert [r.period_lo.year for r in sorted(rows, key=lambda r: r.place)] == [2026, 2027]
+    assert current.newest_statement(current.guidance_statements(g)).first().period_lo == D(2026, 7, 1)
+    assert current.guidance_statements(g, first_only=True).count() == 1
+
+
+def test_facts_filed_later_are_not_current(spark):
+    rows = [("T", "cash", "USD", None, D(2025, 3, 31), D(2025, 5, 1), 10.0, "10-Q", 1),
+            ("T", "cash", "USD", None, D(2025, 6, 30), D(2025, 8, 1), 70.0, "10-Q", 2),
+            ("T", "cash_b", "USD", None, D(2025, 9, 30), None, 90.0, "10-Q", 3)]
+    f = spark.createDataFrame(rows, "ticker string, tag string, unit string, start_date date, end_date date, "
+                                    "filed date, val double, form string, pos int")
+    kinds = {k: ((k, f"{k}_b"), "USD") for k in ("cash", "investments", "burn", "shares")}
+    cash = lambda day: [r.cash_usd for r in current.financials(f, kinds, day).collect()]
+    assert cash("2025-07-31") == [10.0] and cash("2025-08-01") == [70.0] and cash("2025-04-30") == []
+    assert cash(None) == [90.0]
+
+
 def test_calendar_and_guidance(spark, tmp_path):
     raw = rd.read_trials(spark, land(tmp_path, "t.json", [trial("NCT1", ["PHASE2"], "2026-11")]))
     got = cal.build_calendar(raw, registry(spark, tmp_path), docs(spark), TODAY).collect()
