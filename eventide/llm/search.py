@@ -10,8 +10,10 @@ Terms are lower-case words of letters and digits; a query is the set of all term
 3. Query blocks go to every shard. The lists of a query's rare terms are added up; the k-th sum is a
    bound that the result must reach. Blocks whose sum plus greatest impacts stays below it are
    skipped, then common terms follow from the greatest down, and documents that can no longer reach
-   the bound, which rises meanwhile, drop out. No document of the true top k is ever dropped.
-4. The k best of all shards are merged. Scores come from global statistics, so they compare.
+   the bound, which rises meanwhile, drop out. The bound is eased by what single precision and rounding
+   can be off, as a part of the greatest possible score, so no document of the true top k is dropped.
+4. A shard returns one packed row per block of queries; those of a block stream by in order and are
+   merged. Scores come from global statistics, so they compare.
 
 Scores are rounded to 6 digits; ties go to the lesser id.
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.batches import ALNUM, LOWER, Spans, chunks, map_batches
@@ -216,7 +218,10 @@ class Shard:
         score = np.bincount(self.docs[take], self.impact[take] * np.repeat(w[rare], size),
                             minlength=self.rows.shape[1])
         row, w_row = row[~rare], w[~rare]
-        slack = 1e-3
+        # Sums in single precision are off by a part of the greatest possible score; scores are rounded
+        # to 6 digits, and equal ones are told apart by id.
+        most = self.block_max[row].max(axis=1) * w_row if len(row) else np.zeros(0)
+        slack = 2e-5 * (score.max(initial=0.0) + most.sum()) + 2e-6
 
         def bound(values: np.ndarray) -> float:
             return np.partition(values, -k)[-k] - slack if len(values) >= k else -1.0
@@ -227,7 +232,6 @@ class Shard:
             live = np.flatnonzero(top >= floor)
             cand = (live[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             cand = cand[(score[cand] + np.repeat(reach[live], BLOCK)) >= floor]
-            most = self.block_max[row].max(axis=1) * w_row
             order = np.argsort(-most)
             left = most.sum()
             value = score[cand]
@@ -243,7 +247,8 @@ class Shard:
                 cand, value = cand[keep], value[keep]
         else:
             cand, value = np.arange(len(score)), score
-        good = np.flatnonzero((value > slack / 10) & (value >= floor) & (cand < self.n))
+        # Weights and impacts are above 0, so a sum is 0 only where no term is shared.
+        good = np.flatnonzero((value > 0) & (value >= floor) & (cand < self.n))
         cand = cand[good]
         exact = np.array([self._exact(d, terms, weights) for d in cand]).round(6)
         best = np.lexsort((self.ids[cand], -exact))[:k]
@@ -273,47 +278,88 @@ def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
     queries = vecs.where("query").withColumn("k", F.xxhash64("id", "terms"))
     block_of = stash(weighted(frequencies(vecs, fragments), query_terms(queries, fragments), total, blocks))
     per_block = stash(block_of.groupBy("block").applyInArrow(_compact, _BLOCK))
-    asks = per_block.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-                            "owners", "sizes", "places", "terms", "weights")
+    asks = per_block.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block",
+                            "owners", "sizes", "places", F.col("terms").alias("terms"), "weights")
     index = vecs.select(F.pmod(F.xxhash64("id", "terms"), F.lit(shards)).cast("int").alias("shard"),
-                        "id", "n", "terms", "counts")
-
-    def run(left, right):
-        ids, n, t, c = [], [], [], []
-        for b in left:
-            ids += b.column("id").to_pylist()
-            n += b.column("n").to_pylist()
-            t += [np.frombuffer(x, np.uint64) for x in b.column("terms").to_pylist()]
-            c += [np.frombuffer(x, np.int32) for x in b.column("counts").to_pylist()]
-        if not ids:
-            return
-        place = Shard(np.array([NO_ID if i is None else i for i in ids]), np.array(n), t, c, mean)
-        del t, c
-        for b in right:
+                        F.lit(-1).alias("block"), "id", "n", "terms", "counts")
+    # The documents of a shard come first, then one block of queries at a time.
+    dealt = (index.unionByName(asks, allowMissingColumns=True).repartition("shard")
+             .sortWithinPartitions("shard", "block"))
+
+    def run(batches):
+        now, docs_, place = None, [], None
+        for b in batches:
             for r in b.to_pylist():
-                terms_, weight = np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["weights"], np.float64)
-                places = np.frombuffer(r["places"], np.int32)
-                ends = np.cumsum(np.frombuffer(r["sizes"], np.int32)).tolist()
-                out: list = [[], [], []]
-                for owner, a, z in zip(np.frombuffer(r["owners"], np.int64).tolist(), [0, *ends], ends,
-                                       strict=False):
-                    own = places[a:z]
-                    for d, s in place.search(terms_[own], weight[own], k):
-                        for col, v in zip(out, (owner, None if d == NO_ID else d, s), strict=True):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                     pa.array(out[2], pa.float64())], names=["k", "doc_id", "score"])
-
-    found = (index.groupBy("shard").cogroup(asks.groupBy("shard"))
-             .applyInArrow(lambda a, b: _table(run(a.to_batches(1000), b.to_batches(1))),
-                           "k long, doc_id long, score double"))
-    w = Window.partitionBy("k").orderBy(F.col("score").desc(), "doc_id")
-    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                if r["shard"] != now:
+                    now, docs_, place = r["shard"], [], None
+                if r["block"] < 0:
+                    docs_.append((NO_ID if r["id"] is None else r["id"], r["n"], np.frombuffer(r["terms"], np.uint64),
+                                  np.frombuffer(r["counts"], np.int32)))
+                    continue
+                if docs_:
+                    ids, n, t, c = zip(*docs_, strict=True)
+                    place, docs_ = Shard(np.array(ids), np.array(n), t, c, mean), []
+                    del ids, n, t, c
+                if place is not None:
+                    yield _packed(r["block"], *_block_search(place, r, k))
+
+    def merge(batches):
+        now, held = None, None
+        for b in batches:
+            for r in b.to_pylist():
+                owners, found, score = (np.frombuffer(r[c], t) for c, t in (
+                    ("owners", np.int64), ("found", np.int64), ("score", np.float64)))
+                part = owners, found.reshape(-1, k), score.reshape(-1, k)
+                if r["block"] != now:
+                    if held is not None:
+                        yield _listed(*held)
+                    now, held = r["block"], part
+                else:
+                    held = owners, *_best(np.concatenate([held[1], part[1]], axis=1),
+                                          np.concatenate([held[2], part[2]], axis=1), k)
+        if held is not None:
+            yield _listed(*held)
+
+    found = map_batches(dealt, run, "block int, owners binary, found binary, score binary")
+    best = map_batches(found.repartition("block").sortWithinPartitions("block"), merge,
+                       "k long, doc_id long, rank int, score double")
     names = queries.select("k", F.col("id").alias("query_id"))
     return best.join(names, "k").select("query_id", "doc_id", "rank", "score")
 
 
+def _block_search(place: Shard, r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners of a block of queries, and per owner ids and scores of the k best (score -1: none)."""
+    terms, weight = np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["weights"], np.float64)
+    places, owners = np.frombuffer(r["places"], np.int32), np.frombuffer(r["owners"], np.int64)
+    ids, scores = np.zeros((len(owners), k), np.int64), np.full((len(owners), k), -1.0)
+    ends = np.cumsum(np.frombuffer(r["sizes"], np.int32)).tolist()
+    for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
+        own = places[a:z]
+        for j, (d, score) in enumerate(place.search(terms[own], weight[own], k)):
+            ids[i, j], scores[i, j] = d, score
+    return owners, ids, scores
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the k entries of greatest score, then least id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
+def _packed(block: int, owners: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (owners, ids, scores)]],
+        names=["block", "owners", "found", "score"])
+
+
+def _listed(owners: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    r, c = np.nonzero(scores >= 0)
+    found = ids[r, c]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(owners[r]), pa.array(found, mask=found == NO_ID), pa.array((c + 1).astype(np.int32)),
+         pa.array(scores[r, c])], names=["k", "doc_id", "rank", "score"])
+
+
 _BLOCK = "block int, owners binary, sizes binary, places binary, terms binary, weights binary"
 
 
@@ -330,8 +376,3 @@ def _compact(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), **{n: pa.array([v.tobytes()], pa.binary()) for n, v in (
         ("owners", owners), ("sizes", sizes.astype(np.int32)), ("places", places.astype(np.int32)),
         ("terms", terms), ("weights", weight[first]))}})
-
-
-def _table(batches) -> pa.Table:
-    schema = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-    return pa.Table.from_batches(list(batches), schema)

@@ -64,6 +64,34 @@ def test_search_brute_force(frame):
         assert [x[2] for x in have] == pytest.approx([x[2] for x in want], abs=2e-6)
 
 
+def test_search_finds_a_word_of_all_documents(frame):
+    """Scores near 0 are results like others: with 3,000 documents that all have it, a word weighs little."""
+    docs = frame([(i, "common" if i % 3 else "common other") for i in range(3000)])
+    out = search.top(docs, F.col("doc_id") == 1, k=10, shard=700).collect()
+    assert sorted((r["rank"], r["doc_id"]) for r in out) == list(enumerate(
+        [i for i in range(16) if i % 3][:10], 1))
+    assert all(0 <= r["score"] < 1e-3 for r in out)
+
+
+def test_search_great_scores(frame):
+    """Whole texts of many rare words: sums of thousands in single precision."""
+    rng = random.Random(7)
+    words = [f"x{k}" for k in range(4000)]
+    base = " ".join(words)
+    texts = [base] + [" ".join(rng.sample(words, 3900)) for _ in range(40)] + ["y"] * 400
+    texts += [texts[5]] * 3
+    docs = frame(list(enumerate(texts)))
+    got = sorted((r["rank"], r["doc_id"]) for r in
+                 search.top(docs, F.col("doc_id") == 0, k=8, shard=200).collect())
+    tok = [t.split() for t in texts]
+    n, mean = len(tok), sum(map(len, tok)) / len(tok)
+    df = Counter(w for t in tok for w in set(t))
+    scores = [(-round(sum(math.log(1 + (n - df[w] + .5) / (df[w] + .5)) * 2.2
+                          / (1 + 1.2 * (.25 + .75 * len(t) / mean)) for w in t if w != "y"), 6), d)
+              for d, t in enumerate(tok)]
+    assert [d for _, d in got] == [d for _, d in sorted(scores)[:8]]
+
+
 def test_search_odd(odd, nothing):
     out = search.top(odd, F.lit(True), k=3).collect()
     assert {r["query_id"] for r in out} == {4, 5, None, 7, 8, 9, 10}
