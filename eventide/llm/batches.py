@@ -6,6 +6,8 @@ chunk (or the longest document) and not the batch. A null text counts as empty e
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -34,7 +36,22 @@ def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
     paths = session.sparkContext.environment
     if root not in paths.get("PYTHONPATH", "").split(os.pathsep):
         paths["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths.get("PYTHONPATH", "")]))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system, as workers live on and the next stage needs it."""
+    pa.default_memory_pool().release_unused()
+    for table in _powers:
+        _powers[table] = np.ones(1, np.uint64)
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def size_of(setting: str) -> int:

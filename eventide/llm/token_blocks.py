@@ -72,9 +72,9 @@ class Encoder:
     space behind it and no letter to a stop behind it: texts are cut there, each different piece is
     encoded once, and pieces seen lately are kept in a table of bounded size."""
 
-    SLOTS = 1 << 19
+    SLOTS = 1 << 21
 
-    def __init__(self, path: str, pool_ids: int = 1 << 21):
+    def __init__(self, path: str, pool_ids: int = 1 << 24):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.pool_ids = pool_ids
@@ -121,7 +121,7 @@ class Encoder:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(P, n), out=sums[1:])
         h = mix((sums[end] - sums[start]) * powers(P_INV, n + 1)[start] + (end - start).astype(np.uint64))
         h |= np.uint64(1)
-        slot = (h >> np.uint64(45)).astype(np.int64)
+        slot = (h >> np.uint64(43)).astype(np.int64)
         piece = self.at[slot]
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
@@ -157,38 +157,42 @@ def blocks(docs: DataFrame, tokenizer_path: str, vocabulary: int = 50_257, end_i
 
     def run(batches):
         enc, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
-        first, number, held, held_ids, docs_of, counts = 0, 0, [], 0, [], []
+        first, number, size, held = 0, 0, 0, []
 
         def close():
-            ids = np.concatenate(held)
-            n = np.array(counts, np.int64)
-            return pa.RecordBatch.from_pylist([{
-                "shard": shard, "block": number, "first": first, "n_ids": len(ids), "bits": bits,
-                "payload": pack(ids, bits), "doc_ids": docs_of,
-                "starts": (np.cumsum(n) - n).tolist(), "counts": counts}], schema)
-
-        schema = pa.schema([
-            ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
-            ("bits", pa.int32()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
-            ("starts", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+            ids = np.concatenate([x for x, _, _ in held])
+            n = np.concatenate([x for _, _, x in held])
+            one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+            return pa.RecordBatch.from_arrays(
+                [*[pa.array([v], kind) for v, kind in ((shard, pa.int32()), (number, pa.int32()), (first, pa.int64()),
+                                                       (len(ids), pa.int64()), (bits, pa.int32()),
+                                                       (pack(ids, bits), pa.binary()))],
+                 one(pa.concat_arrays([x for _, x, _ in held])), one(pa.array(np.cumsum(n) - n)), one(pa.array(n))],
+                names=["shard", "block", "first", "n_ids", "bits", "payload", "doc_ids", "starts", "counts"])
+
         for b in batches:
-            names = b.column(0).to_pylist()
             data, offs = text_bytes(b.column(1))
             lo = 0
-            while lo < len(names):
-                hi = min(len(names), max(lo + 1, int(np.searchsorted(offs, offs[lo] + CHUNK))))
+            while lo < b.num_rows:
+                hi = min(b.num_rows, max(lo + 1, int(np.searchsorted(offs, offs[lo] + CHUNK))))
                 ids, edges = enc.encode(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
-                for k in range(lo, hi):
-                    held.append(np.append(ids[edges[k - lo]:edges[k - lo + 1]], np.uint32(end_id)))
-                    docs_of.append(names[k])
-                    counts.append(len(held[-1]))
-                    held_ids += counts[-1]
-                    if held_ids >= block:
+                n = np.diff(edges) + 1
+                ends = np.cumsum(n)
+                flat = np.full(ends[-1], end_id, np.uint32)
+                body = np.ones(len(flat), bool)
+                body[ends - 1] = False
+                flat[body] = ids
+                a = 0
+                while a < len(n):
+                    before = int(ends[a - 1]) if a else 0
+                    z = min(len(n), a + int(np.searchsorted(ends[a:], before + block - size)) + 1)
+                    held.append((flat[before:ends[z - 1]], b.column(0).slice(lo + a, z - a), n[a:z]))
+                    size, a = size + int(ends[z - 1]) - before, z
+                    if size >= block:
                         yield close()
-                        first, number = first + held_ids, number + 1
-                        held, held_ids, docs_of, counts = [], 0, [], []
+                        first, number, size, held = first + size, number + 1, 0, []
                 lo = hi
-        if counts:
+        if held:
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
