@@ -479,6 +479,11 @@ DELTA = """(SELECT n.* FROM (SELECT * FROM verdict_log WHERE snapshot_date > DAT
 check("log_changed_rows", f"SELECT * FROM {DELTA}")
 check("log_append", f"""SELECT * FROM verdict_log WHERE snapshot_date <= DATE '2024-01-15'
     UNION ALL SELECT * FROM {DELTA}""")
+check("log_by_month", """SELECT drug_id, snapshot_date, CASE WHEN drug_id % 2 = 0 AND snapshot_date =
+      (SELECT max(snapshot_date) FROM verdict_log) THEN 'AGAIN' ELSE verdict END AS verdict, conviction
+    FROM verdict_log""")
+check("log_seed_counts", """SELECT 'verdict_log' AS log, count(*) AS read,
+      count(*) FILTER (snapshot_date > DATE '2024-01-15') AS added, count(*) AS total FROM verdict_log""")
 check("log_compacted", """
     SELECT * EXCLUDE (s) FROM (SELECT *, concat_ws('|', verdict, setup, conviction // 10, evidence,
       catalyst_date) AS s FROM verdict_log)

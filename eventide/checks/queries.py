@@ -17,7 +17,7 @@ from eventide.operators import panel as pn
 from eventide.operators import tables as tb
 from eventide.plans import board as bd
 from eventide.plans import calendar as cal
-from eventide.plans import current, logs, outcomes, studies
+from eventide.plans import current, logs, outcomes, refresh, studies
 from eventide.schemas import TABLES
 from eventide.sources import readers as rd
 from eventide.storage import shared_dir
@@ -698,9 +698,34 @@ def log_changed_rows(s, d):
     return changelog.changed_rows(new, old, "drug_id", changelog.verdict_signature())
 
 
+@query
+def log_by_month(s, d):
+    """The verdict log kept by month: its early days, the later ones, then the last day run again with
+    other verdicts for even ids and a row of a day without a date."""
+    log = tb.reconcile(V(s, d, "verdict_log"), TABLES["verdict_log"])
+    store = refresh.Store(s, _folder(s, "store"))
+    store.put("verdict_log", log.where("snapshot_date <= date'2024-01-15'"))
+    store.put("verdict_log", log.where("snapshot_date > date'2024-01-15'"))
+    last = log.join(log.agg(F.max("snapshot_date").alias("snapshot_date")), "snapshot_date", "left_semi")
+    again = last.where("drug_id % 2 = 0").withColumn("verdict", F.lit("AGAIN"))
+    store.put("verdict_log", again)
+    return store.read("verdict_log").select("drug_id", "snapshot_date", "verdict", "conviction")
+
+
+@query
+def log_seed_counts(s, d):
+    """Rows read, new and in the log after a committed log is seeded into one that holds a part."""
+    name, schema = "verdict_log", TABLES["verdict_log"]
+    path = _folder(s, "log")
+    full = tb.reconcile(V(s, d, name), schema).select(*schema.fieldNames())
+    logs.dump(full, name, path)
+    part = full.where("snapshot_date <= date'2024-01-15'")
+    seeded = logs.committed(s, name, path)
+    return logs.row_counts(part, seeded, logs.seed(part, s, name, path), name)
+
+
 @query
 def log_append(s, d):
-    from eventide.plans import logs
     log = V(s, d, "verdict_log")
     return logs.append(log.where("snapshot_date <= date'2024-01-15'"),
                        log.where("snapshot_date > date'2024-01-15'"), "verdict_log")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from eventide.storage import stash
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -47,6 +49,50 @@ def reconcile(rows: DataFrame, schema: StructType) -> DataFrame:
     return rows.select(*want, *extra)
 
 
+def read_months(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A log kept by month of its day, with the month as a last column; empty where nothing is stored.
+
+    A filter on `month` reads only the folders of those months.
+    """
+    full = StructType([*schema.fields, StructField(MONTH, StringType())])
+    try:
+        return spark.read.schema(full).option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
+
+
+def month_of(day: str) -> Column:
+    return F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("none"))
+
+
+def upsert_months(rows: DataFrame, path: str, key: list[str], day: str) -> None:
+    """Put rows into a log kept by month: the new ones of a stored key replace the old.
+
+    Only months in which a stored row has the key of a new one are written anew, each as a whole by
+    dynamic partition overwrite; for the others the rows are new files beside the old. `rows` must be
+    unique on the key, which holds the day, so equal keys meet in one month. A run that breaks off
+    while it replaces a month can be repeated; two runs must not replace the same month at once.
+    """
+    spark, columns = rows.sparkSession, rows.columns
+    rows = stash(rows.withColumn(MONTH, month_of(day)))
+    old = read_months(spark, path, rows.drop(MONTH).schema)
+    months = [r[MONTH] for r in rows.select(MONTH).distinct().collect()]  # one per month of a run's rows
+    touched = old.where(F.col(MONTH).isin(months)) if months else old.limit(0)
+    again = [r[MONTH] for r in touched.join(rows.select(*key), key, "left_semi")
+             .select(MONTH).distinct().collect()]
+    fresh = rows.where(~F.col(MONTH).isin(again)) if again else rows
+    if again:
+        whole = stash(upsert(old.where(F.col(MONTH).isin(again)), rows.where(F.col(MONTH).isin(again)),
+                             key).select(*columns, MONTH))
+        (whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(MONTH).parquet(path))
+    if set(months) - set(again):
+        fresh.write.mode("append").partitionBy(MONTH).parquet(path)
+
+
+MONTH = "month"
 VERSION = "seq long, folder string"
 
 
@@ -66,12 +112,7 @@ def read_current(spark: SparkSession, path: str) -> DataFrame | None:
     version = current_version(spark, path)
     if version is None:
         return None
-    return spark.read.parquet(*[f"{path}/{f}" for f in version[1].split(",")])
-
-
-def append(rows: DataFrame, path: str) -> None:
-    """Add rows to a table: a new folder joins those of the version in force, none is rewritten."""
-    _commit(rows, path, keep=True)
+    return spark.read.parquet(f"{path}/{version[1]}")
 
 
 def overwrite(rows: DataFrame, path: str) -> None:
@@ -79,17 +120,13 @@ def overwrite(rows: DataFrame, path: str) -> None:
 
     The new version goes to a folder of its own; one row that names it is appended last, and readers
     follow the newest such row. A run that breaks off leaves the old version in force, and nothing is
-    deleted or renamed, so runs that collide cannot lose a table. Older folders stay until they are
-    cleared by whoever owns the store.
+    deleted or renamed, so runs that collide leave one of their versions whole. Of two that read the
+    same version the last one counts, and what the other changed is lost: one writer per table. Older
+    folders stay until they are cleared by whoever owns the store.
     """
-    _commit(rows, path, keep=False)
-
-
-def _commit(rows: DataFrame, path: str, keep: bool) -> None:
     spark, path = rows.sparkSession, path.rstrip("/")
     version = current_version(spark, path)
     folder = f"data-{uuid.uuid4().hex}"
     rows.write.parquet(f"{path}/{folder}")
-    folders = [version[1], folder] if version and keep else [folder]
-    (spark.createDataFrame([(version[0] + 1 if version else 1, ",".join(folders))], VERSION).coalesce(1)
+    (spark.createDataFrame([(version[0] + 1 if version else 1, folder)], VERSION).coalesce(1)
      .write.mode("append").parquet(f"{path}/versions"))

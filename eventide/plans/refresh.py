@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.operators.tables import append, overwrite, read_current, reconcile, replace_slice, upsert
+from eventide.operators.tables import (MONTH, overwrite, read_current, read_months, reconcile,
+                                       replace_slice, upsert, upsert_months)
 from eventide.plans import current, logs, outcomes
 from eventide.plans.board import Tables, board
-from eventide.schemas import KEYS, TABLES
+from eventide.schemas import KEYS, LOGS, TABLES
 from eventide.storage import stash
 
 
@@ -33,7 +34,7 @@ class Landed:
 
 
 class Store:
-    """Parquet tables under one root."""
+    """Parquet tables under one root: logs by month, all others by version."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -42,6 +43,8 @@ class Store:
         return f"{self.root}/{name}"
 
     def read(self, name: str) -> DataFrame:
+        if name in LOGS:
+            return read_months(self.spark, self.path(name), TABLES[name]).drop(MONTH)
         found = read_current(self.spark, self.path(name))
         if found is None:
             return self.spark.createDataFrame([], TABLES[name])
@@ -57,13 +60,14 @@ class Store:
         self.write(name, upsert(self.read(name), new, KEYS[name]))
 
     def log(self, name: str, rows: DataFrame) -> None:
-        """Append the changed rows; only a rerun of a day that is logged rewrites the log."""
-        schema, old = TABLES[name], self.read(name)
-        changed = stash(reconcile(logs.delta(old, rows, name), schema).select(*schema.fieldNames()))
-        if changed.join(old.select(*KEYS[name]), KEYS[name], "left_semi").isEmpty():
-            append(changed, self.path(name))
-        else:
-            self.write(name, upsert(old, changed, KEYS[name]))
+        """Add the changed rows; a rerun of a logged day rewrites the month of that day only."""
+        self.put(name, logs.delta(self.read(name), rows, name))
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        """Put rows into a log as they are."""
+        schema = TABLES[name]
+        upsert_months(reconcile(rows, schema).select(*schema.fieldNames()), self.path(name),
+                      KEYS[name], LOGS[name])
 
     def tables(self) -> Tables:
         return Tables(**{n: self.read(n) for n in Tables.__dataclass_fields__})
@@ -80,7 +84,7 @@ def refresh(store: Store, landed: Landed, today, horizon: int = 180, lookback: i
     """
     day = F.lit(today).cast("date")
     for name, path in (seeds or {}).items():
-        store.write(name, logs.seed(store.read(name), store.spark, name, path))
+        store.put(name, logs.committed(store.spark, name, path))
     schema = TABLES["catalysts"]
     # Read by six later steps, so the extraction behind it runs once.
     fresh = stash(reconcile(landed.calendar, schema).select(*schema.fieldNames()))

@@ -59,6 +59,8 @@ KEYS = {
     "insider": ["ticker", "snapshot_date"], "short_interest": ["ticker", "settlement_date"],
     "sentiment": ["ticker", "snapshot_date"], "implied": ["ticker", "catalyst_date"],
 }
+# Logs, and the day by whose month they are stored.
+LOGS = {"verdict_log": "snapshot_date", "sentiment": "snapshot_date"}
 
 
 def _struct(ddl: str) -> StructType:

@@ -287,3 +287,33 @@ def test_change_only_log(spark):
                                   cols)
     kept = changelog.compact(dense, "drug_id", sig).collect()
     assert sorted(r.snapshot_date for r in kept) == [D(2024, 1, 1), D(2024, 1, 3)]
+
+
+def test_log_by_month_rewrites_only_a_rerun_month(spark, tmp_path):
+    from pathlib import Path
+
+    path, schema = str(tmp_path / "log"), "k int, day date, v string"
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    files = lambda: {p.parent.name: {x.name for x in p.parent.glob("*.parquet")}
+                     for p in Path(path).glob("month=*/*.parquet")}
+    kept = lambda: sorted((r.k, str(r.day), r.v) for r in tb.read_months(
+        spark, path, frame().schema).collect())
+    day = dt.date
+    tb.upsert_months(frame(), path, ["k", "day"], "day")
+    assert kept() == []
+    tb.upsert_months(frame((1, day(2026, 1, 5), "a"), (2, day(2026, 2, 5), "b"), (3, None, "n")), path,
+                     ["k", "day"], "day")
+    one = files()
+    assert set(one) == {"month=2026-01", "month=2026-02", "month=none"}
+    tb.upsert_months(frame((4, day(2026, 2, 6), "c")), path, ["k", "day"], "day")
+    two = files()
+    assert two["month=2026-01"] == one["month=2026-01"] and two["month=2026-02"] > one["month=2026-02"]
+    tb.upsert_months(frame((2, day(2026, 2, 5), "B"), (5, day(2026, 3, 1), "d"), (1, day(2026, 1, 6), "e")),
+                     path, ["k", "day"], "day")
+    three = files()
+    assert three["month=2026-01"] > one["month=2026-01"]
+    assert not three["month=2026-02"] & two["month=2026-02"]
+    assert kept() == [(1, "2026-01-05", "a"), (1, "2026-01-06", "e"), (2, "2026-02-05", "B"), (3, "None", "n"),
+                      (4, "2026-02-06", "c"), (5, "2026-03-01", "d")]
+    plan = tb.read_months(spark, path, frame().schema).where("month = '2026-01'")
+    assert "PartitionFilters: [isnotnull(month" in plan._jdf.queryExecution().executedPlan().toString()
