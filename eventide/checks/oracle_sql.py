@@ -479,6 +479,11 @@ DELTA = """(SELECT n.* FROM (SELECT * FROM verdict_log WHERE snapshot_date > DAT
 check("log_changed_rows", f"SELECT * FROM {DELTA}")
 check("log_append", f"""SELECT * FROM verdict_log WHERE snapshot_date <= DATE '2024-01-15'
     UNION ALL SELECT * FROM {DELTA}""")
+check("company_registry", """SELECT concat(c_name, CASE WHEN c_custkey % 50 = 0 THEN ' {x} }' ELSE '' END) AS title,
+    concat('C', c_custkey) AS ticker, c_custkey AS cik, c_custkey AS pos FROM customer""")
+check("news_feed_order", """SELECT concat('T', doc_id % 7) AS ticker, concat('News number ', doc_id % 31) AS title,
+    DATE '2024-01-20' AS published, concat('l', doc_id) AS link FROM documents WHERE doc_id % 11 <> 0
+    QUALIFY row_number() OVER (PARTITION BY doc_id % 7, doc_id % 31 ORDER BY doc_id DESC) = 1""")
 check("log_by_month", """SELECT drug_id, snapshot_date, CASE WHEN drug_id % 2 = 0 AND snapshot_date =
       (SELECT max(snapshot_date) FROM verdict_log) THEN 'AGAIN' ELSE verdict END AS verdict, conviction
     FROM verdict_log""")

@@ -698,6 +698,34 @@ def log_changed_rows(s, d):
     return changelog.changed_rows(new, old, "drug_id", changelog.verdict_signature())
 
 
+@query
+def company_registry(s, d):
+    """A registry of all customers as one JSON object in one file, read in splits."""
+    path, c = _folder(s, "registry"), B(s, d, "customer")
+    entry = F.to_json(F.struct(F.col("c_custkey").alias("cik_str"), F.concat(F.lit("c"), "c_custkey").alias("ticker"),
+                               F.when(F.col("c_custkey") % 50 == 0, F.concat("c_name", F.lit(" {x} }")))
+                               .otherwise(F.col("c_name")).alias("title")))
+    keyed = c.select(F.col("c_custkey").alias("k"), F.concat(F.lit('"'), "c_custkey", F.lit('":'), entry).alias("value"))
+    ends = s.createDataFrame([(-1, '{"-1":{"title":null}'), (1 << 60, "}")], "k long, value string")
+    lines = keyed.withColumn("value", F.concat(F.lit(","), "value")).unionByName(ends)
+    lines.repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    return rd.read_registry(s, path).select("title", "ticker", "cik", "pos")
+
+
+@query
+def news_feed_order(s, d):
+    """Of news items with one title the first in its feed stays: items differ in place and link only."""
+    path = _folder(s, "news")
+    items = B(s, d, "documents").select(
+        F.col("doc_id"), F.concat(F.lit("T"), F.col("doc_id") % 7).alias("ticker"),
+        F.concat(F.lit("News number "), F.col("doc_id") % 31).alias("title"),
+        F.when(F.col("doc_id") % 11 == 0, "2024-01-20T99:10:00Z").otherwise("2024-01-20T09:10:00Z").alias("pubDate"),
+        F.struct(F.concat(F.lit("l"), "doc_id").alias("url")).alias("canonicalUrl"))
+    items.repartition(1).sortWithinPartitions(F.col("doc_id").desc()).drop("doc_id").write.json(path)
+    return current.unique_headlines(rd.news_headlines(rd.read_news(s, path))).select(
+        "ticker", "title", "published", "link")
+
+
 @query
 def log_by_month(s, d):
     """The verdict log kept by month: its early days, the later ones, then the last day run again with

@@ -162,8 +162,9 @@ def publication_date(settlement: Column) -> Column:
 
 
 def day_key(value: Column) -> Column:
-    """A date from any date-like value, NULL when it does not hold one."""
-    return F.substring(value.cast("string"), 1, 10).try_cast("date")
+    """The date a date or time stamp is written with, NULL when the value as a whole is neither."""
+    text = value.cast("string")
+    return F.when(text.try_cast("timestamp").isNotNull(), F.substring(text, 1, 10).try_cast("date"))
 
 
 def quarter_labels(start: Column, end: Column) -> Column:

@@ -7,11 +7,12 @@ rows, so that raw rows may also come from a table. Readers always pass a schema.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
 from eventide import schemas
-from eventide.functions.dates import fuzzy_date, publication_date
+from eventide.functions.dates import day_key, fuzzy_date, publication_date
 from eventide.functions.text import (clean_number, company_key, owner_role, simple_stage,
                                      squeeze, strip, ticker_in_name)
 from eventide.operators.names import match_sponsors
@@ -133,13 +134,49 @@ def historical_readouts(raw: DataFrame, registry: DataFrame, start, end,
 
 # --- registry, facts, filing index --------------------------------------------------------------
 
+_ENTRY_START = r'^[\s,{]*"\d+"\s*:\s*\{'
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Company registry: a JSON object of numbered entries, as (title, ticker, cik, pos)."""
-    entry = "MAP<STRING, STRUCT<cik_str: BIGINT, ticker: STRING, title: STRING>>"
-    raw = spark.read.text(path, wholetext=True)
-    return (raw.select(F.explode(F.from_json("value", entry)).alias("k", "v"))
-            .select("v.title", F.upper("v.ticker").alias("ticker"),
-                    F.col("v.cik_str").alias("cik"), F.col("k").cast("bigint").alias("pos")))
+    """Company registry: a JSON object of numbered entries, as (title, ticker, cik, pos).
+
+    The object is read in splits, cut at closing braces, so many tasks share one large file. A brace in
+    a title cuts an entry into pieces that are no entry; these few are put together again in file order.
+    """
+    raw = (spark.read.option("lineSep", "}").text(path)
+           .select("value", F.col("_metadata.file_path").alias("file"), scan_order().alias("at")))
+    whole = raw.withColumn("e", _entry(F.col("value")))
+    pieces = (whole.where("e.v.title is null and e.v.ticker is null and e.v.cik_str is null")
+              .withColumn("n", F.sum(F.col("value").rlike(_ENTRY_START).cast("int")).over(
+                  W.partitionBy("file").orderBy("at"))))
+    mended = (pieces.groupBy("file", "n")
+              .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("p"))
+              # An entry ends with a value; braces after it close the object.
+              .select(_entry(F.regexp_replace(F.array_join(F.col("p.value"), "}"), r"[\s}]+$", ""))
+                      .alias("e")))
+    return (whole.select("e").unionAll(mended)
+            .where("e.v.title is not null or e.v.ticker is not null or e.v.cik_str is not null")
+            .select("e.v.title", F.upper("e.v.ticker").alias("ticker"), F.col("e.v.cik_str").alias("cik"),
+                    F.col("e.k").cast("bigint").alias("pos")))
+
+
+def _entry(text: Column) -> Column:
+    """struct(k, v) of an entry without its closing brace."""
+    kind = "MAP<STRING, STRUCT<cik_str: BIGINT, ticker: STRING, title: STRING>>"
+    bare = F.regexp_replace(text, r"^[\s,{]*", "")
+    one = F.map_entries(F.from_json(F.concat(F.lit("{"), bare, F.lit("}}")), kind))
+    entry = F.try_element_at(one, F.lit(1))
+    return F.struct(entry["key"].alias("k"), entry["value"].alias("v"))
+
+
+def scan_order() -> Column:
+    """Place of a record in its file: where its split starts, plus its number in the task.
+
+    A split has at least as many bytes as a task has records before its end, so places grow through
+    the file, whatever is shuffled later.
+    """
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_block_start") + number
 
 
 def ticker_cik(registry: DataFrame) -> DataFrame:
@@ -339,7 +376,8 @@ def rss_headlines(docs: DataFrame) -> DataFrame:
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(NEWS_JSON).json(path).withColumn("pos", F.lit(0).cast("bigint"))
+    """News items with their place in the feed's file."""
+    return spark.read.schema(NEWS_JSON).json(path).withColumn("pos", scan_order())
 
 
 def news_headlines(raw: DataFrame) -> DataFrame:
@@ -348,7 +386,7 @@ def news_headlines(raw: DataFrame) -> DataFrame:
         return F.when(F.col("content").isNotNull(), F.col(f"content.{name}")).otherwise(F.col(name))
     stamp = F.coalesce(pick("pubDate"), pick("providerPublishTime"))
     epoch = F.to_date(F.timestamp_seconds(stamp.try_cast("double")))
-    when = F.coalesce(epoch, F.substring(stamp, 1, 10).try_cast("date"))
+    when = F.coalesce(epoch, day_key(stamp))
     return (raw.select("ticker", pick("title").alias("title"), when.alias("published"),
                        F.coalesce(pick("canonicalUrl")["url"], F.lit("")).alias("link"),
                        F.lit("news").alias("source"), "pos")

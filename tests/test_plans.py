@@ -403,3 +403,35 @@ def test_refresh_end_to_end(spark, tmp_path):
     rows = [json.loads(r.value) for r in spark.read.text(out + "/rows").collect()]
     assert len(rows) == 2 and {"ticker", "headline_reason", "insider_note"} <= set(rows[0])
     assert json.loads(spark.read.text(out + "/header").first().value)["count"] == 2
+
+
+def test_registry_is_read_in_splits(spark, tmp_path):
+    rows = {str(i): {"cik_str": 1000 + i, "ticker": f"t{i}", "title": f"Company {i} Inc"} for i in range(400)}
+    rows["7"]["title"], rows["8"]["title"] = "Odd } one", 'A "}, \\"9\\":{" B}'
+    rows["399"]["title"] = "}}"
+    path = tmp_path / "registry.json"
+    path.write_text(json.dumps(rows, indent=1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        scan = spark.read.option("lineSep", "}").text(str(path))
+        assert scan.rdd.getNumPartitions() > 4
+        got = sorted((r.pos, r.ticker, r.cik, r.title) for r in rd.read_registry(spark, str(path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(i, f"T{i}", 1000 + i, rows[str(i)]["title"]) for i in range(400)]
+    (tmp_path / "none.json").write_text("{}")
+    assert rd.read_registry(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_news_keep_the_order_of_the_feed(spark, tmp_path):
+    items = [{"ticker": "T", "title": t, "pubDate": "2026-09-20T10:00:00Z", "link": f"l{i}"}
+             for i, t in enumerate(["Same thing", "same THING!", "Other", "Other.", "same thing"])]
+    items += [{"ticker": "T", "title": "bad stamp", "pubDate": "2026-09-20T99:00:00Z"},
+              {"ticker": "T", "title": "bad tail", "pubDate": "2026-09-20 never"}]
+    raw = rd.news_headlines(rd.read_news(spark, land(tmp_path, "feed.json", items)))
+    assert {r.title for r in raw.collect()} == {"Same thing", "same THING!", "Other", "Other.", "same thing"}
+    for df in (raw, raw.repartition(3), raw.orderBy(F.col("title").desc())):
+        assert sorted(r.title for r in current.unique_headlines(df).collect()) == ["Other", "Same thing"]
