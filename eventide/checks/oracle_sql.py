@@ -479,6 +479,37 @@ DELTA = """(SELECT n.* FROM (SELECT * FROM verdict_log WHERE snapshot_date > DAT
 check("log_changed_rows", f"SELECT * FROM {DELTA}")
 check("log_append", f"""SELECT * FROM verdict_log WHERE snapshot_date <= DATE '2024-01-15'
     UNION ALL SELECT * FROM {DELTA}""")
+_TRIALS = """tr AS (SELECT c_custkey AS k, concat(CASE WHEN c_custkey % 41 = 0 THEN 'ISRCTN' ELSE 'NCT' END,
+      lpad(CAST(c_custkey AS VARCHAR), 8, '0')) AS nct_id, concat('Drug ', c_custkey) AS drug_name,
+      CASE WHEN c_custkey % 2 = 0 THEN 'RECRUITING' ELSE 'COMPLETED' END AS overall_status,
+      ['2000-07-15', '2000-09', '1999-03', 'soon'][1 + c_custkey % 4] AS primary_completion,
+      ['PHASE1', 'PHASE2', 'PHASE2,PHASE3'][1 + c_custkey % 3] AS phases,
+      CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey % 500 AS INT) END AS enrollment,
+      concat('condition ', c_custkey % 9, '; pain') AS indication,
+      concat('Supplier#', lpad(CAST(c_custkey % 15 + 1 AS VARCHAR), 9, '0')) AS lead_sponsor FROM customer),
+    mt AS (SELECT tr.*, concat('T', s_suppkey) AS matched, s_suppkey FROM tr
+      LEFT JOIN supplier ON s_name = lead_sponsor WHERE k % 5 <> 0 AND k % 3 <> 0)"""
+_READOUTS = """SELECT CASE WHEN s_suppkey IS NOT NULL THEN matched END AS ticker, *
+      FROM mt WHERE k % 4 IN (0, 1) AND k % 2 = 0"""
+check("trial_design_rows", f""", {_TRIALS} SELECT nct_id, overall_status, phases, enrollment,
+    'RANDOMIZED' AS allocation, 'DOUBLE' AS masking, primary_completion, lead_sponsor FROM tr WHERE k % 41 <> 0""")
+check("candidate_readout_rows", f""", {_TRIALS} SELECT nct_id, drug_name, phases AS stage, primary_completion,
+    indication, enrollment, ticker FROM ({_READOUTS})""")
+check("historical_readout_rows", f""", {_TRIALS} SELECT nct_id, matched AS ticker, DATE '1999-03-01' AS event_date,
+    'month' AS date_precision,
+    ['phase2', 'phase2/3'][k % 3] AS simplified_stage, 'ctgov' AS anchor FROM mt
+    WHERE s_suppkey IS NOT NULL AND k % 4 = 2""")
+check("company_fact_rows", """WITH f AS (SELECT s_suppkey AS k, concat('T', s_suppkey) AS ticker,
+      make_date(2000, 5, CAST(1 + s_suppkey % 9 AS INT)) AS day, s_acctbal AS b FROM supplier)
+    SELECT ticker, 'Cash' AS tag, 'USD' AS unit, day AS filed, b AS val, 0 AS pos FROM f WHERE k % 3 <> 0
+    UNION ALL SELECT ticker, 'Cash', 'USD', DATE '2000-08-01', b + 2, 2 FROM f WHERE k % 3 <> 0
+    UNION ALL SELECT ticker, 'Cash', 'EUR', day, 7.0, 0 FROM f WHERE k % 3 = 0
+    UNION ALL SELECT ticker, 'Shares', 'shares', day, k * 1000, 0 FROM f""")
+check("ownership_document_rows", """SELECT l_orderkey AS accession, CASE l_returnflag WHEN 'R' THEN 'P' WHEN 'A' THEN 'S' END AS code,
+      l_quantity AS shares, CASE WHEN l_linenumber <> 5 THEN l_tax END AS price,
+      concat('OWNER N', l_orderkey % 10) AS owner,
+      CASE WHEN l_orderkey % 2 = 0 THEN 'Director' ELSE 'Vice President' END AS title, l_quantity * 3 AS held_after
+    FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_linenumber <> 6""")
 check("company_registry", """SELECT concat(c_name, CASE WHEN c_custkey % 50 = 0 THEN ' {x} }' ELSE '' END) AS title,
     concat('C', c_custkey) AS ticker, c_custkey AS cik, c_custkey AS pos FROM customer""")
 check("news_feed_order", """SELECT concat('T', doc_id % 7) AS ticker, concat('News number ', doc_id % 31) AS title,
@@ -651,16 +682,27 @@ check("decision_dates", f"""{_FILED}, k AS (SELECT *, make_date(y, 3, 1 + c % 28
     WHERE doc_id % 4 = 1 AND filed BETWEEN {DAY} - 360 AND {DAY})
     SELECT ticker, day AS catalyst_date_lo, CAST(day AS VARCHAR) AS catalyst_date_raw, filed, doc_id FROM k
     QUALIFY row_number() OVER (PARTITION BY ticker, day ORDER BY filed, doc_id) = 1""")
-check("filed_decisions", f""", o AS (SELECT concat('T', o_custkey % (SELECT count(*) FROM supplier)) AS ticker,
+_STATED = f"""o AS (SELECT concat('T', o_custkey % (SELECT count(*) FROM supplier)) AS ticker,
       o_custkey AS k, o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS filed, year(o_orderdate) AS y FROM orders),
     m AS (SELECT ticker, filed, doc_id, make_date(y + 1, 3, 1 + k % 28) AS catalyst_date_lo,
         concat('Zelo', k % 50) AS drug_name,
         ['plaque psoriasis', 'heart failure', 'celiac disease'][1 + k % 3] AS indication FROM o WHERE k % 4 <> 0
       UNION ALL SELECT ticker, filed, doc_id, make_date(y + 2, 6, 1 + k % 29), concat('Bervo', k % 40),
-        CASE k % 2 WHEN 0 THEN 'severe asthma' ELSE 'sickle cell disease' END FROM o)
-    SELECT ticker, catalyst_date_lo, filed, doc_id, drug_name, indication FROM m
-    WHERE filed BETWEEN {DAY} - 360 AND {DAY}
-    QUALIFY row_number() OVER (PARTITION BY ticker, catalyst_date_lo ORDER BY filed, doc_id) = 1""")
+        CASE k % 2 WHEN 0 THEN 'severe asthma' ELSE 'sickle cell disease' END FROM o),
+    dd AS (SELECT * FROM m WHERE filed BETWEEN {DAY} - 360 AND {DAY}
+    QUALIFY row_number() OVER (PARTITION BY ticker, catalyst_date_lo ORDER BY filed, doc_id) = 1)"""
+check("filed_decisions", f""", {_STATED}
+    SELECT ticker, catalyst_date_lo, filed, doc_id, drug_name, indication FROM dd""")
+check("whole_calendar", f""", {_TRIALS}, {_STATED}, rr AS ({_READOUTS})
+    SELECT ticker, nct_id, concat(primary_completion, ' + window') AS catalyst_date_raw, lo AS catalyst_date_lo,
+      CAST(lo + 180 AS DATE) AS catalyst_date_hi, 'readout_window' AS date_precision,
+      ['phase2', 'phase2/3'][k % 3] AS simplified_stage,
+      drug_name, indication
+    FROM (SELECT *, CASE WHEN k % 4 = 0 THEN DATE '2000-07-15' ELSE DATE '2000-09-01' END AS lo FROM rr)
+    WHERE ticker IS NOT NULL
+    UNION ALL SELECT ticker, NULL, CAST(catalyst_date_lo AS VARCHAR), catalyst_date_lo, catalyst_date_lo, 'day', 'pdufa',
+      drug_name, indication FROM dd WHERE catalyst_date_lo >= {DAY} - 45""")
+
 check("stored_versions", """
     SELECT ticker, cash_usd, cash_asof FROM financials WHERE cash_asof > DATE '2000-04-05'""")
 check("log_round_trip", """SELECT drug_id, snapshot_date, verdict, setup, conviction,

@@ -698,6 +698,121 @@ def log_changed_rows(s, d):
     return changelog.changed_rows(new, old, "drug_id", changelog.verdict_signature())
 
 
+def _landed_json(s, rows: DataFrame, name: str) -> str:
+    path = _folder(s, name)
+    rows.write.json(path)
+    return path
+
+
+def _landed_trials(s, d) -> DataFrame:
+    """Trial records as JSON lines, made from customers."""
+    k = F.col("c_custkey")
+    one = lambda n, v: F.struct(v.alias(n))
+    rows = B(s, d, "customer").select(F.struct(
+        F.struct(F.concat(F.when(k % 41 == 0, "ISRCTN").otherwise("NCT"), F.lpad(k.cast("string"), 8, "0")).alias("nctId"),
+                 F.concat(F.lit("Drug "), k).alias("briefTitle")).alias("identificationModule"),
+        F.struct(F.when(k % 2 == 0, "RECRUITING").otherwise("COMPLETED").alias("overallStatus"),
+                 one("date", F.element_at(F.array(F.lit("2000-07-15"), F.lit("2000-09"), F.lit("1999-03"),
+                                                  F.lit("soon")), (k % 4 + 1).cast("int")))
+                 .alias("primaryCompletionDateStruct")).alias("statusModule"),
+        F.struct(F.lit("INTERVENTIONAL").alias("studyType"),
+                 F.when(k % 3 == 0, F.array(F.lit("PHASE1"))).when(k % 3 == 1, F.array(F.lit("PHASE2")))
+                 .otherwise(F.array(F.lit("PHASE2"), F.lit("PHASE3"))).alias("phases"),
+                 one("count", F.when(k % 7 == 0, "many").otherwise((k % 500).cast("string"))).alias("enrollmentInfo"),
+                 F.struct(F.lit("RANDOMIZED").alias("allocation"), one("masking", F.lit("DOUBLE")).alias("maskingInfo"))
+                 .alias("designInfo")).alias("designModule"),
+        F.struct(F.array(F.concat(F.lit("condition "), k % 9), F.lit("pain")).alias("conditions"))
+        .alias("conditionsModule"),
+        one("leadSponsor", F.struct(
+            F.concat(F.lit("Supplier#"), F.lpad((k % 15 + 1).cast("string"), 9, "0")).alias("name"),
+            F.when(k % 5 == 0, "OTHER").otherwise("INDUSTRY").alias("class"))).alias("sponsorCollaboratorsModule"))
+        .alias("protocolSection"))
+    return rd.read_trials(s, _landed_json(s, rows, "trials"))
+
+
+def _suppliers(s, d) -> DataFrame:
+    return B(s, d, "supplier").select(
+        F.col("s_name").alias("title"), F.concat(F.lit("T"), "s_suppkey").alias("ticker"),
+        F.col("s_suppkey").cast("bigint").alias("cik"), F.col("s_suppkey").cast("bigint").alias("pos"))
+
+
+@query
+def trial_design_rows(s, d):
+    return rd.trial_designs(_landed_trials(s, d)).select(
+        "nct_id", "overall_status", "phases", "enrollment", "allocation", "masking", "primary_completion",
+        "lead_sponsor")
+
+
+@query
+def candidate_readout_rows(s, d):
+    return rd.candidate_readouts(_landed_trials(s, d), _suppliers(s, d), px.RUN_DATE).select(
+        "nct_id", "drug_name", "stage", "primary_completion", "indication", "enrollment", "ticker")
+
+
+@query
+def historical_readout_rows(s, d):
+    return rd.historical_readouts(_landed_trials(s, d), _suppliers(s, d), "1999-01-01", "1999-12-31").select(
+        "nct_id", "ticker", "event_date", "date_precision", "simplified_stage", "anchor")
+
+
+@query
+def whole_calendar(s, d):
+    """Trial readouts and filed decision dates as one calendar."""
+    return cal.build_calendar(_landed_trials(s, d), _suppliers(s, d), V(s, d, "two_date_filing"), px.RUN_DATE).select(
+        "ticker", "nct_id", "catalyst_date_raw", "catalyst_date_lo", "catalyst_date_hi", "date_precision",
+        "simplified_stage", "drug_name", "indication")
+
+
+@query
+def company_fact_rows(s, d):
+    """Facts JSON of suppliers: a tag of the second taxonomy counts where the first has no units for it."""
+    k = F.col("s_suppkey")
+
+    def fact(val, filed):
+        return F.struct(F.lit("2000-01-01").alias("start"), F.lit("2000-03-31").alias("end"), val.alias("val"),
+                        filed.alias("filed"), F.lit("10-Q").alias("form"))
+
+    def tag(name, unit, *facts):
+        return F.create_map(F.lit(name), F.struct(F.create_map(F.lit(unit), F.array(*facts)).alias("units")))
+    day = F.concat(F.lit("2000-05-0"), k % 9 + 1)
+    none = F.create_map(F.lit("Cash"), F.struct(F.create_map().cast(f"map<string,array<{rd.FACT}>>").alias("units")))
+    own = tag("Cash", "USD", fact(F.col("s_acctbal"), day), fact(F.col("s_acctbal") + 1, F.lit("n/a")),
+              fact(F.col("s_acctbal") + 2, F.lit("2000-08-01")))
+    rows = B(s, d, "supplier").select(F.concat(F.lit("000"), k).alias("cik"), F.create_map(
+        F.lit("us-gaap"), F.when(k % 3 == 0, none).otherwise(own),
+        F.lit("dei"), F.map_concat(tag("Cash", "EUR", fact(F.lit(7.0), day)),
+                                   tag("Shares", "shares", fact(k.cast("double") * 1000, day)))).alias("facts"))
+    raw = rd.read_company_facts(s, _landed_json(s, rows, "facts"))
+    return rd.company_facts(raw, _suppliers(s, d)).select("ticker", "tag", "unit", "filed", "val", "pos")
+
+
+@query
+def ownership_document_rows(s, d):
+    """Transactions of ownership filings in XML, one filing per order."""
+    value = lambda n, v: F.concat(F.lit(f"<{n}><value>"), v, F.lit(f"</value></{n}>"))
+    tx = F.concat(
+        F.lit("<nonDerivativeTransaction>"), value("transactionDate", F.lit("2000-01-02")),
+        F.lit("<transactionCoding><transactionCode>"),
+        F.when(F.col("l_returnflag") == "R", "P").when(F.col("l_returnflag") == "A", "S").otherwise("F"),
+        F.lit("</transactionCode></transactionCoding><transactionAmounts>"),
+        value("transactionShares", F.when(F.col("l_linenumber") == 6, "few").otherwise(F.col("l_quantity").cast("string"))),
+        value("transactionPricePerShare", F.when(F.col("l_linenumber") == 5, "").otherwise(F.col("l_tax").cast("string"))),
+        F.lit("</transactionAmounts><postTransactionAmounts>"),
+        value("sharesOwnedFollowingTransaction", (F.col("l_quantity") * 3).cast("string")),
+        F.lit("</postTransactionAmounts></nonDerivativeTransaction>"))
+    docs = (B(s, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", tx.alias("x")).alias("t"))
+            .groupBy("l_orderkey").agg(F.array_sort(F.collect_list("t")).alias("t"))
+            .select(F.lit("T").alias("ticker"), F.col("l_orderkey").alias("accession"),
+                    F.lit("2000-01-03").cast("date").alias("filed_date"), F.concat(
+                        F.lit("<ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerName>OWNER  N"),
+                        F.col("l_orderkey") % 10, F.lit("</rptOwnerName></reportingOwnerId><reportingOwnerRelationship>"),
+                        F.when(F.col("l_orderkey") % 2 == 0, "<isDirector>1</isDirector>").otherwise(
+                            "<isOfficer>true</isOfficer><officerTitle>Vice  President</officerTitle>"),
+                        F.lit("</reportingOwnerRelationship></reportingOwner><nonDerivativeTable>"),
+                        F.array_join("t.x", ""), F.lit("</nonDerivativeTable></ownershipDocument>")).alias("xml")))
+    return rd.insider_documents(docs).select("accession", "code", "shares", "price", "owner", "title", "held_after")
+
+
 @query
 def company_registry(s, d):
     """A registry of all customers as one JSON object in one file, read in splits."""

@@ -13,7 +13,6 @@ from eventide.functions.dates import narrow
 from eventide.functions.priors import lookup
 from eventide.functions.scoring import headline_reason, scored, squeeze_metrics
 from eventide.functions.text import therapeutic_area
-from eventide.storage import stash
 
 # Columns each per-ticker table adds to the feature frame, as {output: input}, with the date that
 # picks the newest row of the logs.
@@ -161,12 +160,13 @@ def features(t: Tables, today, horizon: int = 180) -> DataFrame:
 
 
 def board(t: Tables, today, horizon: int = 180) -> DataFrame:
-    """Scored rows, written to shared storage once.
+    """Scored rows. Building them starts no job; who reads them often stores them first.
 
-    Views, tallies, snapshots and exports all read them; their filters then meet stored values
-    instead of being rewritten through the whole scoring expression.
+    The rows are counted as they pass (metric `scored_board`), so a filter on them stays above the scoring
+    and is not rewritten through its whole expression.
     """
-    return stash(scored(features(t, today, horizon)))
+    return scored(features(t, today, horizon)).observe(
+        "scored_board", F.count(F.lit(1)).alias("rows"))
 
 
 # --- views ------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from eventide.operators.tables import (MONTH, overwrite, read_current, read_mont
 from eventide.plans import current, logs, outcomes
 from eventide.plans.board import Tables, board
 from eventide.schemas import KEYS, LOGS, TABLES
-from eventide.storage import stash
+from eventide.storage import scope, stash
 
 
 @dataclass
@@ -80,10 +80,16 @@ def refresh(store: Store, landed: Landed, today, horizon: int = 180, lookback: i
 
     `seeds` names committed logs that are loaded first, so a run on an empty store keeps the
     history; `dumps` names the folders the logs are written to at the end. A failure in a later step
-    leaves the earlier tables in place.
+    leaves the earlier tables in place. Intermediate results go when the refresh ends, well or not.
     """
+    with scope(store.spark):
+        _refresh(store, landed, today, horizon, lookback, implied_horizon, seeds or {}, dumps or {})
+
+
+def _refresh(store: Store, landed: Landed, today, horizon: int, lookback: int, implied_horizon: int,
+             seeds: dict[str, str], dumps: dict[str, str]) -> None:
     day = F.lit(today).cast("date")
-    for name, path in (seeds or {}).items():
+    for name, path in seeds.items():
         store.put(name, logs.committed(store.spark, name, path))
     schema = TABLES["catalysts"]
     # Read by six later steps, so the extraction behind it runs once.
@@ -112,11 +118,11 @@ def refresh(store: Store, landed: Landed, today, horizon: int = 180, lookback: i
     store.upsert("insider", current.insiders(wanted, landed.filings, landed.insider_tx, today))
     store.write("guidance", current.guidance(landed.docs, today))
 
-    scored = board(store.tables(), today, horizon)
+    scored = stash(board(store.tables(), today, horizon))
     snap = outcomes.snapshot(scored, today)
     store.log("verdict_log", snap)
     store.upsert("outcomes", outcomes.outcomes(
         store.read("catalysts"), landed.bars, today, lookback, landed.benchmark)
         .withColumn("computed_at", day.cast("timestamp")))
-    for name, path in (dumps or {}).items():
+    for name, path in dumps.items():
         logs.dump(store.read(name), name, path)

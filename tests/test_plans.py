@@ -435,3 +435,27 @@ def test_news_keep_the_order_of_the_feed(spark, tmp_path):
     assert {r.title for r in raw.collect()} == {"Same thing", "same THING!", "Other", "Other.", "same thing"}
     for df in (raw, raw.repartition(3), raw.orderBy(F.col("title").desc())):
         assert sorted(r.title for r in current.unique_headlines(df).collect()) == ["Other", "Same thing"]
+
+
+def test_board_starts_no_job_and_refresh_leaves_no_folder(spark, tmp_path):
+    from pathlib import Path
+
+    from eventide.storage import scope, shared_dir, stash
+    tables = refresh.Store(spark, str(tmp_path / "store")).tables()
+    spark.sparkContext.setJobGroup("board", "board")
+    rows = bd.board(tables, TODAY)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("board")
+    assert rows.count() == 0
+    spark.sparkContext.setJobGroup("other", "other")
+    before = set(Path(shared_dir(spark).removeprefix("file:")).iterdir())
+    try:
+        with scope(spark) as outer:
+            assert stash(spark.range(3)).count() == 3
+            with scope(spark) as inner:
+                assert inner.startswith(outer)
+                stash(spark.range(2))
+            assert not Path(inner.removeprefix("file:")).exists() and Path(outer.removeprefix("file:")).exists()
+            raise ValueError
+    except ValueError:
+        pass
+    assert set(Path(shared_dir(spark).removeprefix("file:")).iterdir()) == before
