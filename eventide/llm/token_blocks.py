@@ -16,6 +16,7 @@ the other, longer text first; a null id comes first; an empty table gives an emp
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -72,9 +73,12 @@ class Encoder:
     space behind it and no letter to a stop behind it: texts are cut there, each different piece is
     encoded once, and pieces seen lately are kept in a table of bounded size."""
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
+    PIECES = 4096  # encoded at a time: the library's results are large next to their ids
 
-    def __init__(self, path: str, pool_ids: int = 1 << 24):
+    def __init__(self, path: str, pool_ids: int = 1 << 23):
+        # A task has one core; more threads of the library would only hold more memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.pool_ids = pool_ids
@@ -88,6 +92,9 @@ class Encoder:
 
     def add(self, pieces: list[str]) -> np.ndarray:
         """Encode pieces into the pool; their numbers."""
+        if len(pieces) > self.PIECES:
+            return np.concatenate([self.add(pieces[lo:lo + self.PIECES])
+                                   for lo in range(0, len(pieces), self.PIECES)])
         new = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         counts = np.array([len(x) for x in new], np.int32)
         flat = np.fromiter((i for x in new for i in x), np.uint32, int(counts.sum()))
@@ -121,7 +128,7 @@ class Encoder:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(P, n), out=sums[1:])
         h = mix((sums[end] - sums[start]) * powers(P_INV, n + 1)[start] + (end - start).astype(np.uint64))
         h |= np.uint64(1)
-        slot = (h >> np.uint64(43)).astype(np.int64)
+        slot = (h >> np.uint64(44)).astype(np.int64)
         piece = self.at[slot]
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
