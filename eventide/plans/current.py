@@ -103,14 +103,17 @@ def insiders(tickers: DataFrame, filings: DataFrame, tx: DataFrame, today,
 
 def latest_short_interest(readings: DataFrame, history: bool = False, today=None) -> DataFrame:
     """The reading with the newest settlement per ticker, or all of them; with a run date, of
-    those published by then."""
+    those published by then. Of several for one settlement the one published last, then the greater
+    values."""
     if today is not None:
         readings = readings.where(F.col("published_date") <= F.lit(today).cast("date"))
     if history:
         return readings
-    row = F.struct(*[c for c in readings.columns if c != "ticker"])
-    return (readings.groupBy("ticker").agg(F.max_by(row, "settlement_date").alias("r"))
-            .select("ticker", "r.*"))
+    first = [c for c in ("settlement_date", "published_date") if c in readings.columns]
+    rest = [c for c in readings.columns if c not in ("ticker", *first)]
+    return (readings.where("settlement_date is not null").groupBy("ticker")
+            .agg(F.max(F.struct(*first, *rest)).alias("r")).select("ticker", "r.*")
+            .select(readings.columns))
 
 
 def financing(tickers: DataFrame, filings: DataFrame, financial_rows: DataFrame,
