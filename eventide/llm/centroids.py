@@ -120,7 +120,7 @@ def _products(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def along_curve(whole: DataFrame, axes: list[list[int]], dims: int = DIMS,
                 block: int = BLOCK) -> DataFrame:
     """Blocks of vectors that lie together on the curve: ids, vectors, low and high as int32 bytes."""
-    base = np.array(axes, np.int64)
+    base = np.array(axes[:64], np.int64)  # a key has 64 bits
     bits = max(1, 64 // max(1, len(base)))
 
     def reached(batches):

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from eventide.llm.batches import map_batches
 from eventide.storage import stash
+from eventide.workers import find_package
 
 TOP = 20
 LINKS = 16
@@ -301,7 +302,7 @@ def index(rows: DataFrame, shards: int, links: int = LINKS, ef: int = EF_BUILD)
             "sizes": one(np.diff(start, append=len(ids)).astype(np.int32)), "vectors": one(v[start]),
             "links": one(graph.tables[0]), "level_nodes": raw(graph.nodes[1:]),
             "level_links": raw(graph.tables[1:])})
-    map_batches(rows, lambda b: b, rows.schema)  # workers find this package
+    find_package(rows.sparkSession)
     return (rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
             .groupBy("dim", "shard").applyInArrow(build, _INDEX))
 
