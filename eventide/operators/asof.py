@@ -4,10 +4,12 @@ All of these share one shape that stays safe under skew. Facts are first reduced
 key and day with partial aggregation, and probes to their distinct key-days, so a key never
 brings more rows to one window task than there are days in the calendar, however many rows it
 holds. What is known on a day is a `Feature`: its daily facts and the running states over them.
-`with_features` puts the facts of any number of features and the probe days on one timeline per
-key, shuffles it once, and takes all states in passes over that one partition. An equi-join on
-(key, day), which adaptive execution can split, carries them back to all probe rows; probes that are
-few per key and day ride on the timeline themselves and need no way back.
+`with_features` puts the facts of a feature and the probe days on one timeline per key, shuffles it
+once, and takes all states in passes over that one partition; the probes, by far fewer than the facts,
+then ride on the timeline of the next feature, so no pass of one feature goes over the facts of another.
+An equi-join on (key, day), which adaptive execution can split, carries the states back to all probe
+rows; probes that are few per key and day ride themselves and need no way back. What a trailing window
+holds is told by steps, on the days on which facts enter and leave it, and never by walking its frame.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 class Feature:
     """Facts by day and what they amount to.
 
-    `daily` has the key, `day` and value columns (null in the rows of other features); `state` adds the
-    `columns` to a stream that holds them, by windows over the key. `otherwise` stands in for columns of
+    `daily` has the key, `day` and value columns (null in the probe rows); `state` adds the `columns` to
+    a stream that holds both, by windows over the key. `otherwise` stands in for columns of
     probes without a key or day.
     """
 
@@ -40,31 +42,29 @@ def with_features(probes: DataFrame, features: list[Feature], key: str, probe_da
                   carry: bool = False) -> DataFrame:
     """Probe rows with the columns of all features as of their day.
 
-    With `carry` the rows themselves are on the timeline. They must then be few per key and day (such
+    With `carry` the rows themselves are on the timelines. They must then be few per key and day (such
     as one per event date), with key and day never null.
     """
     if carry:
-        asked = probes.select(F.col(key), F.col(probe_day).alias("day"), F.lit(1).alias("kind"),
-                              F.struct(*[F.col(c) for c in probes.columns]).alias("_event"))
-    else:
-        asked = (probes.select(key, F.col(probe_day).alias("day"))
-                 .where(F.col(key).isNotNull() & F.col("day").isNotNull()).distinct()
-                 .withColumn("kind", F.lit(1)))
-    facts = [f.daily.where(F.col(key).isNotNull() & F.col("day").isNotNull())
-             .withColumn("kind", F.lit(0)) for f in features]
-    stream = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [asked, *facts])
-    for f in features:
-        stream = f.state(stream)
-    state = stream.where("kind = 1")
-    made = [c for f in features for c in f.columns]
-    if carry:
-        return state.select("_event.*", *made)
-    out = (probes.join(state.select(key, F.col("day").alias(probe_day), *made), [key, probe_day],
-                       "left"))
+        return reduce(lambda rows, f: _with_feature(rows, f, key, probe_day), features, probes)
+    asked = (probes.select(key, probe_day)
+             .where(F.col(key).isNotNull() & F.col(probe_day).isNotNull()).distinct())
+    state = reduce(lambda rows, f: _with_feature(rows, f, key, probe_day), features, asked)
+    out = probes.join(state, [key, probe_day], "left")
     fill = {c: v for f in features for c, v in (f.otherwise or {}).items()}
     return out.fillna(fill) if fill else out
 
 
+def _with_feature(rows: DataFrame, f: Feature, key: str, probe_day: str) -> DataFrame:
+    """Rows that ride on the timeline of one feature, with its columns."""
+    asked = rows.select(F.col(key), F.col(probe_day).alias("day"), F.lit(1).alias("kind"),
+                        F.struct(*[F.col(c) for c in rows.columns]).alias("_event"))
+    facts = (f.daily.where(F.col(key).isNotNull() & F.col("day").isNotNull())
+             .withColumn("kind", F.lit(0)))
+    state = f.state(asked.unionByName(facts, allowMissingColumns=True)).where("kind = 1")
+    return state.select("_event.*", *f.columns)
+
+
 def day_number(c: Column) -> Column:
     return F.datediff(c, F.lit("1970-01-01").cast("date"))
 
@@ -100,9 +100,80 @@ def asof_join(probes: DataFrame, facts: DataFrame, key: str, probe_day: str, fac
                          key, probe_day)
 
 
-def trailing(key: str, first: int, last: int = 0) -> W:
-    """Frame over the days [day+first, day+last]."""
-    return W.partitionBy(key).orderBy(day_number(F.col("day"))).rangeBetween(first, last)
+def with_leaving(daily: DataFrame, keys: list[str], counts: dict[str, tuple[str, int]]) -> DataFrame:
+    """Daily facts, and the days on which their counts leave trailing windows.
+
+    `counts` names, per new column, an integer column and the days of its window: the new column rises by
+    the value on its day and falls by it when the window has passed, so its running sum is the total of
+    (day-window, day] and no frame is walked. A leaving day holds nothing but the fall.
+    """
+    own = [F.col(c).alias(c) for c in daily.columns]
+    rise = [F.col(c).alias(n) for n, (c, _) in counts.items()]
+
+    def leaving(name):
+        c, window = counts[name]
+        kept = [F.date_add("day", window).alias("day") if x == "day" else F.col(x).alias(x) if x in keys
+                else F.lit(None).cast(daily.schema[x].dataType).alias(x) for x in daily.columns]
+        fall = [(-F.col(c) if n == name else F.lit(None)).cast(daily.schema[k].dataType).alias(n)
+                for n, (k, _) in counts.items()]
+        return F.struct(*kept, *fall)
+    return daily.select(F.inline(F.array(F.struct(*own, *rise), *[leaving(n) for n in counts])))
+
+
+def running(column: str, key: str) -> Column:
+    """Sum of an integer column up to each day, 0 before any."""
+    return F.coalesce(F.sum(column).over(in_order(key)), F.lit(0))
+
+
+def with_trailing(daily: DataFrame, key: str, columns: list[str], window: int) -> DataFrame:
+    """Daily facts with the steps from which `trailing_sums` takes the sums of (day-window, day].
+
+    Doubles are only ever added, so nothing is left over of what has passed. Days are cut into blocks as
+    long as the window: the sum of a day is that of its block up to it, `_head`, and that of the end of
+    the block before which the window still holds, `_tail`. `daily` has one row per key and day; rows where
+    the first of `columns` is null are no facts of these sums.
+    """
+    block = F.floor(day_number(F.col("day")) / window)
+    by = W.partitionBy(key, "_block")
+    back = by.orderBy(F.col("day").desc())
+    fact = F.col(columns[0]).isNotNull()
+    opens = day_number(F.col("day")) == F.col("_block") * window
+
+    def sums(frame):
+        return F.struct(*[F.coalesce(F.sum(c).over(frame), F.lit(0.0)).alias(c) for c in columns])
+    rows = daily.withColumn("_block", block).withColumns({
+        "_after": sums(back.rowsBetween(W.unboundedPreceding, -1)),
+        "_whole": sums(back.rowsBetween(W.unboundedPreceding, W.currentRow)),
+        "_upto": sums(by.orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow)),
+        "_first": F.row_number().over(by.orderBy("day")) == 1})
+    kept = [c for c in daily.columns if c not in (key, "day", *columns)]
+    step = f"struct<block: bigint, sums: {rows.schema['_upto'].dataType.simpleString()}>"
+
+    def at(block, value):
+        return F.struct(block.alias("block"), F.col(value).alias("sums")).cast(step)
+
+    def row(day, head, tail, own):
+        return F.struct(F.col(key).alias(key), day.alias("day"), *[
+            (F.col(c) if own else F.lit(None).cast(daily.schema[c].dataType)).alias(c) for c in kept],
+            head.cast(step).alias("_head"), tail.cast(step).alias("_tail"))
+    none, later = F.lit(None).cast(step), F.col("_block") + 1
+    starts = F.date_add(F.lit("1970-01-01").cast("date"), (later * window).cast("int"))
+    steps = F.array(
+        row(F.col("day"), F.when(fact, at(F.col("_block"), "_upto")), none, True),
+        F.when(fact, row(F.date_add("day", window), none, at(later, "_after"), False)),
+        F.when(F.col("_first") & ~(fact & opens), row(starts, none, at(later, "_whole"), False)))
+    return rows.select(F.inline(steps)).where("day is not null")
+
+
+def trailing_sums(stream: DataFrame, key: str, columns: list[str], window: int) -> DataFrame:
+    """The stream with the sums of (day-window, day] in `columns`, 0 where there is nothing."""
+    block = F.floor(day_number(F.col("day")) / window)
+
+    def part(side, c):
+        return F.when(F.col(f"{side}.block") == block, F.col(f"{side}.sums.{c}")).otherwise(F.lit(0.0))
+    known = stream.withColumns({s: F.last(s, ignorenulls=True).over(in_order(key))
+                                for s in ("_head", "_tail")})
+    return known.withColumns({c: part("_tail", c) + part("_head", c) for c in columns})
 
 
 def product_feature(factors: DataFrame, key: str, factor_day: str, factor: str,

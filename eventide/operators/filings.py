@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventide import fixed_values as fv
 from eventide.functions.scoring import dilution_readiness
 from eventide.functions.text import nearest
-from eventide.operators.asof import Feature, in_order, trailing, with_features
+from eventide.operators.asof import Feature, in_order, running, with_features, with_leaving
 
 
 def has_prefix(form: Column, prefixes) -> Column:
@@ -29,11 +29,12 @@ def cadence_feature(filings: DataFrame, distinct_days: bool = True) -> Feature:
              .groupBy("ticker", F.col("filed").alias("day"))
              .agg((F.max(one) if distinct_days else one).alias("_eightk"))
              .withColumn("_eightk_day", F.col("day")))
+    # Today and so many days before it.
+    daily = with_leaving(daily, ["ticker"], {f"_in_{n}": ("_eightk", n + 1) for n in (30, 90, 365)})
 
     def state(stream):
         def count(days):
-            return F.coalesce(F.sum("_eightk").over(trailing("ticker", -days)),
-                              F.lit(0)).cast("int")
+            return running(f"_in_{days}", "ticker").cast("int")
         last = F.last("_eightk_day", ignorenulls=True).over(in_order("ticker"))
         rate = F.col("eightk_365d") / 4.0
         return (stream.withColumns({
@@ -56,6 +57,7 @@ def financing_feature(filings: DataFrame) -> Feature:
     daily = (filings.where((shelf | offering) & F.col("filed").isNotNull())
              .groupBy("ticker", F.col("filed").alias("day"))
              .agg(F.count_if(shelf).alias("_shelves"), F.count_if(offering).alias("_offers")))
+    daily = with_leaving(daily, ["ticker"], {"_in_730": ("_offers", 731)})
 
     def state(stream):
         upto = in_order("ticker")
@@ -63,14 +65,14 @@ def financing_feature(filings: DataFrame) -> Feature:
         def last_day(n):
             return F.max(F.when(F.col(n) > 0, F.col("day"))).over(upto)
 
-        def count(n, frame):
-            return F.coalesce(F.sum(n).over(frame), F.lit(0)).cast("int")
+        def count(n):
+            return running(n, "ticker").cast("int")
         age = F.datediff("day", "last_shelf_date")
         return (stream.withColumns({
-            "last_shelf_date": last_day("_shelves"), "shelf_count": count("_shelves", upto),
+            "last_shelf_date": last_day("_shelves"), "shelf_count": count("_shelves"),
             "last_offering_date": last_day("_offers"),
-            "offerings_24m": count("_offers", trailing("ticker", -730)),
-            "offerings_total": count("_offers", upto)})
+            "offerings_24m": count("_in_730"),
+            "offerings_total": count("_offers")})
             .withColumns({
                 "shelf_age_days": age,
                 "shelf_live": F.coalesce(age <= fv.SHELF_LIFE_DAYS, F.lit(False)),

@@ -317,3 +317,56 @@ def test_log_by_month_rewrites_only_a_rerun_month(spark, tmp_path):
                       (4, "2026-02-06", "c"), (5, "2026-03-01", "d")]
     plan = tb.read_months(spark, path, frame().schema).where("month = '2026-01'")
     assert "PartitionFilters: [isnotnull(month" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trailing_windows_are_told_by_steps(spark):
+    """No state walks the frame of a trailing window: its work per day must not grow with the window."""
+    rng = random.Random(3)
+    tx = [("A", day(n), n % 7, rng.choice("PS"), float(rng.randint(1, 9) * 10 ** rng.randint(0, 12)))
+          for n in range(0, 400, 3)]
+    tx = spark.createDataFrame(tx, "ticker string, filed_date date, accession int, code string, usd double")
+    p = spark.createDataFrame([("A", day(n)) for n in range(0, 600, 5)], "ticker string, asof date")
+    f = spark.createDataFrame([("A", "8-K", day(n)) for n in range(0, 400, 11)]
+                              + [("A", "424B5", day(n)) for n in range(0, 400, 50)],
+                              "ticker string, form string, filed date")
+    got = insiders.insiders_asof(p, tx)
+    for df in (got, filings.cadence_asof(p, f), filings.financing_asof(p, f)):
+        assert "RangeFrame" not in plan_of(df)
+    rows = [(r.filed_date, r.accession, r.code, r.usd) for r in tx.collect()]
+    for r in got.collect():
+        live = [x for x in rows if dt.timedelta(0) <= r.asof - x[0] < dt.timedelta(90)]
+        for side, have in (("P", r.insider_buy_usd), ("S", r.insider_sell_usd)):
+            want = sum(x[3] for x in live if x[2] == side)
+            assert have == want if want == 0 else abs(have / want - 1) < 1e-12
+        assert r.insider_filings == len({x[1] for x in live})
+        assert r.insider_buyers == len({x[1] for x in live if x[2] == "P"})
+        assert r.any_insider_activity == bool(live)
+    for r in filings.cadence_asof(p, f).collect():
+        ages = [(r.asof - day(n)).days for n in range(0, 400, 11)]
+        assert [r.eightk_30d, r.eightk_90d, r.eightk_365d] == [
+            sum(0 <= a <= w for a in ages) for w in (30, 90, 365)]
+
+
+def test_features_have_timelines_of_their_own(spark):
+    """A feature's passes go over its own facts and the probes, not over the facts of another."""
+    p = spark.createDataFrame([("A", day(9)), ("A", day(9)), ("B", day(1)), (None, day(1))],
+                              "ticker string, asof date")
+    a = spark.createDataFrame([("A", day(3), 1), ("A", day(9), 2)], "ticker string, day date, x int")
+    b = spark.createDataFrame([("A", day(8), 7), ("B", day(2), 8)], "ticker string, day date, y int")
+    seen = []
+
+    def watched(f, other):
+        def state(stream):
+            seen.append(other in stream.columns)
+            return f.state(stream)
+        return asof.Feature(f.daily, state, f.columns, f.otherwise)
+    x = watched(asof.latest_feature(a, "ticker", "day", ["x"], name="_x"), "_y")
+    y = watched(asof.latest_feature(b, "ticker", "day", ["y"], name="_y"), "_x")
+    got = asof.with_features(p, [x, y], "ticker", "asof").collect()
+    assert sorted((r.ticker or "", r.x, r.y) for r in got if r.ticker) == [
+        ("A", 2, 7), ("A", 2, 7), ("B", None, None)]
+    assert len(got) == 4 and seen == [False, False]
