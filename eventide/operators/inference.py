@@ -64,10 +64,10 @@ def _numbered(clusters: DataFrame) -> DataFrame:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """Integer mixing on 32 bits, held in unsigned 64-bit values."""
+    """Integer mixing on 32 bits, in unsigned 32-bit values that wrap around."""
     for _ in range(2):
-        x = (((x >> np.uint64(16)) ^ x) * np.uint64(_MULTIPLIER)) & np.uint64(_MASK)
-    return (x >> np.uint64(16)) ^ x
+        x = ((x >> np.uint32(16)) ^ x) * np.uint32(_MULTIPLIER)
+    return (x >> np.uint32(16)) ^ x
 
 
 def drawn_sums(h: int, c: int, reps: np.ndarray, lo: int, values: np.ndarray) -> np.ndarray:
@@ -77,14 +77,15 @@ def drawn_sums(h: int, c: int, reps: np.ndarray, lo: int, values: np.ndarray) ->
     nothing. Work goes in pieces of `_PIECE` draws.
     """
     out = np.zeros((len(reps), values.shape[1]))
-    starts = _mixed(np.uint64(h) ^ _mixed(reps.astype(np.uint64)))
+    starts = _mixed(np.uint32(h & _MASK) ^ _mixed((reps & _MASK).astype(np.uint32)))
     whole = len(values) == c
     rows = max(1, _PIECE // c)
     for r in range(0, len(reps), rows):
         for k in range(0, c, _PIECE):
-            steps = np.arange(k + 1, min(c, k + _PIECE) + 1, dtype=np.uint64) * np.uint64(_STRIDE)
-            x = (starts[r:r + rows, None] + steps) & np.uint64(_MASK)
-            at = (_mixed(x) % np.uint64(c)).astype(np.int64)
+            steps = (np.arange(k + 1, min(c, k + _PIECE) + 1, dtype=np.uint64)
+                     * np.uint64(_STRIDE)).astype(np.uint32)
+            x = _mixed(starts[r:r + rows, None] + steps)
+            at = (x % np.uint32(c) if c <= _MASK else x).astype(np.int64)
             if whole:
                 out[r:r + rows] += values[at].sum(axis=1)
             else:
@@ -145,7 +146,9 @@ def replicate_means(clusters: DataFrame, n_boot: int, seed: int) -> DataFrame:
     packs = numbered.groupBy(*CELL, "block").applyInArrow(
         pack, f"{kinds}, c bigint, h bigint, block bigint, first int, last int, packed binary")
     keys = [*CELL, "first"]
-    return (packs.repartition(*keys).sortWithinPartitions(*keys, "block")
+    # A few bytes stand for much work, so the number of tasks must not follow from the size of the rows.
+    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (packs.repartition(tasks, *keys).sortWithinPartitions(*keys, "block")
             .mapInArrow(draw, f"{kinds}, b bigint, m double"))
 
 

@@ -68,3 +68,10 @@ def test_no_draw_is_shuffled_or_broadcast(spark):
 def test_no_clusters(spark):
     _, df = clusters_of(spark, [])
     assert inference.replicate_means(df, 10, 0).count() == 0
+
+
+def test_draws_spread_over_tasks_whatever_the_size_of_their_rows(spark):
+    rows = spark.createDataFrame([("c", "b", "1d", f"t{i}", 1.0, 1) for i in range(5)],
+                                 "cut string, bucket string, horizon string, ticker string, total double, n long")
+    plan = inference.replicate_means(rows, 10, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
