@@ -790,18 +790,21 @@ def company_fact_rows(s, d):
 def ownership_document_rows(s, d):
     """Transactions of ownership filings in XML, one filing per order."""
     value = lambda n, v: F.concat(F.lit(f"<{n}><value>"), v, F.lit(f"</value></{n}>"))
-    tx = F.concat(
+    tx = lambda t: F.concat(
         F.lit("<nonDerivativeTransaction>"), value("transactionDate", F.lit("2000-01-02")),
         F.lit("<transactionCoding><transactionCode>"),
-        F.when(F.col("l_returnflag") == "R", "P").when(F.col("l_returnflag") == "A", "S").otherwise("F"),
+        F.when(t["l_returnflag"] == "R", "P").when(t["l_returnflag"] == "A", "S").otherwise("F"),
         F.lit("</transactionCode></transactionCoding><transactionAmounts>"),
-        value("transactionShares", F.when(F.col("l_linenumber") == 6, "few").otherwise(F.col("l_quantity").cast("string"))),
-        value("transactionPricePerShare", F.when(F.col("l_linenumber") == 5, "").otherwise(F.col("l_tax").cast("string"))),
+        value("transactionShares", F.when(t["l_linenumber"] == 6, "few").otherwise(t["l_quantity"].cast("string"))),
+        value("transactionPricePerShare", F.when(t["l_linenumber"] == 5, "").otherwise(t["l_tax"].cast("string"))),
         F.lit("</transactionAmounts><postTransactionAmounts>"),
-        value("sharesOwnedFollowingTransaction", (F.col("l_quantity") * 3).cast("string")),
+        value("sharesOwnedFollowingTransaction", (t["l_quantity"] * 3).cast("string")),
         F.lit("</postTransactionAmounts></nonDerivativeTransaction>"))
-    docs = (B(s, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", tx.alias("x")).alias("t"))
-            .groupBy("l_orderkey").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    # The lines are gathered; their XML, many times as long, is written where the document is.
+    docs = (B(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(
+                F.struct("l_linenumber", "l_returnflag", "l_quantity", "l_tax")).alias("t"))
+            .withColumn("t", F.sort_array(F.transform("t", lambda t: F.struct(
+                t["l_linenumber"].alias("l_linenumber"), tx(t).alias("x")))))
             .select(F.lit("T").alias("ticker"), F.col("l_orderkey").alias("accession"),
                     F.lit("2000-01-03").cast("date").alias("filed_date"), F.concat(
                         F.lit("<ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerName>OWNER  N"),

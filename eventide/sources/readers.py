@@ -283,13 +283,16 @@ def insider_documents(docs: DataFrame) -> DataFrame:
         return F.lower(strip(c)).isin("1", "true")
     role = owner_role(yes(rel["isOfficer"]), yes(rel["isDirector"]), yes(rel["isTenPercentOwner"]),
                       title)
+    # What holds for a document is taken before its transactions are listed: once, and not carried whole.
+    # The outer form infers no filter on the list, for which each document would be parsed a second time;
+    # its row of a document without transactions has no code and goes with the filter below.
     rows = (docs.withColumn("d", doc).select(
         "ticker", "accession", "filed_date", role.alias("role"), title.alias("_title"),
         F.coalesce(strip(squeeze(owner["reportingOwnerId"]["rptOwnerName"])), F.lit(""))
         .alias("owner"),
-        F.posexplode(F.concat(
-            F.coalesce(F.col("d.nonDerivativeTable.nonDerivativeTransaction"), empty),
-            F.coalesce(F.col("d.nonDerivativeTransaction"), empty))).alias("tx_pos", "t")))
+        F.concat(F.coalesce(F.col("d.nonDerivativeTable.nonDerivativeTransaction"), empty),
+                 F.coalesce(F.col("d.nonDerivativeTransaction"), empty)).alias("_tx"))
+        .select("*", F.posexplode_outer("_tx").alias("tx_pos", "t")).drop("_tx"))
     code = strip(F.coalesce(F.col("t.transactionCoding.transactionCode"),
                             F.col("t.transactionCode")))
     shares = F.coalesce(F.col("t.transactionAmounts.transactionShares.value"),
