@@ -1111,7 +1111,7 @@ def decision_dates(s, d):
 @query
 def filed_decisions(s, d):
     """All decision dates of filings that state two, with the drug and indication near each."""
-    return cal.decision_rows(V(s, d, "two_date_filing"), px.RUN_DATE).select(
+    return cal.decision_rows(spread(V(s, d, "two_date_filing")), px.RUN_DATE).select(
         "ticker", "catalyst_date_lo", "filed", "doc_id", "drug_name", "indication")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from eventide import fixed_values as fv
 from eventide.functions.dates import fuzzy_date
-from eventide.functions.text import (all_matches, drug_near, html_text, indication_near,
-                                     simple_stage, stable_id)
+from eventide.functions.text import (all_matches, drug_near, html_text, indication_mentions,
+                                     indication_near, simple_stage, stable_id)
 from eventide.operators.tables import reconcile
 from eventide.schemas import TABLES
 from eventide.sources.readers import candidate_readouts, filing_hits
@@ -38,13 +38,15 @@ def decision_details(hits: DataFrame, text: str = "text", first_only: bool = Fal
     stated = all_matches(F.col(text), "(?i)" + fv.DECISION_DATE, 1)
     if first_only:
         stated = F.slice(stated, 1, 1)
-    rows = (hits.withColumn("_m", F.explode(stated))
+    # Mentions are sought once per text, not once per date it states.
+    rows = (hits.withColumn("_mentions", indication_mentions(F.col(text)))
+            .withColumn("_m", F.explode(stated))
             .withColumn("catalyst_date_lo",
                         fuzzy_date(F.replace(F.col("_m.found"), F.lit(","), F.lit("")))["lo"])
             .where("catalyst_date_lo is not null").withColumn("_at", F.col("_m.at")))
     return (rows.withColumns({"drug_name": drug_near(F.col(text), F.col("_at")),
-                              "indication": indication_near(F.col(text), F.col("_at"))})
-            .drop("_m"))
+                              "indication": indication_near(F.col("_mentions"), F.col("_at"))})
+            .drop("_m", "_mentions"))
 
 
 def decision_rows(docs: DataFrame, today, months_back: int = 12,

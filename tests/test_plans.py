@@ -459,3 +459,28 @@ def test_board_starts_no_job_and_refresh_leaves_no_folder(spark, tmp_path):
     except ValueError:
         pass
     assert set(Path(shared_dir(spark).removeprefix("file:")).iterdir()) == before
+
+
+def test_two_dates_of_a_text_and_one_search_for_mentions(spark):
+    html = ("<p>We filed the NDA for Zelo for the treatment of heart failure. The PDUFA date is March 3, 2027."
+            "</p><p>" + "Nothing new. " * 120 + "</p><p>We filed the BLA for Bervo, IN PATIENTS WITH heart "
+            "failure. The PDUFA date is March 3, 2027; its target action date is June 9, 2027.</p>")
+    docs = spark.createDataFrame(
+        [("C1", 1, "8-K", D(2026, 9, 1), "Acme  (AAA)  (CIK 1)", html)],
+        "cik string, doc_id int, form string, filed date, display_name string, html string")
+    df = cal.decision_rows(docs, TODAY)
+    got = {(r.catalyst_date_lo, r.drug_name, r.indication) for r in df.collect()}
+    assert got == {(D(2027, 3, 3), "Zelo", "heart failure"), (D(2027, 6, 9), "Bervo", "heart failure")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(text#") == 2  # one search for dates, one for mentions
+
+
+def test_a_document_is_read_once_and_not_carried_by_its_transactions(spark):
+    docs = spark.createDataFrame([("A", 1, D(2026, 9, 1), FORM4), ("A", 2, D(2026, 9, 1), "<ownershipDocument/>")],
+                                 "ticker string, accession int, filed_date date, xml string")
+    df = rd.insider_documents(docs)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    carried = [x for x in plan.split("\n") if "Generate" in x]
+    assert len(carried) == 1 and "reportingOwner" not in plan[:plan.index("Generate")]
+    assert plan.count("from_xml") <= 1
+    assert {r.accession for r in df.collect()} == {1}
