@@ -7,12 +7,15 @@ Terms are lower-case words of letters and digits; a query is the set of all term
 2. Documents are dealt into shards of bounded size. A shard builds its inverted index: impacts per
    posting, lists of rare terms, and rows by document for common ones with the greatest impact of
    each block of documents.
-3. Query blocks go to every shard. The lists of a query's rare terms are added up; the k-th sum is a
-   bound that the result must reach. Blocks whose sum plus greatest impacts stays below it are
-   skipped, then common terms follow from the greatest down, and documents that can no longer reach
-   the bound, which rises meanwhile, drop out. The bound is eased by what single precision and rounding
-   can be off, as a part of the greatest possible score, so no document of the true top k is dropped.
-4. A shard returns one packed row per block of queries; those of a block stream by in order and are
+3. A task searches several shards one after the other. It gets each block of queries once, keeps it in
+   a local file and reads it for each shard, with the best results so far; their k-th score is a bound
+   for the next shard. So what queries take in a shuffle grows with their number alone.
+4. In a shard the lists of a query's rare terms are added up; the k-th sum is a bound too. Blocks whose
+   greatest sum plus greatest impacts stays below it for all queries of a block are skipped; over the
+   others the common terms of all its queries are summed in one matrix product. Documents that reach the
+   bound, eased by what single precision and rounding can be off, are scored in double precision, so no
+   document of the true top k is dropped.
+5. A task returns one packed row per block of queries; those of a block stream by in order and are
    merged. Scores come from global statistics, so they compare.
 
 Scores are rounded to 6 digits; ties go to the lesser id.
@@ -24,6 +27,9 @@ of them are returned.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -193,7 +199,7 @@ class Shard:
         self.terms = h[start]
         self.start, self.size = start, np.diff(start, append=len(h))
         self.docs, self.impact = doc[order], impact[order].astype(np.float32)
-        common = np.flatnonzero(self.size > max(64, n // 40))
+        common = np.flatnonzero(self.size > max(64, n // 20))
         self.row_of = np.full(len(self.terms), -1)
         self.row_of[common] = np.arange(len(common))
         wide = -(-n // BLOCK) * BLOCK
@@ -202,65 +208,129 @@ class Shard:
             a, z = start[t], start[t] + self.size[t]
             self.rows[r, self.docs[a:z]] = self.impact[a:z]
         self.block_max = self.rows.reshape(len(common), wide // BLOCK, BLOCK).max(axis=2)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
+        self.most = self.block_max.max(axis=1, initial=0.0)
+
+    def search(self, asked: tuple, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Put this shard's results among the best k so far of a block of queries (score -1: none)."""
+        sizes, places, terms, weights = asked
+        if not len(self.terms):
+            return
+        k, wide = ids.shape[1], self.rows.shape[1]
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
-        have = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, w = at[have], weights[have]
-        if not len(at):
-            return []
-        row = self.row_of[at]
-        rare = row < 0
-        size, start = self.size[at[rare]], self.start[at[rare]]
-        ends = np.cumsum(size)
-        take = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        score = np.bincount(self.docs[take], self.impact[take] * np.repeat(w[rare], size),
-                            minlength=self.rows.shape[1])
-        row, w_row = row[~rare], w[~rare]
-        # Sums in single precision are off by a part of the greatest possible score; scores are rounded
-        # to 6 digits, and equal ones are told apart by id.
-        most = self.block_max[row].max(axis=1) * w_row if len(row) else np.zeros(0)
-        slack = 2e-5 * (score.max(initial=0.0) + most.sum()) + 2e-6
-
-        def bound(values: np.ndarray) -> float:
-            return np.partition(values, -k)[-k] - slack if len(values) >= k else -1.0
-        floor = max(0.0, bound(score))
-        if len(row):
-            reach = (self.block_max[row] * w_row[:, None].astype(np.float32)).sum(axis=0)
-            top = score.reshape(-1, BLOCK).max(axis=1) + reach
-            live = np.flatnonzero(top >= floor)
-            cand = (live[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cand = cand[(score[cand] + np.repeat(reach[live], BLOCK)) >= floor]
-            order = np.argsort(-most)
-            left = most.sum()
-            value = score[cand]
-            for lo in range(0, len(order), 8):
-                part = order[lo:lo + 8]
-                if len(cand) > self.n // 2:
-                    value = value + (w_row[part].astype(np.float32) @ self.rows[row[part]])[cand]
-                else:
-                    value = value + w_row[part] @ self.rows[np.ix_(row[part], cand)]
-                left -= most[part].sum()
-                floor = max(floor, bound(value))
-                keep = value + left >= floor
-                cand, value = cand[keep], value[keep]
+        have = self.terms[at] == terms
+        row = np.where(have, self.row_of[at], -1)
+        rare = have & (row < 0)
+        size, start = self.size[at], self.start[at]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        of = np.flatnonzero(row[places] >= 0)
+        owner, of, w = owner[of], row[places[of]], weights[places[of]]
+        grid = np.zeros((len(sizes), len(self.rows)), np.float32)
+        grid[owner, of] = w
+        # Sums in single precision are off by a part of the greatest possible score that grows with their
+        # terms; scores are rounded to 6 digits, and equal ones are told apart by id.
+        slack = np.bincount(owner, w * self.most[of], minlength=len(sizes)).astype(np.float64)
+        eps = 2.4e-7 * (np.bincount(owner, minlength=len(sizes)) + 4)
+        ends = np.cumsum(sizes).tolist()
+        sums = np.zeros((len(sizes), wide), np.float32)
+        floor = np.zeros(len(sizes))
+        for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
+            own = places[a:z]
+            own = own[rare[own]]
+            n = size[own]
+            stop = np.cumsum(n)
+            take = np.repeat(start[own] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
+            score = np.bincount(self.docs[take], self.impact[take] * np.repeat(weights[own], n), minlength=wide)
+            slack[i] = eps[i] * (slack[i] + score.max(initial=0.0)) + 2e-6
+            floor[i] = max(0.0, scores[i, -1] - slack[i], _kth(score, k) - slack[i])
+            sums[i] = score
+        reach = grid @ self.block_max
+        reach += sums.reshape(len(sizes), -1, BLOCK).max(axis=2)
+        live = np.flatnonzero((reach >= (floor - slack)[:, None]).any(axis=0))
+        if len(live) < 0.9 * reach.shape[1]:
+            cols = (live[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            sums, rows = sums[:, cols], self.rows[:, cols]
         else:
-            cand, value = np.arange(len(score)), score
-        # Weights and impacts are above 0, so a sum is 0 only where no term is shared.
-        good = np.flatnonzero((value > 0) & (value >= floor) & (cand < self.n))
-        cand = cand[good]
-        exact = np.array([self._exact(d, terms, weights) for d in cand]).round(6)
-        best = np.lexsort((self.ids[cand], -exact))[:k]
-        return [(int(self.ids[cand[i]]), float(exact[i])) for i in best]
-
-    def _exact(self, doc: int, terms: np.ndarray, weights: np.ndarray) -> float:
-        """The score in double precision, added up in order of hashes."""
-        a, z = self.doc_cut[doc], self.doc_cut[doc + 1]
-        own = self.doc_terms[a:z]
-        at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-        hit = own[at] == terms
-        return float((self.doc_impact[a:z][at[hit]] * weights[hit]).sum())
+            cols, rows = np.arange(wide), self.rows
+        sums += grid @ rows
+        for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
+            # Weights and impacts are above 0, so a sum is 0 only where no term is shared.
+            cand = np.flatnonzero((sums[i] >= floor[i]) & (sums[i] > 0))
+            if len(cand) > 2 * k:
+                value = sums[i, cand]
+                cand = cand[value >= _kth(value, k) - slack[i]]
+            if len(cand):
+                own = places[a:z]
+                found = cols[cand]
+                new = np.concatenate([ids[i], self.ids[found]])
+                exact = np.concatenate([scores[i], self._exact(found, terms[own], weights[own])])
+                best = np.lexsort((new, -exact))[:k]
+                ids[i], scores[i] = new[best], exact[best]
+
+    def _exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The scores in double precision, added up in order of hashes."""
+        start, size = self.doc_cut[docs], self.doc_cut[docs + 1] - self.doc_cut[docs]
+        ends = np.cumsum(size)
+        take = np.repeat(start - (ends - size), size) + np.arange(ends[-1])
+        own = self.doc_terms[take]
+        at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+        hit = np.flatnonzero(terms[at] == own)
+        return np.bincount(np.repeat(np.arange(len(docs)), size)[hit],
+                           self.doc_impact[take[hit]] * weights[at[hit]], minlength=len(docs)).round(6)
+
+
+def _kth(values: np.ndarray, k: int) -> float:
+    return float(np.partition(values, -k)[-k]) if len(values) >= k else -1.0
+
+
+class Kept:
+    """Blocks of queries in a local file, and the best results so far in another: read once per shard."""
+
+    def __init__(self, k: int):
+        self.k, self.sizes = k, []
+        self.blocks, self.best = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+
+    def add(self, r: dict) -> None:
+        owners = np.frombuffer(r["owners"], np.int64)
+        pickle.dump((r["block"], owners, *(np.frombuffer(r[c], t) for c, t in (
+            ("sizes", np.int32), ("places", np.int32), ("terms", np.uint64), ("weights", np.float64)))), self.blocks)
+        self.best.write(np.zeros((len(owners), self.k), np.int64).tobytes())
+        self.best.write(np.full((len(owners), self.k), -1.0).tobytes())
+        self.sizes.append(len(owners))
+
+    def each(self):
+        """block, owners, what is asked, ids and scores of the best; changes to these are kept."""
+        self.blocks.seek(0)
+        at = 0
+        for n in self.sizes:
+            block, owners, *asked = pickle.load(self.blocks)  # noqa: S301
+            self.best.seek(at)
+            ids, scores = (np.frombuffer(bytearray(self.best.read(n * self.k * 8)), t).reshape(n, self.k)
+                           for t in (np.int64, np.float64))
+            yield block, owners, asked, ids, scores
+            self.best.seek(at)
+            self.best.write(ids.tobytes())
+            self.best.write(scores.tobytes())
+            at += n * self.k * 16
+
+    def search(self, docs: list, mean: float) -> None:
+        """Search a shard of documents and forget them."""
+        if self.sizes:
+            ids, n, t, c = zip(*docs, strict=True)
+            docs.clear()
+            place = Shard(np.array(ids), np.array(n), t, c, mean)
+            del ids, n, t, c
+            for _, _, asked, ids, scores in self.each():
+                place.search(asked, ids, scores)
+        docs.clear()
+
+    def found(self):
+        for block, owners, _, ids, scores in self.each():
+            yield _packed(block, owners, ids, scores)
+
+    def close(self) -> None:
+        self.blocks.close()
+        self.best.close()
 
 
 def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
@@ -274,34 +344,46 @@ def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
     fragments = max(1, -(-int(terms or 0) // FRAGMENT))
     shards = max(1, -(-total // shard), -(-int(terms or 0) // SHARD_TERMS))
     blocks = max(1, -(-(asked or 0) // QUERY_BLOCK))
+    # A group is a task's shards; each group costs one copy of the queries, so they are as many as cores.
+    groups = min(shards, docs.sparkSession.sparkContext.defaultParallelism)
     # Queries are numbered by a hash that tells rows with the same id and another text apart.
-    queries = vecs.where("query").withColumn("k", F.xxhash64("id", "terms"))
+    queries = vectors(docs.where(is_query), F.lit(True), id_col, text_col).withColumn("k", F.xxhash64("id", "terms"))
     block_of = stash(weighted(frequencies(vecs, fragments), query_terms(queries, fragments), total, blocks))
     per_block = stash(block_of.groupBy("block").applyInArrow(_compact, _BLOCK))
-    asks = per_block.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block",
-                            "owners", "sizes", "places", F.col("terms").alias("terms"), "weights")
-    index = vecs.select(F.pmod(F.xxhash64("id", "terms"), F.lit(shards)).cast("int").alias("shard"),
-                        F.lit(-1).alias("block"), "id", "n", "terms", "counts")
-    # The documents of a shard come first, then one block of queries at a time.
-    dealt = (index.unionByName(asks, allowMissingColumns=True).repartition("shard")
-             .sortWithinPartitions("shard", "block"))
+    asks = per_block.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(-1).alias("shard"),
+                            "block", "owners", "sizes", "places", "terms", "weights")
+    shard_of = F.pmod(F.xxhash64("id", "terms"), F.lit(shards)).cast("int")
+    index = vecs.select((shard_of % groups).alias("group"), shard_of.alias("shard"), "id", "n", "terms", "counts")
+    # The blocks of queries of a group come first, then one shard of documents at a time.
+    dealt = (index.unionByName(asks, allowMissingColumns=True).repartitionById(groups, "group")
+             .sortWithinPartitions("group", "shard", "block"))
 
     def run(batches):
-        now, docs_, place = None, [], None
-        for b in batches:
-            for r in b.to_pylist():
-                if r["shard"] != now:
-                    now, docs_, place = r["shard"], [], None
-                if r["block"] < 0:
-                    docs_.append((NO_ID if r["id"] is None else r["id"], r["n"], np.frombuffer(r["terms"], np.uint64),
-                                  np.frombuffer(r["counts"], np.int32)))
-                    continue
-                if docs_:
-                    ids, n, t, c = zip(*docs_, strict=True)
-                    place, docs_ = Shard(np.array(ids), np.array(n), t, c, mean), []
-                    del ids, n, t, c
-                if place is not None:
-                    yield _packed(r["block"], *_block_search(place, r, k))
+        kept, now, held = None, (None, None), []
+        try:
+            for b in batches:
+                for r in b.to_pylist():
+                    if (r["group"], r["shard"]) != now:
+                        if held:
+                            kept.search(held, mean)
+                        if r["group"] != now[0]:
+                            if kept:
+                                yield from kept.found()
+                                kept.close()
+                            kept = Kept(k)
+                        now = r["group"], r["shard"]
+                    if r["shard"] < 0:
+                        kept.add(r)
+                    else:
+                        held.append((NO_ID if r["id"] is None else r["id"], r["n"],
+                                     np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int32)))
+            if held:
+                kept.search(held, mean)
+            if kept:
+                yield from kept.found()
+        finally:
+            if kept:
+                kept.close()
 
     def merge(batches):
         now, held = None, None
@@ -327,19 +409,6 @@ def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
     return best.join(names, "k").select("query_id", "doc_id", "rank", "score")
 
 
-def _block_search(place: Shard, r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owners of a block of queries, and per owner ids and scores of the k best (score -1: none)."""
-    terms, weight = np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["weights"], np.float64)
-    places, owners = np.frombuffer(r["places"], np.int32), np.frombuffer(r["owners"], np.int64)
-    ids, scores = np.zeros((len(owners), k), np.int64), np.full((len(owners), k), -1.0)
-    ends = np.cumsum(np.frombuffer(r["sizes"], np.int32)).tolist()
-    for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
-        own = places[a:z]
-        for j, (d, score) in enumerate(place.search(terms[own], weight[own], k)):
-            ids[i, j], scores[i, j] = d, score
-    return owners, ids, scores
-
-
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row the k entries of greatest score, then least id."""
     order = np.lexsort((ids, -scores), axis=1)[:, :k]

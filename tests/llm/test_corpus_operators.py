@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,56 @@ def test_search_great_scores(frame):
     assert [d for _, d in got] == [d for _, d in sorted(scores)[:8]]
 
 
+def test_search_sends_queries_once_per_task(frame, spark, monkeypatch):
+    """Twice as many shards take no more copies of the queries, and find the same."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(12)) for _ in range(200)]
+    sent, found, send = [], [], search.map_batches
+
+    def map_batches(df, fn, schema):
+        if "places" in df.columns:
+            sent.append(df.where("places is not null").count())
+        return send(df, fn, schema)
+    monkeypatch.setattr(search, "map_batches", map_batches)
+    for shard in (10, 5):
+        out = search.top(frame(list(enumerate(texts))), F.col("doc_id") % 10 == 0, k=4, shard=shard)
+        found.append(sorted(tuple(r) for r in out.collect()))
+    assert found[0] == found[1] and len(found[0]) == 80
+    assert sent[0] == sent[1] <= spark.sparkContext.defaultParallelism
+
+
+def test_search_skips_blocks_and_keeps_the_bound():
+    """Shards of common terms alone, in blocks that cannot reach the bound, against plain sums."""
+    rng = np.random.default_rng(3)
+    docs = []
+    for i in range(900):
+        terms = np.unique(rng.integers(1, 40 if i // 64 % 2 else 400, 30)).astype(np.uint64)
+        docs.append((terms, rng.integers(1, 5, len(terms)).astype(np.int32)))
+    weights = rng.random(400) + 0.01
+    asked = [np.sort(rng.permutation(400)[:n]).astype(np.int32) for n in (1, 5, 60, 300)]
+    terms = np.arange(400, dtype=np.uint64)
+    ids, scores = np.zeros((4, 7), np.int64), np.full((4, 7), -1.0)
+    sizes = np.array([len(x) for x in asked], np.int32)
+    want = [[] for _ in asked]
+    for lo in (0, 300):
+        part = docs[lo:lo + (300 if lo == 0 else 600)]
+        n = np.array([c.sum() for _, c in part])
+        place = search.Shard(np.arange(lo, lo + len(part)), n, [t for t, _ in part], [c for _, c in part], 60.0)
+        place.search((sizes, np.concatenate(asked), terms, weights), ids, scores)
+        for q, own in enumerate(asked):
+            for d, (t, c) in enumerate(part):
+                hit = np.isin(t, terms[own])
+                if hit.any():
+                    norm = search.K1 * (1 - search.B + search.B * n[d] / 60.0)
+                    tf = c[hit].astype(float)
+                    score = (tf * 2.2 / (tf + norm) * weights[t[hit].astype(int)]).sum()
+                    want[q].append((-round(float(score), 6), lo + d))
+    for q in range(4):
+        best = sorted(want[q])[:7]
+        assert ids[q].tolist() == [d for _, d in best]
+        assert scores[q].tolist() == pytest.approx([-s for s, _ in best], abs=2e-6)
+
+
 def test_search_odd(odd, nothing):
     out = search.top(odd, F.lit(True), k=3).collect()
     assert {r["query_id"] for r in out} == {4, 5, None, 7, 8, 9, 10}
