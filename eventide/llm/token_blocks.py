@@ -81,6 +81,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        # Bytes of a token: the characters of a byte-level one, the text of an added one.
+        added = self.tokenizer.get_added_tokens_decoder()
+        known = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(known.values(), default=0) + 1, np.int64)
+        for token, i in known.items():
+            self.bytes[i] = len(added[i].content.encode()) if i in added else len(token)
         self.pool_ids = pool_ids
         self.clear()
 
@@ -90,28 +96,53 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
         self.begin, self.count, self.pieces = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), 0
 
-    def add(self, pieces: list[str]) -> np.ndarray:
-        """Encode pieces into the pool; their numbers."""
-        if len(pieces) > self.PIECES:
-            return np.concatenate([self.add(pieces[lo:lo + self.PIECES])
-                                   for lo in range(0, len(pieces), self.PIECES)])
-        new = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.array([len(x) for x in new], np.int32)
-        flat = np.fromiter((i for x in new for i in x), np.uint32, int(counts.sum()))
+    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Encode pieces of a text into the pool; their numbers."""
+        if len(start) > self.PIECES:
+            return np.concatenate([self.add(data, start[lo:lo + self.PIECES], end[lo:lo + self.PIECES])
+                                   for lo in range(0, len(start), self.PIECES)])
+        flat, counts = self.joined(data, start, end)
         if len(flat) and flat.max() > 0xFFFF and self.pool.dtype == np.uint16:
             self.pool = self.pool.astype(np.uint32)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.pieces + len(new) > len(self.begin):
+        while self.pieces + len(counts) > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
         self.pool[self.used:self.used + len(flat)] = flat
-        lo, hi = self.pieces, self.pieces + len(new)
+        lo, hi = self.pieces, self.pieces + len(counts)
         self.begin[lo:hi] = self.used + np.cumsum(counts) - counts
         self.count[lo:hi] = counts
         self.used, self.pieces = self.used + len(flat), hi
         return np.arange(lo, hi)
 
+    def joined(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and how many each has. Pieces between which a text would be
+        cut are encoded as one text, since the library takes long for each; the bytes of their tokens tell
+        where one ends. If these do not add up, each piece is encoded by itself."""
+        size = end - start
+        stop = np.cumsum(size)
+        text = data[np.repeat(end - stop, size) + np.arange(stop[-1])]
+        apart = np.flatnonzero(~self.cuts(text[stop[:-1] - 1], text[stop[:-1]])) + 1
+        edges = np.concatenate([[0], stop[apart - 1], stop[-1:]]).tolist()
+        new = [e.ids for e in self.tokenizer.encode_batch_fast(
+            [text[a:b].tobytes().decode() for a, b in zip(edges[:-1], edges[1:], strict=True)],
+            add_special_tokens=False)]
+        flat = np.array([i for x in new for i in x], np.uint32)
+        bytes_at = np.cumsum(self.bytes[flat])
+        last = np.searchsorted(bytes_at, stop)
+        if len(flat) and bytes_at[-1] == stop[-1] and (bytes_at[last] == stop).all():
+            return flat, np.diff(last + 1, prepend=0).astype(np.int32)
+        new = [e.ids for e in self.tokenizer.encode_batch_fast(
+            [data[a:b].tobytes().decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)],
+            add_special_tokens=False)]
+        return np.array([i for x in new for i in x], np.uint32), np.array([len(x) for x in new], np.int32)
+
+    @staticmethod
+    def cuts(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether texts are cut between two bytes."""
+        return (_SPACE[after] & _SOLID[before]) | (_STOP[after] & _LETTER[before])
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and len + 1 offsets into them."""
         n = len(data)
@@ -120,7 +151,7 @@ class Encoder:
         if self.used > self.pool_ids:
             self.clear()
         cut = np.zeros(n, bool)
-        cut[1:] = (_SPACE[data[1:]] & _SOLID[data[:-1]]) | (_STOP[data[1:]] & _LETTER[data[:-1]])
+        cut[1:] = self.cuts(data[:-1], data[1:])
         cut[offs[:-1][offs[:-1] < offs[1:]]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
@@ -134,8 +165,7 @@ class Encoder:
         if len(miss):
             _, which, back = np.unique(h[miss], return_index=True, return_inverse=True)
             rare = miss[which]
-            numbers = self.add([data[a:b].tobytes().decode() for a, b in
-                                zip(start[rare].tolist(), end[rare].tolist(), strict=True)])
+            numbers = self.add(data, start[rare], end[rare])
             piece[miss] = numbers[back]
             self.keys[slot[rare]] = h[rare]
             self.at[slot[rare]] = numbers

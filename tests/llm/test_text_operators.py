@@ -299,6 +299,31 @@ def test_encoder_equals_library():
         assert ids[edges[k]:edges[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_encoder_hands_over_pieces_together():
+    """New pieces go to the library as few texts; what their bytes cannot part is encoded by itself."""
+    from tokenizers import Tokenizer
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeé漢") for _ in range(rng.randint(1, 9))) + rng.choice(["", ",", "!"])
+                      for _ in range(300)) for _ in range(20)] + ["", "  ", "\n", "<|endoftext|>", "a <|endoftext|> b"]
+    t = Tokenizer.from_file(tokenizer_path())
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, batch, **options):
+            calls.append(len(batch))
+            return t.encode_batch_fast(batch, **options)
+    for known in (True, False):
+        enc = token_blocks.Encoder(tokenizer_path())
+        enc.tokenizer = Counted()
+        if not known:
+            enc.bytes[:] = 1
+        calls.clear()
+        ids, edges = enc.encode(*text_bytes(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])] == want
+        assert (sum(calls) < 60) == known
+
+
 def test_token_files(spark, odd, nothing, tmp_path):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path())
