@@ -192,12 +192,15 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / mean)
         impact = tf * (K1 + 1) / (tf + norm[doc])
         self.doc_cut = np.concatenate([[0], np.cumsum(sizes)])
-        self.doc_terms, self.doc_impact = h, impact
+        self.doc_impact = impact
         order = np.argsort(h, kind="stable")
         h = h[order]
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
         self.terms = h[start]
         self.start, self.size = start, np.diff(start, append=len(h))
+        self.doc_terms = np.empty(len(h), np.int32)
+        self.doc_terms[order] = np.repeat(np.arange(len(start), dtype=np.int32), self.size)
+        self.weight = np.zeros(len(start))
         self.docs, self.impact = doc[order], impact[order].astype(np.float32)
         common = np.flatnonzero(self.size > max(64, n // 20))
         self.row_of = np.full(len(self.terms), -1)
@@ -233,7 +236,6 @@ class Shard:
         eps = 2.4e-7 * (np.bincount(owner, minlength=len(sizes)) + 4)
         ends = np.cumsum(sizes).tolist()
         sums = np.zeros((len(sizes), wide), np.float32)
-        floor = np.zeros(len(sizes))
         for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
             own = places[a:z]
             own = own[rare[own]]
@@ -242,10 +244,11 @@ class Shard:
             take = np.repeat(start[own] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
             score = np.bincount(self.docs[take], self.impact[take] * np.repeat(weights[own], n), minlength=wide)
             slack[i] = eps[i] * (slack[i] + score.max(initial=0.0)) + 2e-6
-            floor[i] = max(0.0, scores[i, -1] - slack[i], _kth(score, k) - slack[i])
             sums[i] = score
-        reach = grid @ self.block_max
-        reach += sums.reshape(len(sizes), -1, BLOCK).max(axis=2)
+        # The greatest sums of blocks belong to different documents, so their k-th is a bound.
+        least = sums.reshape(len(sizes), -1, BLOCK).max(axis=2)
+        floor = np.maximum(0.0, np.maximum(scores[:, -1], _kth(least, k)) - slack)
+        reach = grid @ self.block_max + least
         live = np.flatnonzero((reach >= (floor - slack)[:, None]).any(axis=0))
         if len(live) < 0.9 * reach.shape[1]:
             cols = (live[:, None] * BLOCK + np.arange(BLOCK)).ravel()
@@ -253,34 +256,35 @@ class Shard:
         else:
             cols, rows = np.arange(wide), self.rows
         sums += grid @ rows
+        floor = np.maximum(floor, _kth(sums.reshape(len(sizes), -1, BLOCK).max(axis=2, initial=0.0), k) - slack)
         for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
             # Weights and impacts are above 0, so a sum is 0 only where no term is shared.
             cand = np.flatnonzero((sums[i] >= floor[i]) & (sums[i] > 0))
             if len(cand) > 2 * k:
                 value = sums[i, cand]
-                cand = cand[value >= _kth(value, k) - slack[i]]
+                cand = cand[value >= _kth(value[None], k) - slack[i]]
             if len(cand):
                 own = places[a:z]
+                own = own[have[own]]
                 found = cols[cand]
                 new = np.concatenate([ids[i], self.ids[found]])
-                exact = np.concatenate([scores[i], self._exact(found, terms[own], weights[own])])
+                exact = np.concatenate([scores[i], self._exact(found, at[own], weights[own])])
                 best = np.lexsort((new, -exact))[:k]
                 ids[i], scores[i] = new[best], exact[best]
 
-    def _exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def _exact(self, docs: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The scores in double precision, added up in order of hashes."""
-        start, size = self.doc_cut[docs], self.doc_cut[docs + 1] - self.doc_cut[docs]
-        ends = np.cumsum(size)
-        take = np.repeat(start - (ends - size), size) + np.arange(ends[-1])
-        own = self.doc_terms[take]
-        at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
-        hit = np.flatnonzero(terms[at] == own)
-        return np.bincount(np.repeat(np.arange(len(docs)), size)[hit],
-                           self.doc_impact[take[hit]] * weights[at[hit]], minlength=len(docs)).round(6)
-
-
-def _kth(values: np.ndarray, k: int) -> float:
-    return float(np.partition(values, -k)[-k]) if len(values) >= k else -1.0
+        self.weight[at] = weights
+        found = [(self.doc_impact[a:z] * self.weight[self.doc_terms[a:z]]).sum()
+                 for a, z in zip(self.doc_cut[docs].tolist(), self.doc_cut[docs + 1].tolist(), strict=True)]
+        self.weight[at] = 0
+        return np.array(found).round(6)
+
+
+def _kth(values: np.ndarray, k: int) -> np.ndarray:
+    """Per row the k-th greatest value (-1: there are fewer)."""
+    n = values.shape[1]
+    return np.partition(values, n - k, axis=1)[:, n - k] if n >= k else np.full(len(values), -1.0)
 
 
 class Kept:
