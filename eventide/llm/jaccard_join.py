@@ -3,9 +3,10 @@
 A document's set holds the 64-bit hashes of its distinct shingles of `n` words (of the whole
 sequence, if it has fewer words). Documents with equal sets form one class and are joined as one.
 
-1. The order of all hashes is cut into vertical fragments. Map tasks send each fragment the packed
-   hashes of each class once; a fragment counts in how many classes each hash occurs. Hashes of a
-   single class can be in no overlap and go no further.
+1. The order of all hashes is cut into vertical fragments. Map tasks send each fragment the hashes
+   of each class once, in order, packed as six bytes and the number of their class in three bytes or
+   four; a fragment counts in how many classes each hash occurs. Hashes of a single class can be in
+   no overlap and go no further. What a hash takes does not depend on the number of fragments.
 2. A class with fewer shared hashes than a link needs drops out. Of the others, links must share one
    of the rarest `shared - needed + 1` hashes (prefix), which gives candidate pairs.
 3. Candidates are counted by fragment: each class is cut into segments along the order of hashes,
@@ -40,6 +41,8 @@ PERCENT = 80
 # Hashes of one vertical fragment, and those a map task holds before it sends them.
 FRAGMENT = 1_000_000
 SEGMENTS = 4
+# The first 16 bits of a hash are its slot. Fragments are runs of slots.
+SLOTS = 1 << 16
 # Up to how many members a group is compared pair by pair; sizes of blocks in larger ones.
 SMALL = 48
 ASKING, ASKED, COLUMNS = 128, 512, 4096
@@ -99,12 +102,76 @@ def runs(a: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start, [*start[1:], len(a)], strict=True)) if start else []
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(a.tobytes() for a in arrays)
+class ClassNumbers:
+    """Numbers that stand for the labels of classes in fewer bytes, one for each label.
+
+    A number is the first `bits` bits of its label; the few labels that share these with another are
+    listed, and have the numbers after.
+    """
+
+    def __init__(self, bits: int, listed: np.ndarray):
+        self.bits, self.listed = bits, np.sort(listed)
+        self.width = -(-((1 << bits) + len(listed)).bit_length() // 8)
+
+    def __call__(self, label: np.ndarray) -> np.ndarray:
+        number = label.view(np.uint64) >> np.uint64(64 - self.bits)
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, label), len(self.listed) - 1)
+            number = np.where(self.listed[at] == label, np.uint64(1 << self.bits) + at.astype(np.uint64), number)
+        return number
+
+
+def number_bits(count: int) -> int:
+    """Bits of the whole bytes, but one, in which `count` labels have some 65,536 equal pairs or fewer."""
+    return 8 * max(3, -(-(2 * max(1, count).bit_length() - 16) // 8)) - 1
+
+
+def class_numbers(members: DataFrame, count: int) -> ClassNumbers:
+    bits = number_bits(count)
+    known = members.where("label is not null").select(
+        "label", F.shiftrightunsigned("label", 64 - bits).alias("number"))
+    shared = (known.groupBy("number").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+              .where("lo < hi").select("number"))
+    listed = known.join(shared, "number", "left_semi").select("label").distinct().collect()
+    return ClassNumbers(bits, np.array([r["label"] for r in listed], np.int64))
+
+
+def slot_bounds(fragments: int) -> np.ndarray:
+    """First slot of each fragment, and the end of the last."""
+    return -(-np.arange(fragments + 1) * SLOTS // fragments)
+
+
+def low_bytes(a: np.ndarray, width: int) -> np.ndarray:
+    """The lowest bytes of each number."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def from_bytes(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(np.uint64, copy=False)
 
 
-def postings(docs: DataFrame, text_col: str, n: int, fragments: int) -> DataFrame:
-    """fragment, k, labels, sizes, counts, hashes: classes of a map task by vertical fragment.
+def small_counts(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32)
+
+
+def from_slots(counts: bytes, low: bytes, first: int, last: int) -> np.ndarray:
+    """The hashes, in order, from how many there are in each slot and their other six bytes."""
+    n = np.frombuffer(counts, np.uint8 if len(counts) == last - first else np.int32)
+    return from_bytes(low, 6) | np.repeat(np.arange(first, last).astype(np.uint64) << np.uint64(48), n)
+
+
+def cut_at(a: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of the rows of `a` from each edge to the next."""
+    width = a.itemsize * (a.shape[1] if a.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [
+        None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a).reshape(-1))])
+
+
+def postings(docs: DataFrame, text_col: str, n: int, fragments: int, number: ClassNumbers) -> DataFrame:
+    """fragment, counts by slot, hashes, owners; labels, sizes: classes of a map task by vertical
+    fragment. The label and size of a class go to one fragment only, told by its number.
 
     Each class is sent once per map task, whatever the number of its copies there.
     """
@@ -112,26 +179,26 @@ def postings(docs: DataFrame, text_col: str, n: int, fragments: int) -> DataFram
         seen: set = set()
         held: list = []
         n_held = 0
+        bounds = slot_bounds(fragments)
 
         def flush():
             h = np.concatenate([x[0] for x in held])
-            owner = np.concatenate([np.repeat(x[1], x[3]) for x in held])
-            size = np.concatenate([np.repeat(x[2], x[3]) for x in held])
-            part = (((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int32)
+            label, size = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+            owner = np.repeat(number(label), size)
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], owner[order]
+            counts = np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+            edge = np.concatenate([[0], np.cumsum(counts)])[bounds]
+            part = (number(label) % np.uint64(fragments)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            h, owner, size, part = h[order], owner[order], size[order], part[order]
-            out: list = [[], [], [], [], []]
-            for a, z in runs(part):
-                own = owner[a:z]
-                start = changes(own)
-                for c, v in zip(out, (int(part[a]), _pack(own[start]),
-                                      _pack(size[a:z][start].astype(np.int32)),
-                                      _pack(np.diff(start, append=z - a).astype(np.int32)),
-                                      _pack(h[a:z])), strict=True):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]],
-                names=["fragment", "labels", "sizes", "counts", "hashes"])
+            label, size, part = label[order], size[order], part[order]
+            of_part = np.searchsorted(part, np.arange(fragments + 1))
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(fragments), pa.int32()), cut_at(small_counts(counts), bounds),
+                 cut_at(low_bytes(h, 6), edge), cut_at(low_bytes(owner, number.width), edge),
+                 cut_at(label, of_part), cut_at(size.astype(np.int32), of_part)],
+                names=["fragment", "counts", "hashes", "owners", "labels", "sizes"])
+            return rows.filter(pa.array((np.diff(edge) > 0) | (np.diff(of_part) > 0)))
 
         for b in batches:
             for lo, hi, data, offs in chunks(b.column(0)):
@@ -142,7 +209,7 @@ def postings(docs: DataFrame, text_col: str, n: int, fragments: int) -> DataFram
                     if s and x not in seen:
                         seen.add(x)
                         fresh[k] = True
-                held.append((h[fresh[row]], label[fresh], size[fresh], size[fresh]))
+                held.append((h[fresh[row]], label[fresh], size[fresh]))
                 n_held += len(held[-1][0])
                 if n_held >= FRAGMENT:
                     yield flush()
@@ -150,61 +217,80 @@ def postings(docs: DataFrame, text_col: str, n: int, fragments: int) -> DataFram
         if n_held:
             yield flush()
 
-    return map_batches(docs.select(F.col(text_col).alias("t")), run,
-                       "fragment int, labels binary, sizes binary, counts binary, hashes binary")
+    return map_batches(docs.select(F.col(text_col).alias("t")), run, "fragment int, counts binary, "
+                       "hashes binary, owners binary, labels binary, sizes binary")
 
 
-def shared_hashes(parts: DataFrame, buckets: int) -> DataFrame:
-    """bucket, labels, sizes, hashes, freqs: hashes of two classes or more, by bucket of label."""
+def shared_hashes(parts: DataFrame, fragments: int, number: ClassNumbers) -> DataFrame:
+    """bucket, fragment, counts by slot, hashes, owners, freqs, large (those of 255 and more); labels,
+    sizes: hashes of two classes or more, by bucket of the class number."""
     def run(batches):
-        def close(rows):
-            own, size, h = (np.concatenate(x) for x in zip(*rows, strict=True))
+        bounds = slot_bounds(fragments)
+
+        def close(f, rows):
+            h, own, label, size = (np.concatenate(x) for x in zip(*rows, strict=True))
+            label, at = np.unique(label, return_index=True)
+            size = size[at]
             order = np.lexsort((own, h))
-            own, size, h = own[order], size[order], h[order]
+            own, h = own[order], h[order]
             new = np.ones(len(h), bool)  # a class comes from each map task that has a copy
             new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-            own, size, h = own[new], size[new], h[new]
+            own, h = own[new], h[new]
             start = changes(h)
             freq = np.diff(start, append=len(h))
             freq = np.repeat(freq, freq)
             keep = freq > 1
-            own, size, h, freq = own[keep], size[keep], h[keep], freq[keep]
-            to = (own.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            own, h, freq = own[keep], h[keep], freq[keep]
+            to = (own % np.uint64(fragments)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            own, size, h, freq, to = own[order], size[order], h[order], freq[order], to[order]
-            cols: list = [[], [], [], [], []]
-            for a, z in runs(to):
-                for c, v in zip(cols, (int(to[a]), _pack(own[a:z]), _pack(size[a:z]), _pack(h[a:z]),
-                                       _pack(freq[a:z].astype(np.int32))), strict=True):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
-                names=["bucket", "labels", "sizes", "hashes", "freqs"])
+            own, h, freq, to = own[order], h[order], freq[order], to[order]
+            every = np.arange(fragments + 1)
+            slots = int(bounds[f + 1] - bounds[f])
+            counts = np.bincount(to * slots + (h >> np.uint64(48)).astype(np.int64) - bounds[f],
+                                 minlength=fragments * slots)
+            edge = np.searchsorted(to, every)
+            large = freq >= 255
+            mine = np.where(every > f, len(label), 0)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(every[:-1], pa.int32()), pa.array(np.full(fragments, f), pa.int32()),
+                 cut_at(small_counts(counts), every * slots), cut_at(low_bytes(h, 6), edge),
+                 cut_at(low_bytes(own, number.width), edge),
+                 cut_at(np.minimum(freq, 255).astype(np.uint8), edge),
+                 cut_at(freq[large].astype(np.int32), np.searchsorted(to[large], every)),
+                 cut_at(label, mine), cut_at(size, mine)],
+                names=["bucket", "fragment", "counts", "hashes", "owners", "freqs", "large", "labels", "sizes"])
+            return out.filter(pa.array((np.diff(edge) > 0) | (np.diff(mine) > 0)))
 
         now, held = None, []
         for b in batches:
-            for f, x, s, c, h in zip(*[col.to_pylist() for col in b.columns], strict=True):
+            for f, c, h, o, x, s in zip(*[col.to_pylist() for col in b.columns], strict=True):
                 if f != now and held:
-                    yield close(held)
+                    yield close(now, held)
                     held = []
-                now, c = f, np.frombuffer(c, np.int32)
-                held.append((np.repeat(np.frombuffer(x, np.int64), c),
-                             np.repeat(np.frombuffer(s, np.int32), c), np.frombuffer(h, np.uint64)))
+                now = f
+                held.append((from_slots(c, h, bounds[f], bounds[f + 1]), from_bytes(o, number.width),
+                             np.frombuffer(x, np.int64), np.frombuffer(s, np.int32)))
         if held:
-            yield close(held)
+            yield close(now, held)
 
     dealt = parts.repartition("fragment").sortWithinPartitions("fragment")
-    return map_batches(dealt, run,
-                       "bucket int, labels binary, sizes binary, hashes binary, freqs binary")
+    return map_batches(dealt, run, "bucket int, fragment int, counts binary, hashes binary, "
+                       "owners binary, freqs binary, large binary, labels binary, sizes binary")
 
 
-def candidates(shared: DataFrame, percent: int) -> DataFrame:
+def candidates(shared: DataFrame, percent: int, fragments: int, number: ClassNumbers) -> DataFrame:
     """label, n, central, shared (hashes in order), prefix (rarest hashes): classes that can have a
     link. `central` is the mean number of classes that have a hash of the set: in a family of near
     copies it is greatest for the text the others were made from."""
     def run(batches):
+        bounds = slot_bounds(fragments)
+
         def close(rows):
-            own, size, h, freq = (np.concatenate(x) for x in zip(*rows, strict=True))
+            h, own, freq, known, known_size = (np.concatenate(x) for x in zip(*rows, strict=True))
+            numbers = number(known)
+            order = np.argsort(numbers)
+            at = order[np.searchsorted(numbers[order], own)]
+            own, size = known[at], known_size[at]
             order = np.lexsort((h, freq, own))
             own, size, h, freq = own[order], size[order], h[order], freq[order]
             out: list = [[], [], [], [], []]
@@ -222,13 +308,15 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
 
         now, held = None, []
         for b in batches:
-            for k, x, s, h, f in zip(*[col.to_pylist() for col in b.columns], strict=True):
+            for k, f, c, h, o, q, m, x, s in zip(*[col.to_pylist() for col in b.columns], strict=True):
                 if k != now and held:
                     yield close(held)
                     held = []
                 now = k
-                held.append((np.frombuffer(x, np.int64), np.frombuffer(s, np.int32),
-                             np.frombuffer(h, np.uint64), np.frombuffer(f, np.int32)))
+                freq = np.frombuffer(q, np.uint8).astype(np.int64)
+                freq[freq == 255] = np.frombuffer(m, np.int32)
+                held.append((from_slots(c, h, bounds[f], bounds[f + 1]), from_bytes(o, number.width), freq,
+                             np.frombuffer(x, np.int64), np.frombuffer(s, np.int32)))
         if held:
             yield close(held)
 
@@ -348,10 +436,12 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(dealt, run, "a long, b long")
 
 
-def linked_classes(docs: DataFrame, text_col: str, total: int, n: int, percent: int) -> DataFrame:
+def linked_classes(docs: DataFrame, text_col: str, total: int, number: ClassNumbers, n: int,
+                   percent: int) -> DataFrame:
     """node, root: classes with a link, and the least class of their component."""
     fragments = max(1, -(-total // FRAGMENT))
-    sets = stash(candidates(shared_hashes(postings(docs, text_col, n, fragments), fragments), percent))
+    parts = postings(docs, text_col, n, fragments, number)
+    sets = stash(candidates(shared_hashes(parts, fragments, number), percent, fragments, number))
     cut = stash(segments(sets, SEGMENTS))
     in_group = Window.partitionBy("h").orderBy(F.col("central").desc(), "label")
     groups = (sets.select(F.explode("prefix").alias("h"), "label", "n", "central")
@@ -387,10 +477,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
             percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id that links reach)."""
     members = stash(document_sets(docs, id_col, text_col, n))
-    total = members.agg(F.sum("n")).first()[0] or 0
+    total, count = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("label")).first()
     least = members.where("label is not null").groupBy("label").agg(F.min("i").alias("least"))
     if total:
-        roots = linked_classes(docs, text_col, total, n, percent)
+        roots = linked_classes(docs, text_col, total, class_numbers(members, count), n, percent)
         joined = least.join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn(
             "root", F.coalesce("root", "label"))
         of_root = joined.groupBy("root").agg(F.min("least").alias("c"))

@@ -273,6 +273,53 @@ def test_jaccard_odd(odd, nothing):
     assert jaccard_join.classes(nothing).count() == jaccard_join.one_of_each(nothing).count() == 0
 
 
+def test_jaccard_bytes_do_not_grow_with_fragments(frame):
+    rng = random.Random(5)
+    df = frame([(i, " ".join(f"w{rng.randint(0, 10 ** 6)}" for _ in range(204)), None, None) for i in range(300)])
+    number = jaccard_join.ClassNumbers(31, np.zeros(0, np.int64))
+    for fragments in (1, 4000):
+        parts = jaccard_join.postings(df.repartition(1), "text", 5, fragments, number)
+        sent = sum(sum(len(v) for v in r[1:]) for r in parts.collect())
+        assert sent < 12.5 * 300 * 200  # eight bytes of hash and eight of label, and size and count, once
+
+
+def test_jaccard_class_numbers(frame, monkeypatch):
+    label = np.array([1 << 60, (1 << 60) + 1, 5 << 60, -1, -2, -1 << 63], np.int64)
+    number = jaccard_join.ClassNumbers(4, label[[4, 0, 3, 1]])
+    assert number(label).tolist() == [18, 19, 5, 17, 16, 8] and number.width == 1
+    assert jaccard_join.ClassNumbers(23, label[:0])(label).tolist() == [
+        int(x) >> 41 for x in label.view(np.uint64)]
+    assert [jaccard_join.number_bits(n) for n in (0, 10 ** 6, 2 ** 24 - 1, 2 ** 24, 10 ** 9)] == [23, 23, 31, 39, 47]
+    # Few numbers: most classes share theirs and are listed.
+    monkeypatch.setattr(jaccard_join, "number_bits", lambda count: 3)
+    monkeypatch.setattr(jaccard_join, "FRAGMENT", 700)
+    docs = near_copies()
+    _, want = brute_classes(docs)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(frame(docs)).collect()} == want
+
+
+@pytest.mark.parametrize("fragments", [1, 7, 70_000])
+def test_jaccard_slots(fragments):
+    rng = np.random.default_rng(6)
+    h = np.sort(np.append(rng.integers(0, 1 << 64, 3000, np.uint64), np.full(300, (1 << 64) - 1, np.uint64)))
+    bounds = jaccard_join.slot_bounds(fragments)
+    assert bounds[0] == 0 and bounds[-1] == 1 << 16 and (np.diff(bounds) >= 0).all()
+    counts = np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+    edge = np.concatenate([[0], np.cumsum(counts)])[bounds]
+    cut = [jaccard_join.cut_at(a, e).to_pylist() for a, e in (
+        (jaccard_join.small_counts(counts), bounds), (jaccard_join.low_bytes(h, 6), edge))]
+    back = [jaccard_join.from_slots(c, x, bounds[f], bounds[f + 1]) for f, (c, x) in enumerate(zip(*cut, strict=True))]
+    assert np.concatenate(back).tolist() == h.tolist()
+
+
+def test_jaccard_hash_in_very_many_classes(frame):
+    """More classes with one shingle than a byte of its frequency or of a slot holds."""
+    common = " ".join(f"c{k}" for k in range(6))
+    docs = [(i, f"{common} x{i} y{i} z{i}") for i in range(600)] + [(600, f"{common} x7 y7 z7 q")]
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(frame(docs)).collect()}
+    assert out == {i: i for i in range(600)} | {600: 7}
+
+
 # Repeats
 
 def brute_repeats(docs, size=200):
