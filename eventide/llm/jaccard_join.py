@@ -5,8 +5,9 @@ sequence, if it has fewer words). Documents with equal sets form one class and a
 
 1. The order of all hashes is cut into vertical fragments. Map tasks send each fragment the hashes
    of each class once, in order, packed as six bytes and the number of their class in three bytes
-   (more from a million rows on); a fragment counts in how many classes each hash occurs. Hashes of a single class can be in
-   no overlap and go no further. What a hash takes does not depend on the number of fragments.
+   (more from a million rows on); a fragment counts in how many classes each hash occurs. Hashes of
+   a single class can be in no overlap and go no further. What a hash takes does not depend on the
+   number of fragments.
 2. A class with fewer shared hashes than a link needs drops out. Of the others, links must share one
    of the rarest `shared - needed + 1` hashes (prefix), which gives candidate pairs.
 3. Candidates are counted by fragment: each class is cut into segments along the order of hashes,
