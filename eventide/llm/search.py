@@ -4,15 +4,18 @@ Terms are lower-case words of letters and digits; a query is the set of all term
 
 1. Document frequencies and the mean length are counted over all documents, and each query gets the
    weights of its terms from them.
-2. Documents are dealt into shards of bounded size. A shard builds its inverted index: impacts per
-   posting, lists of rare terms, and rows by document for common ones with the greatest impact of
-   each block of documents.
-3. A task searches several shards one after the other. It gets each block of queries once, keeps it in
-   a local file and reads it for each shard, with the best results so far; their k-th score is a bound
-   for the next shard. So what queries take in a shuffle grows with their number alone.
-4. In a shard the lists of a query's rare terms are added up; the k-th sum is a bound too. Blocks whose
+2. Documents are dealt over groups, one per task, and a task takes those of a kind one after the other:
+   about as long and with the same most frequent word, which tells languages apart. As many as make a
+   shard of bounded size get an inverted index: lists of postings, and rows by document for common
+   terms with the greatest impact of each block of documents. Queries of a kind share blocks too. So few
+   terms are common to a block of queries and a shard of another kind, and those of their own kind
+   are common enough for matrix products.
+3. A task gets each block of queries once, keeps it in a local file and reads it for each shard, with the
+   best results so far; their k-th score is a bound for the next shard. The first shard, a small one, holds
+   documents of all kinds. What queries take in a shuffle grows with their number alone.
+4. In a shard the postings of a query's rarer terms are added up; the k-th sum is a bound too. Blocks whose
    greatest sum plus greatest impacts stays below it for all queries of a block are skipped; over the
-   others the common terms of all its queries are summed in one matrix product. Documents that reach the
+   others the other terms of all its queries are summed in one matrix product. Documents that reach the
    bound, eased by what single precision and rounding can be off, are scored in double precision, so no
    document of the true top k is dropped.
 5. A task returns one packed row per block of queries; those of a block stream by in order and are
@@ -44,6 +47,11 @@ SHARD = 14_000
 SHARD_TERMS = 4_000_000
 BLOCK = 64
 QUERY_BLOCK = 256
+WORDS = 64
+MIXED = 64
+ROW_CELLS = 8_000_000
+ADD = 500  # adding a posting takes as long as so many terms of a matrix product
+PIECE = 1 << 15
 FRAGMENT = 1_000_000
 NO_ID = -(1 << 63)  # stands for a null id inside a shard
 
@@ -58,11 +66,11 @@ def term_sets(s: Spans):
     return h[start], np.diff(start, append=len(h)), row[start]
 
 
-_VECTORS = "id long, n long, terms binary, counts binary, query boolean"
+_VECTORS = "id long, n long, terms binary, counts binary, query boolean, word long"
 
 
 def vectors(docs: DataFrame, is_query: Column, id_col: str, text_col: str) -> DataFrame:
-    """id, n (words), terms and counts (packed), whether it is a query."""
+    """id, n (words), terms and counts (packed), whether it is a query, the hash of its most frequent word."""
     def run(batches):
         for b in batches:
             for lo, hi, data, offs in chunks(b.column(1)):
@@ -73,12 +81,23 @@ def vectors(docs: DataFrame, is_query: Column, id_col: str, text_col: str) -> Da
                      pa.array([h[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                      pa.array([count[a:z].astype(np.int32).tobytes() for a, z in
                                zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-                     b.column(2).slice(lo, hi - lo)], names=["id", "n", "terms", "counts", "query"])
+                     b.column(2).slice(lo, hi - lo), _first_word(h, count, cut)],
+                    names=["id", "n", "terms", "counts", "query", "word"])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"),
                        F.coalesce(is_query, F.lit(False)).alias("q"))
     return map_batches(rows, run, _VECTORS)
 
 
+def _first_word(h: np.ndarray, count: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Per row the most frequent term, of equals the one of least hash (null: there is none)."""
+    out, full = np.zeros(len(cut) - 1, np.int64), cut[1:] > cut[:-1]
+    if len(h):
+        most = np.repeat(np.maximum.reduceat(count, cut[:-1][full]), np.diff(cut)[full])
+        at = np.flatnonzero(count == most)
+        out[full] = h[at[np.searchsorted(at, cut[:-1][full])]].view(np.int64)
+    return pa.array(out, mask=~full)
+
+
 def _parted(part: np.ndarray, *cols: np.ndarray):
     if not len(part):
         return
@@ -114,45 +133,52 @@ def frequencies(vecs: DataFrame, fragments: int) -> DataFrame:
     return map_batches(vecs.select("terms"), run, "fragment int, terms binary, counts binary")
 
 
-def query_terms(vecs: DataFrame, fragments: int) -> DataFrame:
-    """fragment, terms, counts (null), block and numbers: terms of queries by range of hashes."""
+def query_terms(vecs: DataFrame, fragments: int, spans: dict) -> DataFrame:
+    """fragment, terms, owners and blocks (per term): terms of queries by range of hashes.
+
+    Queries of one kind have the numbers from spans[kind][0] on, spans[kind][1] of them; they are dealt over these
+    by their hash and cut into blocks, so that queries of a block are alike.
+    """
     def run(batches):
         for b in batches:
-            h, owner = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            h, owner, block = [], [], []
+            for k, t, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h.append(np.frombuffer(t or b"", np.uint64))
                 owner.append(np.full(len(h[-1]), k, np.int64))
+                first, n = spans[kind]
+                block.append(np.full(len(h[-1]), (first + k % n) // QUERY_BLOCK, np.int32))
             if not h:
                 continue
-            h, owner = np.concatenate(h), np.concatenate(owner)
+            h, owner, block = np.concatenate(h), np.concatenate(owner), np.concatenate(block)
             part = (((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int32)
-            rows = [(p, *c) for p, c in _parted(part, h, owner)]
+            rows = [(p, *c) for p, c in _parted(part, h, owner, block)]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()),
-                     pa.array(cols[2], pa.binary())], names=["fragment", "terms", "owners"])
-    return map_batches(vecs.select("k", "terms"), run, "fragment int, terms binary, owners binary")
+                    [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
+                    names=["fragment", "terms", "owners", "blocks"])
+    return map_batches(vecs.select("k", "terms", "kind"), run,
+                       "fragment int, terms binary, owners binary, blocks binary")
 
 
-def weighted(counts: DataFrame, asked: DataFrame, total: int, blocks: int) -> DataFrame:
+def weighted(counts: DataFrame, asked: DataFrame, total: int) -> DataFrame:
     """block, owners, terms, weights: query terms with their weight, by block of queries."""
     def run(batches):
         def close(rows):
-            h = np.concatenate([np.frombuffer(t, np.uint64) for _, t, _, o in rows if o is None] or
+            h = np.concatenate([np.frombuffer(t, np.uint64) for _, t, _, o, _ in rows if o is None] or
                                [np.zeros(0, np.uint64)])
-            n = np.concatenate([np.frombuffer(c, np.int64) for _, _, c, o in rows if o is None] or
+            n = np.concatenate([np.frombuffer(c, np.int64) for _, _, c, o, _ in rows if o is None] or
                                [np.zeros(0, np.int64)])
             order = np.argsort(h, kind="stable")
             h, n = h[order], n[order]
             start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
             h, n = h[start], np.add.reduceat(n, start) if len(start) else n
-            for _, t, _, o in rows:
+            for _, t, _, o, block in rows:
                 if o is not None:
                     terms, owner = np.frombuffer(t, np.uint64), np.frombuffer(o, np.int64)
                     df = n[np.searchsorted(h, terms)].astype(np.float64)
                     weight = np.log(1 + (total - df + 0.5) / (df + 0.5))
-                    for p, c in _parted((owner % blocks).astype(np.int32), owner, terms, weight):
+                    for p, c in _parted(np.frombuffer(block, np.int32), owner, terms, weight):
                         yield (p, *c)
         now, held = None, []
         for b in batches:
@@ -164,8 +190,9 @@ def weighted(counts: DataFrame, asked: DataFrame, total: int, blocks: int) -> Da
                 held.append(r)
         if held:
             yield from _block_rows(close(held))
-    both = counts.select("fragment", "terms", "counts", F.lit(None).cast("binary").alias("owners")).unionAll(
-        asked.select("fragment", "terms", F.lit(None).cast("binary").alias("counts"), "owners"))
+    none = F.lit(None).cast("binary")
+    both = counts.select("fragment", "terms", "counts", none.alias("owners"), none.alias("blocks")).unionAll(
+        asked.select("fragment", "terms", none.alias("counts"), "owners", "blocks"))
     dealt = both.repartition("fragment").sortWithinPartitions("fragment")
     return map_batches(dealt, run, "block int, owners binary, terms binary, weights binary")
 
@@ -178,17 +205,22 @@ def _block_rows(rows):
 
 
 class Shard:
-    """Inverted index of some documents."""
+    """Inverted index of some documents; those beside each other fall into one block."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: list, counts: list, mean: float):
-        self.order = np.argsort(ids, kind="stable")
-        self.ids = ids[self.order]
-        n = self.n = len(ids)
-        lengths = lengths[self.order]
-        sizes = np.array([len(terms[i]) for i in self.order])
-        h = np.concatenate([terms[i] for i in self.order])
-        tf = np.concatenate([counts[i] for i in self.order]).astype(np.float64)
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        self.ids, n = ids, len(ids)
+        sizes = np.array([len(t) for t in terms], np.int64)
+        h = np.concatenate(terms)
+        tf = np.concatenate(counts).astype(np.float64)
+        # Places are dealt so that the first documents of all blocks come first, then the second ones:
+        # greatest values of blocks are then taken over whole rows.
+        self.blocks = -(-n // BLOCK)
+        self.wide = self.blocks * BLOCK
+        number = np.arange(n, dtype=np.int32)
+        place = number % BLOCK * self.blocks + number // BLOCK
+        self.doc = np.zeros(self.wide, np.int32)
+        self.doc[place] = number
+        doc = np.repeat(number, sizes)
         norm = K1 * (1 - B + B * lengths / mean)
         impact = tf * (K1 + 1) / (tf + norm[doc])
         self.doc_cut = np.concatenate([[0], np.cumsum(sizes)])
@@ -200,85 +232,146 @@ class Shard:
         self.start, self.size = start, np.diff(start, append=len(h))
         self.doc_terms = np.empty(len(h), np.int32)
         self.doc_terms[order] = np.repeat(np.arange(len(start), dtype=np.int32), self.size)
-        self.weight = np.zeros(len(start))
-        self.docs, self.impact = doc[order], impact[order].astype(np.float32)
-        common = np.flatnonzero(self.size > max(64, n // 20))
-        self.row_of = np.full(len(self.terms), -1)
+        # Weights are those of the blocks of queries so far, and what postings add has them in it.
+        self.weight, self.asked = np.ones(len(start)), np.zeros(len(start), bool)
+        # A posting is its place and what it adds, 4 bytes each, so that both are fetched at once.
+        self.postings = np.empty(len(h), np.int64)
+        at, self.adds = self.postings.view(np.int32)[::2], self.postings.view(np.float32)[1::2]
+        at[:], self.adds[:] = place[doc[order]], impact[order]
+        self.most = np.maximum.reduceat(self.adds, start).astype(np.float64) if len(start) else np.zeros(0)
+        common = np.flatnonzero(self.size > max(64, n // 40))
+        common = common[np.argsort(-self.size[common], kind="stable")][:ROW_CELLS // max(1, self.wide)]
+        self.row_of = np.full(len(self.terms), -1, np.int32)
         self.row_of[common] = np.arange(len(common))
-        wide = -(-n // BLOCK) * BLOCK
-        self.rows = np.zeros((len(common), wide), np.float32)
+        self.rows = np.zeros((len(common), self.wide), np.float32)
         for r, t in enumerate(common.tolist()):
             a, z = start[t], start[t] + self.size[t]
-            self.rows[r, self.docs[a:z]] = self.impact[a:z]
-        self.block_max = self.rows.reshape(len(common), wide // BLOCK, BLOCK).max(axis=2)
-        self.most = self.block_max.max(axis=1, initial=0.0)
+            self.rows[r, at[a:z]] = self.adds[a:z]
+        self.block_max = self.rows.reshape(len(common), BLOCK, self.blocks).max(axis=1)
 
     def search(self, asked: tuple, ids: np.ndarray, scores: np.ndarray) -> None:
         """Put this shard's results among the best k so far of a block of queries (score -1: none)."""
         sizes, places, terms, weights = asked
         if not len(self.terms):
             return
-        k, wide = ids.shape[1], self.rows.shape[1]
+        k, queries = ids.shape[1], len(sizes)
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         have = self.terms[at] == terms
-        row = np.where(have, self.row_of[at], -1)
-        rare = have & (row < 0)
-        size, start = self.size[at], self.start[at]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        of = np.flatnonzero(row[places] >= 0)
-        owner, of, w = owner[of], row[places[of]], weights[places[of]]
-        grid = np.zeros((len(sizes), len(self.rows)), np.float32)
-        grid[owner, of] = w
-        # Sums in single precision are off by a part of the greatest possible score that grows with their
-        # terms; scores are rounded to 6 digits, and equal ones are told apart by id.
-        slack = np.bincount(owner, w * self.most[of], minlength=len(sizes)).astype(np.float64)
-        eps = 2.4e-7 * (np.bincount(owner, minlength=len(sizes)) + 4)
-        ends = np.cumsum(sizes).tolist()
-        sums = np.zeros((len(sizes), wide), np.float32)
-        for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
-            own = places[a:z]
-            own = own[rare[own]]
-            n = size[own]
-            stop = np.cumsum(n)
-            take = np.repeat(start[own] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
-            score = np.bincount(self.docs[take], self.impact[take] * np.repeat(weights[own], n), minlength=wide)
-            slack[i] = eps[i] * (slack[i] + score.max(initial=0.0)) + 2e-6
-            sums[i] = score
+        self._weigh(at[have], weights[have])
+        here = have[places]
+        owner, places = np.repeat(np.arange(queries), sizes)[here], places[here]
+        n = np.bincount(owner, minlength=queries)
+        # All that is added is above 0, so sums in single precision are off by a part of themselves that
+        # grows with their terms.
+        err = 2.4e-7 * (n + 4)
+        most = np.bincount(owner, self.most[at][places], minlength=queries)
+        live = np.flatnonzero((n > 0) & (most >= _low(scores[:, -1], err)))
+        if not len(live):
+            return
+        # A term is summed by the matrix product where that costs less than adding its postings.
+        added = np.bincount(places, minlength=len(terms)) * self.size[at]
+        dense = np.flatnonzero(have & (self.row_of[at] >= 0) & (added * ADD > len(live) * self.wide))
+        column = np.full(len(terms), -1, np.int32)
+        column[dense] = np.arange(len(dense))
+        dense = self.row_of[at[dense]]
+        line = np.full(queries, -1)
+        line[live] = np.arange(len(live))
+        of, line = column[places], line[owner]
+        grid = np.zeros((len(live), len(dense)), np.float32)
+        mine = np.flatnonzero((of >= 0) & (line >= 0))
+        grid[line[mine], of[mine]] = weights[places[mine]]
+        rare = np.flatnonzero((of < 0) & (line >= 0))
+        sums = self._added(line[rare], at[places[rare]], len(live))
+        cols, err, before = np.arange(self.wide), err[live], scores[live, -1]
         # The greatest sums of blocks belong to different documents, so their k-th is a bound.
-        least = sums.reshape(len(sizes), -1, BLOCK).max(axis=2)
-        floor = np.maximum(0.0, np.maximum(scores[:, -1], _kth(least, k)) - slack)
-        reach = grid @ self.block_max + least
-        live = np.flatnonzero((reach >= (floor - slack)[:, None]).any(axis=0))
-        if len(live) < 0.9 * reach.shape[1]:
-            cols = (live[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            sums, rows = sums[:, cols], self.rows[:, cols]
-        else:
-            cols, rows = np.arange(wide), self.rows
-        sums += grid @ rows
-        floor = np.maximum(floor, _kth(sums.reshape(len(sizes), -1, BLOCK).max(axis=2, initial=0.0), k) - slack)
-        for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
-            # Weights and impacts are above 0, so a sum is 0 only where no term is shared.
-            cand = np.flatnonzero((sums[i] >= floor[i]) & (sums[i] > 0))
-            if len(cand) > 2 * k:
-                value = sums[i, cand]
-                cand = cand[value >= _kth(value[None], k) - slack[i]]
-            if len(cand):
-                own = places[a:z]
-                own = own[have[own]]
-                found = cols[cand]
-                new = np.concatenate([ids[i], self.ids[found]])
-                exact = np.concatenate([scores[i], self._exact(found, at[own], weights[own])])
-                best = np.lexsort((new, -exact))[:k]
-                ids[i], scores[i] = new[best], exact[best]
-
-    def _exact(self, docs: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        peak = sums.reshape(len(live), BLOCK, -1).max(axis=1)
+        floor = _low(np.maximum(before, _kth(peak, k)), err)
+        if len(dense):
+            reach = grid @ self.block_max[dense] + peak
+            near = np.flatnonzero((reach >= floor[:, None]).any(axis=0))
+            if len(near) < 0.9 * self.blocks:
+                cols = (np.arange(BLOCK)[:, None] * self.blocks + near).ravel()
+                sums = sums[:, cols]
+            sums += grid @ (self.rows[dense] if len(cols) == self.wide else self.rows[dense[:, None], cols])
+            peak = sums.reshape(len(live), BLOCK, -1).max(axis=1)
+            floor = np.maximum(floor, _low(_kth(peak, k), err))
+        # Weights and impacts are above 0, so a sum is 0 only where no term is shared.
+        found = (peak >= floor[:, None]) & (peak > 0)
+        sums = sums.reshape(len(live), BLOCK, -1)
+        edge = np.searchsorted(owner, np.arange(queries + 1)).tolist()
+        for i in np.flatnonzero(found.any(axis=1)).tolist():
+            near = np.flatnonzero(found[i])
+            value = sums[i][:, near]
+            r, c = np.nonzero((value >= floor[i]) & (value > 0))
+            value, cand = value[r, c], cols[r * sums.shape[2] + near[c]]
+            if len(cand) > k:
+                cand = cand[value >= _low(_kth(value[None], k), err[i])]
+            q = live[i]
+            docs = self.doc[cand]
+            new = np.concatenate([ids[q], self.ids[docs]])
+            exact = np.concatenate([scores[q], self._exact(docs, at[places[edge[q]:edge[q + 1]]])])
+            best = np.lexsort((new, -exact))[:k]
+            ids[q], scores[q] = new[best], exact[best]
+
+    def _weigh(self, t: np.ndarray, weights: np.ndarray) -> None:
+        """Put the weights of terms into what their postings add."""
+        new = self.weight[t] != weights
+        t, weights = t[new], weights[new]
+        for own in np.split(np.arange(len(t)), np.flatnonzero(np.diff(np.cumsum(self.size[t]) // PIECE)) + 1):
+            size = self.size[t[own]]
+            self.adds[_ranges(self.start[t[own]], size)] *= np.repeat(weights[own] / self.weight[t[own]], size)
+        self.most[t] *= weights / self.weight[t]
+        self.weight[t] = weights
+
+    def _added(self, line: np.ndarray, t: np.ndarray, lines: int) -> np.ndarray:
+        """Per line and place the sum of what the postings of the line's terms add; lines are in order."""
+        sums = np.zeros((lines, self.wide), np.float32)
+        start, size = self.start[t], self.size[t]
+        cut = np.searchsorted(line, np.arange(lines + 1))
+        ends = np.concatenate([[0], np.cumsum(size)])[cut].tolist()
+        cut = cut.tolist()
+        a = 0
+        while a < lines:  # as many lines at a time as stay in the processor's cache
+            z = a + 1
+            while z < lines and ends[z + 1] - ends[a] <= PIECE:
+                z += 1
+            own = slice(cut[a], cut[z])
+            found = self.postings[_ranges(start[own], size[own])].view(np.int32)
+            at = np.repeat(np.arange(a, z) * self.wide, np.diff(ends[a:z + 1]))
+            at += found[::2]
+            np.add.at(sums.reshape(-1), at, found.view(np.float32)[1::2])
+            a = z
+        return sums
+
+    def _exact(self, docs: np.ndarray, t: np.ndarray) -> np.ndarray:
         """The scores in double precision, added up in order of hashes."""
-        self.weight[at] = weights
-        found = [(self.doc_impact[a:z] * self.weight[self.doc_terms[a:z]]).sum()
-                 for a, z in zip(self.doc_cut[docs].tolist(), self.doc_cut[docs + 1].tolist(), strict=True)]
-        self.weight[at] = 0
-        return np.array(found).round(6)
+        if not len(docs):
+            return np.zeros(0)
+        start = self.doc_cut[docs]
+        size = self.doc_cut[docs + 1] - start
+        of = _ranges(start, size)
+        terms = self.doc_terms[of]
+        self.asked[t] = True
+        hit = np.flatnonzero(self.asked[terms])
+        self.asked[t] = False
+        # A candidate shares a term, so no range is empty.
+        first = np.searchsorted(hit, np.cumsum(size) - size)
+        return np.add.reduceat(self.doc_impact[of[hit]] * self.weight[terms[hit]], first).round(6)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... of size[i] each, one after the other."""
+    stop = np.cumsum(size)
+    found = np.repeat(start - (stop - size), size)
+    found += np.arange(len(found))
+    return found
+
+
+def _low(bound: np.ndarray, err: np.ndarray) -> np.ndarray:
+    """What a sum reaches at least whose document is among the best k, if `bound` is a k-th exact score or sum:
+    both sums may be off, and scores are rounded to 6 digits, equal ones told apart by id."""
+    return bound * (1 - 2 * err) - 2e-6
 
 
 def _kth(values: np.ndarray, k: int) -> np.ndarray:
@@ -342,45 +435,63 @@ def top(docs: DataFrame, is_query: Column, k: int = TOP, id_col: str = "doc_id",
     """query_id, doc_id, rank, score: the k best documents of each query."""
     # The term vectors are larger than they are dear, so each use makes them anew.
     vecs = vectors(docs, is_query, id_col, text_col)
-    total, words, terms, asked = vecs.agg(
-        F.count(F.lit(1)), F.sum("n"), F.sum(F.octet_length("terms") / 8), F.sum(F.col("query").cast("int"))).first()
-    mean = max(1.0, (words or 0) / max(1, total))
-    fragments = max(1, -(-int(terms or 0) // FRAGMENT))
-    shards = max(1, -(-total // shard), -(-int(terms or 0) // SHARD_TERMS))
-    blocks = max(1, -(-(asked or 0) // QUERY_BLOCK))
+    size = F.floor(F.log2(F.octet_length("terms") / 8 + 1) * 2).cast("int")
+    words = stash(vecs.groupBy("word", size.alias("size")).agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.sum(F.octet_length("terms") / 8).alias("terms"),
+        F.sum(F.col("query").cast("long")).alias("queries")))
+    total, n, terms = (x or 0 for x in words.agg(F.sum("docs"), F.sum("n"), F.sum("terms")).first())
+    mean = max(1.0, n / max(1, total))
+    fragments = max(1, -(-int(terms) // FRAGMENT))
+    shards = max(1, -(-total // shard), -(-int(terms) // SHARD_TERMS))
+    # Documents are of a kind if they are about as long and have the same most frequent word, which tells
+    # languages apart; rarer words count as one.
+    often = [r["word"] for r in words.where("word is not null").groupBy("word").agg(F.sum("docs").alias("docs"))
+             .orderBy(F.desc("docs"), "word").limit(WORDS).collect()]
+    place = F.coalesce(F.array_position(F.lit(often).cast("array<long>"), F.col("word")), F.lit(0)).cast("int")
+    spans, asked = {}, 0
+    for kind, count in (words.groupBy((place * 64 + F.col("size")).alias("kind")).agg(F.sum("queries"))
+                        .orderBy("kind").collect()):
+        spans[kind] = asked, count
+        asked += count
     # A group is a task's shards; each group costs one copy of the queries, so they are as many as cores.
     groups = min(shards, docs.sparkSession.sparkContext.defaultParallelism)
     # Queries are numbered by a hash that tells rows with the same id and another text apart.
-    queries = vectors(docs.where(is_query), F.lit(True), id_col, text_col).withColumn("k", F.xxhash64("id", "terms"))
-    block_of = stash(weighted(frequencies(vecs, fragments), query_terms(queries, fragments), total, blocks))
+    queries = (vectors(docs.where(is_query), F.lit(True), id_col, text_col)
+               .select(F.xxhash64("id", "terms").alias("k"), "id", "terms", (place * 64 + size).alias("kind")))
+    block_of = stash(weighted(frequencies(vecs, fragments), query_terms(queries, fragments, spans), total))
     per_block = stash(block_of.groupBy("block").applyInArrow(_compact, _BLOCK))
     asks = per_block.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(-1).alias("shard"),
                             "block", "owners", "sizes", "places", "terms", "weights")
-    shard_of = F.pmod(F.xxhash64("id", "terms"), F.lit(shards)).cast("int")
-    index = vecs.select((shard_of % groups).alias("group"), shard_of.alias("shard"), "id", "n", "terms", "counts")
-    # The blocks of queries of a group come first, then one shard of documents at a time.
+    # The blocks of queries of a group come first, then some documents of all kinds, which give first bounds for
+    # all queries, then the others by kind.
+    mixed = F.pmod(F.xxhash64("terms", "id"), F.lit(MIXED)) == 0 if shards > groups else F.lit(False)
+    index = vecs.select(F.pmod(F.xxhash64("id", "terms"), F.lit(groups)).cast("int").alias("group"),
+                        F.when(mixed, 0).otherwise(place * 64 + size + 1).alias("shard"),
+                        "id", "n", "terms", "counts")
     dealt = (index.unionByName(asks, allowMissingColumns=True).repartitionById(groups, "group")
              .sortWithinPartitions("group", "shard", "block"))
 
     def run(batches):
-        kept, now, held = None, (None, None), []
+        kept, group, kind, held, terms = None, None, -1, [], 0
         try:
             for b in batches:
                 for r in b.to_pylist():
-                    if (r["group"], r["shard"]) != now:
-                        if held:
-                            kept.search(held, mean)
-                        if r["group"] != now[0]:
-                            if kept:
-                                yield from kept.found()
-                                kept.close()
-                            kept = Kept(k)
-                        now = r["group"], r["shard"]
-                    if r["shard"] < 0:
+                    if held and (r["group"] != group or len(held) >= shard or terms >= SHARD_TERMS
+                                 or kind == 0 < r["shard"]):
+                        kept.search(held, mean)
+                        terms = 0
+                    if r["group"] != group:
+                        if kept:
+                            yield from kept.found()
+                            kept.close()
+                        kept, group = Kept(k), r["group"]
+                    kind = r["shard"]
+                    if kind < 0:
                         kept.add(r)
                     else:
                         held.append((NO_ID if r["id"] is None else r["id"], r["n"],
                                      np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int32)))
+                        terms += len(held[-1][2])
             if held:
                 kept.search(held, mean)
             if kept:

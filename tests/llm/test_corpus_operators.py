@@ -111,6 +111,45 @@ def test_search_sends_queries_once_per_task(frame, spark, monkeypatch):
     assert sent[0] == sent[1] <= spark.sparkContext.defaultParallelism
 
 
+def test_search_keeps_the_alike_together(frame, monkeypatch):
+    """Blocks of queries and shards hold one language each, but for a block on the border and the first shard."""
+    rng = random.Random(5)
+    texts = [" ".join([x] * 5 + rng.choices([f"{x}{k}" for k in range(30)], k=20)) for _ in range(120) for x in "ab"]
+    docs, is_query, dealt, send = frame(list(enumerate(texts))), F.col("doc_id") % 10 < 4, [], search.map_batches
+
+    def map_batches(df, fn, schema):
+        if "places" in df.columns:
+            dealt.extend(df.collect())
+        return send(df, fn, schema)
+    monkeypatch.setattr(search, "map_batches", map_batches)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 8)
+    out = search.top(docs, is_query, k=3, shard=12).collect()
+    assert sorted(r["query_id"] for r in out if r["rank"] == 1) == [i for i in range(240) if i % 10 < 4]
+    assert all(r["query_id"] == r["doc_id"] for r in out if r["rank"] == 1)
+    terms = [set(), set()]
+    for r in search.vectors(docs, is_query, "doc_id", "text").collect():
+        terms[r["id"] % 2].update(np.frombuffer(r["terms"], np.uint64).tolist())
+    blocks, shards = defaultdict(set), defaultdict(set)
+    for r in dealt:
+        if r["places"] is not None:
+            asked = set(np.frombuffer(r["terms"], np.uint64).tolist())
+            blocks[r["block"]].update(x for x in (0, 1) if asked & terms[x])
+        elif r["shard"] > 0:
+            shards[r["shard"]].add(r["id"] % 2)
+    assert len(blocks) >= 12 and sum(len(x) > 1 for x in blocks.values()) <= 1
+    assert shards and all(len(x) == 1 for x in shards.values())
+
+
+def test_search_first_word(frame):
+    """The most frequent word, of equals always the same one, none for texts without words."""
+    texts = ["b a b", "a b", "b a", "", None, "B c"]
+    rows = search.vectors(frame(list(enumerate(texts))), F.lit(True), "doc_id", "text")
+    a, b, c = (r["word"] for r in search.vectors(frame([(k, x) for k, x in enumerate("abc")]), F.lit(True), "doc_id",
+                                                 "text").sort("id").collect())
+    got = [r["word"] for r in rows.sort("id").collect()]
+    assert got[0] == b and got[1] == got[2] in (a, b) and got[3:5] == [None, None] and got[5] in (b, c)
+
+
 def test_search_skips_blocks_and_keeps_the_bound():
     """Shards of common terms alone, in blocks that cannot reach the bound, against plain sums."""
     rng = np.random.default_rng(3)
